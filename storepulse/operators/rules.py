@@ -127,3 +127,21 @@ def dashboard_rule_score(orders: DataFrame) -> DataFrame:
         out = out.withColumn("country", F.lit("US"))
     score, reasons, codes = evaluate(DASHBOARD_RULES)
     return out.withColumn("score", score).withColumn("reasons", reasons).withColumn("rule_codes", codes)
+
+
+def rule_flags(orders: DataFrame, codes: list[str] | None = None) -> DataFrame:
+    """Every rule alone, in one pass: one row per (order, rule code) with ``fired`` and ``points``.
+
+    ``R12`` reads ``country``; when the frame has none, the card country stands in for it."""
+    codes = codes or [r.code for r in DETECTOR_RULES] + ["R12"]
+    scored = with_defaults(orders)
+    if "country" not in scored.columns:
+        scored = scored.withColumn("country", F.col("card_country"))
+    flags = F.array(*[F.struct(F.lit(c).alias("code"),
+                               F.coalesce(RULES_BY_CODE[c].predicate(), F.lit(False)).alias("fired"),
+                               F.lit(RULES_BY_CODE[c].points).alias("rule_points"))
+                      for c in codes])
+    keep = [c for c in orders.columns if c in ("order_id", "order_key")]
+    return (scored.select(*keep, F.explode(flags).alias("_f"))
+            .select(*keep, "_f.code", "_f.fired",
+                    F.when(F.col("_f.fired"), F.col("_f.rule_points")).otherwise(F.lit(0)).alias("points")))

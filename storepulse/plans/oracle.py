@@ -86,3 +86,83 @@ decided AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes)
+
+
+def scored_from(source: str, prefix: str) -> str:
+    """CTEs ``{prefix}_rule`` and ``{prefix}_decided`` scoring any CTE with the detector's columns."""
+    return f"""{prefix}_rule AS (
+  SELECT *, CAST({RULE_SCORE_SQL} AS INTEGER) AS rule_score, {REASONS_SQL} AS reasons_text
+  FROM {source}
+),
+{prefix}_decided AS (
+  SELECT *, 0 AS ml_score,
+         CAST(greatest(rule_score, CAST(trunc(rule_score * 0.8::DOUBLE) AS INTEGER)) AS INTEGER) AS final_score,
+         CASE WHEN greatest(rule_score, CAST(trunc(rule_score * 0.8::DOUBLE) AS INTEGER)) >= 55 OR rule_score >= 55
+              THEN 'FRAUD_BLOCKED'
+              WHEN greatest(rule_score, CAST(trunc(rule_score * 0.8::DOUBLE) AS INTEGER)) >= 31 THEN 'REVIEW_NEEDED'
+              ELSE 'APPROVED' END AS status
+  FROM {prefix}_rule
+)"""
+
+
+# The order log as the dashboard and the watcher read it: one record per order (duplicates and
+# malformed lines dropped), items named by part in sorted order.
+LOG_CTE = f"""{ORDER_FEED_CTE},
+item_names AS (
+  SELECT l_orderkey AS order_key, string_agg(p_name, ', ' ORDER BY p_name) AS products_text
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey
+),
+log_orders AS (
+  SELECT b.order_key, 'WOO-' || CAST(b.order_key AS VARCHAR) AS order_id, b.customer_email, b.customer_name,
+         b.amount, b.quantity, b.payment_method, b.card_country, b.card_country AS shipping_country,
+         0 AS failed_attempts, coalesce(i.products_text, '') AS products_text, b.ts
+  FROM order_base b LEFT JOIN item_names i ON b.order_key = i.order_key
+),
+log_enriched0 AS (
+  SELECT *,
+         CAST(count(*) OVER (PARTITION BY customer_email ORDER BY epoch_us(ts)
+                             RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS INTEGER) AS orders_last_hour,
+         row_number() OVER (PARTITION BY customer_email ORDER BY ts, order_id) - 1 AS prior_orders
+  FROM log_orders
+),
+log_enriched AS (SELECT *, prior_orders <= 1 AS is_new_customer FROM log_enriched0),
+{scored_from('log_enriched', 'log')}"""
+
+DASH_RULE_SQL = """(
+  (CASE WHEN amount > 1000 AND is_new_customer THEN 40 ELSE 0 END)
++ (CASE WHEN amount > 1500 THEN 30 ELSE 0 END)
++ (CASE WHEN quantity > 3 THEN 30 ELSE 0 END)
++ (CASE WHEN payment_method = 'stripe' AND amount > 500 AND is_new_customer THEN 35 ELSE 0 END)
++ (CASE WHEN country IS NULL OR country NOT IN ('US', 'CA', 'GB', 'AU') THEN 25 ELSE 0 END)
++ (CASE WHEN amount % 100 = 0 AND amount > 500 THEN 15 ELSE 0 END)
++ (CASE WHEN payment_method = 'stripe' AND is_new_customer THEN 20 ELSE 0 END)
++ (CASE WHEN amount > 1500 THEN 45 ELSE 0 END)
++ (CASE WHEN quantity >= 3 AND amount > 500 THEN 40 ELSE 0 END))"""
+
+DASH_REASONS_SQL = f"""concat_ws('; ',
+  CASE WHEN amount > 1000 AND is_new_customer THEN 'High amount + new customer' END,
+  CASE WHEN amount > 1500 THEN 'Very high amount' END,
+  CASE WHEN quantity > 3 THEN 'High quantity ' || CAST(quantity AS VARCHAR) || ' items' END,
+  CASE WHEN payment_method = 'stripe' AND amount > 500 AND is_new_customer THEN 'High card payment + new customer' END,
+  CASE WHEN country IS NULL OR country NOT IN ('US', 'CA', 'GB', 'AU') THEN 'International order' END,
+  CASE WHEN amount % 100 = 0 AND amount > 500 THEN 'Suspicious round amount' END,
+  CASE WHEN payment_method = 'stripe' AND is_new_customer THEN 'Card payment from new customer' END,
+  CASE WHEN amount > 1500 THEN 'Extremely high order value $' || {AMT_TEXT} END,
+  CASE WHEN quantity >= 3 AND amount > 500
+       THEN 'Bulk purchase ' || CAST(quantity AS VARCHAR) || ' items worth $' || {AMT_TEXT} END)"""
+
+DASH_CTE = f"""{ORDER_FEED_CTE},
+history AS (SELECT customer_email, count(*) AS n FROM order_base GROUP BY customer_email),
+dash_orders AS (
+  SELECT b.order_key, CAST(b.order_key AS VARCHAR) AS order_id, b.customer_email, b.amount, b.payment_method,
+         b.card_country AS country, b.quantity, coalesce(h.n, 0) AS stored_orders,
+         coalesce(h.n, 0) <= 1 AS is_new_customer
+  FROM order_base b LEFT JOIN history h ON b.customer_email = h.customer_email
+),
+dash_scored AS (
+  SELECT *, CAST({DASH_RULE_SQL} AS INTEGER) AS score, {DASH_REASONS_SQL} AS reasons_text FROM dash_orders
+),
+dash_decided AS (
+  SELECT *, CASE WHEN score >= 55 THEN 'FRAUD' WHEN score >= 31 THEN 'REVIEW' ELSE 'APPROVED' END AS status
+  FROM dash_scored
+)"""
