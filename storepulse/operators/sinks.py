@@ -227,12 +227,12 @@ def notification_outbox(scored: DataFrame, admin: str = "admin") -> DataFrame:
             .filter(F.col("recipient") != ""))
 
 
-def stock_outbox(alerts: DataFrame, admin: str = "admin") -> DataFrame:
+def stock_outbox(alerts: DataFrame, admin: str = "admin", keep: list[str] | None = None) -> DataFrame:
     """Low-stock (name cut to 40, level) and out-of-stock notices to the admin."""
     name40 = short(F.col("product_name"), 40)
     subject = F.when(F.col("level") == "low", F.concat(F.lit("Low Stock Alert — "), name40)).otherwise(
         F.concat(F.lit("OUT OF STOCK — "), name40))
-    return alerts.select("product_id", "level", F.lit(admin).alias("recipient"), subject.alias("subject"),
+    return alerts.select(*(keep or []), "product_id", "level", F.lit(admin).alias("recipient"), subject.alias("subject"),
                          F.col("stock").alias("stock_level"))
 
 
