@@ -101,3 +101,27 @@ def changed_rows(df: DataFrame, value: str, order: str, key: str | None = None)
     w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order)
     prev = F.lag(F.col(value)).over(w)
     return df.filter(prev.isNull() & F.col(value).isNotNull() | ~F.col(value).eqNullSafe(prev))
+
+
+def rank_within_key(df: DataFrame, key: str, order: list[Column], out: str = "rank",
+                    num_partitions: int | None = None) -> DataFrame:
+    """1-based position of each row within its key in ``order`` — exact and skew-safe.
+
+    ``repartitionByRange(key, order)`` splits even a hot key over several range partitions while
+    keeping the global order; the frame is checkpointed so partition ids stay fixed; per
+    (partition, key) counts give each slice of a key its offset (a small aggregate); the final
+    ``row_number`` runs per (partition, key), so no task holds more than one range slice.
+    """
+    from storepulse.session import cut_lineage
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, F.col(key), *order).withColumn("_pid", F.spark_partition_id())
+    ordered = cut_lineage(ordered)
+    slices = ordered.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select(key, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid", key).orderBy(*order)
+    ranked = ordered.withColumn("_rn", F.row_number().over(w))
+    return (ranked.join(offsets, [key, "_pid"], "inner")
+            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("long"))
+            .drop("_pid", "_rn", "_off"))
