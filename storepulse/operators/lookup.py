@@ -9,7 +9,7 @@ equi-joins:
   with ``contains``;
 * a query of length 1 or 2 matches exactly the names that have it as a 1- or 2-gram, so the
   gram equality is the match;
-* the empty query matches every name: the first name overall (one global ``min_by`` row).
+* the empty query matches every name: the first name overall (one global ``min`` value).
 
 Names are exploded into their grams once; a name of length L yields about 3L rows.
 """
@@ -59,9 +59,9 @@ def substring_lookup(queries: DataFrame, query_col: str, products: DataFrame, na
     long_hits = (rarest.filter(F.col("_df") > 0).join(name_grams, "_g", "inner")
                  .filter(F.contains(F.col("_nl"), F.col("_ql"))).select("query", "_pos"))
     # Empty query: every name contains it.
-    empty_q = q.filter(F.col("_ql") == "")
-    first = p.agg(F.min("_pos").alias("_pos"))
-    empty_hits = empty_q.join(F.broadcast(first), how="inner").select("query", "_pos")
+    first = p.agg(F.min("_pos")).first()[0]  # one value
+    empty_hits = q.filter((F.col("_ql") == "") & F.lit(first is not None)).select(
+        "query", F.lit(first).cast(p.schema["_pos"].dataType).alias("_pos"))
     hits = short_hits.unionByName(long_hits).unionByName(empty_hits)
     best = hits.groupBy("query").agg(F.min("_pos").alias("_pos"))
     return best.join(p.select("_pos", "_name"), "_pos", "inner").select(

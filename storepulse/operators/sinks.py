@@ -181,14 +181,14 @@ def order_actions(scored: DataFrame, store_orders: DataFrame, store_key: str = "
     """K13 (+J10): hold action per non-approved order: numeric id from ``WOO-<n>``; an id not in the
     store falls back to the most recent store order. The store call itself is not made.
 
-    The fallback is one global ``max_by`` row (size 1, so broadcasting it is bounded)."""
+    The fallback is one global ``max_by`` value, computed once and passed as a literal."""
     flagged = scored.filter(F.col("status") != "APPROVED").withColumn(
         "numeric_id", numeric_order_id(F.col("order_id")).try_cast("long"))
     known = store_orders.select(F.col(store_key).cast("long").alias("_sid"))
     latest = store_orders.agg(F.max_by(F.col(store_key).cast("long"), F.struct(F.col(store_ts), F.col(store_key)))
-                              .alias("_latest"))
+                              ).first()[0]  # one value
     j = (flagged.join(known, flagged.numeric_id == known._sid, "left")
-         .join(F.broadcast(latest), how="left"))
+         .withColumn("_latest", F.lit(latest).cast("long")))
     label = F.when(F.col("status") == "FRAUD_BLOCKED", F.lit("FRAUD DETECTED")).otherwise(F.lit("REVIEW NEEDED"))
     return j.select(
         "order_id",
