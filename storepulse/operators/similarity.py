@@ -20,9 +20,10 @@ occur in almost every product, so a self-join on terms would emit nearly N² pai
 4. Products with similarity 0 rank by position, so the 2k+1 lowest positions overall are added
    as fill candidates.
 
-Every product's candidate set therefore contains its true top-k, and the number of candidate
-pairs is bounded per product (rare partners + (2^|F| − 1) × (k+1) + 2k+1). Exact similarities are
-then computed for the candidates only, and ranked by (similarity rounded to 9, position).
+Every signature's candidate set therefore contains its true top k+1 (self included), and the
+number of candidate pairs is bounded per signature (rare partners + (2^|F| − 1) × (k+1) + 2k+1).
+Exact similarities are computed for the candidates only and ranked per signature by (similarity
+rounded to 9, position); each product then drops itself and keeps the first k.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from storepulse.functions.scalars import contains_ci, match_band, short
 from storepulse.operators.lookup import substring_lookup
 from storepulse.operators.windows import top_k_per_key
+from storepulse.session import cut_lineage
 
 TOKEN_PATTERN = r"\b\w\w+\b"
 # Our own English stop-word table (shared with the SQL oracle).
@@ -132,28 +134,30 @@ def similar_products(docs: DataFrame, k: int = 5, doc: str = "position", content
 
     Returns (source, rank, target, similarity) with similarity in [0, 1]; see the module notes for
     how candidates are bounded."""
-    w = tfidf(docs, doc, content, max_features)
+    # The weights, the doc → signature map and the signature postings are each used by several
+    # branches below; reliable checkpoints compute them once and cut the lineage.
+    w = cut_lineage(tfidf(docs, doc, content, max_features))
     # 1. Signatures: identical term-count maps.
     sig_of = (w.groupBy(doc).agg(F.to_json(F.array_sort(F.collect_list(F.struct("term", "tf")))).alias("sig"))
               .withColumn("sig", F.sha2(F.col("sig"), 256)))
-    all_docs = docs.select(doc).join(sig_of, doc, "left").withColumn("sig", F.coalesce("sig", F.lit("")))
+    all_docs = cut_lineage(docs.select(doc).join(sig_of, doc, "left")
+                           .withColumn("sig", F.coalesce("sig", F.lit(""))))
     reps = (top_k_per_key(all_docs, "sig", [F.col(doc)], k + 1, rank_col="_r")
             .select(F.col("sig"), F.col(doc).alias("rep")))
-    min_pos = all_docs.groupBy("sig").agg(F.min(doc).alias("min_pos"))
-    first_of = sig_of.groupBy("sig").agg(F.min(doc).alias("_d"))
-    post = (w.join(first_of, (w[doc] == first_of["_d"]), "inner")
-            .select("sig", "term", "tf", "weight", "raw"))
+    min_pos = all_docs.groupBy("sig").agg(F.min(doc).alias("min_pos"), F.first(doc).alias("_any"))
+    post = (w.join(min_pos, w[doc] == min_pos["min_pos"], "inner")
+            .select("sig", "term", "tf", "weight", "raw", "min_pos"))
     sig_norm = post.groupBy("sig").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     df_sig = post.groupBy("term").agg(F.count(F.lit(1)).alias("df_sig"))
-    post = post.join(F.broadcast(df_sig), "term", "inner")  # at most max_features rows
+    post = cut_lineage(post.join(F.broadcast(df_sig), "term", "inner")  # at most max_features rows
+                       .join(sig_norm, "sig", "inner"))
     # 2. Rare terms: exact self-join, groups bounded by rare_df.
     rare = post.filter(F.col("df_sig") <= rare_df).select("term", "sig")
     rare_pairs = (rare.alias("a").join(rare.alias("b"), "term")
                   .select(F.col("a.sig").alias("g"), F.col("b.sig").alias("h")).distinct())
     # 3. Frequent terms.
     freq = post.filter(F.col("df_sig") > rare_df)
-    fsets = (freq.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("_f"))
-             .join(sig_norm, "sig").join(min_pos, "sig"))
+    fsets = freq.groupBy("sig", "norm", "min_pos").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("_f"))
     widest = fsets.agg(F.max(F.size("_f"))).first()[0] or 0
     if widest <= max_subset_terms:
         freq_pairs = _subset_candidates(fsets, k)
@@ -166,16 +170,20 @@ def similar_products(docs: DataFrame, k: int = 5, doc: str = "position", content
     ph = post.select(F.col("sig").alias("h"), "term", F.col("weight").alias("wh"))
     sims = (pairs.join(pg, "g").join(ph, ["h", "term"])
             .groupBy("g", "h").agg(F.sum(F.col("wg") * F.col("wh")).alias("sim")))
-    # 4. Expand to documents; add the zero-similarity fill.
-    src = all_docs.select(F.col(doc).alias("source"), F.col("sig").alias("g"))
-    via_sig = (src.join(sims, "g").join(reps.withColumnRenamed("sig", "h"), "h")
-               .select("source", F.col("rep").alias("target"), "sim"))
+    # 4. Per signature, the top k+1 documents (self included) over the candidates and the
+    #    zero-similarity fill; every document of the signature shares that list.
+    sig_cands = sims.join(reps.withColumnRenamed("sig", "h"), "h").select("g", F.col("rep").alias("target"), "sim")
     lowest = [r[0] for r in docs.select(doc).orderBy(doc).limit(2 * k + 1).collect()]  # 2k+1 values
-    fill = src.select("source", F.explode(F.array(*[F.lit(v) for v in lowest])).alias("target")) \
+    sigs = all_docs.select(F.col("sig").alias("g")).distinct()
+    fill = sigs.select("g", F.explode(F.array(*[F.lit(v) for v in lowest])).alias("target")) \
         .withColumn("sim", F.lit(0.0))
-    cand = (via_sig.unionByName(fill).filter(F.col("source") != F.col("target"))
-            .groupBy("source", "target").agg(F.max("sim").alias("sim")))
-    top = top_k_per_key(cand, "source", [F.round("sim", RANK_DIGITS).desc(), F.col("target")], k, rank_col="rank")
+    cand = sig_cands.unionByName(fill).groupBy("g", "target").agg(F.max("sim").alias("sim"))
+    order = [F.round("sim", RANK_DIGITS).desc(), F.col("target")]
+    per_sig = top_k_per_key(cand, "g", order, k + 1, rank_col="_r").drop("_r")
+    # 5. Each document drops itself and keeps the first k.
+    src = all_docs.select(F.col(doc).alias("source"), F.col("sig").alias("g"))
+    per_doc = src.join(per_sig, "g").filter(F.col("source") != F.col("target"))
+    top = top_k_per_key(per_doc, "source", order, k, rank_col="rank")
     return top.select("source", "rank", "target", F.col("sim").alias("similarity"))
 
 
