@@ -125,3 +125,24 @@ def rank_within_key(df: DataFrame, key: str, order: list[Column], out: str = "ra
     return (ranked.join(offsets, [key, "_pid"], "inner")
             .withColumn(out, (F.col("_off") + F.col("_rn")).cast("long"))
             .drop("_pid", "_rn", "_off"))
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, out: str = "running",
+                  num_partitions: int | None = None, inclusive: bool = True) -> DataFrame:
+    """Global running sum of ``value`` in ``order`` without a single-partition window.
+
+    Range partitioning keeps the global order across partitions; per-partition totals (one row
+    per partition) give each partition its offset; the running sum within a partition is a
+    window over (partition) only. ``inclusive=False`` excludes the current row."""
+    from storepulse.session import cut_lineage
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut_lineage(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    totals = ordered.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    upto = Window.partitionBy("_pid").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    within = ordered.withColumn("_in", F.coalesce(F.sum(value).over(upto), F.lit(0)))
+    return (within.join(F.broadcast(offsets), "_pid", "inner")  # one row per partition
+            .withColumn(out, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off"))
