@@ -1 +1,157 @@
-"""Queries registered in a later step."""
+"""Streaming queries: each lands its input (derived from the tables) as time-ordered files in the
+shared checkpoint folder, runs the streaming plan with ``availableNow`` and several micro-batches,
+and returns the sink. Their oracles are the batch SQL of the same operators (stream = batch)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storepulse.functions.scalars import stock_status
+from storepulse.operators import reviews as R
+from storepulse.operators import sinks as K
+from storepulse.operators import stock as S
+from storepulse.plans.oracle import LOG_CTE, with_ctes
+from storepulse.plans.registry import query
+from storepulse.plans.reviews_q import REVIEW_FEED_SQL, SAVED_SQL, sentiment_sql
+from storepulse.plans.stock_q import HISTORY_SQL, cooldown_sql
+from storepulse.sources.feeds import lexicon, order_log_lines, review_feed_lines, saved_reviews, stock_history
+from storepulse.sources.files import parse_review_feed
+from storepulse.streaming import streams as X
+
+CHUNKS = 4
+TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _order_files(spark: SparkSession, sf_dir: str) -> str:
+    lines = order_log_lines(spark, sf_dir)
+    ts = F.to_timestamp(F.get_json_object("value", "$.timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    return X.write_time_chunks(lines.select("value"), ts, X.scratch(spark, "order-log"), CHUNKS)
+
+
+def _enriched(spark: SparkSession, sf_dir: str):
+    return X.enrich_stream(X.order_stream(spark, _order_files(spark, sf_dir)))
+
+
+@query("stream_enriched_orders", sql=f"""{with_ctes(LOG_CTE)}
+SELECT order_id, orders_last_hour, prior_orders, is_new_customer FROM log_enriched""")
+def stream_enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + X2 + X3 + X5 + X8: file stream → dedup → per-email state (velocity, customer
+    history) → idempotent sink; equal to the batch enrichment."""
+    out = X.run_to_table(_enriched(spark, sf_dir), spark, "enriched")
+    return out.select("order_id", "orders_last_hour", "prior_orders", "is_new_customer")
+
+
+@query("stream_fraud_scores", sql=f"""{with_ctes(LOG_CTE)}
+SELECT order_id, rule_score, final_score, status FROM log_decided""")
+def stream_fraud_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and decision on the enriched stream, ``fraud_scores`` rows per micro-batch."""
+    scored = X.fraud_stream(_enriched(spark, sf_dir))
+    out = X.run_to_table(K.fraud_sink_rows(scored), spark, "fraud")
+    return out.select("order_id", "rule_score", "final_score", "status")
+
+
+@query("stream_overview", sql=f"""{with_ctes(LOG_CTE)}
+SELECT status, count(*) AS n_orders, CAST(sum(amount) AS DOUBLE) AS revenue FROM log_decided GROUP BY status""")
+def stream_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-batch partial aggregates of the scored stream, merged on read."""
+    scored = X.fraud_stream(_enriched(spark, sf_dir))
+    sink = X.scratch(spark, "overview-out")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        X.overview_stream(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    X.run_stream(scored, spark, "overview", write)
+    parts = spark.read.option("basePath", sink).parquet(f"{sink}/batch=*")
+    return parts.groupBy("status").agg(F.sum("n_orders").alias("n_orders"),
+                                       F.sum("revenue").cast("double").alias("revenue"))
+
+
+def _history_files(spark: SparkSession, sf_dir: str) -> str:
+    h = stock_history(spark, sf_dir)
+    return X.write_time_chunks(h, "checked_at", X.scratch(spark, "stock-history"), CHUNKS, fmt="parquet")
+
+
+@query("stream_stock_alerts", sql=f"""WITH RECURSIVE {HISTORY_SQL},
+src AS (
+  SELECT event_id, product_id, product_name, stock_level, checked_at AS ts,
+         CASE WHEN stock_level = 0 THEN 'out' ELSE 'low' END AS level,
+         CASE WHEN stock_level = 0 THEN 'out' ELSE 'low' END || '_' || CAST(product_id AS VARCHAR) AS alert_key
+  FROM history WHERE stock_level <= 5),
+{cooldown_sql('src', 'alert_key', 'event_id')}
+SELECT s.event_id, s.product_id, s.level, 'admin' AS recipient,
+       CASE WHEN s.level = 'low' THEN 'Low Stock Alert — ' ELSE 'OUT OF STOCK — ' END || substr(s.product_name, 1, 40)
+         AS subject,
+       s.stock_level
+FROM src s JOIN cooled c ON s.event_id = c.id WHERE c.sent""")
+def stream_stock_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6 (alerts): stock observations stream → low / out alerts → per-key cooldown state →
+    notices that are sent."""
+    path = _history_files(spark, sf_dir)
+    schema = stock_history(spark, sf_dir).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    cooled = X.cooldown_stream(S.alert_candidates(stream, "stock_level", "product_id"))
+    out = X.run_to_table(cooled.filter("sent"), spark, "stock-alerts")
+    return K.stock_outbox(out.withColumn("stock", F.col("stock_level")), keep=["event_id"]).select(
+        "event_id", "product_id", "level", "recipient", "subject", "stock_level")
+
+
+@query("stream_stock_upsert", sql=f"""WITH {HISTORY_SQL}
+SELECT product_id, product_name, stock_level,
+       CASE WHEN stock_level = 0 THEN 'OUT_OF_STOCK' WHEN stock_level <= 5 THEN 'LOW_STOCK' ELSE 'IN_STOCK' END AS status,
+       strftime(checked_at, '%Y-%m-%d %H:%M:%S.%f') AS checked_at
+FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY checked_at DESC) AS rn FROM history) WHERE rn = 1""")
+def stream_stock_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6 (table): each micro-batch upserts the ``stock_levels`` table (K7) and writes a new
+    version; the last version is the current table."""
+    path = _history_files(spark, sf_dir)
+    schema = stock_history(spark, sf_dir).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    table = X.scratch(spark, "stock-levels")
+    versions: list[str] = []
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        b = batch.withColumn("status", stock_status("stock_level")).withColumn("seq", F.col("checked_at"))
+        cols = ["product_id", "product_name", "stock_level", "status", "checked_at"]
+        current = (spark.read.parquet(versions[-1]) if versions
+                   else spark.createDataFrame([], b.select(*cols).schema))
+        target = f"{table}/v={batch_id}"
+        K.upsert_stock(current, b, "product_id", "seq").write.mode("overwrite").parquet(target)
+        versions.append(target)
+
+    X.run_stream(stream, spark, "stock-upsert", upsert)
+    final = spark.read.parquet(versions[-1])
+    return final.withColumn("checked_at", F.date_format("checked_at", TS_TEXT))
+
+
+@query("stream_reviews", sql=f"""WITH {REVIEW_FEED_SQL}, {SAVED_SQL},
+fresh AS (SELECT * FROM review_feed WHERE comment_id NOT IN (SELECT comment_id FROM saved)),
+{sentiment_sql('fresh')}
+SELECT substr(product_name, 1, 500) AS product_name, substr(review_text, 1, 5000) AS review_text,
+       CAST(rating AS DOUBLE) AS rating, textblob_score, textblob_sentiment, vader_score, vader_sentiment,
+       final_sentiment, CAST(comment_id AS INTEGER) AS wp_comment_id
+FROM scored""")
+def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review feed files → per micro-batch: parse, drop saved ids (stored table plus what
+    earlier batches stored), score, label, append ``product_reviews`` rows."""
+    lines = review_feed_lines(spark, sf_dir).withColumn(
+        "_t", F.timestamp_seconds(F.split("value", "[|]{3}", 2)[0].try_cast("long")))
+    path = X.write_time_chunks(lines.select("value", "_t"), "_t", X.scratch(spark, "reviews"), CHUNKS,
+                               fmt="parquet")
+    stream = spark.readStream.schema("value string, _t timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    saved = saved_reviews(spark, sf_dir).select(F.col("comment_id").alias("wp_comment_id"))
+    lex = lexicon(spark)
+    sink = X.scratch(spark, "reviews-out")
+    written: list[str] = []
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        stored = saved
+        if written:  # what earlier micro-batches stored
+            stored = stored.unionByName(spark.read.parquet(*written).select("wp_comment_id"))
+        rows = K.review_sink_rows(R.process_reviews(parse_review_feed(batch.select("value")), stored, lex))
+        target = f"{sink}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(target)
+        written.append(target)
+
+    X.run_stream(stream, spark, "reviews", process)
+    return spark.read.option("basePath", sink).parquet(f"{sink}/batch=*").drop("batch")
