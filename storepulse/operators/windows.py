@@ -28,23 +28,31 @@ def _us(ts) -> Column:
 
 
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int = 3600,
-                   out: str = "orders_last_hour") -> DataFrame:
+                   out: str = "orders_last_hour", context: DataFrame | None = None) -> DataFrame:
     """Rows of the same key with ``now − t < seconds``, this row included.
 
     Exactly ``seconds`` old is out of the frame. Rows with the same key and the same timestamp are
     peers of a RANGE frame and count each other (the reference handles them one after another).
+    ``context`` (key, ts) rows are counted but not returned — e.g. remembered rows of earlier
+    micro-batches.
     """
     width = seconds * MICROS
     cols = df.columns
-    base = df.withColumn("_us", _us(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
+    base = df.withColumn("_us", _us(ts))
+    if context is not None:
+        ctx = context.select(*[F.col(c) if c == key else F.lit(None).cast(t).alias(c) for c, t in df.dtypes],
+                             _us(F.col(ts)).alias("_us"))
+        base = base.withColumn("_ctx", F.lit(False)).unionByName(ctx.withColumn("_ctx", F.lit(True)))
+    base = base.withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
     # Every row of bucket b can reach back at most into bucket b-1, so bucket b+1 receives a
     # context copy of each row of b. The copy is made by exploding two markers in the same pass
     # (no union, so the upstream plan runs once) and carries only the key and time.
     marks = F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("real")),
                     F.struct((F.col("_b") + 1).alias("b"), F.lit(False).alias("real")))
+    real = F.col("_m.real") & ~F.col("_ctx") if context is not None else F.col("_m.real")
     both = base.withColumn("_m", F.explode(marks)).select(
         *[F.col(c) if c == key else F.when(F.col("_m.real"), F.col(c)).alias(c) for c in cols],
-        "_us", F.col("_m.b").alias("_b"), F.col("_m.real").alias("_real"))
+        "_us", F.col("_m.b").alias("_b"), real.alias("_real"))
     w = Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-(width - 1), 0)
     return (both.withColumn(out, F.count(F.lit(1)).over(w).cast("int"))
             .filter("_real").select(*cols, out))

@@ -29,40 +29,55 @@ def _order_files(spark: SparkSession, sf_dir: str) -> str:
     return X.write_time_chunks(lines.select("value"), ts, X.scratch(spark, "order-log"), CHUNKS)
 
 
-def _enriched(spark: SparkSession, sf_dir: str):
-    return X.enrich_stream(X.order_stream(spark, _order_files(spark, sf_dir)))
+def _run_enriched(spark: SparkSession, sf_dir: str, name: str, sink_fn) -> None:
+    """Order-log file stream → dedup (X5) → per-batch enrichment with table state (X1–X3) →
+    ``sink_fn(enriched, batch_id)``."""
+    stream = X.order_stream(spark, _order_files(spark, sf_dir))
+    enrich = X.enricher(spark, X.scratch(spark, f"{name}-state"))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        sink_fn(enrich(batch, batch_id), batch_id)
+
+    X.run_stream(stream, spark, name, process)
+
+
+def _batch_sink(path: str, shape):
+    def write(df: DataFrame, batch_id: int) -> None:
+        shape(df).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return write
+
+
+def _read_sink(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
 
 
 @query("stream_enriched_orders", sql=f"""{with_ctes(LOG_CTE)}
 SELECT order_id, orders_last_hour, prior_orders, is_new_customer FROM log_enriched""")
 def stream_enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1 + X2 + X3 + X5 + X8: file stream → dedup → per-email state (velocity, customer
-    history) → idempotent sink; equal to the batch enrichment."""
-    out = X.run_to_table(_enriched(spark, sf_dir), spark, "enriched")
-    return out.select("order_id", "orders_last_hour", "prior_orders", "is_new_customer")
+    """X1 + X2 + X3 + X5 + X8: file stream → dedup → per-email velocity and customer history
+    with state carried across micro-batches → idempotent sink; equal to the batch enrichment."""
+    sink = X.scratch(spark, "enriched-out")
+    _run_enriched(spark, sf_dir, "enriched", _batch_sink(
+        sink, lambda d: d.select("order_id", "orders_last_hour", "prior_orders", "is_new_customer")))
+    return _read_sink(spark, sink)
 
 
 @query("stream_fraud_scores", sql=f"""{with_ctes(LOG_CTE)}
 SELECT order_id, rule_score, final_score, status FROM log_decided""")
 def stream_fraud_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and decision on the enriched stream, ``fraud_scores`` rows per micro-batch."""
-    scored = X.fraud_stream(_enriched(spark, sf_dir))
-    out = X.run_to_table(K.fraud_sink_rows(scored), spark, "fraud")
-    return out.select("order_id", "rule_score", "final_score", "status")
+    sink = X.scratch(spark, "fraud-out")
+    _run_enriched(spark, sf_dir, "fraud", _batch_sink(sink, lambda d: K.fraud_sink_rows(X.fraud_stream(d))))
+    return _read_sink(spark, sink).select("order_id", "rule_score", "final_score", "status")
 
 
 @query("stream_overview", sql=f"""{with_ctes(LOG_CTE)}
 SELECT status, count(*) AS n_orders, CAST(sum(amount) AS DOUBLE) AS revenue FROM log_decided GROUP BY status""")
 def stream_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-batch partial aggregates of the scored stream, merged on read."""
-    scored = X.fraud_stream(_enriched(spark, sf_dir))
     sink = X.scratch(spark, "overview-out")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        X.overview_stream(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    X.run_stream(scored, spark, "overview", write)
-    parts = spark.read.option("basePath", sink).parquet(f"{sink}/batch=*")
+    _run_enriched(spark, sf_dir, "overview", _batch_sink(sink, lambda d: X.overview_stream(X.fraud_stream(d))))
+    parts = _read_sink(spark, sink)
     return parts.groupBy("status").agg(F.sum("n_orders").alias("n_orders"),
                                        F.sum("revenue").cast("double").alias("revenue"))
 

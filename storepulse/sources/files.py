@@ -70,16 +70,17 @@ def transactions_schema(n_features: int = 28) -> T.StructType:
 # ---- S1: JSON-lines order log --------------------------------------------------------------
 
 def parse_order_log(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Blank lines and lines that are not a JSON object are dropped; nested items kept."""
+    """Blank lines and lines that are not a JSON object are dropped; nested items kept.
+
+    One parse per line: the schema carries a corrupt-record column, which is set exactly when
+    the line does not parse (or a field has the wrong type)."""
     keep = keep or []
+    schema = T.StructType(ORDER_LOG_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())])
     trimmed = F.trim(F.col("value"))
-    parsed = lines.filter(trimmed != "").withColumn(
-        "_o", F.from_json(F.col("value"), ORDER_LOG_SCHEMA, {"mode": "PERMISSIVE"}))
-    # A line that does not parse yields a null struct (or a struct of nulls): require an object
-    # with at least one known field, like json.loads followed by .get().
-    ok = F.col("_o").isNotNull() & trimmed.startswith("{") & F.coalesce(
-        F.try_parse_json(F.col("value")).isNotNull(), F.lit(False))
-    return parsed.filter(ok).select(*keep, "_o.*")
+    parsed = lines.filter(trimmed.startswith("{")).withColumn(
+        "_o", F.from_json(F.col("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    return parsed.filter(F.col("_o._corrupt").isNull()).select(
+        *keep, *[F.col(f"_o.{f.name}").alias(f.name) for f in ORDER_LOG_SCHEMA.fields])
 
 
 def read_order_log(spark: SparkSession, path: str) -> DataFrame:

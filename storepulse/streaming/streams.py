@@ -1,10 +1,10 @@
 """Structured Streaming (§2.12 X1–X9).
 
 * X5 dedup: ``withWatermark`` + ``dropDuplicatesWithinWatermark(['order_id'])``.
-* X1–X3 enrichment: one ``applyInPandasWithState`` per email keeps the order count (for the
-  as-of new-customer flag) and the event times of the trailing hour (for velocity). Rows of a
-  key arrive unordered inside a micro-batch, so the handler sorts them by event time. State per
-  key is bounded by the trailing hour plus one counter.
+* X1–X3 enrichment: ``foreachBatch`` with versioned state tables (per-email order counts and
+  the last hour of (email, time) rows); each micro-batch runs the batch window operators with
+  the remembered rows as context, so stream and batch share one implementation and no Python
+  runs per key. State is bounded by the trailing hour plus one counter per email.
 * X4 scoring is stateless (the batch rule engine on the stream); X9 aggregates it per status.
 * X6 cooldown: ``applyInPandasWithState`` per alert key holding the last *sent* time.
 * Sinks run in ``foreachBatch`` and write to ``<sink>/batch=<id>`` with overwrite, so a batch
@@ -26,23 +26,12 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from storepulse.operators.fraud import score_orders
 from storepulse.operators.orders import normalize_orders
-from storepulse.session import checkpoint_dir
+from storepulse.operators.windows import prior_count, trailing_count
+from storepulse.session import checkpoint_dir, cut_lineage
 from storepulse.sources.files import parse_order_log
 
 HOUR_US = 3600 * 1_000_000
 
-PASS_THROUGH = [("amount", T.DoubleType()), ("quantity", T.IntegerType()), ("payment_method", T.StringType()),
-                ("card_country", T.StringType()), ("shipping_country", T.StringType()),
-                ("failed_attempts", T.IntegerType()), ("products", T.ArrayType(T.StringType()))]
-ENRICH_OUT = T.StructType([
-    T.StructField("order_id", T.StringType()), T.StructField("customer_email", T.StringType()),
-    T.StructField("_us", T.LongType()),
-    *[T.StructField(n, t) for n, t in PASS_THROUGH],
-    T.StructField("orders_last_hour", T.IntegerType()), T.StructField("prior_orders", T.LongType()),
-    T.StructField("is_new_customer", T.BooleanType())])
-ENRICH_STATE = T.StructType([T.StructField("count", T.LongType()),
-                             T.StructField("recent", T.ArrayType(T.LongType()))])
-
 COOLDOWN_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("product_id", T.LongType()),
                              T.StructField("product_name", T.StringType()), T.StructField("level", T.StringType()),
                              T.StructField("stock_level", T.IntegerType()), T.StructField("checked_at_us", T.LongType()),
@@ -60,7 +49,7 @@ def write_time_chunks(df: DataFrame, ts: Column | str, path: str, n_chunks: int
     file stream with ``maxFilesPerTrigger=1`` replays it in time order. Rows without a time go
     into the first chunk."""
     t = F.col(ts) if isinstance(ts, str) else ts
-    with_t = df.withColumn("_t", F.unix_micros(t.cast("timestamp")))
+    with_t = cut_lineage(df.withColumn("_t", F.unix_micros(t.cast("timestamp"))))  # computed once
     lo, hi = with_t.agg(F.min("_t"), F.max("_t")).first()
     lo, hi = (lo or 0), (hi or 0)
     step = max(1, (hi - lo) // n_chunks + 1)
@@ -115,41 +104,61 @@ def order_stream(spark: SparkSession, path: str, watermark: str = "2 hours", max
 
 # ---- X1–X3 ---------------------------------------------------------------------------------------
 
-def _enrich_handler(key, pdfs, state):
-    count, recent = (state.get if state.exists else (0, []))
-    recent = np.asarray(list(recent or []), dtype=np.int64)
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["_us", "order_id"], kind="mergesort").reset_index(drop=True)
-    us = pdf["_us"].to_numpy(dtype=np.int64)
-    times = np.sort(np.concatenate([recent, us]))
-    # Trailing hour including this order; equal times count each other (as a RANGE frame does).
-    upper = np.searchsorted(times, us, side="right")
-    lower = np.searchsorted(times, us - HOUR_US + 1, side="left")
-    out = pdf[["order_id", "customer_email", "_us"] + [n for n, _ in PASS_THROUGH]].copy()
-    out = out.assign(**{
-        "orders_last_hour": (upper - lower).astype(np.int32),
-        "prior_orders": (count + np.arange(len(pdf))).astype(np.int64)})
-    out["is_new_customer"] = out["prior_orders"] <= 1
-    newest = int(us.max())
-    keep = times[times > newest - HOUR_US]
-    state.update((int(count + len(pdf)), [int(x) for x in keep]))
-    yield out
-
-
-def enrich_stream(orders: DataFrame) -> DataFrame:
-    """X1 (X2 velocity + X3 customer history): stateful per email."""
-    keyed = orders.withColumn("customer_email", F.coalesce("customer_email", F.lit("unknown"))) \
-        .withColumn("_us", F.unix_micros("ts"))
-    cols = ["order_id", "customer_email", "_us"] + [n for n, _ in PASS_THROUGH]
-    out = (keyed.select(*cols).groupBy("customer_email")
-           .applyInPandasWithState(_enrich_handler, ENRICH_OUT, ENRICH_STATE, "append", GroupStateTimeout.NoTimeout))
-    return out.withColumn("ts", F.timestamp_micros("_us")).drop("_us")
+class TableState:
+    """Versioned state tables in the shared checkpoint folder: ``<root>/<name>/v=<batch_id>``.
+
+    A micro-batch reads version ``batch_id − 1`` and writes version ``batch_id`` with overwrite, so
+    a batch replayed after a failure recomputes exactly the same state (idempotent)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def read(self, name: str, batch_id: int, schema: str) -> DataFrame:
+        path = f"{self.root}/{name}/v={batch_id - 1}"
+        jvm = self.spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if batch_id > 0 and fs.exists(hpath):
+            return self.spark.read.parquet(path)
+        return self.spark.createDataFrame([], schema)
+
+    def write(self, name: str, batch_id: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={batch_id}")
+
+
+def enricher(spark: SparkSession, state_root: str, key: str = "customer_email", ts: str = "ts",
+             tiebreak: str = "order_id"):
+    """X1–X3 for ``foreachBatch``: velocity (trailing hour, W1) and earlier orders (J3) per email.
+
+    State: per-email order counts, and the (email, time) rows of the last hour. Each micro-batch
+    runs the batch operators on its rows with the remembered rows as context — JVM-side, no
+    per-key Python — and writes the next state version."""
+    state = TableState(spark, state_root)
+
+    def enrich(batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = cut_lineage(batch.withColumn(key, F.coalesce(F.col(key), F.lit("unknown"))))
+        counts = state.read("counts", batch_id, f"{key} string, n long")
+        recent = state.read("recent", batch_id, f"{key} string, {ts} timestamp")
+        with_v = trailing_count(rows, key, ts, 3600, out="orders_last_hour", context=recent)
+        within = prior_count(with_v, key, ts, tiebreak, out="_prior")
+        out = (within.join(counts, key, "left")
+               .withColumn("prior_orders", F.coalesce(F.col("n"), F.lit(0)) + F.col("_prior"))
+               .withColumn("is_new_customer", F.col("prior_orders") <= 1).drop("n", "_prior"))
+        out = cut_lineage(out)
+        new_counts = (counts.unionByName(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+                      .groupBy(key).agg(F.sum("n").alias("n")))
+        state.write("counts", batch_id, new_counts)
+        seen = recent.unionByName(rows.select(key, ts))
+        newest = seen.agg(F.max(ts)).first()[0]
+        keep = seen.filter(F.col(ts) > F.lit(newest) - F.expr("INTERVAL 1 HOUR")) if newest else seen
+        state.write("recent", batch_id, keep)
+        return out
+
+    return enrich
 
 
 def fraud_stream(enriched: DataFrame) -> DataFrame:
-    """The rule engine and decision on the enriched stream (stateless)."""
+    """The rule engine and decision on enriched orders (stateless)."""
     return score_orders(enriched)
 
 
