@@ -107,7 +107,8 @@ def parse_stock(c, clamp_zero: bool = True) -> Column:
     conversion, which yields null (the caller drops the row, as the reference's bare except does)."""
     t = F.trim(_c(c).cast("string"))
     v = F.when(is_int_text(t), t.try_cast("int")).otherwise(F.lit(0))
-    return F.greatest(F.lit(0), v) if clamp_zero else v
+    # greatest() skips nulls, so keep a failed conversion null explicitly
+    return F.when(v.isNotNull(), F.greatest(F.lit(0), v)) if clamp_zero else v
 
 
 def time_of_day_seconds(ts) -> Column:
