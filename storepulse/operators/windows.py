@@ -101,14 +101,35 @@ def top_k_per_key(df: DataFrame, key, order: list[Column], k: int, rank_col: str
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def changed_rows(df: DataFrame, value: str, order: str, key: str | None = None) -> DataFrame:
-    """Keep rows whose ``value`` differs from the previous row's (first row always kept).
-
-    With a key the comparison runs within each key; ``lag`` needs the rows of a key in one task,
-    so use a key (feed, source) rather than the global order at scale."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order)
-    prev = F.lag(F.col(value)).over(w)
-    return df.filter(prev.isNull() & F.col(value).isNotNull() | ~F.col(value).eqNullSafe(prev))
+def changed_rows(df: DataFrame, value: str, ts: str, tiebreak: str, key: str,
+                 bucket_seconds: int = 86400) -> DataFrame:
+    """Rows whose ``value`` is set and differs from the previous row of the key in (ts,
+    tiebreak) order; the first row of a key is kept.
+
+    Skew-safe like ``prior_count``: ``lag`` runs within (key, day); the first row of a day
+    compares with the last value of the key's previous non-empty day, taken from a small
+    per-(key, day) ``max_by`` aggregate."""
+    width = bucket_seconds * MICROS
+    base = df.withColumn("_d", F.floor(_us(ts) / F.lit(width)))
+    w = Window.partitionBy(key, "_d").orderBy(F.col(ts), F.col(tiebreak))
+    inner = (base.withColumn("_prev", F.lag(F.col(value)).over(w))
+             .withColumn("_first", F.row_number().over(w) == 1))
+    last = base.groupBy(key, "_d").agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tiebreak))).alias("_last"))
+    by_day = Window.partitionBy(key).orderBy("_d")
+    prev_day = last.select(key, "_d", F.lag("_last").over(by_day).alias("_pl"),
+                           (F.row_number().over(by_day) > 1).alias("_has_pl"))
+    j = inner.join(prev_day, [key, "_d"], "inner")
+    prev = F.when(F.col("_first"), F.col("_pl")).otherwise(F.col("_prev"))
+    has_prev = F.when(F.col("_first"), F.col("_has_pl")).otherwise(F.lit(True))
+    keep = F.col(value).isNotNull() & (~has_prev | ~F.col(value).eqNullSafe(prev))
+    return j.filter(keep).drop("_d", "_prev", "_first", "_pl", "_has_pl")
+
+
+def with_position(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
+    """Dense 0-based position in ``order`` without a single-partition window (a distributed
+    rank over one constant key)."""
+    ranked = rank_within_key(df.withColumn("_all", F.lit(0)), "_all", order, out="_rank")
+    return ranked.withColumn(out, F.col("_rank") - 1).drop("_all", "_rank")
 
 
 def rank_within_key(df: DataFrame, key: str, order: list[Column], out: str = "rank",

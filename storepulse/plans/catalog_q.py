@@ -184,3 +184,13 @@ FROM part WHERE p_partkey % 97 <> 0""")
 def catalog_csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3 + P5 + K4: products CSV → price parsed ($ and , stripped; empty → 0; bad row dropped)."""
     return K.catalog_sink_rows(read_catalog(spark, _catalog_csv(spark, sf_dir)))
+
+
+@query("catalog_positions", sql="""
+SELECT p_partkey AS product_id, p_name || ' ' || p_brand AS name,
+       row_number() OVER (ORDER BY p_name || ' ' || p_brand, p_partkey) - 1 AS position FROM part""")
+def catalog_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2 + P3: named products with a dense position in name order (distributed rank)."""
+    from storepulse.operators.windows import with_position
+    cat = M.named_products(catalogue(spark, sf_dir)).select(F.col("position").alias("product_id"), "name")
+    return with_position(cat, [F.col("name"), F.col("product_id")])

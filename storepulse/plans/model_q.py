@@ -184,3 +184,35 @@ def ml_fraud_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_orders(orders, ML.ml_score(orders, model, stats))
     return scored.groupBy("status").agg(F.count(F.lit(1)).alias("n_orders"),
                                         F.avg("ml_score").alias("avg_ml_score"))
+
+
+@query("transactions_csv_profile", sql=f"""WITH {TX_SQL}
+SELECT count(*) AS rows, CAST(sum("Class") AS BIGINT) AS fraud, count(*) FILTER (WHERE "Class" = 0) AS normal,
+       avg("Class") * 100 AS fraud_rate_pct FROM tx""")
+def transactions_csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + A15: the labelled transactions written as CSV to the shared folder, read back with
+    the CSV source and profiled."""
+    import hashlib
+    from storepulse.session import checkpoint_dir
+    from storepulse.sources.files import read_transactions
+    path = f"{checkpoint_dir(spark)}/transactions-csv-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+    _tx(spark, sf_dir).select(*ML.feature_columns(), "Class").write.mode("overwrite").option("header", True).csv(path)
+    return ML.label_profile(read_transactions(spark, path))
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K12 + S11: save the fitted pipeline to the shared folder, load it, and check that the
+    loaded model predicts the held-out rows exactly as the fitted one."""
+    import uuid
+    from storepulse.operators.sinks import save_model
+    from storepulse.session import checkpoint_dir
+    from storepulse.sources.files import load_model
+    model, _, test = fit_fraud_model(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    save_model(model, path)
+    loaded = load_model(path)
+    a = ML.score_test(model, test).select("id", F.col("p_fraud").alias("a"))
+    b = ML.score_test(loaded, test).select("id", F.col("p_fraud").alias("b"))
+    j = a.join(b, "id")
+    return j.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("a") == F.col("b")).alias("n_equal"))

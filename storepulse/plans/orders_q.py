@@ -358,3 +358,23 @@ def alert_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
         "order_id", "customer_email", "amount", "rule_score", "ml_score", "final_score", "status", "reasons",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
     return K.to_topic(s, key="order_id")
+
+
+@query("event_type_changes", sql="""
+SELECT event_id, user_id, event_type FROM (
+  SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
+WHERE event_type IS NOT NULL AND (rn = 1 OR prev IS DISTINCT FROM event_type)""")
+def event_type_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, the events whose type differs from the user's previous event."""
+    from storepulse.operators.windows import changed_rows
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"]).withColumn(
+        "ts", F.col("ts").cast("timestamp"))
+    return changed_rows(ev, "event_type", "ts", "event_id", "user_id").select("event_id", "user_id", "event_type")
+
+
+@query("duplicate_order_ids", sql=f"""{with_ctes(ORDER_FEED_CTE)}
+SELECT CAST(order_key AS VARCHAR) AS order_id, CAST(2 AS BIGINT) AS n FROM order_base WHERE order_key % 50 = 0""")
+def duplicate_order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order ids that occur more than once in the raw log (the uniqueness guard)."""
+    return K.assert_unique(parse_order_log(order_log_lines(spark, sf_dir)), "order_id")
