@@ -357,7 +357,8 @@ WHERE review_rank <= 5""")
 def top_reviews_per_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five reviews per product in feed order."""
     feed = parsed_feed(spark, sf_dir)
-    return R.top_reviews_per_product(feed, 5, "comment_id").select("product_name", "comment_id", "review_rank")
+    top = R.top_reviews_per_product(feed, 5, "comment_id")
+    return top.select("product_name", "comment_id", F.col("review_rank").cast("long").alias("review_rank"))
 
 
 @query("search_prefixes", sql=f"""{MATCH_SQL} SELECT product_name, search FROM names""")
