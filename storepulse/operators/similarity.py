@@ -95,24 +95,18 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_MAX_ROWS else df
 
 
-def _subsets(arr):
-    """Every non-empty subset of a (small) array, as array<array<...>> via bit masks."""
-    n = F.size(arr)
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), n) - 1).cast("int"))
-    return F.transform(masks, lambda m: F.filter(
-        arr, lambda x, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1))
-
-
 def _subset_candidates(fsets: DataFrame, k: int) -> DataFrame:
     """(g, h) pairs: for every non-empty subset S of G's frequent terms, the k+1 signatures holding
     S (same tf on S) with the smallest norm. Any other H sharing exactly S with G, and no rare
     term, is outscored by those k+1 (same numerator, smaller or equal norm)."""
-    sub = fsets.select("sig", "norm", "min_pos", F.explode(_subsets(F.col("_f"))).alias("_s"))
-    keyed = sub.select("sig", "norm", "min_pos",
-                       F.to_json(F.transform("_s", lambda x: x["term"])).alias("_terms"),
-                       F.to_json(F.transform("_s", lambda x: x["tf"])).alias("_tfs"))
+    masks = F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("_f")) - 1).cast("int"))).alias("_m")
+    sub = fsets.select("sig", "norm", "min_pos", "_f", masks)
+    picked = F.filter("_f", lambda x, i: F.col("_m").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0)
+    keyed = sub.select("sig", "norm", "min_pos", picked.alias("_s")).select(
+        "sig", "norm", "min_pos", F.transform("_s", lambda x: x["term"]).alias("_terms"),
+        F.transform("_s", lambda x: x["tf"]).alias("_tfs"))
     index = top_k_per_key(keyed, ["_terms", "_tfs"], [F.col("norm"), F.col("min_pos")], k + 1, rank_col="_r")
-    query = keyed.select(F.col("sig").alias("g"), "_terms").distinct()
+    query = keyed.select(F.col("sig").alias("g"), "_terms")
     return (query.join(index.select("_terms", F.col("sig").alias("h")), "_terms")
             .select("g", "h").distinct())
 

@@ -5,7 +5,9 @@ cooldown has passed since the last *sent* alert of its key; suppressed alerts do
 clock. The sends of a key therefore form a chain ``s0 = first alert, s(i+1) = next(s(i))`` where
 ``next(e)`` is the first alert of the key later than ``t(e) + cooldown``.
 
-We compute it exactly without gathering a key's history into one task:
+Keys with a bounded number of alerts are folded in key-sorted partitions (``mapInPandas``:
+next-send pointers by ``searchsorted``, then a walk over the sends). Hot keys are computed exactly without gathering
+their history into one task:
 
 1. ``next(e)`` for every alert with windows over (key, time bucket of one cooldown): a query row
    for e sits in bucket b(e)+1 and finds the first alert after its threshold there; if none, the
@@ -21,8 +23,14 @@ We compute it exactly without gathering a key's history into one task:
 
 from __future__ import annotations
 
+import sys
+
 import math
 
+import numpy as np
+import pandas as pd
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +39,10 @@ from storepulse.session import cut_lineage
 
 MICROS = 1_000_000
 
+# The per-key functions below run in Python workers; ship them by value so executors need not
+# have this package installed (same effect as --py-files for these functions).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stock_counts(stock: DataFrame, status: str = "status") -> DataFrame:
     """Total, in, low, out."""
@@ -96,14 +108,53 @@ def _next_pointers(ev: DataFrame, width: int) -> DataFrame:
             .select("_id", "_k", "_b", "_us", F.coalesce("_nxt_a", "_nxt_b").alias("_nxt")))
 
 
-def cooldown(alerts: DataFrame, key: str, ts: str, id_col: str, seconds: int = 3600,
-             checkpoint: bool = True) -> DataFrame:
-    """W7 + W7b: ``sent`` per alert and, for suppressed ones, ``minutes_remaining``
-    = trunc((cooldown − (now − last_sent)) / 60). ``id_col`` must be unique; order is (time, id)."""
-    width = seconds * MICROS
-    base = alerts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    ev = base.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"), "_us",
-                     F.floor(F.col("_us") / F.lit(width)).alias("_b"))
+# Keys with at most this many alerts are folded in one task (bounded group); larger keys use
+# the pointer-doubling joins, which never gather a key.
+FOLD_MAX_ALERTS = 2_000_000
+
+
+def _fold_sorted(keys: np.ndarray, us: np.ndarray, width: int) -> np.ndarray:
+    """Cooldown over rows sorted by (key, time, id): per key, next-send pointers by one
+    ``searchsorted`` and a walk over the sends only. Returns the sent flags."""
+    sent = np.zeros(len(us), dtype=bool)
+    if len(us) == 0:
+        return sent
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ends = np.r_[starts[1:], len(us)]
+    for a, b in zip(starts, ends):
+        t = us[a:b]
+        nxt = np.searchsorted(t, t + width, side="right")
+        i = 0
+        while i < b - a:
+            sent[a + i] = True
+            i = nxt[i]
+    return sent
+
+
+def _fold_partitions(width: int):
+    """``mapInPandas`` function over partitions sorted by (key, time, id); a key that continues
+    into the next Arrow batch is carried over, so each key is folded whole."""
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            keys = pdf["_k"].to_numpy()
+            last_start = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
+            done, carry = pdf.iloc[:last_start], pdf.iloc[last_start:]
+            if len(done):
+                flags = _fold_sorted(done["_k"].to_numpy(), done["_us"].to_numpy(np.int64), width)
+                yield pd.DataFrame({"_id": done["_id"].to_numpy(), "sent": flags})
+        if carry is not None and len(carry):
+            flags = _fold_sorted(carry["_k"].to_numpy(), carry["_us"].to_numpy(np.int64), width)
+            yield pd.DataFrame({"_id": carry["_id"].to_numpy(), "sent": flags})
+    return run
+
+
+def _sent_by_doubling(ev: DataFrame, width: int, checkpoint: bool) -> DataFrame:
+    """(_id, sent=True) for the sends of every key, by pointer doubling over next-send pointers."""
     ptr = _next_pointers(ev, width)
     ptr = cut_lineage(ptr) if checkpoint else ptr
     # Rounds: sends are > one bucket apart, so a chain has at most (#non-empty buckets) nodes.
@@ -122,7 +173,33 @@ def cooldown(alerts: DataFrame, key: str, ts: str, id_col: str, seconds: int = 3
             jump = j2.select(F.col("a._id").alias("_id"), F.col("b._j").alias("_j"))
         if checkpoint and not last_round:
             sent, jump = cut_lineage(sent), cut_lineage(jump)
-    flagged = ptr.join(sent.withColumn("sent", F.lit(True)), "_id", "left").select(
+    return sent.withColumn("sent", F.lit(True))
+
+
+def cooldown(alerts: DataFrame, key: str, ts: str, id_col: str, seconds: int = 3600,
+             checkpoint: bool = True, fold_max: int = FOLD_MAX_ALERTS) -> DataFrame:
+    """W7 + W7b: ``sent`` per alert and, for suppressed ones, ``minutes_remaining``
+    = trunc((cooldown − (now − last_sent)) / 60). ``id_col`` must be unique; order is (time, id).
+
+    Keys with at most ``fold_max`` alerts are folded in key-sorted partitions; hotter keys
+    are resolved exactly by pointer doubling (module notes), so no task holds an unbounded key."""
+    width = seconds * MICROS
+    base = alerts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    ev = base.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"), "_us",
+                     F.floor(F.col("_us") / F.lit(width)).alias("_b"))
+    ev = cut_lineage(ev) if checkpoint else ev
+    sizes = ev.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    sized = ev.join(sizes, "_k", "inner")
+    small = (sized.filter(F.col("_n") <= fold_max).select(F.col("_k").cast("string").alias("_k"), "_id", "_us")
+             .repartition("_k").sortWithinPartitions("_k", "_us", "_id"))
+    id_type = ev.schema["_id"].dataType.simpleString()
+    sent_small = small.mapInPandas(_fold_partitions(width), f"_id {id_type}, sent boolean")
+    big = sized.filter(F.col("_n") > fold_max).select("_id", "_k", "_us", "_b")
+    has_big = sizes.filter(F.col("_n") > fold_max).limit(1).count() > 0
+    sent = sent_small.filter("sent").select("_id", "sent")
+    if has_big:
+        sent = sent.unionByName(_sent_by_doubling(big, width, checkpoint))
+    flagged = ev.join(sent, "_id", "left").select(
         "_id", "_k", "_b", "_us", F.coalesce("sent", F.lit(False)).alias("sent"))
     # Last send at or before each alert (as-of within the bucket and the previous one).
     marks = F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")),

@@ -15,10 +15,13 @@
 
 from __future__ import annotations
 
+import sys
+
 import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,10 @@ from storepulse.sources.files import parse_order_log
 
 HOUR_US = 3600 * 1_000_000
 
+# The per-key functions below run in Python workers; ship them by value so executors need not
+# have this package installed (same effect as --py-files for these functions).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COOLDOWN_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("product_id", T.LongType()),
                              T.StructField("product_name", T.StringType()), T.StructField("level", T.StringType()),
                              T.StructField("stock_level", T.IntegerType()), T.StructField("checked_at_us", T.LongType()),

@@ -103,3 +103,10 @@ def test_cooldown_brute_force(spark):
     df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
     got = {r.id: (r.sent, r.minutes_remaining) for r in cooldown(df, "k", "ts", "id").collect()}
     assert got == _fold(rows)
+
+
+def test_cooldown_doubling_path_equals_fold(spark):
+    rows = _events(400, ["hot"] * 10 + ["a", "b"], 8, span_s=30 * 3600)
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    got = {r.id: (r.sent, r.minutes_remaining) for r in cooldown(df, "k", "ts", "id", fold_max=50).collect()}
+    assert got == _fold(rows)
