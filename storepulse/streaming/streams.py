@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -121,12 +122,11 @@ class TableState:
         self.spark, self.root = spark, root
 
     def read(self, name: str, batch_id: int, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}/v={batch_id - 1}"
-        jvm = self.spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if batch_id > 0 and fs.exists(hpath):
-            return self.spark.read.parquet(path)
+        if batch_id > 0:
+            try:
+                return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={batch_id - 1}")
+            except AnalysisException:  # no earlier version: this stream starts empty
+                pass
         return self.spark.createDataFrame([], schema)
 
     def write(self, name: str, batch_id: int, df: DataFrame) -> None:
