@@ -36,7 +36,7 @@ def _run_enriched(spark: SparkSession, sf_dir: str, name: str, sink_fn) -> None:
     enrich = X.enricher(spark, X.scratch(spark, f"{name}-state"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        sink_fn(enrich(batch, batch_id), batch_id)
+        enrich(batch, batch_id, sink_fn)
 
     X.run_stream(stream, spark, name, process)
 

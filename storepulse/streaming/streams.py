@@ -142,24 +142,28 @@ def enricher(spark: SparkSession, state_root: str, key: str = "customer_email",
     per-key Python — and writes the next state version."""
     state = TableState(spark, state_root)
 
-    def enrich(batch: DataFrame, batch_id: int) -> DataFrame:
-        rows = cut_lineage(batch.withColumn(key, F.coalesce(F.col(key), F.lit("unknown"))))
-        counts = state.read("counts", batch_id, f"{key} string, n long")
-        recent = state.read("recent", batch_id, f"{key} string, {ts} timestamp")
-        with_v = trailing_count(rows, key, ts, 3600, out="orders_last_hour", context=recent)
-        within = prior_count(with_v, key, ts, tiebreak, out="_prior")
-        out = (within.join(counts, key, "left")
-               .withColumn("prior_orders", F.coalesce(F.col("n"), F.lit(0)) + F.col("_prior"))
-               .withColumn("is_new_customer", F.col("prior_orders") <= 1).drop("n", "_prior"))
-        out = cut_lineage(out)
-        new_counts = (counts.unionByName(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
-                      .groupBy(key).agg(F.sum("n").alias("n")))
-        state.write("counts", batch_id, new_counts)
-        seen = recent.unionByName(rows.select(key, ts))
-        newest = seen.agg(F.max(ts)).first()[0]
-        keep = seen.filter(F.col(ts) > F.lit(newest) - F.expr("INTERVAL 1 HOUR")) if newest else seen
-        state.write("recent", batch_id, keep)
-        return out
+    def enrich(batch: DataFrame, batch_id: int, sink) -> None:
+        # The micro-batch is reused by the output and both state updates: cache it for this batch
+        # only (a lost executor recomputes it from the source), release it at the end.
+        rows = batch.withColumn(key, F.coalesce(F.col(key), F.lit("unknown"))).persist()
+        try:
+            counts = state.read("counts", batch_id, f"{key} string, n long")
+            recent = state.read("recent", batch_id, f"{key} string, {ts} timestamp")
+            with_v = trailing_count(rows, key, ts, 3600, out="orders_last_hour", context=recent)
+            within = prior_count(with_v, key, ts, tiebreak, out="_prior")
+            out = (within.join(counts, key, "left")
+                   .withColumn("prior_orders", F.coalesce(F.col("n"), F.lit(0)) + F.col("_prior"))
+                   .withColumn("is_new_customer", F.col("prior_orders") <= 1).drop("n", "_prior"))
+            sink(out, batch_id)
+            new_counts = (counts.unionByName(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+                          .groupBy(key).agg(F.sum("n").alias("n")))
+            state.write("counts", batch_id, new_counts)
+            seen = recent.unionByName(rows.select(key, ts))
+            newest = seen.agg(F.max(ts)).first()[0]
+            keep = seen.filter(F.col(ts) > F.lit(newest) - F.expr("INTERVAL 1 HOUR")) if newest else seen
+            state.write("recent", batch_id, keep)
+        finally:
+            rows.unpersist()
 
     return enrich
 

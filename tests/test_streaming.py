@@ -32,7 +32,9 @@ def test_enricher_state_across_batches(spark):
     got = {}
     for bid, part in enumerate([rows[:2], rows[2:4], rows[4:]]):
         df = spark.createDataFrame(part, "order_id string, customer_email string, ts timestamp")
-        for r in enrich(df, bid).collect():
-            got[r.order_id] = (r.orders_last_hour, r.prior_orders, r.is_new_customer)
+        def sink(out, _bid):
+            for r in out.collect():
+                got[r.order_id] = (r.orders_last_hour, r.prior_orders, r.is_new_customer)
+        enrich(df, bid, sink)
     assert got == {"o1": (1, 0, True), "o2": (2, 1, True), "o3": (1, 0, True), "o4": (2, 2, False),
                    "o5": (2, 3, False)}
