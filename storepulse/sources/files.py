@@ -98,8 +98,12 @@ def read_order_stream(spark: SparkSession, fmt: str = "kafka", schema: T.StructT
     for k, v in options.items():
         reader = reader.option(k, v)
     raw = reader.load()
-    value = F.col("value").cast("string")
-    return raw.select(F.from_json(value, schema).alias("_o")).filter(F.col("_o").isNotNull()).select("_o.*")
+    value = F.trim(F.col("value").cast("string"))
+    with_corrupt = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
+    parsed = raw.filter(value.startswith("{")).select(
+        F.from_json(value, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_o"))
+    return parsed.filter(F.col("_o._corrupt").isNull()).select(*[F.col(f"_o.{f.name}").alias(f.name)
+                                                                 for f in schema.fields])
 
 
 # ---- S3/S4: CSV ------------------------------------------------------------------------------

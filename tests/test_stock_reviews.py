@@ -44,3 +44,24 @@ def test_sentiment_and_anti_join(spark):
     assert got[3].final_sentiment == "NEGATIVE"
     saved = spark.createDataFrame([(1,), (None,)], "wp_comment_id int")
     assert sorted(r.comment_id for r in new_reviews(reviews, saved).collect()) == [2, 3]
+
+
+def test_ensure_tables(spark, tmp_path):
+    from storepulse.operators.sinks import ensure_tables
+    made = ensure_tables(spark, str(tmp_path))
+    assert set(made) == set(TABLE_SCHEMAS)
+    assert spark.table("stock_levels").columns == [f.name for f in TABLE_SCHEMAS["stock_levels"].fields]
+    for t in made:
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_order_stream_reader_on_text_source(spark, tmp_path):
+    from storepulse.sources.files import read_order_stream
+    src = tmp_path / "topic"
+    src.mkdir()
+    (src / "part-0.txt").write_text('{"order_id": "WOO-1", "amount": 12.5, "products": ["a"]}\nnot json\n')
+    stream = read_order_stream(spark, fmt="text", path=str(src))
+    q = stream.writeStream.format("memory").queryName("orders_topic_test").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.sql("SELECT order_id, amount, products FROM orders_topic_test").collect()
+    assert [(r.order_id, r.amount, r.products) for r in rows] == [("WOO-1", 12.5, ["a"])]

@@ -110,3 +110,27 @@ def test_cooldown_doubling_path_equals_fold(spark):
     df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
     got = {r.id: (r.sent, r.minutes_remaining) for r in cooldown(df, "k", "ts", "id", fold_max=50).collect()}
     assert got == _fold(rows)
+
+
+def test_changed_rows_multi_day(spark):
+    from storepulse.operators.windows import changed_rows
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["hot"] * 6 + ["a", "b"]), T0 + timedelta(seconds=rnd.randrange(4 * 86400)),
+             rnd.choice(["x", "y"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp, v string")
+    got = sorted(r.id for r in changed_rows(df, "v", "ts", "id", "k").collect())
+    exp, last = [], {}
+    for i, k, t, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or last[k] != v:
+            exp.append(i)
+        last[k] = v
+    assert got == sorted(exp)
+
+
+def test_with_position(spark):
+    from storepulse.operators.windows import with_position
+    rows = [(i, f"n{(i * 7) % 50:02d}") for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, name string")
+    got = {r.id: r.position for r in with_position(df, [F.col("name"), F.col("id")]).collect()}
+    exp = {i: p for p, (_, i) in enumerate(sorted((n, i) for i, n in rows))}
+    assert got == exp
