@@ -65,9 +65,26 @@ def stream_enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_fraud_scores", sql=f"""{with_ctes(LOG_CTE)}
 SELECT order_id, rule_score, final_score, status FROM log_decided""")
 def stream_fraud_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules and decision on the enriched stream, ``fraud_scores`` rows per micro-batch."""
+    """Rules and decision on the enriched stream; per micro-batch the ``fraud_scores`` rows
+    (K3), the ``fraud-alerts`` topic values (K1) and the notification outbox (K14), each written
+    idempotently under the batch id."""
     sink = X.scratch(spark, "fraud-out")
-    _run_enriched(spark, sf_dir, "fraud", _batch_sink(sink, lambda d: K.fraud_sink_rows(X.fraud_stream(d))))
+    topic = X.scratch(spark, "fraud-alerts")
+    outbox = X.scratch(spark, "fraud-outbox")
+
+    def write(enriched: DataFrame, batch_id: int) -> None:
+        scored = X.fraud_stream(enriched).persist()
+        try:
+            K.fraud_sink_rows(scored).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+            alerts = scored.select("order_id", "customer_email", "amount", "rule_score", "ml_score",
+                                   "final_score", "status", "reasons",
+                                   F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+            K.to_topic(alerts, key="order_id").write.mode("overwrite").parquet(f"{topic}/batch={batch_id}")
+            K.notification_outbox(scored).write.mode("overwrite").parquet(f"{outbox}/batch={batch_id}")
+        finally:
+            scored.unpersist()
+
+    _run_enriched(spark, sf_dir, "fraud", write)
     return _read_sink(spark, sink).select("order_id", "rule_score", "final_score", "status")
 
 
