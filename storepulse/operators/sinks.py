@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storepulse.functions.scalars import (ORDER_ID_PREFIX, currency, numeric_order_id, parse_price, short)
+from storepulse.functions.scalars import currency, numeric_order_id, parse_price, short
 
 # K9: stored table schemas (surrogate ids dropped; created_at is passed in by the caller).
 TABLE_SCHEMAS = {
@@ -250,4 +250,3 @@ def cancellation_outbox(orders: DataFrame, reason: str = "Suspicious activity de
             .filter(F.col("recipient") != "").withColumn("reason", F.lit(reason)))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["ORDER_ID_PREFIX"]

@@ -9,8 +9,7 @@ from storepulse.functions.scalars import clean_search_prefix
 from storepulse.operators import reviews as R
 from storepulse.operators import sinks as K
 from storepulse.plans.registry import query
-from storepulse.sources.feeds import (LEXICON, comments, lexicon, posts, review_feed, review_feed_lines,
-                                      saved_reviews)
+from storepulse.sources.feeds import LEXICON, comments, lexicon, posts, review_feed_lines, saved_reviews
 from storepulse.sources.files import explode_review_payload, first_search_hit, parse_review_feed
 from storepulse.sources.tables import read_table
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storepulse.functions.scalars import feed_rating, is_int_text, parse_stock
+from storepulse.functions.scalars import parse_stock
 
 ORDER_LOG_SCHEMA = T.StructType([
     T.StructField("order_id", T.StringType()),
@@ -200,7 +200,3 @@ def load_model(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
 
-
-__all__ = ["parse_order_log", "read_order_log", "read_order_stream", "read_catalog", "read_transactions",
-           "parse_stock_feed", "parse_review_feed", "explode_review_payload", "first_search_hit", "load_model",
-           "feed_rating", "is_int_text"]

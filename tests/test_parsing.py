@@ -70,3 +70,9 @@ def test_order_log(spark):
     rows = parse_order_log(df).collect()
     assert len(rows) == 2
     assert rows[0].order_id == "1" and rows[0].items[1].quantity is None
+
+
+def test_feed_rating(spark):
+    from storepulse.functions.scalars import feed_rating
+    df = spark.createDataFrame([(t,) for t in ["4", "4.7", "", None, "0", "x"]], "t string")
+    assert [r.r for r in df.select(feed_rating("t").alias("r")).collect()] == [4, 4, 5, 5, 5, None]

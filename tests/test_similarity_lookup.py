@@ -4,8 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
-
 from storepulse.operators import similarity as M
 from storepulse.operators.lookup import substring_lookup
 
