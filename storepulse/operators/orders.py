@@ -41,11 +41,23 @@ def dedup_orders(orders: DataFrame, key: str = "order_id", order: str = "pos") -
 
 
 def enrich_orders(orders: DataFrame, ts: str = "ts", tiebreak: str = "order_id",
-                  null_key: str = "unknown") -> DataFrame:
-    """X1 batch form: velocity per email (W1, trailing hour) and as-of new-customer flag."""
-    keyed = orders.withColumn("customer_email", F.coalesce(F.col("customer_email"), F.lit(null_key)))
-    with_v = trailing_count(keyed, "customer_email", ts, 3600, out="orders_last_hour")
-    return is_new_asof(with_v, ts=ts, tiebreak=tiebreak)
+                  null_key: str | None = "unknown") -> DataFrame:
+    """X1 batch form: velocity per email (W1, trailing hour) and as-of new-customer flag.
+
+    A missing email shares the key ``null_key`` ('unknown', as the reference does); with
+    ``null_key=None`` such orders are skipped by both windows and keep null enrichment."""
+    if null_key is not None:
+        keyed = orders.withColumn("customer_email", F.coalesce(F.col("customer_email"), F.lit(null_key)))
+        with_v = trailing_count(keyed, "customer_email", ts, 3600, out="orders_last_hour")
+        return is_new_asof(with_v, ts=ts, tiebreak=tiebreak)
+    known = orders.filter(F.col("customer_email").isNotNull())
+    enriched = is_new_asof(trailing_count(known, "customer_email", ts, 3600, out="orders_last_hour"),
+                           ts=ts, tiebreak=tiebreak)
+    unknown = (orders.filter(F.col("customer_email").isNull())
+               .withColumn("orders_last_hour", F.lit(None).cast("int"))
+               .withColumn("prior_orders", F.lit(None).cast("long"))
+               .withColumn("is_new_customer", F.lit(None).cast("boolean")))
+    return enriched.unionByName(unknown)
 
 
 def is_new_asof(orders: DataFrame, key: str = "customer_email", ts: str = "ts",

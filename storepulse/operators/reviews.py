@@ -86,7 +86,8 @@ def store_reviews(comments: DataFrame, posts: DataFrame, n: int = 50) -> DataFra
 def sentiment_by_product(reviews: DataFrame) -> DataFrame:
     """A1: reviews per (product, final sentiment): count and mean second score rounded to 3."""
     return (reviews.groupBy(F.col("product_name"), F.col("final_sentiment"))
-            .agg(F.count(F.lit(1)).alias("review_count"), F.round(F.avg("vader_score"), 3).alias("avg_score")))
+            .agg(F.count(F.lit(1)).alias("review_count"), F.round(F.avg("vader_score"), 3).alias("avg_score"))
+            .orderBy(F.col("product_name"), F.col("review_count").desc(), F.col("final_sentiment")))  # T9
 
 
 def review_summary(reviews: DataFrame) -> DataFrame:

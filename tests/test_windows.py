@@ -134,3 +134,13 @@ def test_with_position(spark):
     got = {r.id: r.position for r in with_position(df, [F.col("name"), F.col("id")]).collect()}
     exp = {i: p for p, (_, i) in enumerate(sorted((n, i) for i, n in rows))}
     assert got == exp
+
+
+def test_enrich_null_key_options(spark):
+    from storepulse.operators.orders import enrich_orders
+    rows = [("o1", None, T0), ("o2", None, T0 + timedelta(minutes=5)), ("o3", "a", T0)]
+    df = spark.createDataFrame(rows, "order_id string, customer_email string, ts timestamp")
+    shared = {r.order_id: (r.orders_last_hour, r.prior_orders) for r in enrich_orders(df).collect()}
+    skipped = {r.order_id: (r.orders_last_hour, r.prior_orders) for r in enrich_orders(df, null_key=None).collect()}
+    assert shared == {"o1": (1, 0), "o2": (2, 1), "o3": (1, 0)}
+    assert skipped == {"o1": (None, None), "o2": (None, None), "o3": (1, 0)}
