@@ -76,3 +76,11 @@ def test_feed_rating(spark):
     from storepulse.functions.scalars import feed_rating
     df = spark.createDataFrame([(t,) for t in ["4", "4.7", "", None, "0", "x"]], "t string")
     assert [r.r for r in df.select(feed_rating("t").alias("r")).collect()] == [4, 4, 5, 5, 5, None]
+
+
+def test_read_order_log_file(spark, tmp_path):
+    from storepulse.sources.files import read_order_log
+    p = tmp_path / "orders.json"
+    p.write_text('{"order_id": "7", "total": 3.5, "items": []}\n\n{broken\n{"order_id": "8"}\n')
+    rows = sorted((r.order_id, r.total) for r in read_order_log(spark, str(p)).collect())
+    assert rows == [("7", 3.5), ("8", None)]
