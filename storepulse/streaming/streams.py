@@ -78,11 +78,12 @@ def idempotent_sink(path: str):
 
 
 def run_stream(stream: DataFrame, spark: SparkSession, name: str, foreach, output_mode: str = "append",
-               trigger: dict | None = None) -> None:
+               trigger: dict | None = None, checkpoint: str | None = None) -> None:
     """Run a streaming plan through ``foreachBatch`` until the trigger completes (``availableNow``
-    by default; ``{"processingTime": "3 seconds"}`` for a live feed)."""
+    by default; ``{"processingTime": "3 seconds"}`` for a live feed). Pass the same ``checkpoint``
+    to resume a stopped query where it left off."""
     writer = (stream.writeStream.outputMode(output_mode)
-              .option("checkpointLocation", scratch(spark, f"{name}-ckpt"))
+              .option("checkpointLocation", checkpoint or scratch(spark, f"{name}-ckpt"))
               .foreachBatch(foreach)
               .trigger(**(trigger or {"availableNow": True})))
     q = writer.start()

@@ -38,3 +38,42 @@ def test_enricher_state_across_batches(spark):
         enrich(df, bid, sink)
     assert got == {"o1": (1, 0, True), "o2": (2, 1, True), "o3": (1, 0, True), "o4": (2, 2, False),
                    "o5": (2, 3, False)}
+
+
+def test_enrich_stream_restart_equals_batch(spark, tmp_path):
+    """Stop after two files, land two more, restart on the same checkpoint and state: the sink
+    holds every order once and equals the batch enrichment."""
+    import json
+    from storepulse.operators.orders import enrich_orders, normalize_orders
+    from storepulse.sources.files import parse_order_log
+    rnd = random.Random(11)
+    t0 = datetime(2024, 1, 1)
+    lines = []
+    for i in range(200):
+        t = t0 + timedelta(seconds=i * 97 + rnd.randrange(60))
+        lines.append(json.dumps({"order_id": str(i), "email": f"c{rnd.randrange(12)}@x", "total": 10.0 * i,
+                                 "items": [], "timestamp": t.strftime("%Y-%m-%dT%H:%M:%S")}))
+    src = X.scratch(spark, "t-restart-src")
+    ckpt, state, sink = (X.scratch(spark, n) for n in ("t-restart-ckpt", "t-restart-state", "t-restart-out"))
+    enrich = X.enricher(spark, state)
+
+    def write(batch, batch_id):
+        enrich(batch, batch_id, lambda out, bid: out.select("order_id", "orders_last_hour", "prior_orders")
+               .write.mode("overwrite").parquet(f"{sink}/batch={bid}"))
+
+    def land(chunk):
+        spark.createDataFrame([(v,) for v in chunk], "value string").coalesce(1).write.mode("append").text(src)
+
+    for chunk in (lines[:50], lines[50:100]):
+        land(chunk)
+    X.run_stream(X.order_stream(spark, src), spark, "t-restart", write, checkpoint=ckpt)
+    for chunk in (lines[100:150], lines[150:]):
+        land(chunk)
+    X.run_stream(X.order_stream(spark, src), spark, "t-restart", write, checkpoint=ckpt)
+
+    streamed = {r.order_id: (r.orders_last_hour, r.prior_orders)
+                for r in spark.read.parquet(f"{sink}/batch=*").collect()}
+    raw = normalize_orders(parse_order_log(spark.createDataFrame([(v,) for v in lines], "value string")))
+    batch = enrich_orders(raw.withColumn("ts", F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss")))
+    expected = {r.order_id: (r.orders_last_hour, r.prior_orders) for r in batch.collect()}
+    assert len(streamed) == 200 and streamed == expected
