@@ -87,3 +87,20 @@ def test_dashboard_rules(spark):
     assert out["a"] == (40 + 30 + 35 + 25 + 15 + 20 + 45 + 40, "FRAUD")
     assert out["b"] == (25, "APPROVED")  # explicit null country counts as foreign
     assert out["c"] == (40, "REVIEW")
+
+
+def test_ml_changes_status_only_at_known_points(spark):
+    """§5 property: over every reachable detector score, the ML score changes the decision only
+    at rule 15 (ml ≥ 95), 20 (≥ 75), 30 (≥ 35), 45 (≥ 95) and 50 (≥ 75)."""
+    points = [40, 30, 30, 50, 35, 40, 35, 20, 15, 45, 40]
+    sums = {0}
+    for p in points:
+        sums |= {s + p for s in sums}
+    df = spark.createDataFrame([(r, m) for r in sorted(sums) for m in range(101)], "rule int, ml int")
+    out = df.select("rule", "ml", fraud_decision(final_score("rule", "ml"), F.col("rule")).alias("s"))
+    base = {r.rule: r.s for r in out.filter("ml = 0").collect()}
+    changed = {}
+    for r in out.collect():
+        if r.s != base[r.rule]:
+            changed[r.rule] = min(changed.get(r.rule, 101), r.ml)
+    assert changed == {15: 95, 20: 75, 30: 35, 45: 95, 50: 75}

@@ -58,6 +58,17 @@ def test_similar_products_exact(spark, seed, rare_df, max_subset):
     assert got == _brute(rows, 5)
 
 
+def test_similarity_symmetric_and_bounded(spark):
+    rows = _catalog(80, 21)
+    docs = spark.createDataFrame(rows, "position long, name string, category string").withColumn(
+        "content", M.product_content())
+    sims = {(r.source, r.target): r.similarity for r in M.similar_products(docs, 10).collect()}
+    assert all(-1e-12 <= v <= 1 + 1e-9 for v in sims.values())
+    for (a, b), v in sims.items():
+        if (b, a) in sims:
+            assert abs(v - sims[(b, a)]) < 1e-9
+
+
 def test_twins_and_tiny_catalogue(spark):
     rows = [(0, "same thing", "A"), (1, "same thing", "A"), (2, "zz", "B")]
     docs = spark.createDataFrame(rows, "position long, name string, category string").withColumn(
