@@ -24,6 +24,14 @@ COMPOUND_ALPHA = 15.0
 LEXICON_BROADCAST_MAX_ROWS = 2_000_000
 
 
+# Fixed values for the optional context rules: a negation word flips and damps the next word's
+# polarity; a booster word strengthens it (published compound-score constants).
+NEGATIONS = ["not", "no", "never", "none", "nothing", "neither", "nor", "without"]
+BOOSTERS = ["very", "really", "extremely", "so", "too", "most"]
+NEGATION_SCALAR = -0.74
+BOOSTER_INCREMENT = 0.293
+
+
 def _lexicon_side(lexicon: DataFrame) -> DataFrame:
     n = lexicon.count()
     return F.broadcast(lexicon) if n <= LEXICON_BROADCAST_MAX_ROWS else lexicon
@@ -35,13 +43,31 @@ def tokenize(df: DataFrame, text: str, key: str) -> DataFrame:
                      .alias("token"))
 
 
+def tokenize_with_previous(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, token, prev) for every word; the previous word comes from zipping the token array
+    with itself shifted by one, so one ``explode`` suffices (no window, no per-row array copy)."""
+    toks = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN_PATTERN), 0)
+    prevs = F.concat(F.array(F.lit(None).cast("string")), F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))))
+    pairs = F.arrays_zip(toks.alias("token"), prevs.alias("prev"))
+    return df.select(key, F.explode(pairs).alias("_p")).select(key, "_p.token", "_p.prev")
+
+
 def sentiment_scores(reviews: DataFrame, lexicon: DataFrame, text: str = "review_text",
-                     key: str = "comment_id") -> DataFrame:
+                     key: str = "comment_id", context_rules: bool = False) -> DataFrame:
     """First score = mean polarity of the lexicon hits; second score = s / sqrt(s² + 15) with
     s the summed polarity; a review without hits scores 0 on both. Labels are taken before the
-    stored scores are rounded to 4 (half-even)."""
+    stored scores are rounded to 4 (half-even). With ``context_rules`` a hit right after a
+    negation word is multiplied by −0.74 and one right after a booster moves 0.293 away from 0."""
     lex = _lexicon_side(lexicon.select(F.col("term").alias("token"), "polarity"))
-    hits = tokenize(reviews, text, key).join(lex, "token", "inner")
+    if context_rules:
+        hits = tokenize_with_previous(reviews, text, key).join(lex, "token", "inner")
+        pol = F.col("polarity")
+        adjusted = (F.when(F.col("prev").isin(NEGATIONS), pol * F.lit(NEGATION_SCALAR))
+                    .when(F.col("prev").isin(BOOSTERS), pol + F.signum(pol) * F.lit(BOOSTER_INCREMENT))
+                    .otherwise(pol))
+        hits = hits.withColumn("polarity", adjusted)
+    else:
+        hits = tokenize(reviews, text, key).join(lex, "token", "inner")
     agg = hits.groupBy(key).agg(F.sum("polarity").alias("_s"), F.count(F.lit(1)).alias("_n"))
     scored = reviews.join(agg, key, "left")
     s = F.coalesce(F.col("_s"), F.lit(0.0))

@@ -365,3 +365,28 @@ def search_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned 35-character search prefix per reviewed product."""
     names = _catalog_reviews(spark, sf_dir).select("product_name").distinct()
     return names.withColumn("search", clean_search_prefix("product_name"))
+
+
+NEG_VALUES = ", ".join(f"'{w}'" for w in R.NEGATIONS)
+BOOST_VALUES = ", ".join(f"'{w}'" for w in R.BOOSTERS)
+CONTEXT_SENTIMENT_SQL = SENTIMENT_SQL.replace(
+    "toks AS (SELECT comment_id, unnest(regexp_extract_all(lower(review_text), '[a-z]+')) AS token FROM {src}),",
+    """tl AS (SELECT comment_id, regexp_extract_all(lower(review_text), '[a-z]+') AS ws FROM {src}),
+toks0 AS (SELECT comment_id, ws, unnest(generate_series(1, len(ws))) AS i FROM tl),
+toks AS (SELECT comment_id, ws[i] AS token, CASE WHEN i > 1 THEN ws[i - 1] END AS prev FROM toks0),""").replace(
+    "hits AS (SELECT comment_id, sum(polarity) AS s, count(*) AS n FROM toks JOIN lex ON token = term GROUP BY comment_id),",
+    f"""hits AS (SELECT comment_id,
+  sum(CASE WHEN prev IN ({NEG_VALUES}) THEN polarity * ({R.NEGATION_SCALAR})::DOUBLE
+           WHEN prev IN ({BOOST_VALUES}) THEN polarity + sign(polarity) * {R.BOOSTER_INCREMENT}::DOUBLE
+           ELSE polarity END) AS s, count(*) AS n
+  FROM toks JOIN lex ON token = term GROUP BY comment_id),""")
+
+
+@query("review_sentiment_context", sql=f"""WITH {REVIEW_FEED_SQL}, {CONTEXT_SENTIMENT_SQL.replace('{src}', 'review_feed')}
+SELECT CAST(comment_id AS INTEGER) AS comment_id, textblob_score, textblob_sentiment, vader_score, vader_sentiment,
+       final_sentiment FROM scored""")
+def review_sentiment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13 with context rules: negation and booster words before a lexicon hit (whole texts)."""
+    out = R.sentiment_scores(parsed_feed(spark, sf_dir), lexicon(spark), context_rules=True)
+    return out.select("comment_id", "textblob_score", "textblob_sentiment", "vader_score", "vader_sentiment",
+                      "final_sentiment")

@@ -65,3 +65,10 @@ def test_order_stream_reader_on_text_source(spark, tmp_path):
     q.awaitTermination()
     rows = spark.sql("SELECT order_id, amount, products FROM orders_topic_test").collect()
     assert [(r.order_id, r.amount, r.products) for r in rows] == [("WOO-1", 12.5, ["a"])]
+
+
+def test_sentiment_context_rules(spark):
+    lex = spark.createDataFrame([("good", 1.0)], "term string, polarity double")
+    reviews = spark.createDataFrame([(1, "not good"), (2, "very good"), (3, "good")], "comment_id int, review_text string")
+    got = {r.comment_id: r.textblob_score for r in sentiment_scores(reviews, lex, context_rules=True).collect()}
+    assert got == {1: -0.74, 2: 1.293, 3: 1.0}
