@@ -1,0 +1 @@
+"""Operators: DataFrame → DataFrame transformations for each SURVEY §2 group."""

@@ -1,0 +1 @@
+"""Registered queries (Spark plans) with their DuckDB oracle SQL."""

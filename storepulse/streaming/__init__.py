@@ -1,0 +1 @@
+"""Structured Streaming readers, stateful operators and idempotent sinks."""

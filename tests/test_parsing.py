@@ -84,3 +84,20 @@ def test_read_order_log_file(spark, tmp_path):
     p.write_text('{"order_id": "7", "total": 3.5, "items": []}\n\n{broken\n{"order_id": "8"}\n')
     rows = sorted((r.order_id, r.total) for r in read_order_log(spark, str(p)).collect())
     assert rows == [("7", 3.5), ("8", None)]
+
+
+def test_review_payload(spark):
+    import json
+    from storepulse.sources.files import explode_review_payload, first_search_hit
+    payload = json.dumps({"data": {"reviews": [
+        {"review_comment": "a", "review_star_rating": "4"}, {"review_comment": "", "review_star_rating": "5"},
+        {"review_comment": "c", "review_star_rating": None}, {"review_comment": "d", "review_star_rating": "0"},
+        {"review_comment": "e", "review_star_rating": "x"}, {"review_comment": "f", "review_star_rating": "3"}],
+        "products": [{"asin": "B1"}, {"asin": "B2"}]}})
+    empty = json.dumps({"data": {"reviews": [], "products": []}})
+    df = spark.createDataFrame([(1, payload), (2, empty)], "k int, payload string")
+    rows = [(r.k, r.review_pos, r.text, r.rating) for r in explode_review_payload(df, "k", max_reviews=5).collect()]
+    # the first five are taken before the empty text is dropped, so "f" (sixth) never appears
+    assert sorted(rows) == [(1, 0, "a", 4.0), (1, 2, "c", 0.0), (1, 3, "d", 0.0), (1, 4, "e", 0.0)]
+    hits = {r.k: r.asin for r in first_search_hit(df, "k").collect()}
+    assert hits == {1: "B1", 2: ""}
