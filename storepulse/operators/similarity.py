@@ -16,7 +16,8 @@ occur in almost every product, so a self-join on terms would emit nearly N² pai
    terms we index the k+1 signatures holding S with the smallest norm (then lowest position);
    G looks up the subsets of its own frequent terms. Any other H is outscored by those k+1.
    Signatures have few frequent terms in a catalogue; if one has more than ``max_subset_terms``,
-   the per-pattern variant (k+1 best per full frequent-term pattern) is used instead.
+   the per-pattern variant (k+1 best per full frequent-term pattern) is used instead, unless
+   ``rare_df="auto"`` raises the rare threshold just enough to keep every signature within it.
 4. Products with similarity 0 rank by position, so the 2k+1 lowest positions overall are added
    as fill candidates.
 
@@ -123,7 +124,7 @@ def _pattern_candidates(freq: DataFrame, fsets: DataFrame, k: int) -> DataFrame:
 
 
 def similar_products(docs: DataFrame, k: int = 5, doc: str = "position", content: str = "content",
-                     max_features: int = 100, rare_df: int = 64, max_subset_terms: int = 8) -> DataFrame:
+                     max_features: int = 100, rare_df: int | str = 64, max_subset_terms: int = 8) -> DataFrame:
     """M10 (+J6, W5): for every document its k most similar other documents.
 
     Returns (source, rank, target, similarity) with similarity in [0, 1]; see the module notes for
@@ -145,6 +146,12 @@ def similar_products(docs: DataFrame, k: int = 5, doc: str = "position", content
     df_sig = post.groupBy("term").agg(F.count(F.lit(1)).alias("df_sig"))
     post = cut_lineage(post.join(F.broadcast(df_sig), "term", "inner")  # at most max_features rows
                        .join(sig_norm, "sig", "inner"))
+    if rare_df == "auto":
+        # Smallest threshold that leaves every signature at most max_subset_terms frequent terms:
+        # the largest (max_subset_terms+1)-th biggest df of any signature (one aggregate).
+        kth = post.groupBy("sig").agg(F.sort_array(F.collect_list("df_sig"), asc=False).alias("_d")).select(
+            F.try_element_at("_d", F.lit(max_subset_terms + 1)).alias("_t"))
+        rare_df = max(64, kth.agg(F.max("_t")).first()[0] or 0)
     # 2. Rare terms: exact self-join, groups bounded by rare_df.
     rare = post.filter(F.col("df_sig") <= rare_df).select("term", "sig")
     rare_pairs = (rare.alias("a").join(rare.alias("b"), "term")

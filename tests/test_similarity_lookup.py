@@ -46,7 +46,8 @@ def _brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("seed,rare_df,max_subset", [(1, 64, 8), (2, 1, 8), (3, 1000, 8), (4, 1, 1), (5, 2, 2)])
+@pytest.mark.parametrize("seed,rare_df,max_subset", [(1, 64, 8), (2, 1, 8), (3, 1000, 8), (4, 1, 1), (5, 2, 2),
+                                                     (6, "auto", 2)])
 def test_similar_products_exact(spark, seed, rare_df, max_subset):
     rows = _catalog(60, seed)
     docs = spark.createDataFrame(rows, "position long, name string, category string").withColumn(
