@@ -181,20 +181,29 @@ def _cooldown_handler(key, pdfs, state, width_us=HOUR_US):
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "event_id"], kind="mergesort")
     if pdf.empty:
         return
-    sent, remaining = [], []
-    for t in pdf["_us"].to_numpy(dtype=np.int64):  # sequential by definition: depends on own output
-        if last is None or t - last > width_us:
-            sent.append(True)
-            remaining.append(None)
-            last = int(t)
-        else:
-            sent.append(False)
-            remaining.append(int((width_us - (t - last)) / (60 * 1_000_000)))
+    us = pdf["_us"].to_numpy(dtype=np.int64)
+    # Sends depend on their own predecessors: next-send pointers by searchsorted, then a walk
+    # over the sends only, starting after the carried last send.
+    nxt = np.searchsorted(us, us + width_us, side="right")
+    sent = np.zeros(len(us), dtype=bool)
+    i = 0 if last is None else int(np.searchsorted(us, last + width_us, side="right"))
+    while i < len(us):
+        sent[i] = True
+        i = nxt[i]
+    send_times = us[sent] if last is None else np.concatenate([[last], us[sent]])
+    # Minutes remaining for suppressed alerts: the latest send at or before each alert.
+    idx = np.searchsorted(send_times, us, side="right") - 1
+    prev = np.where(idx >= 0, send_times[np.maximum(idx, 0)], 0)
+    remaining = ((width_us - (us - prev)) / (60 * 1_000_000)).astype(np.int64)
+    minutes = pd.array(np.where(sent | (idx < 0), 0, remaining), dtype="Int32")
+    minutes[sent | (idx < 0)] = pd.NA
+    if sent.any():
+        last = int(us[sent][-1])
     state.update((last,))
     out = pdf[["event_id", "product_id", "product_name", "level", "stock_level"]].copy()
-    out["checked_at_us"] = pdf["_us"].to_numpy(dtype=np.int64)
+    out["checked_at_us"] = us
     out["sent"] = sent
-    out["minutes_remaining"] = pd.array(remaining, dtype="Int32")
+    out["minutes_remaining"] = minutes
     yield out
 
 

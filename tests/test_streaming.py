@@ -17,11 +17,12 @@ def test_cooldown_stream_equals_batch(spark):
                                      "checked_at timestamp")
     alerts = df.withColumn("level", F.when(F.col("stock_level") == 0, "out").otherwise("low")) \
         .withColumn("alert_key", F.concat("level", F.lit("_"), F.col("product_id").cast("string")))
-    batch = {r.event_id: r.sent for r in cooldown(alerts, "alert_key", "checked_at", "event_id").collect()}
+    batch = {r.event_id: (r.sent, r.minutes_remaining)
+             for r in cooldown(alerts, "alert_key", "checked_at", "event_id").collect()}
     path = X.write_time_chunks(alerts, "checked_at", X.scratch(spark, "t-alerts"), 3, fmt="parquet")
     stream = spark.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = X.run_to_table(X.cooldown_stream(stream), spark, "t-cool")
-    assert {r.event_id: r.sent for r in out.collect()} == batch
+    assert {r.event_id: (r.sent, r.minutes_remaining) for r in out.collect()} == batch
 
 
 def test_enricher_state_across_batches(spark):
