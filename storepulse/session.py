@@ -7,6 +7,7 @@ session and only fall back to a scratch folder when it is unset (tests on one ma
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,8 +45,9 @@ def get_spark(master: str | None = None, app: str = "storepulse",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the SparkContext.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it; otherwise (local tests only)
-    creates a fresh scratch folder.
+    Uses ``spark.checkpoint.dir`` when the cluster sets it; otherwise (one machine, local master)
+    creates a fresh scratch folder. On any other master a missing setting is an error: a folder of
+    the driver's own machine would be invisible to the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="storepulse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if "://" not in path:
