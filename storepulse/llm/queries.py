@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storepulse.llm.piece_bpe import decode_pieces, encode_pieces, load_pieces
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
 from storepulse.llm.secret_scan import BASE_KINDS, scan_secrets, spans_text
 
@@ -19,3 +20,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE_KINDS],
                         F.sha2(spans_text(spans, BASE_KINDS), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
+@query("op9_piece_codec")
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as token counts and digests."""
+    import public_tokenizers
+
+    pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = encode_pieces(docs, pieces).select("doc_id", "ids")
+    return decode_pieces(ids, pieces).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
