@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storepulse.llm.mix_sources import mix_sources, word_count
 from storepulse.llm.piece_bpe import decode_pieces, encode_pieces, load_pieces
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
 from storepulse.llm.secret_scan import BASE_KINDS, scan_secrets, spans_text
+from storepulse.session import cut_lineage
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -33,3 +35,11 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_pieces(ids, pieces).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_mix_sources")
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    return mix_sources(sizes, sizes).select("doc_id", "size", "source_size", "target", "taken")

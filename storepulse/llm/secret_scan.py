@@ -21,6 +21,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,9 +147,10 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str = "
             at = max(at, e)
         return "".join([*out, text[at:]]) if out else text
 
-    def redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(**{text_col: b[text_col].map(clean, na_action="ignore")})
+            i = b.schema.get_field_index(text_col)
+            yield b.set_column(i, text_col, pa.array([clean(t) for t in b.column(i).to_pylist()], pa.string()))
 
-    out = docs.mapInPandas(redact, docs.schema)
+    out = docs.mapInArrow(redact, docs.schema)
     return out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType)) if n_chars_col in docs.columns else out
