@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storepulse.llm.mix_sources import mix_sources, word_count
 from storepulse.llm.piece_bpe import decode_pieces, encode_pieces, load_pieces
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
+from storepulse.llm.scaled_sketch import containment, fingerprints, resemblance, sketch_text
 from storepulse.llm.secret_scan import BASE_KINDS, scan_secrets, spans_text
 from storepulse.session import cut_lineage
 
@@ -43,3 +44,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return mix_sources(sizes, sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_scaled_sketch")
+def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and their likeness."""
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", sketch_text(own).alias("fingerprint"), sketch_text(edited).alias("edited_fingerprint"),
+        containment(own, edited).alias("near_edited"), containment(own, after).alias("near_next"),
+        resemblance(own, edited).alias("jaccard_edited"), resemblance(own, after).alias("jaccard_next"))
