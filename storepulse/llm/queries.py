@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from storepulse.llm.piece_bpe import decode_pieces, encode_pieces, load_pieces
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
 from storepulse.llm.scaled_sketch import containment, fingerprints, resemblance, sketch_text
 from storepulse.llm.secret_scan import BASE_KINDS, scan_secrets, spans_text
-from storepulse.session import cut_lineage
+from storepulse.llm.warc import read_warc, write_warc
+from storepulse.session import checkpoint_dir, cut_lineage
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -54,3 +57,11 @@ def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", sketch_text(own).alias("fingerprint"), sketch_text(edited).alias("edited_fingerprint"),
         containment(own, edited).alias("near_edited"), containment(own, after).alias("near_next"),
         resemblance(own, edited).alias("jaccard_edited"), resemblance(own, after).alias("jaccard_next"))
+
+
+@query("op5_warc")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC shards in the shared folder and read back."""
+    out_dir = f"{checkpoint_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), out_dir)
+    return read_warc(spark, out_dir, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
