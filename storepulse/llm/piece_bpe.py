@@ -18,7 +18,7 @@ import re
 import sys
 import types
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"  # word start; stands for a space inside pieces
-WORDS_KEPT = 250_000  # in each of two generations per task
+WORDS_KEPT = 350_000  # in each of two generations per worker
+PAIRS_KEPT = 300_000  # per worker; a full table is emptied
+SLICE_ROWS = 500  # rows whose ids and texts a task holds at once
 LONGEST_KEPT = 64
 
 
@@ -80,7 +82,7 @@ class Words(dict):
 
 
 class Encoder:
-    """Encoder and decoder of one task."""
+    """Text to ids."""
 
     def __init__(self, pieces: Pieces):
         import ahocorasick
@@ -98,11 +100,6 @@ class Encoder:
         self.shorter = {t: next((t[:k] for k in range(len(t) - 1, 1, -1) if t[:k] in self.ids), t[:1]) for t in self.ids if len(t) > 1}
         self.newline = self._bytes_of(["\n"])
         self.newline_alone = not any("\n" in t and t != "\n" for t in self.ids)
-        self.table = np.array([t.replace(MARK, " ") for t in pieces.texts], dtype=object)
-        for b, i in enumerate(pieces.byte_ids):
-            self.table[i] = chr(b) if b < 128 else bytes([b])
-        self.high = np.zeros(len(pieces.texts), dtype=bool)
-        self.high[pieces.byte_ids[128:]] = True
 
     def remerge(self, text: str) -> list[str]:
         """Plain merging from characters: best score first, leftmost among equals."""
@@ -127,6 +124,8 @@ class Encoder:
     def compatible(self, a: str, b: str) -> bool:
         """Do ``a`` and ``b`` stay as they are when their joint text is merged anew? ``a`` is empty at the start."""
         if (known := self.fits.get((a, b))) is None:
+            if len(self.fits) >= PAIRS_KEPT:
+                self.fits.clear()
             known = self.fits[a, b] = self.remerge(a + b) == ([a, b] if a else [b])
         return known
 
@@ -194,6 +193,17 @@ class Encoder:
                 out += self._line(line, not n)
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
+
+class Decoder:
+    """Ids back to text."""
+
+    def __init__(self, pieces: Pieces):
+        self.table = np.array([t.replace(MARK, " ") for t in pieces.texts], dtype=object)
+        for b, i in enumerate(pieces.byte_ids):
+            self.table[i] = chr(b) if b < 128 else bytes([b])
+        self.high = np.zeros(len(pieces.texts), dtype=bool)
+        self.high[pieces.byte_ids[128:]] = True
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids: marks become spaces, runs of byte pieces are read as UTF-8, the dummy prefix goes."""
         got = self.table[ids]
@@ -221,47 +231,62 @@ def worker_encoder(pieces: Pieces) -> Encoder:
     return kept.encoder
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, value) -> DataFrame:
-    """``df`` with a column that ``value(batch) -> array`` makes per Arrow batch; a column of that name is replaced."""
-    kept = [c for c in df.columns if c != name]
-    source = df.select(*df.columns)
+def _with(df: DataFrame, made: dict[str, tuple[T.DataType, Callable]]) -> DataFrame:
+    """``df`` with columns that ``value() -> (column of a batch) -> array`` make, in one pass and in order, so
+    that one may read the one before; columns of these names are replaced."""
+    kept = [c for c in df.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = value()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), made(b)], [*kept, name])
+        values = {name: value() for name, (_, value) in made.items()}
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(at, SLICE_ROWS)
+                columns = dict(zip(b.schema.names, b.columns, strict=True))
+                for name, value in values.items():
+                    columns[name] = value(columns.__getitem__)
+                yield pa.RecordBatch.from_arrays([columns[c] for c in (*kept, *made)], [*kept, *made])
 
-    return source.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(name, kind)]))
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, k) for n, (k, _) in made.items())])
+    return df.mapInArrow(run, schema)
 
 
-def encode_pieces(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with ``ids_col``: the ids of every whole text, without begin or end ids.
-
-    Null and empty texts get an empty array; repeated rows are encoded each; other columns pass through."""
+def _encoded(pieces: Pieces, text_col: str):
     def value():
         enc = worker_encoder(pieces)
 
-        def made(batch: pa.RecordBatch) -> pa.Array:
-            got = [enc.encode(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+        def ids(column) -> pa.Array:
+            got = [enc.encode(t) for t in column(text_col).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
-            flat = np.concatenate(got) if got else np.empty(0, dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        return made
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got) if got else np.empty(0, dtype=np.int32)))
+        return ids
+    return T.ArrayType(T.IntegerType()), value
 
-    return _with(docs, ids_col, T.ArrayType(T.IntegerType()), value)
+
+def _decoded(pieces: Pieces, ids_col: str):
+    def value():
+        dec = Decoder(pieces)
+
+        def text(column) -> pa.Array:
+            ids = column(ids_col)
+            flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            return pa.array([dec.decode(flat[at[i]:at[i + 1]]) if ok else None for i, ok in enumerate(ids.is_valid().to_pylist())], pa.string())
+        return text
+    return T.StringType(), value
+
+
+def encode_pieces(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with ``ids_col``: the ids of every whole text, without begin or end ids.
+
+    Null and empty texts get an empty array; repeated rows are encoded each; other columns pass through, and
+    one of the added name is replaced. An empty table gives an empty one."""
+    return _with(docs, {ids_col: _encoded(pieces, text_col)})
 
 
 def decode_pieces(df: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the decoded text of ``ids_col``; a null array gives null."""
-    def value():
-        enc = worker_encoder(pieces)
+    return _with(df, {text_col: _decoded(pieces, ids_col)})
 
-        def made(batch: pa.RecordBatch) -> pa.Array:
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            flat = ids.values.to_numpy(zero_copy_only=False)
-            at = ids.offsets.to_numpy()
-            valid = ids.is_valid().to_pylist()
-            return pa.array([enc.decode(flat[at[i]:at[i + 1]]) if ok else None for i, ok in enumerate(valid)], pa.string())
-        return made
 
-    return _with(df, text_col, T.StringType(), value)
+def round_trip(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``encode_pieces`` and ``decode_pieces`` of its ids in one pass of the same worker."""
+    return _with(docs, {ids_col: _encoded(pieces, text_col), decoded_col: _decoded(pieces, ids_col)})

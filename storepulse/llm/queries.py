@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse.llm.mix_sources import mix_sources, word_count
-from storepulse.llm.piece_bpe import decode_pieces, encode_pieces, load_pieces
+from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
 from storepulse.llm.scaled_sketch import containment, fingerprints, resemblance, sketch_text
 from storepulse.llm.secret_scan import BASE_KINDS, scan_secrets, spans_text
@@ -34,9 +34,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode_pieces(docs, pieces).select("doc_id", "ids")
-    return decode_pieces(ids, pieces).select(
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
