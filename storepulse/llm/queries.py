@@ -12,6 +12,7 @@ from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
 from storepulse.llm.scaled_sketch import containment, fingerprints, resemblance, sketch_text
 from storepulse.llm.secret_scan import BASE_KINDS, scan_secrets, spans_text
+from storepulse.llm.tile_cosine import near_vectors
 from storepulse.llm.warc import read_warc, write_warc
 from storepulse.session import checkpoint_dir, cut_lineage
 
@@ -63,3 +64,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out_dir = f"{checkpoint_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), out_dir)
     return read_warc(spark, out_dir, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_tile_cosine")
+def op8_tile_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every embedding."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
