@@ -12,6 +12,7 @@ from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
 from storepulse.llm.scaled_sketch import containment, fingerprints, resemblance, sketch_text
 from storepulse.llm.secret_scan import BASE_KINDS, scan_secrets, spans_text
+from storepulse.llm.string_kernel import held_out, learn_languages, predict_language
 from storepulse.llm.tile_cosine import near_vectors
 from storepulse.llm.warc import read_warc, write_warc
 from storepulse.session import checkpoint_dir, cut_lineage
@@ -70,3 +71,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_tile_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and representative of every embedding."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_string_kernel")
+def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    out = predict_language(docs.select("doc_id", "text"), learn_languages(docs))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
