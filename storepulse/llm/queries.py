@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storepulse.llm import fm_quality
 from storepulse.llm.mix_sources import mix_sources, word_count
 from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
@@ -79,3 +80,12 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = predict_language(docs.select("doc_id", "text"), learn_languages(docs))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op3_fm_quality")
+def op3_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fm_quality.learn_quality(docs, table(spark, sf_dir, "labels"))
+    out = fm_quality.score_quality(docs, machine)
+    return out.select("doc_id", fm_quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= fm_quality.THRESHOLD).cast("int").alias("predicted"))
