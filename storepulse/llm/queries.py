@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse.llm import fm_quality
+from storepulse.llm.line_blocks import extract_text
 from storepulse.llm.mix_sources import mix_sources, word_count
 from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
@@ -89,3 +90,9 @@ def op3_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = fm_quality.learn_quality(docs, table(spark, sf_dir, "labels"))
     out = fm_quality.score_quality(docs, machine)
     return out.select("doc_id", fm_quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= fm_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op7_line_blocks")
+def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
