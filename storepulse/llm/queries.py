@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storepulse.llm import fm_quality
 from storepulse.llm.line_blocks import extract_text
 from storepulse.llm.mix_sources import mix_sources, word_count
+from storepulse.llm.ngram_join import near_documents
 from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
 from storepulse.llm.scaled_sketch import containment, fingerprints, resemblance, sketch_text
@@ -96,3 +97,9 @@ def op3_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return near_documents(table(spark, sf_dir, "documents"))
