@@ -8,13 +8,17 @@ Sets that meet in a subset link, with nothing left to verify.
 
 *Heavy* sets go to inverted lists of their prefixes: in one global order of shingles, frequent ones last, two
 sets that link share a shingle among the first ``n - ceil(t n) + 1``, on the smaller side even among the first
-``n - ceil(2 t n / (1 + t)) + 1``. A list is first scanned as a star: every member against one pivot. Links are
-verified on the whole sets. Pairs of a list whose members are still in different components are then scanned
-in full, so no link between different texts is lost, while a group of copies costs as many pairs as members.
+``n - ceil(2 t n / (1 + t)) + 1``. A list is scanned as a star: every member against one pivot, with another pivot
+in each round for lists whose members are still in different components. When the pairs left between
+components cost no more than another round, they are all scanned, so no link between different texts is
+lost, while a group of copies costs about as many pairs as members.
+
+Candidates pass a rigorous filter first: counts of a set's shingles in ``BUCKETS`` hash buckets bound the overlap
+from above. What is left is verified on the whole sets.
 
 The boundary is the size at which enumerating subsets starts to cost more than scanning lists.
 
-Texts are read three times and never shuffled: for sizes and shingle counts, for lists, and for the sets of
+Texts are read four times and never shuffled: for sizes and counts, for lists, and twice for the sets of
 candidates only. Tables between the steps are written to the shared checkpoint folder.
 """
 
@@ -44,6 +48,10 @@ BLOCK_SHINGLES = 1 << 22  # shingles counted at once by a task
 LIST_SPLIT = 20_000  # longer lists are scanned in parts that meet in their pivots
 SLICE_ROWS = 500
 BITS = 1 << 23  # size of the filter of wanted sets
+BUCKETS = 128
+FULL_SCAN = 4  # pairs a list entry that make a full scan as cheap as a round of stars
+GAIN = 0.7  # a round that leaves more than this share of the pairs is the last before the full scan
+EARLIER = 64  # leading shingles of a set by which a full scan leaves out pairs that it has met in a list before
 
 
 def least_common(n: int, m: int) -> int:
@@ -97,27 +105,41 @@ def _first_seen(sets: list[np.ndarray], seen: set[int]) -> Iterator[tuple[int, n
             yield key, s
 
 
-def sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and key per row; besides, rows with n = -1 that hold shingles met in several sets of a block."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+SCAN = "id long, n long, key long, counts binary, small array<long>, often array<long>, times array<long>"
+SCAN_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("counts", pa.binary()), ("small", pa.list_(pa.int64())),
+                        ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
+
+def sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and key per row, and, where the task first meets a set, its bucket counts and a small set's shingles.
+    Besides, rows with n = -1 that hold shingles met in several sets of a block."""
     def counted(block: list[np.ndarray]) -> pa.RecordBatch:
         values, times = np.unique(np.concatenate(block), return_counts=True)
         often = times >= LOCAL_LEAST
-        return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1]), pa.array([None], pa.int64()),
-                                           pa.array([values[often].view(np.int64)], pa.list_(pa.int64())), pa.array([times[often]], pa.list_(pa.int64()))], schema=schema)
+        return pa.RecordBatch.from_pylist([{"n": -1, "often": values[often].view(np.int64), "times": times[often]}], SCAN_ARROW)
 
     block, size, seen = [], 0, set()
     for b, sets in _sets(batches):
-        keys = [set_key(s) if len(s) else None for s in sets]
+        rows = []
+        for s in sets:
+            key = set_key(s) if len(s) else None
+            row = [len(s), key, None, None]
+            if key is not None and key not in seen:
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(key)
+                block.append(s)
+                size += len(s)
+                row[2] = np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+                row[3] = s.view(np.int64) if len(s) <= MAX_LIGHT else None
+            rows.append(row)
+        n, keys, counts, small = zip(*rows, strict=True)
         nothing = pa.nulls(len(sets), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), nothing, nothing], schema=schema)
-        for _, s in _first_seen(sets, seen):
-            block.append(s)
-            size += len(s)
-            if size >= BLOCK_SHINGLES:
-                yield counted(block)
-                block, size = [], 0
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary()),
+                                          pa.array(small, pa.list_(pa.int64())), nothing, nothing], schema=SCAN_ARROW)
+        if size >= BLOCK_SHINGLES:
+            yield counted(block)
+            block, size = [], 0
     if block:
         yield counted(block)
 
@@ -133,8 +155,8 @@ def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def list_rows(boundary: int, often: np.ndarray, times: np.ndarray):
-    """Entries of the inverted lists: shingle, part of a long list (else -1), set, size, and whether the entry is of
-    the index."""
+    """Entries of the inverted lists: shingle, part of a long list (else -1), set, size, and the shingle's place
+    in the set's order."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _sets(batches):
@@ -153,50 +175,65 @@ def list_rows(boundary: int, often: np.ndarray, times: np.ndarray):
                 else:
                     s = s[:probe_length(n)]
                     part = np.full(len(s), -1, dtype=np.int32)
-                out.append((s.view(np.int64), part, np.full(len(s), key), np.full(len(s), n, np.int32), np.arange(len(s)) < index_length(n)))
+                out.append((s.view(np.int64), part, np.full(len(s), key), np.full(len(s), n, np.int32), np.arange(len(s), dtype=np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["shingle", "part", "key", "n", "indexed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["shingle", "part", "key", "n", "pos"])
     return rows
 
 
-def subset_rows(boundary: int):
-    """Subsets of light sets by the two sizes they serve."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, sets in _sets(batches):
+def light_links(small: DataFrame, boundary: int) -> DataFrame:
+    """Links among light sets (key, small): members of a subset's group to its least key, if both sizes are there."""
+    def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for key, s in _first_seen(sets, seen):
-                n = len(s)
+            for key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n, s = len(s), np.array(s, dtype=np.int64).view(np.uint64)
                 for m in sizes_near(n) if n <= boundary else ():
                     if m <= boundary and (c := least_common(n, m)) <= min(n, m):
                         out += [(set_key(s[list(x)]), min(n, m), max(n, m), key, n) for x in combinations(range(n), c)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["subset", "low", "high", "key", "n"])
-    return rows
-
 
-def light_links(texts: DataFrame, boundary: int) -> DataFrame:
-    """Links among light sets: members of a subset's group to its least key, if both sizes are there."""
-    rows = cut_lineage(texts.mapInArrow(subset_rows(boundary), "subset long, low long, high long, key long, n long"))
+    rows = cut_lineage(small.dropDuplicates(["key"]).mapInArrow(subsets, "subset long, low long, high long, key long, n long"))
     group = ["subset", "low", "high"]
     roots = rows.groupBy(*group).agg(F.min("key").alias("root"), F.max("key").alias("_k"), F.min("n").alias("_a"), F.max("n").alias("_b"))
     roots = roots.where("root <> _k AND _a = low AND _b = high").drop("_k", "_a", "_b")
     return rows.join(roots, group).where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")).distinct()
 
 
-def wanted_bits(pairs: DataFrame) -> np.ndarray:
-    """A filter of ``BITS`` bits over the keys in the pairs, joined in Spark by words of 32 bits."""
-    keys = pairs.select(F.explode(F.array("u", "v")).alias("k")).select(F.pmod("k", F.lit(BITS)).alias("b"))
-    words = keys.groupBy(F.shiftright("b", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 AS int))")).alias("m"))
+def possible(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose bucket counts allow the threshold; ``counts`` has key, n and counts of every set in them."""
+    side = lambda x: counts.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+                n, m = (col[f"n_{x}"].to_numpy() for x in "uv")
+                x, y = (np.frombuffer(b"".join(col[f"c_{k}"].to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in "uv")
+                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                full = (x == 255).any(axis=1) | (y == 255).any(axis=1)  # a count that may be larger bounds nothing
+                need = -(-T_NUM * (n + m) // (T_NUM + T_DEN))
+                ok = pa.array((full | (most >= need)) & (np.minimum(n, m) >= need))
+                yield pa.RecordBatch.from_arrays([col["u"].filter(ok), col["v"].filter(ok)], ["u", "v"])
+
+    return cut_lineage(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(keep, "u long, v long"))
+
+
+def wanted_bits(keys: DataFrame) -> np.ndarray:
+    """A filter of ``BITS`` bits over the keys, joined in Spark by words of 32 bits."""
+    at = keys.select(F.pmod("key", F.lit(BITS)).alias("b"))
+    words = at.groupBy(F.shiftright("b", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 AS int))")).alias("m"))
     bits = np.zeros(BITS // 32, dtype=np.int64)
     for w, m in words.collect():
         bits[w] = m
     return bits
 
 
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v, written) whose whole sets reach the threshold."""
-    bits = wanted_bits(pairs)
+def whole_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key``, ``found``: the whole sets of these keys, from the texts."""
+    bits = wanted_bits(keys)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -205,35 +242,79 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([s for _, s in got], pa.list_(pa.int64()))], ["key", "found"])
 
-    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    sets = texts.mapInArrow(rows, "key long, found array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
-    sets = cut_lineage(sets)
-    both = (pairs.join(sets.select(F.col("key").alias("u"), F.col("found").alias("a")), "u")
-            .join(sets.select(F.col("key").alias("v"), F.col("found").alias("b")), "v"))
+    return cut_lineage(texts.mapInArrow(rows, "key long, found array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("found").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return cut_lineage(both.where(100 * common >= 75 * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
 
-def heavy_links(texts: DataFrame, boundary: int, often: np.ndarray, times: np.ndarray, light: DataFrame) -> DataFrame:
-    """Links of heavy sets: stars over the lists first, then all pairs between what is still apart."""
-    entries = texts.mapInArrow(list_rows(boundary, often, times), "shingle long, part int, key long, n int, indexed boolean")
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _stars(lists: DataFrame, pivot: str) -> DataFrame:
+    """Pairs of every entry with its list's pivot, and of the pivots of a long list's parts with the first of them."""
+    parts = lists.where("part >= 0").groupBy("shingle").agg(F.collect_set(pivot).alias("us"))
+    parts = parts.select(F.explode("us").alias("u"), F.array_min("us").alias("v"))
+    return _ordered(lists.select(F.col("key").alias("u"), F.col(pivot).alias("v")).unionByName(parts))
+
+
+def _cross_pairs(named: DataFrame) -> DataFrame:
+    """Pairs of a list in different components whose sizes and places allow a link.
+
+    A pair that also meets in an earlier list of both sets' orders is left to that list."""
+    leading = named.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "shingle"))), 1, EARLIER).alias("leading"))
+    earlier = F.transform(F.filter("leading", lambda x: x["pos"] < F.col("pos")), lambda x: x["shingle"])
+    sides = named.join(leading, "key").withColumn("earlier", earlier).drop("leading", "part")
+    a, b = (sides.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "root", "earlier")]) for x in "ab")
+    indexed = F.col("pos_b") < F.col("n_b") - F.ceil(F.lit(2 * T_NUM) * F.col("n_b") / (T_NUM + T_DEN)) + 1
+    fits = (F.col("root_a") != F.col("root_b")) & indexed & (F.struct("n_b", "key_b") < F.struct("n_a", "key_a")) & (T_DEN * F.col("n_b") >= T_NUM * F.col("n_a"))
+    return _ordered(a.join(b, "shingle").where(fits & ~F.arrays_overlap("earlier_a", "earlier_b")).select(F.col("key_a").alias("u"), F.col("key_b").alias("v")))
+
+
+def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.ndarray, times: np.ndarray, light: DataFrame) -> DataFrame:
+    """All links that components need: light ones, and those of the lists, by rounds of stars and a full scan."""
+    entries = texts.mapInArrow(list_rows(boundary, often, times), "shingle long, part int, key long, n int, pos int")
     whole = W.partitionBy("shingle", "part")
     lists = cut_lineage(entries.withColumn("pivot", F.min("key").over(whole)).withColumn("_last", F.max("key").over(whole))
                         .where((F.col("pivot") != F.col("_last")) | (F.col("part") >= 0)).drop("_last"))
-    pivots = lists.groupBy("shingle", "part").agg(F.min("pivot").alias("u")).groupBy("shingle").agg(F.collect_set("u").alias("us")).where(F.size("us") > 1)
-    parts = pivots.select(F.explode("us").alias("u"), F.array_min("us").alias("v"))
-    order = lambda df: df.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    tried = cut_lineage(order(lists.select(F.col("key").alias("u"), F.col("pivot").alias("v")).unionByName(parts)))
-    links = cut_lineage(verified(texts, tried).unionByName(light))
-    roots = components(links)
-    named = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_ = named.groupBy("shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n")).where("_a <> _b AND _n > 2").select("shingle")
-    rest = cut_lineage(named.join(open_, "shingle", "left_semi").select("shingle", "key", "n", "indexed", "root"))
-    a, b = (rest.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "indexed", "root")]) for x in "ab")
-    apart = (F.col("root_a") != F.col("root_b")) & F.col("indexed_b") & (F.struct("n_b", "key_b") < F.struct("n_a", "key_a")) & (T_DEN * F.col("n_b") >= T_NUM * F.col("n_a"))
-    more = order(a.join(b, "shingle").where(apart).select(F.col("key_a").alias("u"), F.col("key_b").alias("v")))
-    more = cut_lineage(more.join(tried, ["u", "v"], "left_anti"))
-    return links.unionByName(verified(texts, more)) if more.limit(1).count() else links
+    listed = lists.select("key").distinct()
+    counts = cut_lineage(scanned.where("counts IS NOT NULL").select("key", "n", "counts").join(listed, "key", "left_semi").dropDuplicates(["key"]))
+    tried = cut_lineage(_stars(lists, "pivot"))
+    near = possible(tried, counts)
+    links = cut_lineage(verified(near, whole_sets(texts, _keys(near))).unionByName(light))
+    sets, before = None, float("inf")
+    while True:
+        roots = components(links).withColumnRenamed("node", "key")
+        named = lists.drop("pivot").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        open_ = named.groupBy("shingle").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n")).where("_a <> _b AND _n > 2").select("shingle")
+        named = cut_lineage(named.join(open_, "shingle", "left_semi").distinct())
+        lists = named.drop("root")
+        sizes = named.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        total, cross = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+        if not total:
+            return links
+        if sets is None:  # what later rounds compare is among these
+            sets = whole_sets(texts, named.select("key").distinct())
+        last = cross <= FULL_SCAN * total or cross > GAIN * before
+        if last:
+            pairs = _cross_pairs(named)
+        else:
+            by = F.min(F.struct(F.xxhash64(F.lit(cross), "key").alias("h"), F.col("key").alias("k"), F.col("root").alias("r"))).over(whole)
+            pairs = _stars(named.withColumn("_p", by).withColumn("pivot", F.col("_p.k")).where((F.col("part") >= 0) | (F.col("_p.r") != F.col("root"))), "pivot")
+        pairs = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti"))
+        links = cut_lineage(links.unionByName(verified(possible(pairs, counts), sets)))
+        if last:
+            return links
+        tried, before = cut_lineage(tried.unionByName(pairs)), cross
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,11 +324,12 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name no component unless a row with an id is in it; repeated rows each get their row. Other columns are not
     read. Sets and shingles are told apart by 64-bit hashes."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scanned = cut_lineage(texts.mapInArrow(sizes_and_counts, "id long, n long, key long, often array<long>, times array<long>"))
+    scanned = cut_lineage(texts.mapInArrow(sizes_and_counts, SCAN))
     thin = scanned.where("n >= 0").select("id", "n", "key")
     often, times = frequent_shingles(scanned.where("n < 0"))
     boundary = light_boundary(dict(thin.where(F.col("n").between(1, 2 * MAX_LIGHT)).groupBy("n").count().collect()))
-    links = heavy_links(texts, boundary, often, times, light_links(texts, boundary))
+    light = light_links(scanned.where("small IS NOT NULL").select("key", "small"), boundary)
+    links = heavy_links(texts, scanned, boundary, often, times, light)
     roots = components(links)
     named = thin.join(roots.withColumnRenamed("node", "key"), "key", "left").select("id", "n", F.coalesce("root", "key").alias("root"))
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
