@@ -161,7 +161,8 @@ def make_tiles(reps: DataFrame, kind: str, tile_rows: int) -> DataFrame:
                                                          ("vectors", pa.binary()), ("centre", pa.binary()), ("spread", pa.float64())]))
 
     ranked = reps.select("k", "copies", "embedding").mapInArrow(nearest, f"k long, copies long, embedding array<{kind}>, dim int, pivot int")
-    return cut_lineage(ranked.repartitionByRange(max(1, -(-total // tile_rows)), "dim", "pivot", "k").sortWithinPartitions("dim", "pivot", "k").mapInArrow(tiles, TILE))
+    n = max(1, -(-total // tile_rows))  # neighbouring ranges are joined to this many, however many there are
+    return cut_lineage(ranked.repartitionByRange(n, "dim", "pivot", "k").coalesce(n).sortWithinPartitions("dim", "pivot", "k").mapInArrow(tiles, TILE))
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, tile_rows: int = 4096) -> DataFrame:
