@@ -166,17 +166,17 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float
     return taken.unionByName(none)
 
 
-def realise(mixed: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
+def realise(mixed: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars", size_col: str = "size") -> DataFrame:
     """One row per document and copy whose text is the taken words: a wholly taken document verbatim, else its
     taken runs with their own spacing, joined by line ends. Documents that the mix leaves out go."""
-    keep = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken", "ranges")]
+    keep = [c for c in mixed.columns if c not in (size_col, "source_size", "target", "taken", "ranges")]
     word = re.compile(WORD)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             at, texts = [], []
-            for i, (text, size, ranges) in enumerate(zip(col[text_col].to_pylist(), col["size"].to_pylist(), col["ranges"].to_pylist(), strict=True)):
+            for i, (text, size, ranges) in enumerate(zip(col[text_col].to_pylist(), col[size_col].to_pylist(), col["ranges"].to_pylist(), strict=True)):
                 spans, by_copy = None, {}
                 for r in ranges:
                     by_copy.setdefault(r["copy"], []).append((r["from_word"], r["to_word"]))
