@@ -78,7 +78,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         text = SPACE.sub(" ", markup.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            lines.append((text, max(0, len(text) - linked) if linked < len(text) - 1 else 0, inside > 0))
+            lines.append((text, 0 if linked and linked >= len(text) - 1 else len(text) - linked, inside > 0))
         linked = 0
         if gap:
             lines.extend([("", 0, inside > 0)] * WINDOW)

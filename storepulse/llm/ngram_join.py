@@ -18,8 +18,8 @@ from above. What is left is verified on the whole sets.
 
 The boundary is the size at which enumerating subsets starts to cost more than scanning lists.
 
-Texts are read four times and never shuffled: for sizes and counts, for lists, and twice for the sets of
-candidates only. Tables between the steps are written to the shared checkpoint folder.
+Texts are read for sizes and counts, for lists, and for the sets of each scan's candidates only; they are
+never shuffled. Tables between the steps are written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -49,8 +49,10 @@ LIST_SPLIT = 20_000  # longer lists are scanned in parts that meet in their pivo
 SLICE_ROWS = 500
 BITS = 1 << 23  # size of the filter of wanted sets
 BUCKETS = 128
-FULL_SCAN = 4  # pairs a list entry that make a full scan as cheap as a round of stars
+FULL_SCAN = 32  # pairs a list entry that make a full scan as cheap as a round of stars
 GAIN = 0.7  # a round that leaves more than this share of the pairs is the last before the full scan
+ENTRIES = 1 << 20  # list entries that a task packs at once
+BUCKET_BYTES = 16 << 20  # packed entries of a shuffle partition
 EARLIER = 64  # leading shingles of a set by which a full scan leaves out pairs that it has met in a list before
 
 
@@ -154,13 +156,23 @@ def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], times[order]
 
 
-def list_rows(boundary: int, often: np.ndarray, times: np.ndarray):
-    """Entries of the inverted lists: shingle, part of a long list (else -1), set, size, and the shingle's place
-    in the set's order."""
+def list_entries(boundary: int, often: np.ndarray, times: np.ndarray, buckets: int):
+    """Entries of the inverted lists, packed by bucket of the list: shingles, whose last bit tells whether the entry
+    is of the index, and keys of the sets. Sixteen bytes an entry are all that is shuffled."""
+    def packed(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        shingle, key = (np.concatenate(c) for c in zip(*out, strict=True))
+        bucket = (mix(shingle >> np.uint64(1)) + parts_of(shingle, key, often, times).astype(np.uint64)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        pieces = list(zip(np.split(shingle[order], cuts), np.split(key[order], cuts), strict=True))
+        names = bucket[order][np.concatenate([[0], cuts])].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x, _ in pieces], pa.binary()), pa.array([k.tobytes() for _, k in pieces], pa.binary())],
+                                          ["bucket", "shingles", "keys"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        out, size = [], 0
         for _, sets in _sets(batches):
-            out = []
             for key, s in _first_seen(sets, seen):
                 n = len(s)
                 if n <= boundary and T_DEN * n < T_NUM * (boundary + 1):
@@ -168,16 +180,51 @@ def list_rows(boundary: int, often: np.ndarray, times: np.ndarray):
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     rank = np.where(often[at] == s, times[at], 0)
-                    order = np.argsort(rank, kind="stable")[:probe_length(n)]  # equal ranks by hash
-                    parts = -(-rank[order] // LIST_SPLIT)
-                    part = np.where(parts > 1, key % np.maximum(1, parts), -1).astype(np.int32)
-                    s = s[order]
-                else:
-                    s = s[:probe_length(n)]
-                    part = np.full(len(s), -1, dtype=np.int32)
-                out.append((s.view(np.int64), part, np.full(len(s), key), np.full(len(s), n, np.int32), np.arange(len(s), dtype=np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["shingle", "part", "key", "n", "pos"])
+                    s = s[np.argsort(rank, kind="stable")]  # equal ranks by hash
+                s = s[:probe_length(n)] & ~np.uint64(1)
+                s[:index_length(n)] |= np.uint64(1)
+                out.append((s, np.full(len(s), key)))
+                size += len(s)
+            if size >= ENTRIES:
+                yield packed(out)
+                out, size = [], 0
+        if out:
+            yield packed(out)
+    return rows
+
+
+def parts_of(shingle: np.ndarray, key: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Part of its list that an entry belongs to: from 1 for long lists, else 0."""
+    long = times > LIST_SPLIT
+    part = np.zeros(len(shingle), dtype=np.int64)
+    if long.any():
+        names, counts = often[long] & ~np.uint64(1), times[long]
+        at = np.minimum(np.searchsorted(names, shingle & ~np.uint64(1)), len(names) - 1)
+        hit = names[at] == shingle & ~np.uint64(1)
+        part[hit] = 1 + key[hit] % -(-counts[at[hit]] // LIST_SPLIT)
+    return part
+
+
+def shared_lists(often: np.ndarray, times: np.ndarray):
+    """Lists of at least two sets, from all packed entries of a partition, with their least key as pivot."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [(x, k) for b in batches for x, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        if not blocks:
+            return
+        shingle, key = np.frombuffer(b"".join(x for x, _ in blocks), np.uint64), np.frombuffer(b"".join(k for _, k in blocks), np.int64)
+        del blocks
+        part, name = parts_of(shingle, key, often, times), shingle >> np.uint64(1)
+        order = np.lexsort((key, part, name))
+        shingle, key, part, name = shingle[order], key[order], part[order], name[order]
+        new_list = np.concatenate([[True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])])
+        once = new_list | np.concatenate([[True], key[1:] != key[:-1]])  # copies gave the same entry
+        shingle, key, part, name, new_list = shingle[once], key[once], part[once], name[once], new_list[once]
+        start = np.flatnonzero(new_list)
+        size = np.diff(np.append(start, len(name)))
+        keep = np.repeat((size > 1) | (part[start] > 0), size)
+        pivot = np.repeat(key[start], size)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name.view(np.int64), part, key, (shingle & np.uint64(1)).astype(bool), pivot)],
+                                         ["shingle", "part", "key", "indexed", "pivot"])
     return rows
 
 
@@ -262,36 +309,38 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _stars(lists: DataFrame, pivot: str) -> DataFrame:
     """Pairs of every entry with its list's pivot, and of the pivots of a long list's parts with the first of them."""
-    parts = lists.where("part >= 0").groupBy("shingle").agg(F.collect_set(pivot).alias("us"))
+    parts = lists.where("part > 0").groupBy("shingle").agg(F.collect_set(pivot).alias("us"))
     parts = parts.select(F.explode("us").alias("u"), F.array_min("us").alias("v"))
     return _ordered(lists.select(F.col("key").alias("u"), F.col(pivot).alias("v")).unionByName(parts))
 
 
 def _cross_pairs(named: DataFrame) -> DataFrame:
-    """Pairs of a list in different components whose sizes and places allow a link.
+    """Pairs of a list in different components whose sizes allow a link, the smaller set by its index entry.
 
-    A pair that also meets in an earlier list of both sets' orders is left to that list."""
-    leading = named.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "shingle"))), 1, EARLIER).alias("leading"))
-    earlier = F.transform(F.filter("leading", lambda x: x["pos"] < F.col("pos")), lambda x: x["shingle"])
-    sides = named.join(leading, "key").withColumn("earlier", earlier).drop("leading", "part")
-    a, b = (sides.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "root", "earlier")]) for x in "ab")
-    indexed = F.col("pos_b") < F.col("n_b") - F.ceil(F.lit(2 * T_NUM) * F.col("n_b") / (T_NUM + T_DEN)) + 1
-    fits = (F.col("root_a") != F.col("root_b")) & indexed & (F.struct("n_b", "key_b") < F.struct("n_a", "key_a")) & (T_DEN * F.col("n_b") >= T_NUM * F.col("n_a"))
-    return _ordered(a.join(b, "shingle").where(fits & ~F.arrays_overlap("earlier_a", "earlier_b")).select(F.col("key_a").alias("u"), F.col("key_b").alias("v")))
+    A pair that also meets in a list of a lesser shingle is left to that list."""
+    indexed_first = F.array_sort(F.collect_list(F.when(F.col("indexed"), F.col("shingle"))))
+    leading = named.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("shingle")), 1, EARLIER).alias("all"), F.slice(indexed_first, 1, EARLIER).alias("own"))
+    sides = named.join(leading, "key")
+    a, b = (sides.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "indexed", "root")],
+                         F.filter(c, lambda s: s < F.col("shingle")).alias(f"lesser_{x}")) for x, c in (("a", "all"), ("b", "own")))
+    fits = (F.col("root_a") != F.col("root_b")) & F.col("indexed_b") & (F.struct("n_b", "key_b") < F.struct("n_a", "key_a")) & (T_DEN * F.col("n_b") >= T_NUM * F.col("n_a"))
+    return _ordered(a.join(b, "shingle").where(fits & ~F.arrays_overlap("lesser_a", "lesser_b")).select(F.col("key_a").alias("u"), F.col("key_b").alias("v")))
 
 
 def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.ndarray, times: np.ndarray, light: DataFrame) -> DataFrame:
     """All links that components need: light ones, and those of the lists, by rounds of stars and a full scan."""
-    entries = texts.mapInArrow(list_rows(boundary, often, times), "shingle long, part int, key long, n int, pos int")
+    entries = scanned.where("n > 0").agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
+    buckets = max(1, int(entries * 16) // BUCKET_BYTES)
+    packed = texts.mapInArrow(list_entries(boundary, often, times, buckets), "bucket int, shingles binary, keys binary")
+    lists = cut_lineage(packed.repartition(buckets, "bucket").mapInArrow(shared_lists(often, times), "shingle long, part long, key long, indexed boolean, pivot long"))
     whole = W.partitionBy("shingle", "part")
-    lists = cut_lineage(entries.withColumn("pivot", F.min("key").over(whole)).withColumn("_last", F.max("key").over(whole))
-                        .where((F.col("pivot") != F.col("_last")) | (F.col("part") >= 0)).drop("_last"))
     listed = lists.select("key").distinct()
     counts = cut_lineage(scanned.where("counts IS NOT NULL").select("key", "n", "counts").join(listed, "key", "left_semi").dropDuplicates(["key"]))
     tried = cut_lineage(_stars(lists, "pivot"))
     near = possible(tried, counts)
     links = cut_lineage(verified(near, whole_sets(texts, _keys(near))).unionByName(light))
-    sets, before = None, float("inf")
+    before = float("inf")
+    lists = lists.join(counts.select("key", "n"), "key")
     while True:
         roots = components(links).withColumnRenamed("node", "key")
         named = lists.drop("pivot").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -302,16 +351,15 @@ def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.n
         total, cross = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
         if not total:
             return links
-        if sets is None:  # what later rounds compare is among these
-            sets = whole_sets(texts, named.select("key").distinct())
         last = cross <= FULL_SCAN * total or cross > GAIN * before
         if last:
             pairs = _cross_pairs(named)
         else:
             by = F.min(F.struct(F.xxhash64(F.lit(cross), "key").alias("h"), F.col("key").alias("k"), F.col("root").alias("r"))).over(whole)
-            pairs = _stars(named.withColumn("_p", by).withColumn("pivot", F.col("_p.k")).where((F.col("part") >= 0) | (F.col("_p.r") != F.col("root"))), "pivot")
+            pairs = _stars(named.withColumn("_p", by).withColumn("pivot", F.col("_p.k")).where((F.col("part") > 0) | (F.col("_p.r") != F.col("root"))), "pivot")
         pairs = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti"))
-        links = cut_lineage(links.unionByName(verified(possible(pairs, counts), sets)))
+        near = possible(pairs, counts)
+        links = cut_lineage(links.unionByName(verified(near, whole_sets(texts, _keys(near)))))
         if last:
             return links
         tried, before = cut_lineage(tried.unionByName(pairs)), cross

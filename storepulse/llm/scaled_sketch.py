@@ -23,7 +23,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def threshold(fraction: float) -> int:
     """Upper bound of retained hashes, in the signed 64-bit range."""
-    return -2**63 + int(fraction * 2**64)
+    return min(2**63 - 1, -2**63 + int(fraction * 2**64))
 
 
 def with_sketch(df: DataFrame, text: str, out: str, fraction: float = 0.125) -> DataFrame:

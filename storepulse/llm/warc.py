@@ -93,7 +93,7 @@ class ShardWriter:
         if self.file is None:
             self.name = f"_tmp/{uuid.uuid4().hex}.warc.gz"
             self.fs.create_dir(f"{self.root}/_tmp", recursive=True)
-            self.file, self.records, self.bytes, self.hash = self.fs.open_output_stream(f"{self.root}/{self.name}"), 0, 0, hashlib.sha256()
+            self.file, self.records, self.bytes, self.hash = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None), 0, 0, hashlib.sha256()
         self.file.write(record)
         self.records, self.bytes = self.records + 1, self.bytes + len(record)
         self.hash.update(record)
@@ -202,7 +202,7 @@ def read_warc(spark: SparkSession, out_dir: str, with_payload: bool = True) -> D
 
 def members(fs: pafs.FileSystem, path: str) -> Iterator[bytes]:
     """Uncompressed gzip members of a file, one at a time."""
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         z, parts, data = zlib.decompressobj(31), [], f.read(1 << 20)
         while data:
             parts.append(z.decompress(data))
