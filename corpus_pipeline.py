@@ -52,10 +52,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row per document and copy with the words that the mix takes."""
+    """The mix of sources: a row per document and copy with the words that the mix takes. An extra
+    column with the name of a mixing figure (target, taken, source_size, ranges) does not outlast this stage."""
     sized = docs.withColumn("_words", word_count(F.col("text")))
     sizes = cut_lineage(sized.select("doc_id", "source", "_words"))
-    return realise(mix_sources(sized, sizes, size_col="_words"), size_col="_words").select(*docs.columns)
+    out = realise(mix_sources(sized, sizes, size_col="_words"), size_col="_words")
+    return out.select(*[c for c in docs.columns if c in out.columns])
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
