@@ -13,8 +13,7 @@ in each round for lists whose members are still in different components. When th
 components cost no more than another round, they are all scanned, so no link between different texts is
 lost, while a group of copies costs about as many pairs as members.
 
-Candidates pass a rigorous filter first: counts of a set's shingles in ``BUCKETS`` hash buckets bound the overlap
-from above. What is left is verified on the whole sets.
+Candidates pass a rigorous filter first: counts of a set's shingles in hash buckets bound the overlap from above. What is left is verified on the whole sets.
 
 The boundary is the size at which enumerating subsets starts to cost more than scanning lists.
 
@@ -48,7 +47,7 @@ BLOCK_SHINGLES = 1 << 22  # shingles counted at once by a task
 LIST_SPLIT = 20_000  # longer lists are scanned in parts that meet in their pivots
 SLICE_ROWS = 500
 BITS = 1 << 23  # size of the filter of wanted sets
-BUCKETS = 128
+BUCKETS = (128, 1024, 8192)  # hash buckets of the counts of sets up to eight times as many shingles; the last for all others
 FULL_SCAN = 32  # pairs a list entry that make a full scan as cheap as a round of stars
 GAIN = 0.7  # a round that leaves more than this share of the pairs is the last before the full scan
 ENTRIES = 1 << 20  # list entries that a task packs at once
@@ -107,6 +106,20 @@ def _first_seen(sets: list[np.ndarray], seen: set[int]) -> Iterator[tuple[int, n
             yield key, s
 
 
+def bucket_counts(found: np.ndarray) -> np.ndarray:
+    """Shingles by hash bucket; 255 stands for that many or more."""
+    n = next((b for b in BUCKETS if len(found) <= 8 * b), BUCKETS[-1])
+    return np.minimum(np.bincount((found & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8)
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> float:
+    """Upper bound of the common shingles of two sets by their bucket counts."""
+    if (x == 255).any() or (y == 255).any():
+        return float("inf")
+    n = min(len(x), len(y))  # a finer count folds into a coarser one
+    return int(np.minimum(x.reshape(-1, n).sum(axis=0, dtype=np.int64), y.reshape(-1, n).sum(axis=0, dtype=np.int64)).sum())
+
+
 SCAN = "id long, n long, key long, counts binary, small array<long>, often array<long>, times array<long>"
 SCAN_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("counts", pa.binary()), ("small", pa.list_(pa.int64())),
                         ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
@@ -132,7 +145,7 @@ def sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 seen.add(key)
                 block.append(s)
                 size += len(s)
-                row[2] = np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+                row[2] = bucket_counts(s).tobytes()
                 row[3] = s.view(np.int64) if len(s) <= MAX_LIGHT else None
             rows.append(row)
         n, keys, counts, small = zip(*rows, strict=True)
@@ -258,11 +271,18 @@ def possible(pairs: DataFrame, counts: DataFrame) -> DataFrame:
                 b = whole.slice(at, 4096)
                 col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
                 n, m = (col[f"n_{x}"].to_numpy() for x in "uv")
-                x, y = (np.frombuffer(b"".join(col[f"c_{k}"].to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in "uv")
-                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                full = (x == 255).any(axis=1) | (y == 255).any(axis=1)  # a count that may be larger bounds nothing
                 need = -(-T_NUM * (n + m) // (T_NUM + T_DEN))
-                ok = pa.array((full | (most >= need)) & (np.minimum(n, m) >= need))
+                x, y = (col[f"c_{k}"].to_pylist() for k in "uv")
+                fine = np.array([len(p) > BUCKETS[0] or len(q) > BUCKETS[0] for p, q in zip(x, y, strict=True)])
+                most = np.zeros(len(n))
+                if not fine.all():
+                    p, q = (np.frombuffer(b"".join(c for c, f in zip(z, fine, strict=True) if not f), np.uint8).reshape(-1, BUCKETS[0]) for z in (x, y))
+                    bound = np.minimum(p, q).sum(axis=1, dtype=np.int64).astype(np.float64)
+                    bound[(p == 255).any(axis=1) | (q == 255).any(axis=1)] = np.inf
+                    most[~fine] = bound
+                for i in np.flatnonzero(fine & (np.minimum(n, m) >= need)):
+                    most[i] = most_common(np.frombuffer(x[i], np.uint8), np.frombuffer(y[i], np.uint8))
+                ok = pa.array((most >= need) & (np.minimum(n, m) >= need))
                 yield pa.RecordBatch.from_arrays([col["u"].filter(ok), col["v"].filter(ok)], ["u", "v"])
 
     return cut_lineage(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(keep, "u long, v long"))
@@ -278,9 +298,11 @@ def wanted_bits(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def whole_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """``key``, ``found``: the whole sets of these keys, from the texts."""
-    bits = wanted_bits(keys)
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets, taken from the texts once, reach the threshold.
+
+    Only sets that pass the filter of wanted keys leave their task. Both joins read one exchange of the sets."""
+    bits = wanted_bits(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -289,20 +311,13 @@ def whole_sets(texts: DataFrame, keys: DataFrame) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([s for _, s in got], pa.list_(pa.int64()))], ["key", "found"])
 
-    return cut_lineage(texts.mapInArrow(rows, "key long, found array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"]))
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("found").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("found").alias("b")), "v")
+    sets = texts.mapInArrow(rows, "key long, found array<long>").dropDuplicates(["key"])
+    first = pairs.withColumnRenamed("u", "key").join(sets, "key").select(F.col("key").alias("u"), F.col("v").alias("key"), F.col("found").alias("a"))
+    both = first.join(sets, "key").select("u", F.col("key").alias("v"), "a", F.col("found").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     return cut_lineage(both.where(100 * common >= 75 * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
 
-def _keys(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -337,8 +352,7 @@ def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.n
     listed = lists.select("key").distinct()
     counts = cut_lineage(scanned.where("counts IS NOT NULL").select("key", "n", "counts").join(listed, "key", "left_semi").dropDuplicates(["key"]))
     tried = cut_lineage(_stars(lists, "pivot"))
-    near = possible(tried, counts)
-    links = cut_lineage(verified(near, whole_sets(texts, _keys(near))).unionByName(light))
+    links = cut_lineage(verified(texts, possible(tried, counts)).unionByName(light))
     before = float("inf")
     lists = lists.join(counts.select("key", "n"), "key")
     while True:
@@ -358,8 +372,7 @@ def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.n
             by = F.min(F.struct(F.xxhash64(F.lit(cross), "key").alias("h"), F.col("key").alias("k"), F.col("root").alias("r"))).over(whole)
             pairs = _stars(named.withColumn("_p", by).withColumn("pivot", F.col("_p.k")).where((F.col("part") > 0) | (F.col("_p.r") != F.col("root"))), "pivot")
         pairs = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti"))
-        near = possible(pairs, counts)
-        links = cut_lineage(links.unionByName(verified(near, whole_sets(texts, _keys(near)))))
+        links = cut_lineage(links.unionByName(verified(texts, possible(pairs, counts))))
         if last:
             return links
         tried, before = cut_lineage(tried.unionByName(pairs)), cross
