@@ -120,7 +120,7 @@ def shard_column(thin: DataFrame, shard_bytes: int):
     The driver sees one byte count per bin, at most ``ID_BINS`` + 1."""
     low, high = thin.agg(F.min("page_id"), F.max("page_id")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // ID_BINS))
-    bin_of = F.coalesce(((F.col("page_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1)).cast("int")
+    bin_of = F.coalesce(F.least(((F.col("page_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(ID_BINS - 1)), F.lit(-1)).cast("int")
     sums = dict(thin.groupBy(bin_of.alias("b")).agg(F.sum(F.col("n") + 512)).collect())
     shard_of, at = [0] * (ID_BINS + 1), 0
     for b in range(-1, ID_BINS):
