@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"  # word start; stands for a space inside pieces
-WORDS_KEPT = 350_000  # in each of two generations per worker
-PAIRS_KEPT = 300_000  # per worker; a full table is emptied
+WORDS_KEPT = 150_000  # in each of two generations per worker
+PAIRS_KEPT = 150_000  # per worker; a full table is emptied
 SLICE_ROWS = 500  # rows whose ids and texts a task holds at once
 LONGEST_KEPT = 64
 
@@ -95,8 +95,9 @@ class Encoder:
             self.found.add_word(t, len(t))
         self.found.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
-        self.by_word = Words(lambda w: self.segment(MARK + w))
-        self.line_starts = Words(self.segment)
+        self.joined = {t[k:k + 2] for t in self.ids for k in range(len(t) - 1)}
+        self.by_word = Words(lambda w: self._word(MARK, w))
+        self.inner = Words(lambda w: self._word("", w))
         self.shorter = {t: next((t[:k] for k in range(len(t) - 1, 1, -1) if t[:k] in self.ids), t[:1]) for t in self.ids if len(t) > 1}
         self.newline = self._bytes_of(["\n"])
         self.newline_alone = not any("\n" in t and t != "\n" for t in self.ids)
@@ -169,6 +170,15 @@ class Encoder:
                 ids += [self.byte_ids[b] for b in t.encode()]
         return array("i", ids).tobytes()
 
+    def _word(self, mark: str, word: str) -> bytes:
+        """Ids of a word. No piece holds two characters that are neighbours in none, so the word is cut between such
+        characters first: punctuation behind a word doesn't make another word of it."""
+        joined = self.joined
+        for k in range(len(word) - 1, 0, -1):
+            if word[k - 1:k + 1] not in joined:
+                return (self.by_word if mark else self.inner)[word[:k]] + self.inner[word[k:]]
+        return self.segment(mark + word)
+
     def segment(self, text: str) -> bytes:
         """Ids of a word with its marks."""
         return self._bytes_of(self.remerge(text) if MARK * 2 in text else self.backtrack(text))
@@ -178,7 +188,7 @@ class Encoder:
             line = (MARK if first else "") + line.replace(" ", MARK)
             return [self.segment(seg) for seg in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", line)]
         words = line.split(" ")
-        start = [self.line_starts[w] for w in words[:1] if w and not first]
+        start = [self.inner[w] for w in words[:1] if w and not first]
         return start + list(map(self.by_word.__getitem__, words if first else words[1:]))
 
     def encode(self, text: str | None) -> np.ndarray:
