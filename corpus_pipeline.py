@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm.mix_sources import mix_sources, realise, word_count
+from storepulse.llm.mix_sources import mixed_texts, word_count
 from storepulse.llm.ngram_join import near_documents
 from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import table
@@ -56,7 +56,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     column with the name of a mixing figure (target, taken, source_size, ranges) does not outlast this stage."""
     sized = docs.withColumn("_words", word_count(F.col("text")))
     sizes = cut_lineage(sized.select("doc_id", "source", "_words"))
-    out = realise(mix_sources(sized, sizes, size_col="_words"), size_col="_words")
+    out = mixed_texts(sized, sizes, size_col="_words")
     return out.select(*[c for c in docs.columns if c in out.columns])
 
 

@@ -16,10 +16,9 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,13 +110,14 @@ RANGES = "array<struct<copy:int,from_word:long,to_word:long>>"
 
 def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.0,
                 block_words: int = 64, cell_words: int = 500_000, id_col: str = "doc_id", source_col: str = "source",
-                size_col: str = "size") -> DataFrame:
+                size_col: str = "size", finish: tuple[Callable[[pa.Table], pa.Table], T.StructType] | None = None) -> DataFrame:
     """``docs`` with ``source_size``, ``target``, ``taken`` and ``ranges`` (taken word ranges per copy).
 
     ``docs`` has ``id_col``, ``source_col`` and ``size_col``; ``sizes`` is the same rows with these three
     columns only, already written, as it is read twice. Rows of size 0 take 0. A null source is a source of
     its own; null ids and repeated rows are rows like any other. Empty table: empty result. Columns of the
-    names added here are replaced."""
+    names added here are replaced. ``finish`` turns a cell's rows into others in the same task; rows of size 0
+    are then left out."""
     spark = docs.sparkSession
     spec = T.StructType([*(f for f in docs.schema if f.name not in ("source_size", "target", "taken", "ranges")),
                          T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
@@ -138,15 +138,16 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float
         return (df.join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col("_source")))
                 .withColumn("_cell", F.pmod(key, F.col("_cells"))).withColumn("_order", key))
 
-    def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_no", "_cell"])
-        votes = (pdf["target"] * pdf["_words"] / pdf["source_size"] / block_words).to_numpy()
-        caps = (int(most) * -(-pdf["_words"] // block_words)).to_numpy()
-        return pdf[["_no", "_cell"]].assign(_quota=highest_quotients(votes, caps, round(float(votes.sum()))))
+    def quotas(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_no", "ascending"), ("_cell", "ascending")])
+        words = rows.column("_words").to_numpy()
+        votes = rows.column("target").to_numpy() * words / rows.column("source_size").to_numpy() / block_words
+        granted = highest_quotients(votes, int(most) * -(-words // block_words), round(float(votes.sum())))
+        return pa.table({"_no": rows.column("_no"), "_cell": rows.column("_cell"), "_quota": pa.array(granted)})
 
     totals = (dealt(sizes.where(F.col(size_col) > 0)).groupBy("_no", "_cell", "target", "source_size", ((F.col("_first") + F.col("_cell")) % shards).alias("_shard"))
               .agg(F.sum(size_col).alias("_words")))
-    granted = totals.groupBy("_shard").applyInPandas(quotas, "_no long, _cell long, _quota long")
+    granted = totals.groupBy("_shard").applyInArrow(quotas, "_no long, _cell long, _quota long")
 
     def select(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("_order", "ascending"), (id_col, "ascending"), (size_col, "ascending")])
@@ -159,37 +160,39 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float
         upto = lambda x: before[x // block_words] + padded[x // block_words] * (x % block_words)
         made = {"taken": pa.array(upto(ends) - upto(starts)),
                 "ranges": pa.array([_runs(times, int(x), int(y), block_words) for x, y in zip(starts, ends, strict=True)], RANGES_ARROW)}
-        return pa.table({c: made[c] if c in made else rows.column(c) for c in spec.names})
+        out = pa.table({c: made[c] if c in made else rows.column(c) for c in spec.names})
+        return finish[0](out) if finish else out
 
-    taken = dealt(docs.where(F.col(size_col) > 0)).join(granted, ["_no", "_cell"]).groupBy("_no", "_cell").applyInArrow(select, spec)
+    taken = dealt(docs.where(F.col(size_col) > 0)).join(granted, ["_no", "_cell"]).groupBy("_no", "_cell").applyInArrow(select, finish[1] if finish else spec)
+    if finish:
+        return taken
     none = dealt(docs.where(F.col(size_col) == 0)).withColumns({"taken": F.lit(0).cast("long"), "ranges": F.array().cast(RANGES)}).select(*spec.names)
     return taken.unionByName(none)
 
 
-def realise(mixed: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars", size_col: str = "size") -> DataFrame:
-    """One row per document and copy whose text is the taken words: a wholly taken document verbatim, else its
-    taken runs with their own spacing, joined by line ends. Documents that the mix leaves out go."""
-    keep = [c for c in mixed.columns if c not in (size_col, "source_size", "target", "taken", "ranges")]
+def mixed_texts(docs: DataFrame, sizes: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars", size_col: str = "size", **options) -> DataFrame:
+    """The mix itself: one row per document and copy whose text is the taken words. A wholly taken document stays
+    verbatim, else its taken runs keep their own spacing and are joined by line ends. Documents that the mix leaves
+    out go. The columns are those of ``docs`` but ``size_col`` and those that ``mix_sources`` adds."""
+    keep = [c for c in docs.columns if c not in (size_col, "source_size", "target", "taken", "ranges")]
+    schema = T.StructType([docs.schema[c] for c in keep])
     word = re.compile(WORD)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            at, texts = [], []
-            for i, (text, size, ranges) in enumerate(zip(col[text_col].to_pylist(), col[size_col].to_pylist(), col["ranges"].to_pylist(), strict=True)):
-                spans, by_copy = None, {}
-                for r in ranges:
-                    by_copy.setdefault(r["copy"], []).append((r["from_word"], r["to_word"]))
-                for _, runs in sorted(by_copy.items()):
-                    at.append(i)
-                    if runs == [(0, size)]:
-                        texts.append(text)
-                    else:
-                        spans = spans or [m.span() for m in word.finditer(text)]
-                        texts.append("\n".join(text[spans[x][0]:spans[y - 1][1]] for x, y in runs))
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else col[c].take(rows) for c in keep], keep)
-
-    schema = T.StructType([mixed.schema[c] for c in keep])
-    out = mixed.where(F.col("taken") > 0).mapInArrow(cut, schema)
+    def cut(rows: pa.Table) -> pa.Table:
+        at, texts = [], []
+        for i, (text, size, ranges) in enumerate(zip(rows.column(text_col).to_pylist(), rows.column(size_col).to_pylist(), rows.column("ranges").to_pylist(), strict=True)):
+            spans, by_copy = None, {}
+            for r in ranges:
+                by_copy.setdefault(r["copy"], []).append((r["from_word"], r["to_word"]))
+            for _, runs in sorted(by_copy.items()):
+                at.append(i)
+                if runs == [(0, size)]:
+                    texts.append(text)
+                else:
+                    spans = spans or [m.span() for m in word.finditer(text)]
+                    texts.append("\n".join(text[spans[x][0]:spans[y - 1][1]] for x, y in runs))
+        chosen = rows.select(keep).take(pa.array(at, pa.int64()))
+        return chosen.set_column(keep.index(text_col), text_col, pa.array(texts, pa.string()))
+
+    out = mix_sources(docs, sizes, size_col=size_col, finish=(cut, schema), **options)
     return out.withColumn(n_chars_col, F.length(text_col).cast(schema[n_chars_col].dataType)) if n_chars_col in keep else out
