@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storepulse.llm.mix_sources import choose_blocks, highest_quotients, mix_sources, realise, source_targets, word_count
+from storepulse.llm.mix_sources import choose_blocks, highest_quotients, mix_sources, mixed_texts, source_targets, word_count
 from storepulse.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -61,12 +61,13 @@ def sized(df):
 
 def test_many_cells_and_ranges(spark):
     docs = sized(spark.read.parquet(f"{SF}/documents.parquet"))
-    mixed = mix_sources(docs, docs.select("doc_id", "source", "size"), cell_words=3000, block_words=16).cache()
+    sizes = docs.select("doc_id", "source", "size")
+    mixed = mix_sources(docs, sizes, cell_words=3000, block_words=16).cache()
     sums = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
     assert all(abs(r.t - r.g) <= 0.03 * r.g for r in sums)
     ranged = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, x: a + x["to_word"] - x["from_word"])
     assert mixed.where(ranged != F.col("taken")).count() == 0
-    out = realise(mixed)
+    out = mixed_texts(docs, sizes, cell_words=3000, block_words=16)
     assert out.columns == spark.read.parquet(f"{SF}/documents.parquet").columns
     words = {r.doc_id: r.w for r in out.groupBy("doc_id").agg(F.sum(word_count(F.col("text"))).alias("w")).collect()}
     assert words == {r.doc_id: r.taken for r in mixed.where("taken > 0").select("doc_id", "taken").collect()}
@@ -80,5 +81,5 @@ def test_edges(edge_docs, empty_docs):
     assert len(rows) == 15 and all(0 <= r.taken <= 2 * r.size for r in rows)
     assert {r.taken for r in rows if r.size == 0} == {0}
     none = sized(empty_docs)
-    got = mix_sources(none, none.select("doc_id", "source", "size"))
-    assert got.count() == 0 and realise(got).count() == 0
+    sizes = none.select("doc_id", "source", "size")
+    assert mix_sources(none, sizes).count() == 0 and mixed_texts(none, sizes).count() == 0
