@@ -4,31 +4,31 @@ TF-IDF follows the public definition used by the reference's library: lower-case
 least two word characters, stop words removed, vocabulary = the ``max_features`` terms with the
 largest corpus count, raw tf × (ln((1+N)/(1+df)) + 1), L2-normalised per document.
 
-Top-k cosine without all pairs. In a catalogue a few terms (a category word, a common token)
-occur in almost every product, so a self-join on terms would emit nearly N² pairs. Instead:
+Exact top-k cosine, one path for texts of any length:
 
 1. Products with the same term-count map have the same vector; they collapse into one
    *signature*, which keeps only its k+1 lowest positions (the others can never be picked).
-2. Rare terms (in at most ``rare_df`` signatures) are self-joined exactly; each such posting
-   group is bounded by ``rare_df``.
-3. Frequent terms: if G and H share exactly the frequent terms S (with H's tf on S) and no rare
-   term, sim(G, H) = c(G, S, tf) / ‖H‖. So for every non-empty subset S of a signature's frequent
-   terms we index the k+1 signatures holding S with the smallest norm (then lowest position);
-   G looks up the subsets of its own frequent terms. Any other H is outscored by those k+1.
-   Signatures have few frequent terms in a catalogue; if one has more than ``max_subset_terms``,
-   the per-pattern variant (k+1 best per full frequent-term pattern) is used instead, unless
-   ``rare_df="auto"`` raises the rare threshold just enough to keep every signature within it.
-4. Products with similarity 0 rank by position, so the 2k+1 lowest positions overall are added
-   as fill candidates.
-
-Every signature's candidate set therefore contains its true top k+1 (self included), and the
-number of candidate pairs is bounded per signature (rare partners + (2^|F| − 1) × (k+1) + 2k+1).
-Exact similarities are computed for the candidates only and ranked per signature by (similarity
-rounded to 9, position); each product then drops itself and keeps the first k.
+2. Signatures are sorted by their terms in order of weight and cut into tiles of ``TILE_ROWS``
+   dense rows (at most ``max_features`` wide), so that like signatures are neighbours.
+3. Each tile is multiplied with itself; a row's (k+1)-th best similarity there bounds its final
+   list from below.
+4. The largest weight per term of every other tile bounds what a row can find in it from above.
+   A pair of tiles is multiplied only if some row's upper bound reaches its lower bound, and
+   each product returns k+1 signatures a row: rows emitted grow with signatures and tiles
+   visited, not with pairs.
+5. Products with similarity 0 rank by position, so the 2k+1 lowest positions overall are added.
+
+Similarities are ranked per signature by (similarity rounded to 9, position); each product then
+drops itself and keeps the first k.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +37,8 @@ from storepulse.operators.lookup import substring_lookup
 from storepulse.operators.windows import top_k_per_key
 from storepulse.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 TOKEN_PATTERN = r"\b\w\w+\b"
 # Our own English stop-word table (shared with the SQL oracle).
 STOP_WORDS = sorted(set("""
@@ -49,7 +51,13 @@ through to too under until up very was we were what when where which while who w
 would you your yours yourself yourselves
 """.split()))
 RANK_DIGITS = 9
-BROADCAST_MAX_ROWS = 1_000_000
+TILE_ROWS = 1024  # signatures of a tile
+PRODUCT_ROWS = 256  # rows of a product held at once
+SLACK = 3e-9  # rounding of the bounds, and ties of rounded similarities
+TILE = ("tile int, n int, sig array<string>, pos array<long>, vec binary, most array<double>, least binary, "
+        "g array<string>, h array<string>, sim array<double>")
+TILE_ARROW = pa.schema([("tile", pa.int32()), ("n", pa.int32()), ("sig", pa.list_(pa.string())), ("pos", pa.list_(pa.int64())), ("vec", pa.binary()),
+                        ("most", pa.list_(pa.float64())), ("least", pa.binary()), ("g", pa.list_(pa.string())), ("h", pa.list_(pa.string())), ("sim", pa.list_(pa.float64()))])
 
 
 def named_products(df: DataFrame, name: str = "name") -> DataFrame:
@@ -92,87 +100,116 @@ def tfidf(docs: DataFrame, doc: str = "position", content: str = "content", max_
         .select(doc, "term", "tf", "weight", "raw")
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_MAX_ROWS else df
-
-
-def _subset_candidates(fsets: DataFrame, k: int) -> DataFrame:
-    """(g, h) pairs: for every non-empty subset S of G's frequent terms, the k+1 signatures holding
-    S (same tf on S) with the smallest norm. Any other H sharing exactly S with G, and no rare
-    term, is outscored by those k+1 (same numerator, smaller or equal norm)."""
-    masks = F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("_f")) - 1).cast("int"))).alias("_m")
-    sub = fsets.select("sig", "norm", "min_pos", "_f", masks)
-    picked = F.filter("_f", lambda x, i: F.col("_m").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0)
-    keyed = sub.select("sig", "norm", "min_pos", picked.alias("_s")).select(
-        "sig", "norm", "min_pos", F.transform("_s", lambda x: x["term"]).alias("_terms"),
-        F.transform("_s", lambda x: x["tf"]).alias("_tfs"))
-    index = top_k_per_key(keyed, ["_terms", "_tfs"], [F.col("norm"), F.col("min_pos")], k + 1, rank_col="_r")
-    query = keyed.select(F.col("sig").alias("g"), "_terms")
-    return (query.join(index.select("_terms", F.col("sig").alias("h")), "_terms")
-            .select("g", "h").distinct())
-
-
-def _pattern_candidates(freq: DataFrame, fsets: DataFrame, k: int) -> DataFrame:
-    """Fallback when some signature has many frequent terms: the k+1 best signatures (smallest
-    norm, then position) of each full frequent-term pattern, offered to every signature that
-    shares a frequent term with them."""
-    ranked = fsets.withColumn("pat", F.to_json("_f"))
-    best = top_k_per_key(ranked, "pat", [F.col("norm"), F.col("min_pos")], k + 1, rank_col="_r").select("sig")
-    best_terms = _maybe_broadcast(freq.join(best, "sig").select("term", F.col("sig").alias("h")))
-    return (freq.select("term", F.col("sig").alias("g")).join(best_terms, "term")
-            .select("g", "h").distinct())
-
-
-def similar_products(docs: DataFrame, k: int = 5, doc: str = "position", content: str = "content",
-                     max_features: int = 100, rare_df: int | str = 64, max_subset_terms: int = 8) -> DataFrame:
+def _dense(rows: list[tuple[list[int], list[float]]], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width))
+    for i, (at, w) in enumerate(rows):
+        out[i, at] = w
+    return out
+
+
+def _best(a: np.ndarray, b: np.ndarray, order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and similarities of the ``n`` best columns of every row of ``a @ b.T`` by (rounded similarity,
+    least position); ``order`` ranks the columns by position. Zero similarities are left out."""
+    rows, cols, sims = [], [], []
+    last = len(order) - 1
+    for at in range(0, len(a), PRODUCT_ROWS):
+        sim = a[at:at + PRODUCT_ROWS] @ b.T
+        rank = np.rint(sim * 10**RANK_DIGITS) * len(order) + (last - order)  # distinct whole numbers below 2^53
+        keep = np.argpartition(-rank, min(n, last + 1) - 1, axis=1)[:, :n]
+        i = np.repeat(np.arange(len(sim)), keep.shape[1])
+        j = keep.ravel()
+        hit = sim[i, j] > 0
+        rows.append(at + i[hit])
+        cols.append(j[hit])
+        sims.append(sim[i[hit], j[hit]])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
+
+
+def _signature_sims(vectors: DataFrame, k: int, width: int) -> DataFrame:
+    """(g, h, sim): per signature its k+1 best signatures of every tile that can hold one of its k+1 best.
+
+    ``vectors`` has one row per signature: ``sig``, ``min_pos``, ``at`` (term numbers), ``w`` (weights), ``lead``
+    (terms by falling weight, the sort key)."""
+    total = vectors.count()
+    if not total:
+        return vectors.sparkSession.createDataFrame([], "g string, h string, sim double")
+    n = -(-total // TILE_ROWS)
+
+    def tiles(batches):
+        for rows in _by_tile(batches):
+            vec = _dense(list(zip(rows["at"], rows["w"], strict=True)), width)
+            order = np.argsort(np.argsort(rows["min_pos"], kind="stable"))
+            i, j, sim = _best(vec, vec, order, k + 1)
+            least = np.zeros(len(vec))  # (k+1)-th best within the tile, 0 where there are fewer
+            count = np.bincount(i, minlength=len(vec))
+            low = np.full(len(vec), np.inf)
+            np.minimum.at(low, i, sim)
+            least[count > k] = low[count > k]
+            sig = rows["sig"]
+            yield pa.RecordBatch.from_pylist([{
+                "tile": TaskContext.get().partitionId(), "n": len(vec), "sig": sig, "pos": order.astype(np.int64).tolist(), "vec": vec.tobytes(), "most": vec.max(axis=0).tolist(),
+                "least": least.tobytes(), "g": [sig[x] for x in i.tolist()], "h": [sig[x] for x in j.tolist()], "sim": sim.tolist()}], TILE_ARROW)
+
+    sorted_ = vectors.repartitionByRange(n, "lead", "sig").coalesce(n).sortWithinPartitions("lead", "sig")
+    done = cut_lineage(sorted_.select("sig", "min_pos", "at", "w").mapInArrow(tiles, TILE))
+    own = done.select(F.explode(F.arrays_zip("g", "h", "sim")).alias("x")).select("x.*")
+    peaks = {r.tile: np.array(r.most) for r in done.select("tile", "most").collect()}  # max_features numbers per tile
+    numbers = sorted(peaks)
+    most = np.array([peaks[t] for t in numbers])
+
+    def visits(batches):
+        for b in batches:
+            for t, rows, vec, least in zip(*(b.column(c).to_pylist() for c in ("tile", "n", "vec", "least")), strict=True):
+                vec, least = np.frombuffer(vec).reshape(rows, width), np.frombuffer(least)
+                reach = (vec @ most.T + SLACK >= least[:, None]).any(axis=0)
+                others = [o for o, r in zip(numbers, reach.tolist(), strict=True) if r and o != t]
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(others), pa.int32()), pa.array(others, pa.int32())], ["tile", "other"])
+
+    plan = done.select("tile", "n", "vec", "least").mapInArrow(visits, "tile int, other int")
+    part = done.select("tile", "n", "sig", "pos", "vec")
+    pairs = (plan.join(part, "tile").join(part.select(*[F.col(c).alias("other" if c == "tile" else f"o_{c}") for c in part.columns]), "other")
+             .repartition(max(1, min(n * n, 10_000)), "tile", "other"))
+
+    def products(batches):
+        for b in batches:
+            for x in range(b.num_rows):
+                r = {c: b.column(y)[x].as_py() for y, c in enumerate(b.schema.names)}
+                i, j, sim = _best(np.frombuffer(r["vec"]).reshape(r["n"], width), np.frombuffer(r["o_vec"]).reshape(r["o_n"], width), np.array(r["o_pos"]), k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([r["sig"][y] for y in i.tolist()], pa.string()), pa.array([r["o_sig"][y] for y in j.tolist()], pa.string()), pa.array(sim)],
+                                                 ["g", "h", "sim"])
+
+    return own.unionByName(pairs.drop("tile", "other").mapInArrow(products, "g string, h string, sim double"))
+
+
+def _by_tile(batches):
+    """All rows of a range partition (a tile), as lists by column."""
+    batches = [b for b in batches if b.num_rows]
+    if batches:
+        yield pa.Table.from_batches(batches).to_pydict()
+
+
+def similar_products(docs: DataFrame, k: int = 5, doc: str = "position", content: str = "content", max_features: int = 100) -> DataFrame:
     """M10 (+J6, W5): for every document its k most similar other documents.
 
     Returns (source, rank, target, similarity) with similarity in [0, 1]; see the module notes for
-    how candidates are bounded."""
-    # The weights, the doc → signature map and the signature postings are each used by several
-    # branches below; reliable checkpoints compute them once and cut the lineage.
+    how pairs are bounded."""
+    # The weights and the doc → signature map are used by several branches below; written tables
+    # compute them once and cut the lineage.
     w = cut_lineage(tfidf(docs, doc, content, max_features))
-    # 1. Signatures: identical term-count maps.
     sig_of = (w.groupBy(doc).agg(F.to_json(F.array_sort(F.collect_list(F.struct("term", "tf")))).alias("sig"))
               .withColumn("sig", F.sha2(F.col("sig"), 256)))
-    all_docs = cut_lineage(docs.select(doc).join(sig_of, doc, "left")
-                           .withColumn("sig", F.coalesce("sig", F.lit(""))))
-    reps = (top_k_per_key(all_docs, "sig", [F.col(doc)], k + 1, rank_col="_r")
-            .select(F.col("sig"), F.col(doc).alias("rep")))
-    min_pos = all_docs.groupBy("sig").agg(F.min(doc).alias("min_pos"), F.first(doc).alias("_any"))
-    post = (w.join(min_pos, w[doc] == min_pos["min_pos"], "inner")
-            .select("sig", "term", "tf", "weight", "raw", "min_pos"))
-    sig_norm = post.groupBy("sig").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    df_sig = post.groupBy("term").agg(F.count(F.lit(1)).alias("df_sig"))
-    post = cut_lineage(post.join(F.broadcast(df_sig), "term", "inner")  # at most max_features rows
-                       .join(sig_norm, "sig", "inner"))
-    if rare_df == "auto":
-        # Smallest threshold that leaves every signature at most max_subset_terms frequent terms:
-        # the largest (max_subset_terms+1)-th biggest df of any signature (one aggregate).
-        kth = post.groupBy("sig").agg(F.sort_array(F.collect_list("df_sig"), asc=False).alias("_d")).select(
-            F.try_element_at("_d", F.lit(max_subset_terms + 1)).alias("_t"))
-        rare_df = max(64, kth.agg(F.max("_t")).first()[0] or 0)
-    # 2. Rare terms: exact self-join, groups bounded by rare_df.
-    rare = post.filter(F.col("df_sig") <= rare_df).select("term", "sig")
-    rare_pairs = (rare.alias("a").join(rare.alias("b"), "term")
-                  .select(F.col("a.sig").alias("g"), F.col("b.sig").alias("h")).distinct())
-    # 3. Frequent terms.
-    freq = post.filter(F.col("df_sig") > rare_df)
-    fsets = freq.groupBy("sig", "norm", "min_pos").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("_f"))
-    widest = fsets.agg(F.max(F.size("_f"))).first()[0] or 0
-    if widest <= max_subset_terms:
-        freq_pairs = _subset_candidates(fsets, k)
-    else:
-        freq_pairs = _pattern_candidates(freq, fsets, k)
-    twin_pairs = post.select(F.col("sig").alias("g"), F.col("sig").alias("h")).distinct()
-    pairs = rare_pairs.unionByName(freq_pairs).unionByName(twin_pairs).distinct()
-    # Exact similarity of each candidate signature pair.
-    pg = post.select(F.col("sig").alias("g"), "term", F.col("weight").alias("wg"))
-    ph = post.select(F.col("sig").alias("h"), "term", F.col("weight").alias("wh"))
-    sims = (pairs.join(pg, "g").join(ph, ["h", "term"])
-            .groupBy("g", "h").agg(F.sum(F.col("wg") * F.col("wh")).alias("sim")))
-    # 4. Per signature, the top k+1 documents (self included) over the candidates and the
-    #    zero-similarity fill; every document of the signature shares that list.
+    all_docs = cut_lineage(docs.select(doc).join(sig_of, doc, "left").withColumn("sig", F.coalesce("sig", F.lit(""))))
+    reps = top_k_per_key(all_docs, "sig", [F.col(doc)], k + 1, rank_col="_r").select(F.col("sig"), F.col(doc).alias("rep"))
+    min_pos = all_docs.groupBy("sig").agg(F.min(doc).alias("min_pos"))
+    numbers = {r[0]: i for i, r in enumerate(w.select("term").distinct().orderBy("term").collect())}  # at most max_features
+    number = F.create_map(*[F.lit(x) for t, i in numbers.items() for x in (t, i)]) if numbers else F.create_map().cast("map<string,int>")
+    post = w.join(min_pos, w[doc] == min_pos["min_pos"], "inner").withColumn("at", number[F.col("term")])
+    vectors = post.groupBy("sig", "min_pos").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("neg"), "term", "at"))).alias("_t")).select(
+        "sig", "min_pos", F.transform("_t", lambda x: x["at"]).alias("at"), F.transform("_t", lambda x: -x["neg"]).alias("w"),
+        F.array_join(F.transform("_t", lambda x: x["term"]), " ").alias("lead"))
+    sims = cut_lineage(_signature_sims(cut_lineage(vectors), k, max(1, len(numbers))))
+    # Per signature, the top k+1 documents (self included) over the candidates and the
+    # zero-similarity fill; every document of the signature shares that list.
     sig_cands = sims.join(reps.withColumnRenamed("sig", "h"), "h").select("g", F.col("rep").alias("target"), "sim")
     lowest = [r[0] for r in docs.select(doc).orderBy(doc).limit(2 * k + 1).collect()]  # 2k+1 values
     sigs = all_docs.select(F.col("sig").alias("g")).distinct()
@@ -181,18 +218,18 @@ def similar_products(docs: DataFrame, k: int = 5, doc: str = "position", content
     cand = sig_cands.unionByName(fill).groupBy("g", "target").agg(F.max("sim").alias("sim"))
     order = [F.round("sim", RANK_DIGITS).desc(), F.col("target")]
     per_sig = top_k_per_key(cand, "g", order, k + 1, rank_col="_r").drop("_r")
-    # 5. Each document drops itself and keeps the first k.
+    # Each document drops itself and keeps the first k.
     src = all_docs.select(F.col(doc).alias("source"), F.col("sig").alias("g"))
     per_doc = src.join(per_sig, "g").filter(F.col("source") != F.col("target"))
     top = top_k_per_key(per_doc, "source", order, k, rank_col="rank")
     return top.select("source", "rank", "target", F.col("sim").alias("similarity"))
 
 
-def recommend_all(products: DataFrame, k: int = 5, max_features: int = 100, rare_df: int = 64) -> DataFrame:
+def recommend_all(products: DataFrame, k: int = 5, max_features: int = 100) -> DataFrame:
     """Recommendations for every product with display columns (name cut to 80, category,
     price text, similarity percent rounded to 1)."""
     docs = named_products(products).withColumn("content", product_content())
-    sims = similar_products(docs, k, "position", "content", max_features, rare_df)
+    sims = similar_products(docs, k, "position", "content", max_features)
     info = products.select(F.col("position").alias("target"), F.col("name").alias("_n"), "category", "price")
     src = products.select(F.col("position").alias("source"), F.col("name").alias("source_product"))
     return (sims.join(info, "target").join(src, "source")

@@ -46,17 +46,38 @@ def _brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("seed,rare_df,max_subset", [(1, 64, 8), (2, 1, 8), (3, 1000, 8), (4, 1, 1), (5, 2, 2),
-                                                     (6, "auto", 2)])
-def test_similar_products_exact(spark, seed, rare_df, max_subset):
+def _top(docs, k):
+    got = {}
+    for r in M.similar_products(docs, k).collect():
+        got.setdefault(r.source, []).append((r.rank, r.target))
+    return {p: [t for _, t in sorted(v)] for p, v in got.items()}
+
+
+@pytest.mark.parametrize("seed,tile_rows", [(1, 1024), (2, 7), (3, 1), (4, 25)])
+def test_similar_products_exact(spark, monkeypatch, seed, tile_rows):
+    monkeypatch.setattr(M, "TILE_ROWS", tile_rows)
     rows = _catalog(60, seed)
     docs = spark.createDataFrame(rows, "position long, name string, category string").withColumn(
         "content", M.product_content())
-    got = {}
-    for r in M.similar_products(docs, 5, rare_df=rare_df, max_subset_terms=max_subset).collect():
-        got.setdefault(r.source, []).append((r.rank, r.target))
-    got = {p: [t for _, t in sorted(v)] for p, v in got.items()}
-    assert got == _brute(rows, 5)
+    assert _top(docs, 5) == _brute(rows, 5)
+
+
+def test_long_texts_with_many_frequent_terms(spark, monkeypatch):
+    """Texts of 15 and more frequent terms: exact, and far fewer candidate rows than pairs."""
+    monkeypatch.setattr(M, "TILE_ROWS", 32)
+    rnd = random.Random(11)
+    vocab = [f"term{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choice(vocab[30 * (i % 2):30 * (i % 2) + 30]) for _ in range(rnd.randint(20, 40))), "A") for i in range(240)]
+    docs = spark.createDataFrame(rows, "position long, name string, category string").withColumn("content", M.product_content())
+    made, plain = [], M._signature_sims
+
+    def counted(*args):
+        made.append(plain(*args))
+        return made[-1]
+
+    monkeypatch.setattr(M, "_signature_sims", counted)
+    assert _top(docs, 5) == _brute(rows, 5)
+    assert made[0].count() <= 240 * 6 * 8 < 240 * 240 / 3
 
 
 def test_similarity_symmetric_and_bounded(spark):
