@@ -8,8 +8,8 @@ Sets that meet in a subset link, with nothing left to verify.
 
 *Heavy* sets go to inverted lists of their prefixes: in one global order of shingles, frequent ones last, two
 sets that link share a shingle among the first ``n - ceil(t n) + 1``, on the smaller side even among the first
-``n - ceil(2 t n / (1 + t)) + 1``. A list is scanned as a star: every member against one pivot, with another pivot
-in each round for lists whose members are still in different components. When the pairs left between
+``n - ceil(2 t n / (1 + t)) + 1``. A list is scanned as a star: every member against one pivot, and in each round
+lists whose members are still in different components against the member with the fewest shingles of its own. When the pairs left between
 components cost no more than another round, they are all scanned, so no link between different texts is
 lost, while a group of copies costs about as many pairs as members.
 
@@ -171,16 +171,16 @@ def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def list_entries(boundary: int, often: np.ndarray, times: np.ndarray, buckets: int):
     """Entries of the inverted lists, packed by bucket of the list: shingles, whose last bit tells whether the entry
-    is of the index, and keys of the sets. Sixteen bytes an entry are all that is shuffled."""
+    is of the index, keys of the sets, and the number of rare shingles (not among the frequent) in the set's prefix.
+    Eighteen bytes an entry are all that is shuffled."""
     def packed(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        shingle, key = (np.concatenate(c) for c in zip(*out, strict=True))
+        shingle, key, zero = (np.concatenate(c) for c in zip(*out, strict=True))
         bucket = (mix(shingle >> np.uint64(1)) + parts_of(shingle, key, often, times).astype(np.uint64)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        pieces = list(zip(np.split(shingle[order], cuts), np.split(key[order], cuts), strict=True))
+        pieces = [np.split(c[order], cuts) for c in (shingle, key, zero)]
         names = bucket[order][np.concatenate([[0], cuts])].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x, _ in pieces], pa.binary()), pa.array([k.tobytes() for _, k in pieces], pa.binary())],
-                                          ["bucket", "shingles", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in pieces)], ["bucket", "shingles", "keys", "zeros"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -190,13 +190,15 @@ def list_entries(boundary: int, often: np.ndarray, times: np.ndarray, buckets: i
                 n = len(s)
                 if n <= boundary and T_DEN * n < T_NUM * (boundary + 1):
                     continue  # all its partners are light
+                zero = probe_length(n)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     rank = np.where(often[at] == s, times[at], 0)
                     s = s[np.argsort(rank, kind="stable")]  # equal ranks by hash
+                    zero = min(zero, int((rank == 0).sum()))
                 s = s[:probe_length(n)] & ~np.uint64(1)
                 s[:index_length(n)] |= np.uint64(1)
-                out.append((s, np.full(len(s), key)))
+                out.append((s, np.full(len(s), key), np.full(len(s), min(zero, 65_535), np.uint16)))
                 size += len(s)
             if size >= ENTRIES:
                 yield packed(out)
@@ -221,23 +223,25 @@ def parts_of(shingle: np.ndarray, key: np.ndarray, often: np.ndarray, times: np.
 def shared_lists(often: np.ndarray, times: np.ndarray):
     """Lists of at least two sets, from all packed entries of a partition, with their least key as pivot."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [(x, k) for b in batches for x, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        blocks = [(x, k, z) for b in batches for x, k, z in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
         if not blocks:
             return
-        shingle, key = np.frombuffer(b"".join(x for x, _ in blocks), np.uint64), np.frombuffer(b"".join(k for _, k in blocks), np.int64)
+        shingle, key, zero = (np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*blocks, strict=True), (np.uint64, np.int64, np.uint16), strict=True))
         del blocks
         part, name = parts_of(shingle, key, often, times), shingle >> np.uint64(1)
         order = np.lexsort((key, part, name))
-        shingle, key, part, name = shingle[order], key[order], part[order], name[order]
+        shingle, key, zero, part, name = shingle[order], key[order], zero[order], part[order], name[order]
         new_list = np.concatenate([[True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])])
         once = new_list | np.concatenate([[True], key[1:] != key[:-1]])  # copies gave the same entry
-        shingle, key, part, name, new_list = shingle[once], key[once], part[once], name[once], new_list[once]
+        shingle, key, zero, part, name, new_list = (c[once] for c in (shingle, key, zero, part, name, new_list))
         start = np.flatnonzero(new_list)
         size = np.diff(np.append(start, len(name)))
         keep = np.repeat((size > 1) | (part[start] > 0), size)
         pivot = np.repeat(key[start], size)
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name.view(np.int64), part, key, (shingle & np.uint64(1)).astype(bool), pivot)],
-                                         ["shingle", "part", "key", "indexed", "pivot"])
+        known = np.sort(often >> np.uint64(1))
+        rare = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] != name if len(known) else np.ones(len(name), bool)
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name.view(np.int64), part, key, (shingle & np.uint64(1)).astype(bool), rare, zero.astype(np.int32), pivot)],
+                                         ["shingle", "part", "key", "indexed", "rare", "zero", "pivot"])
     return rows
 
 
@@ -261,9 +265,26 @@ def light_links(small: DataFrame, boundary: int) -> DataFrame:
     return rows.join(roots, group).where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")).distinct()
 
 
+def probe_column(n):
+    return n - F.ceil(F.lit(T_NUM) * n / T_DEN) + 1
+
+
+def reachable(a: str, b: str):
+    """Can sets a and b still have enough in common, by the rare shingles that no other prefix holds?
+
+    ``open`` is a set's size without the rare shingles of its prefix that stand in no shared list. If the other set's
+    prefix reaches into the frequent shingles (``whole``), it holds all its rare ones, so those are not among them."""
+    need = F.lit(T_NUM) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+    one = lambda x, y: ~F.col(f"whole_{y}") | ((T_NUM + T_DEN) * F.col(f"open_{x}") >= need)
+    return one(a, b) & one(b, a)
+
+
 def possible(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose bucket counts allow the threshold; ``counts`` has key, n and counts of every set in them."""
+    """Pairs (u, v) whose bucket counts allow the threshold; ``counts`` has the sizes and counts of every set in them."""
+    thin = lambda x: counts.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "open", "whole")])
     side = lambda x: counts.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}"))
+    fits = T_DEN * F.least("n_u", "n_v") >= T_NUM * F.greatest("n_u", "n_v")
+    pairs = pairs.join(thin("u"), "u").join(thin("v"), "v").where(fits & reachable("u", "v")).select("u", "v")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -336,25 +357,27 @@ def _cross_pairs(named: DataFrame) -> DataFrame:
     indexed_first = F.array_sort(F.collect_list(F.when(F.col("indexed"), F.col("shingle"))))
     leading = named.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("shingle")), 1, EARLIER).alias("all"), F.slice(indexed_first, 1, EARLIER).alias("own"))
     sides = named.join(leading, "key")
-    a, b = (sides.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "indexed", "root")],
+    a, b = (sides.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "indexed", "root", "open", "whole")],
                          F.filter(c, lambda s: s < F.col("shingle")).alias(f"lesser_{x}")) for x, c in (("a", "all"), ("b", "own")))
     fits = (F.col("root_a") != F.col("root_b")) & F.col("indexed_b") & (F.struct("n_b", "key_b") < F.struct("n_a", "key_a")) & (T_DEN * F.col("n_b") >= T_NUM * F.col("n_a"))
-    return _ordered(a.join(b, "shingle").where(fits & ~F.arrays_overlap("lesser_a", "lesser_b")).select(F.col("key_a").alias("u"), F.col("key_b").alias("v")))
+    return _ordered(a.join(b, "shingle").where(fits & reachable("a", "b") & ~F.arrays_overlap("lesser_a", "lesser_b")).select(F.col("key_a").alias("u"), F.col("key_b").alias("v")))
 
 
 def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.ndarray, times: np.ndarray, light: DataFrame) -> DataFrame:
     """All links that components need: light ones, and those of the lists, by rounds of stars and a full scan."""
     entries = scanned.where("n > 0").agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     buckets = max(1, int(entries * 16) // BUCKET_BYTES)
-    packed = texts.mapInArrow(list_entries(boundary, often, times, buckets), "bucket int, shingles binary, keys binary")
-    lists = cut_lineage(packed.repartition(buckets, "bucket").mapInArrow(shared_lists(often, times), "shingle long, part long, key long, indexed boolean, pivot long"))
+    packed = texts.mapInArrow(list_entries(boundary, often, times, buckets), "bucket int, shingles binary, keys binary, zeros binary")
+    lists = cut_lineage(packed.repartition(buckets, "bucket").mapInArrow(shared_lists(often, times), "shingle long, part long, key long, indexed boolean, rare boolean, zero int, pivot long"))
     whole = W.partitionBy("shingle", "part")
-    listed = lists.select("key").distinct()
-    counts = cut_lineage(scanned.where("counts IS NOT NULL").select("key", "n", "counts").join(listed, "key", "left_semi").dropDuplicates(["key"]))
+    listed = lists.groupBy("key").agg(F.max("zero").alias("zero"), F.count_if("rare").alias("_shared"))
+    counts = cut_lineage(scanned.where("counts IS NOT NULL").select("key", "n", "counts").join(listed, "key").dropDuplicates(["key"])
+                         .select("key", "n", "counts", (F.col("n") - F.col("zero") + F.col("_shared")).alias("open"), (F.col("zero") < probe_column(F.col("n"))).alias("whole")))
+    lists = lists.drop("rare", "zero")
     tried = cut_lineage(_stars(lists, "pivot"))
     links = cut_lineage(verified(texts, possible(tried, counts)).unionByName(light))
     before = float("inf")
-    lists = lists.join(counts.select("key", "n"), "key")
+    lists = lists.join(counts.drop("counts"), "key")
     while True:
         roots = components(links).withColumnRenamed("node", "key")
         named = lists.drop("pivot").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -369,7 +392,7 @@ def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.n
         if last:
             pairs = _cross_pairs(named)
         else:
-            by = F.min(F.struct(F.xxhash64(F.lit(cross), "key").alias("h"), F.col("key").alias("k"), F.col("root").alias("r"))).over(whole)
+            by = F.max(F.struct((F.col("open") / F.col("n")).alias("o"), F.xxhash64(F.lit(cross), "key").alias("h"), F.col("key").alias("k"), F.col("root").alias("r"))).over(whole)
             pairs = _stars(named.withColumn("_p", by).withColumn("pivot", F.col("_p.k")).where((F.col("part") > 0) | (F.col("_p.r") != F.col("root"))), "pivot")
         pairs = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti"))
         links = cut_lineage(links.unionByName(verified(texts, possible(pairs, counts))))
