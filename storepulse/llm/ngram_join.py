@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storepulse.llm.graph import components
+from storepulse.llm.worker import give_back
 from storepulse.llm.words import WordHasher, mix, shingles
 from storepulse.session import cut_lineage
 
@@ -43,14 +44,14 @@ MAX_LIGHT = 12  # sizes considered as boundary
 VERIFY_COST = 12  # cost of a list entry with its share of scans, in subsets
 FREQUENT = 1 << 18  # most frequent shingles known to every task, ordered last; a bound on the broadcast
 LOCAL_LEAST = 3  # sets of one block that make a shingle worth counting
-BLOCK_SHINGLES = 1 << 22  # shingles counted at once by a task
+BLOCK_SHINGLES = 1 << 21  # shingles counted at once by a task
 LIST_SPLIT = 20_000  # longer lists are scanned in parts that meet in their pivots
 SLICE_ROWS = 500
 BITS = 1 << 23  # size of the filter of wanted sets
 BUCKETS = (128, 1024, 8192)  # hash buckets of the counts of sets up to eight times as many shingles; the last for all others
 FULL_SCAN = 32  # pairs a list entry that make a full scan as cheap as a round of stars
 GAIN = 0.7  # a round that leaves more than this share of the pairs is the last before the full scan
-ENTRIES = 1 << 20  # list entries that a task packs at once
+ENTRIES = 1 << 19  # list entries that a task packs at once
 BUCKET_BYTES = 16 << 20  # packed entries of a shuffle partition
 EARLIER = 64  # leading shingles of a set by which a full scan leaves out pairs that it has met in a list before
 
@@ -94,6 +95,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         for at in range(0, whole.num_rows, SLICE_ROWS):
             b = whole.slice(at, SLICE_ROWS)
             yield b, [shingles(hasher.hashes(hasher.bytes_of(t)), SHINGLE) for t in b.column(1).to_pylist()]
+    give_back()
 
 
 def _first_seen(sets: list[np.ndarray], seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -242,6 +244,8 @@ def shared_lists(often: np.ndarray, times: np.ndarray):
         rare = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] != name if len(known) else np.ones(len(name), bool)
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name.view(np.int64), part, key, (shingle & np.uint64(1)).astype(bool), rare, zero.astype(np.int32), pivot)],
                                          ["shingle", "part", "key", "indexed", "rare", "zero", "pivot"])
+        del shingle, key, zero, part, name, order, new_list, once, keep, pivot, rare, known
+        give_back()
     return rows
 
 

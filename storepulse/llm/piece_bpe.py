@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from storepulse.llm.worker import give_back
+
 MARK = "▁"  # word start; stands for a space inside pieces
-WORDS_KEPT = 150_000  # in each of two generations per worker
-PAIRS_KEPT = 150_000  # per worker; a full table is emptied
+WORDS_KEPT = 100_000  # in each of two generations per worker
+PAIRS_KEPT = 100_000  # per worker; a full table is emptied
 SLICE_ROWS = 500  # rows whose ids and texts a task holds at once
 LONGEST_KEPT = 64
 
@@ -255,6 +257,7 @@ def _with(df: DataFrame, made: dict[str, tuple[T.DataType, Callable]]) -> DataFr
                 for name, value in values.items():
                     columns[name] = value(columns.__getitem__)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in (*kept, *made)], [*kept, *made])
+        give_back()
 
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, k) for n, (k, _) in made.items())])
     return df.mapInArrow(run, schema)

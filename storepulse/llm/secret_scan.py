@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storepulse.llm.worker import give_back
+
 # The three base patterns, with the least length of a value, and the kinds in their order.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -151,6 +153,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str = "
         for b in batches:
             i = b.schema.get_field_index(text_col)
             yield b.set_column(i, text_col, pa.array([clean(t) for t in b.column(i).to_pylist()], pa.string()))
+        give_back()
 
     out = docs.mapInArrow(redact, docs.schema)
     return out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType)) if n_chars_col in docs.columns else out

@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storepulse.llm.worker import give_back
+
 MAX_N = 3
 BUCKETS = 1 << 15
 BATCH = 32  # texts in a matrix product
@@ -135,5 +137,6 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
                 sure = np.where(some, np.clip((1 + got[np.arange(len(best)), best]) / 2, 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(lang, pa.string()), pa.array(sure.astype(np.float64))],
                                                  [*kept, lang_out, score_out])
+        give_back()
 
     return docs.mapInArrow(score, T.StructType([*(docs.schema[c] for c in kept), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
