@@ -186,7 +186,7 @@ def feed_rating(c) -> Column:
     """Rating missing or empty on the store feed → 5, then ``int(float(x))``."""
     t = F.trim(_c(c).cast("string"))
     t = F.when(t.isNull() | (t == "") | (t == "0"), F.lit("5")).otherwise(t)
-    return t.try_cast("double").cast("int")
+    return t.try_cast("double").try_cast("int")
 
 
 def match_band(c) -> Column:

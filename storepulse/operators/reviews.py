@@ -21,7 +21,6 @@ TOKEN_PATTERN = "[a-z]+"
 # Normalisation constant of the second (compound) score: s / sqrt(s^2 + alpha).
 COMPOUND_ALPHA = 15.0
 # Broadcast the lexicon only below this many entries; above it the join is a shuffle join.
-LEXICON_BROADCAST_MAX_ROWS = 2_000_000
 
 
 # Fixed values for the optional context rules: a negation word flips and damps the next word's
@@ -32,11 +31,6 @@ NEGATION_SCALAR = -0.74
 BOOSTER_INCREMENT = 0.293
 
 
-def _lexicon_side(lexicon: DataFrame) -> DataFrame:
-    n = lexicon.count()
-    return F.broadcast(lexicon) if n <= LEXICON_BROADCAST_MAX_ROWS else lexicon
-
-
 def tokenize(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, token) for every lower-case word of the whole text."""
     return df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN_PATTERN), 0))
@@ -58,7 +52,7 @@ def sentiment_scores(reviews: DataFrame, lexicon: DataFrame, text: str = "review
     s the summed polarity; a review without hits scores 0 on both. Labels are taken before the
     stored scores are rounded to 4 (half-even). With ``context_rules`` a hit right after a
     negation word is multiplied by −0.74 and one right after a booster moves 0.293 away from 0."""
-    lex = _lexicon_side(lexicon.select(F.col("term").alias("token"), "polarity"))
+    lex = lexicon.select(F.col("term").alias("token"), "polarity")
     if context_rules:
         hits = tokenize_with_previous(reviews, text, key).join(lex, "token", "inner")
         pol = F.col("polarity")

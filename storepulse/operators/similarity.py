@@ -32,14 +32,14 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storepulse.functions.scalars import contains_ci, match_band, short
+from storepulse.functions.scalars import match_band, short
 from storepulse.operators.lookup import substring_lookup
 from storepulse.operators.windows import top_k_per_key
 from storepulse.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
-TOKEN_PATTERN = r"\b\w\w+\b"
+TOKEN_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_]+"  # words of any script; the same class in Java and RE2
 # Our own English stop-word table (shared with the SQL oracle).
 STOP_WORDS = sorted(set("""
 a about above after again against all am an and any are as at be because been before being below
@@ -257,7 +257,7 @@ def recommend_for_term(queries: DataFrame, recs: DataFrame, products: DataFrame,
 
 def search_recommendations(recs: DataFrame, term: str, n: int = 5) -> DataFrame:
     """J8 + T3: stored recommendations whose source matches ``%term%`` ignoring case, by rank."""
-    hit = recs.filter(contains_ci(F.col("source_product"), F.lit(term)))
+    hit = recs.filter(F.col("source_product").ilike(f"%{term}%"))
     return hit.orderBy(F.col("rank"), F.col("source_position")).limit(n)
 
 

@@ -27,6 +27,16 @@ def _us(ts) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join on ``keys`` in which null equals null, so rows without a key or time stay."""
+    renamed = right.select(*[F.col(c).alias(f"_j_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [left[k].eqNullSafe(renamed[f"_j_{k}"]) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return left.join(renamed, on, "inner").drop(*[f"_j_{k}" for k in keys])
+
+
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int = 3600,
                    out: str = "orders_last_hour", context: DataFrame | None = None) -> DataFrame:
     """Rows of the same key with ``now − t < seconds``, this row included.
@@ -65,7 +75,8 @@ def velocity_alerts(df: DataFrame, col: str = "orders_last_hour", above: int = 3
 
 def prior_count(df: DataFrame, key: str, ts: str, tiebreak: str, out: str = "prior_orders",
                 bucket_seconds: int = 86400) -> DataFrame:
-    """Number of earlier rows of the key, ordered by (ts, tiebreak)."""
+    """Number of earlier rows of the key, ordered by (ts, tiebreak); rows without a time come first, and
+    a null key is one key."""
     width = bucket_seconds * MICROS
     base = df.withColumn("_d", F.floor(_us(ts) / F.lit(width)))
     per_day = base.groupBy(key, "_d").agg(F.count(F.lit(1)).alias("_n"))
@@ -73,7 +84,7 @@ def prior_count(df: DataFrame, key: str, ts: str, tiebreak: str, out: str = "pri
     offsets = per_day.select(key, "_d", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy(key, "_d").orderBy(F.col(ts), F.col(tiebreak))
     ranked = base.withColumn("_rn", F.row_number().over(within))
-    return (ranked.join(offsets, [key, "_d"], "inner")
+    return (_join_null_safe(ranked, offsets, [key, "_d"])
             .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
             .drop("_d", "_rn", "_off"))
 
@@ -118,7 +129,7 @@ def changed_rows(df: DataFrame, value: str, ts: str, tiebreak: str, key: str,
     by_day = Window.partitionBy(key).orderBy("_d")
     prev_day = last.select(key, "_d", F.lag("_last").over(by_day).alias("_pl"),
                            (F.row_number().over(by_day) > 1).alias("_has_pl"))
-    j = inner.join(prev_day, [key, "_d"], "inner")
+    j = _join_null_safe(inner, prev_day, [key, "_d"])
     prev = F.when(F.col("_first"), F.col("_pl")).otherwise(F.col("_prev"))
     has_prev = F.when(F.col("_first"), F.col("_has_pl")).otherwise(F.lit(True))
     keep = F.col(value).isNotNull() & (~has_prev | ~F.col(value).eqNullSafe(prev))
@@ -151,7 +162,7 @@ def rank_within_key(df: DataFrame, key: str, order: list[Column], out: str = "ra
     offsets = slices.select(key, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_pid", key).orderBy(*order)
     ranked = ordered.withColumn("_rn", F.row_number().over(w))
-    return (ranked.join(offsets, [key, "_pid"], "inner")
+    return (_join_null_safe(ranked, offsets, [key, "_pid"])
             .withColumn(out, (F.col("_off") + F.col("_rn")).cast("long"))
             .drop("_pid", "_rn", "_off"))
 

@@ -119,7 +119,7 @@ def nlargest_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("search_recommendations", sql=f"""WITH {SIM_SQL}
 SELECT source_position, source_product, rank, recommended_product, similarity_score FROM recs
-WHERE contains(lower(source_product), '{SEARCH_TERM}') ORDER BY rank, source_position LIMIT 5""")
+WHERE source_product ILIKE '%{SEARCH_TERM}%' ORDER BY rank, source_position LIMIT 5""")
 def search_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8 + T3: stored recommendations of sources matching the search term, best ranks first."""
     hit = M.search_recommendations(_recs(spark, sf_dir), SEARCH_TERM, 5)

@@ -11,7 +11,7 @@ from storepulse.plans.oracle import ORDER_FEED_CTE
 from storepulse.plans.registry import query
 from storepulse.sources.feeds import order_feed, transactions
 
-UNDERSAMPLE_RATIO = 3  # the sf0.01 transactions hold 50 fraud rows of 500
+UNDERSAMPLE_RATIO = 10  # normal rows kept per fraud row, as in the original training job
 SEED = 42
 
 TX_SQL = ("tx AS (SELECT vec_id AS id, CAST(vec_id * 10 AS DOUBLE) AS \"Time\", "

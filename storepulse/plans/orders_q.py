@@ -36,7 +36,7 @@ def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1 over the deduplicated log, with the event time parsed from the record's timestamp."""
     norm = normalize_orders(parsed_log(spark, sf_dir))
-    return norm.withColumn("ts", F.to_timestamp(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"))
+    return norm.withColumn("ts", F.try_to_timestamp(F.col("timestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
 
 
 def log_scored(spark: SparkSession, sf_dir: str) -> DataFrame:

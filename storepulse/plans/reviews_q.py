@@ -20,7 +20,7 @@ REVIEW_FEED_SQL = """review_lines AS (
   SELECT CAST(doc_id AS VARCHAR) || '|||' || source || '|||'
          || replace(regexp_replace(text, '[\\r\\n]', ' ', 'g'), '|||', '') || '|||' || CAST(doc_id % 5 + 1 AS VARCHAR)
            AS value
-  FROM documents WHERE lang = 'en'),
+  FROM documents),
 review_parts AS (
   SELECT regexp_extract(value, '^(.*?)[|]{3}(.*?)[|]{3}(.*?)[|]{3}(.*)$', ['a', 'b', 'c', 'd']) AS p
   FROM review_lines WHERE value LIKE '%|||%'),

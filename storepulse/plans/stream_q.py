@@ -25,7 +25,7 @@ TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 def _order_files(spark: SparkSession, sf_dir: str) -> str:
     lines = order_log_lines(spark, sf_dir)
-    ts = F.to_timestamp(F.get_json_object("value", "$.timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    ts = F.try_to_timestamp(F.get_json_object("value", "$.timestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     return X.write_time_chunks(lines.select("value"), ts, X.scratch(spark, "order-log"), CHUNKS)
 
 

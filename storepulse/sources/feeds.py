@@ -138,9 +138,9 @@ def stock_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store reviews: English documents; id, product (source), text with newlines as spaces, rating."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
-    return docs.filter(F.col("lang") == "en").select(
+    """Store reviews: all documents; id, product (source), text with newlines as spaces, rating."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return docs.select(
         F.col("doc_id").alias("comment_id"),
         F.col("source").alias("product_name"),
         F.regexp_replace(F.col("text"), "[\r\n]", " ").alias("review_text"),

@@ -73,14 +73,19 @@ def parse_order_log(lines: DataFrame, keep: list[str] | None = None) -> DataFram
     """Blank lines and lines that are not a JSON object are dropped; nested items kept.
 
     One parse per line: the schema carries a corrupt-record column, which is set exactly when
-    the line does not parse (or a field has the wrong type)."""
+    the line does not parse. Numbers are read as text first, so a total or quantity given as JSON
+    text counts, and one that is no number is null without losing the order."""
     keep = keep or []
-    schema = T.StructType(ORDER_LOG_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())])
+    as_text = {"total": T.StringType(), "items": T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "quantity")]))}
+    schema = T.StructType([T.StructField(f.name, as_text.get(f.name, f.dataType)) for f in ORDER_LOG_SCHEMA.fields]
+                          + [T.StructField("_corrupt", T.StringType())])
     trimmed = F.trim(F.col("value"))
     parsed = lines.filter(trimmed.startswith("{")).withColumn(
         "_o", F.from_json(F.col("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    number = {"total": F.col("_o.total").try_cast("double"),
+              "items": F.transform("_o.items", lambda x: F.struct(x["name"].alias("name"), x["quantity"].try_cast("double").try_cast("int").alias("quantity")))}
     return parsed.filter(F.col("_o._corrupt").isNull()).select(
-        *keep, *[F.col(f"_o.{f.name}").alias(f.name) for f in ORDER_LOG_SCHEMA.fields])
+        *keep, *[number.get(f.name, F.col(f"_o.{f.name}")).alias(f.name) for f in ORDER_LOG_SCHEMA.fields])
 
 
 def read_order_log(spark: SparkSession, path: str) -> DataFrame:
@@ -168,7 +173,7 @@ def parse_review_feed(lines: DataFrame) -> DataFrame:
         F.trim(parts[0]).try_cast("int").alias("comment_id"),
         F.trim(parts[1]).alias("product_name"),
         F.trim(parts[2]).alias("review_text"),
-        F.trim(parts[3]).try_cast("double").cast("int").alias("rating"))
+        F.trim(parts[3]).try_cast("double").try_cast("int").alias("rating"))
     return (out.filter((F.col("_n") == 4) & F.col("comment_id").isNotNull() & F.col("rating").isNotNull())
             .drop("_n"))
 

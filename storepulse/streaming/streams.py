@@ -107,7 +107,7 @@ def order_stream(spark: SparkSession, path: str, watermark: str = "2 hours", max
     """S1 + X5 + P1 on a stream of order-log files: parse, event time, dedup by order id."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
     raw = parse_order_log(lines)
-    norm = normalize_orders(raw).withColumn("ts", F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
+    norm = normalize_orders(raw).withColumn("ts", F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     return norm.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["order_id"])
 
 
