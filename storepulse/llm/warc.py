@@ -145,7 +145,7 @@ def write_warc(pages: DataFrame, out_dir: str, roll_bytes: int = 16 << 20, shard
     none = lambda kind: F.lit(None).cast(kind)
     both = (rows.select("page_id", "sha1", F.lit(1).alias("kind"), "url", "payload", none("long").alias("refers_to"))
             .unionByName(notes.select("page_id", "sha1", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), "refers_to")))
-    both = both.select(shard.alias("shard"), "*").repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "kind", "url")
+    both = both.select(shard.alias("shard"), "*").repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, note, last, nth = ShardWriter(out_dir, roll_bytes), (None, None), None, 0
