@@ -372,7 +372,7 @@ def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.n
     entries = scanned.where("n > 0").agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     buckets = max(1, int(entries * 16) // BUCKET_BYTES)
     packed = texts.mapInArrow(list_entries(boundary, often, times, buckets), "bucket int, shingles binary, keys binary, zeros binary")
-    lists = cut_lineage(packed.repartition(buckets, "bucket").mapInArrow(shared_lists(often, times), "shingle long, part long, key long, indexed boolean, rare boolean, zero int, pivot long"))
+    lists = cut_lineage(packed.repartitionById(buckets, "bucket").mapInArrow(shared_lists(often, times), "shingle long, part long, key long, indexed boolean, rare boolean, zero int, pivot long"))
     whole = W.partitionBy("shingle", "part")
     listed = lists.groupBy("key").agg(F.max("zero").alias("zero"), F.count_if("rare").alias("_shared"))
     counts = cut_lineage(scanned.where("counts IS NOT NULL").select("key", "n", "counts").join(listed, "key").dropDuplicates(["key"])
