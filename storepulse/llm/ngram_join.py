@@ -44,15 +44,16 @@ MAX_LIGHT = 12  # sizes considered as boundary
 VERIFY_COST = 12  # cost of a list entry with its share of scans, in subsets
 FREQUENT = 1 << 18  # most frequent shingles known to every task, ordered last; a bound on the broadcast
 LOCAL_LEAST = 3  # sets of one block that make a shingle worth counting
-BLOCK_SHINGLES = 1 << 21  # shingles counted at once by a task
+BLOCK_SHINGLES = 1 << 20  # shingles counted at once by a task
 LIST_SPLIT = 20_000  # longer lists are scanned in parts that meet in their pivots
 SLICE_ROWS = 500
 BITS = 1 << 23  # size of the filter of wanted sets
 BUCKETS = (128, 1024, 8192)  # hash buckets of the counts of sets up to eight times as many shingles; the last for all others
 FULL_SCAN = 32  # pairs a list entry that make a full scan as cheap as a round of stars
 GAIN = 0.7  # a round that leaves more than this share of the pairs is the last before the full scan
-ENTRIES = 1 << 19  # list entries that a task packs at once
-BUCKET_BYTES = 16 << 20  # packed entries of a shuffle partition
+ENTRIES = 1 << 18  # list entries that a task packs at once
+BUCKET_BYTES = 12 << 20  # packed entries of a shuffle partition
+SHORT_LIST = 16  # lists up to this length lose entries that no other member can link with
 EARLIER = 64  # leading shingles of a set by which a full scan leaves out pairs that it has met in a list before
 
 
@@ -173,16 +174,16 @@ def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def list_entries(boundary: int, often: np.ndarray, times: np.ndarray, buckets: int):
     """Entries of the inverted lists, packed by bucket of the list: shingles, whose last bit tells whether the entry
-    is of the index, keys of the sets, and the number of rare shingles (not among the frequent) in the set's prefix.
-    Eighteen bytes an entry are all that is shuffled."""
+    is of the index, keys of the sets, the number of rare shingles (not among the frequent) in the set's
+    prefix, sizes of the sets, and the shingle's place in the set's order. Twenty-six bytes an entry are all that is shuffled."""
     def packed(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        shingle, key, zero = (np.concatenate(c) for c in zip(*out, strict=True))
+        shingle, key, zero, n, place = (np.concatenate(c) for c in zip(*out, strict=True))
         bucket = (mix(shingle >> np.uint64(1)) + parts_of(shingle, key, often, times).astype(np.uint64)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        pieces = [np.split(c[order], cuts) for c in (shingle, key, zero)]
+        pieces = [np.split(c[order], cuts) for c in (shingle, key, zero, n, place)]
         names = bucket[order][np.concatenate([[0], cuts])].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in pieces)], ["bucket", "shingles", "keys", "zeros"])
+        return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in pieces)], ["bucket", "shingles", "keys", "zeros", "sizes", "places"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -200,7 +201,7 @@ def list_entries(boundary: int, often: np.ndarray, times: np.ndarray, buckets: i
                     zero = min(zero, int((rank == 0).sum()))
                 s = s[:probe_length(n)] & ~np.uint64(1)
                 s[:index_length(n)] |= np.uint64(1)
-                out.append((s, np.full(len(s), key), np.full(len(s), min(zero, 65_535), np.uint16)))
+                out.append((s, np.full(len(s), key), np.full(len(s), min(zero, 65_535), np.uint16), np.full(len(s), n, np.uint32), np.arange(len(s), dtype=np.uint32)))
                 size += len(s)
             if size >= ENTRIES:
                 yield packed(out)
@@ -222,29 +223,48 @@ def parts_of(shingle: np.ndarray, key: np.ndarray, often: np.ndarray, times: np.
     return part
 
 
+def with_partner(lists: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Entries with another near enough in their list whose size and whose shingle's place allow a link.
+
+    Before the shingle two sets share at most the lesser place, after it at most the lesser rest. An entry without
+    such a partner is lost to no link: every set that holds the shingle in its prefix is ruled out."""
+    found = np.zeros(len(n), dtype=bool)
+    for d in range(1, min(SHORT_LIST, len(n))):
+        same = np.flatnonzero(lists[d:] == lists[:-d])
+        if not len(same):
+            break
+        a, b = same, same + d
+        most = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b])
+        fits = (T_DEN * np.minimum(n[a], n[b]) >= T_NUM * np.maximum(n[a], n[b])) & ((T_NUM + T_DEN) * most >= T_NUM * (n[a] + n[b]))
+        found[a[fits]] = found[b[fits]] = True
+    return found
+
+
 def shared_lists(often: np.ndarray, times: np.ndarray):
     """Lists of at least two sets, from all packed entries of a partition, with their least key as pivot."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [(x, k, z) for b in batches for x, k, z in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        blocks = [x for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True)]
         if not blocks:
             return
-        shingle, key, zero = (np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*blocks, strict=True), (np.uint64, np.int64, np.uint16), strict=True))
+        shingle, key, zero, n, place = (np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*blocks, strict=True), (np.uint64, np.int64, np.uint16, np.uint32, np.uint32), strict=True))
         del blocks
         part, name = parts_of(shingle, key, often, times), shingle >> np.uint64(1)
         order = np.lexsort((key, part, name))
-        shingle, key, zero, part, name = shingle[order], key[order], zero[order], part[order], name[order]
+        shingle, key, zero, n, place, part, name = (c[order] for c in (shingle, key, zero, n, place, part, name))
         new_list = np.concatenate([[True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])])
         once = new_list | np.concatenate([[True], key[1:] != key[:-1]])  # copies gave the same entry
-        shingle, key, zero, part, name, new_list = (c[once] for c in (shingle, key, zero, part, name, new_list))
+        shingle, key, zero, n, place, part, name, new_list = (c[once] for c in (shingle, key, zero, n, place, part, name, new_list))
         start = np.flatnonzero(new_list)
         size = np.diff(np.append(start, len(name)))
-        keep = np.repeat((size > 1) | (part[start] > 0), size)
-        pivot = np.repeat(key[start], size)
+        keep = np.repeat((size > SHORT_LIST) | (part[start] > 0), size) | with_partner(np.repeat(np.arange(len(size)), size), n.astype(np.int64), place.astype(np.int64))
+        shingle, key, zero, part, name, new_list = (c[keep] for c in (shingle, key, zero, part, name, np.repeat(start, size)))
+        keep = np.ones(len(name), bool)
+        pivot = key[np.searchsorted(new_list, new_list)]  # the least key that is left
         known = np.sort(often >> np.uint64(1))
         rare = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] != name if len(known) else np.ones(len(name), bool)
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name.view(np.int64), part, key, (shingle & np.uint64(1)).astype(bool), rare, zero.astype(np.int32), pivot)],
                                          ["shingle", "part", "key", "indexed", "rare", "zero", "pivot"])
-        del shingle, key, zero, part, name, order, new_list, once, keep, pivot, rare, known
+        del shingle, key, zero, n, place, part, name, order, new_list, once, keep, pivot, rare, known
         give_back()
     return rows
 
@@ -370,8 +390,8 @@ def _cross_pairs(named: DataFrame) -> DataFrame:
 def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.ndarray, times: np.ndarray, light: DataFrame) -> DataFrame:
     """All links that components need: light ones, and those of the lists, by rounds of stars and a full scan."""
     entries = scanned.where("n > 0").agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
-    buckets = max(1, int(entries * 16) // BUCKET_BYTES)
-    packed = texts.mapInArrow(list_entries(boundary, often, times, buckets), "bucket int, shingles binary, keys binary, zeros binary")
+    buckets = max(1, int(entries * 26) // BUCKET_BYTES)
+    packed = texts.mapInArrow(list_entries(boundary, often, times, buckets), "bucket int, shingles binary, keys binary, zeros binary, sizes binary, places binary")
     lists = cut_lineage(packed.repartitionById(buckets, "bucket").mapInArrow(shared_lists(often, times), "shingle long, part long, key long, indexed boolean, rare boolean, zero int, pivot long"))
     whole = W.partitionBy("shingle", "part")
     listed = lists.groupBy("key").agg(F.max("zero").alias("zero"), F.count_if("rare").alias("_shared"))
