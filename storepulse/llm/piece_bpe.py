@@ -243,6 +243,14 @@ def worker_encoder(pieces: Pieces) -> Encoder:
     return kept.encoder
 
 
+def forget_words() -> None:
+    """Empty the worker's word tables at a task's end; another stage may need the memory."""
+    if (encoder := getattr(sys.modules.get("_piece_bpe_worker"), "encoder", None)) is not None:
+        for table in (encoder.by_word, encoder.inner):
+            table.clear()
+            table.old = {}
+
+
 def _with(df: DataFrame, made: dict[str, tuple[T.DataType, Callable]]) -> DataFrame:
     """``df`` with columns that ``value() -> (column of a batch) -> array`` make, in one pass and in order, so
     that one may read the one before; columns of these names are replaced."""
@@ -257,6 +265,8 @@ def _with(df: DataFrame, made: dict[str, tuple[T.DataType, Callable]]) -> DataFr
                 for name, value in values.items():
                     columns[name] = value(columns.__getitem__)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in (*kept, *made)], [*kept, *made])
+        del values
+        forget_words()
         give_back()
 
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, k) for n, (k, _) in made.items())])
