@@ -20,6 +20,7 @@ import types
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -175,10 +176,11 @@ class Encoder:
     def _word(self, mark: str, word: str) -> bytes:
         """Ids of a word. No piece holds two characters that are neighbours in none, so the word is cut between such
         characters first: punctuation behind a word doesn't make another word of it."""
-        joined = self.joined
-        for k in range(len(word) - 1, 0, -1):
-            if word[k - 1:k + 1] not in joined:
-                return (self.by_word if mark else self.inner)[word[:k]] + self.inner[word[k:]]
+        pairs, joined = list(map(add, word, word[1:])), self.joined
+        if not joined.issuperset(pairs):
+            cuts = [k for k, pair in enumerate(pairs, 1) if pair not in joined]
+            first = (self.by_word if mark else self.inner)[word[:cuts[0]]]
+            return b"".join([first, *(self.inner[word[a:b]] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True))])
         return self.segment(mark + word)
 
     def segment(self, text: str) -> bytes:

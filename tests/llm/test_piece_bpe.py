@@ -1,5 +1,6 @@
 import hashlib
 import random
+import string
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,17 @@ def test_words_that_need_stepping_back(library, pieces):
         assert enc.encode(s).tolist() == library.encode(s), s
 
 
+def test_long_runs_without_spaces(library, pieces):
+    rnd, dec = random.Random(10), Decoder(pieces)
+    base64 = string.ascii_letters + string.digits + "+/"
+    for letters in (string.digits, string.hexdigits, base64, "".join(map(chr, range(0x4E00, 0x5E00))) + "，。"):
+        s = "".join(rnd.choices(letters, k=100_000))
+        for text in (s, f"see {s} and  {s[:2000]}"):
+            ids = Encoder(pieces).encode(text)
+            assert ids.tolist() == library.encode(text)
+            assert dec.decode(ids) == text
+
+
 def test_bounded_tables(library, pieces, monkeypatch):
     monkeypatch.setattr(piece_bpe, "WORDS_KEPT", 5)
     monkeypatch.setattr(piece_bpe, "PAIRS_KEPT", 5)
