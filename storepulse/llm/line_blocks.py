@@ -2,10 +2,13 @@
 
 Markup is stripped to one line per block element. A line weighs its code points outside links; menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments and hidden elements are told by their
-tags, roles and class names and become runs of empty lines. The weights are summed over sliding windows of
-``WINDOW`` lines: text surges where a window sum rises from zero and dives where it returns to zero, and the
-lines between are a candidate. An article or main element bounds the page if it holds text, and all
-candidates in it are kept; without one, those whose peak reaches a share of the highest peak.
+tags, roles and class names and leave nothing, so the text around them stays together. The weights are summed
+over sliding windows of ``WINDOW`` lines: text surges where a window sum rises from zero and dives where it
+returns to zero, and the lines between are a candidate. Borders of article and main elements part candidates.
+
+If the heaviest candidate stands in an article or main element, only those inside one count: all stay but
+short ones that are mostly links, with fewer than ``WINDOW`` link lines beside them. Else those stay that reach
+``SURGE``, or stand between two that do and are not mostly links; if none reaches it, all that are not mostly links.
 
 One pass over each page in the task that reads it, nothing shuffled.
 """
@@ -22,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-SURGE = 80  # window sum that makes a candidate by itself
-PEAK_SHARE = 0.2
+SURGE = 80  # window sum that makes a candidate text by itself
 
 # Element and class names.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "object", "canvas", "select", "xmp"}
@@ -40,10 +42,8 @@ NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
 BODY_WORDS = {"article", "body", "container", "content", "entry", "has", "layout", "main", "no", "page", "post", "story", "text", "title", "with", "without", "wrapper"}
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)", re.S)
+VALUE_OR_END = re.compile(r"=\s*+([\"'])|>")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
@@ -66,12 +66,29 @@ def is_noise(name: str, attributes: str) -> bool:
     return False
 
 
+def tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag ends whose name ends at ``at``: at the first '>' outside quoted values, of any length; at the first
+    one of all if no such follows; -1 without any. ``dead`` keeps the page's quotes from which none follows, so that
+    each is looked at once."""
+    seen, x = [], at
+    while m := VALUE_OR_END.search(page, x):
+        if not m[1]:
+            return m.start()
+        seen.append(m.end())
+        if m.end() in dead or (close := page.find(m[1], m.end())) < 0:
+            break
+        x = close + 1
+    dead.update(seen)
+    return page.find(">", at)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Lines of a page: text, weight, and whether it stands in an article or main element."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0  # code points of the line inside links
     link, inside, dropping, depth = False, 0, "", 0
+    dead: set[int] = set()
 
     def end_line(gap: bool = False) -> None:
         nonlocal linked
@@ -94,10 +111,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if m is None:
             break
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        closes, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if not name:
+        if not m[2]:
             continue
+        if (end := tag_end(page, at, dead)) < 0:
+            break  # a tag cut off by the end of the page
+        name, closes, attributes, at = m[2].lower(), bool(m[1]), page[at:end], end + 1
         if not closes and name in RAW and not attributes.endswith("/"):
             close = re.compile(f"</{name}(?=[\\s/>])|\\Z", re.I).search(page, at)
             at = close.end()  # the rest of the closing tag is read as text up to its end

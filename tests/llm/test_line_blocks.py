@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from storepulse.llm.line_blocks import extract_text, main_text
 from storepulse.llm.queries import QUERIES
@@ -37,6 +38,17 @@ def test_beside_the_text():
     assert main_text("<article><p>a</p><p title=\"x > y\">b<p hidden>c</p></article") == "a\nb"
 
 
+def test_long_attribute_values():
+    data = "x" * 100_000 + " ' > leaked"
+    assert main_text(f'<p data-x="{data}">body</p>') == "body"
+    assert main_text(f"<p data-json='{{\"a\": \"{data.replace(chr(39), '')}\"}}' title=\"a > b\">body</p>") == "body"
+    assert main_text("<p class=it's>don't</p><p title=\"cut>off") == "don't\noff"
+    at = time.process_time()
+    main_text("<p a=\"> \" " * 100_000)
+    main_text("<p a='><p b=\"" * 100_000)
+    assert time.process_time() - at < 20
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>a", 1), (3, "u", "<p>a", 1), (3, "u", "<p>a", 1), (4, "u", "<p>" + "word " * 100_000, 1), (5, "u", "<" * 5000, 1)]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
