@@ -130,7 +130,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 continue
         if not closes and is_noise(name, attributes):
             if name not in VOID and not attributes.endswith("/"):
-                end_line(gap=True)
+                end_line()
                 dropping, depth, link = name, 1, False
             continue
         if name in ("article", "main"):
@@ -139,7 +139,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         elif name in BLOCKS:
             end_line()
         elif name == "a":
-            link = not closes
+            link = not closes and "href" in attributes.lower()
         elif name in ("br", "wbr", "img"):
             parts.append(" " if name != "wbr" else "")
     end_line()
@@ -152,20 +152,36 @@ def main_text(page: str | None) -> str:
     if any(inside and text for text, _, inside in lines):
         return "\n".join(text for text, _, inside in lines if inside and text)
     weights = np.array([w for _, w, _ in lines], dtype=np.int64)
-    if not weights.any():
-        return ""
+    if not weights.any():  # nothing but links: what an article or main element holds
+        return "\n".join(text for text, _, inside in lines if inside and text)
     total = np.concatenate([[0], np.cumsum(np.concatenate([weights, np.zeros(WINDOW - 1, dtype=np.int64)]))])
     sums = total[WINDOW:] - total[:-WINDOW]  # of the window that starts at each line
     high = np.concatenate([[False], sums > 0, [False]])
     surges, dives = np.flatnonzero(~high[:-1] & high[1:]), np.flatnonzero(high[:-1] & ~high[1:])
-    peaks = np.array([sums[a:b].max() for a, b in zip(surges, dives, strict=True)])
-    least = min(peaks.max(), max(SURGE, PEAK_SHARE * peaks.max()))
+    runs = []  # first and last line with weight, weight, does it reach SURGE, is it mostly text, is it inside
+    for a, b in zip(surges, dives, strict=True):
+        first, last = (a + int(k) for k in np.flatnonzero(weights[a:b])[[0, -1]])
+        weight = int(weights[first:last + 1].sum())
+        runs.append((first, last, weight, sums[a:b].max() >= SURGE, 2 * weight >= sum(len(text) for text, _, _ in lines[first:last + 1]), lines[first][2]))
+    bounded = max(runs, key=lambda run: (run[2], run[5]))[5]
+    surging = [i for i, run in enumerate(runs) if run[3]]
     kept = []
-    for a, b, peak in zip(surges, dives, peaks, strict=True):
-        if peak >= least:
-            first, last = a + int(np.flatnonzero(weights[a:b])[0]), a + int(np.flatnonzero(weights[a:b])[-1])
-            kept += [text for text, _, _ in lines[first:last + 1] if text]
-    return "\n".join(kept)
+    for i, (first, last, _, surge, textual, inside) in enumerate(runs):
+        if bounded:
+            if inside and (surge or textual):
+                kept.append((first - _links_beside(lines, first, -1), last + _links_beside(lines, last, 1)))
+        elif surge or (textual and (not surging or surging[0] < i < surging[-1])):
+            kept.append((first, last))
+    return "\n".join(text for first, last in kept for text, _, _ in lines[first:last + 1] if text)
+
+
+def _links_beside(lines: list[tuple[str, int, bool]], at: int, step: int) -> int:
+    """How many link lines stand beside a run up to its element's border; 0 if they are a list."""
+    for n in range(WINDOW):
+        k = at + (n + 1) * step
+        if not (0 <= k < len(lines) and lines[k][0] and lines[k][2]):
+            return n
+    return 0
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

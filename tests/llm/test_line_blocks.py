@@ -49,6 +49,18 @@ def test_long_attribute_values():
     assert time.process_time() - at < 20
 
 
+LONG = "A long paragraph of the story. " * 64
+CLOSING = "The closing paragraph. " * 13
+
+
+def test_removed_elements_do_not_part_the_text():
+    for beside in ("<div class=ad>Buy this</div>", "<aside>Notice</aside>", "<form>f</form>"):
+        assert main_text(f"<div>{LONG}</div>{beside}<div>{CLOSING}</div>{beside}<p>End.</p>") == f"{LONG.strip()}\n{CLOSING.strip()}\nEnd."
+    links = "".join(f"<div><a href={k}>Link {k}</a></div>" for k in range(6))
+    assert main_text(f"<div>{LONG * 25}</div>{links}<div>{CLOSING}</div>") == f"{(LONG * 25).strip()}\n{CLOSING.strip()}"
+    assert main_text(f"<div>{LONG}</div>{links}<div>Between.</div>{links}<div>{CLOSING}</div>{links}<div>Copyright</div>") == f"{LONG.strip()}\nBetween.\n{CLOSING.strip()}"
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>a", 1), (3, "u", "<p>a", 1), (3, "u", "<p>a", 1), (4, "u", "<p>" + "word " * 100_000, 1), (5, "u", "<" * 5000, 1)]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
