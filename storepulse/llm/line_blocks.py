@@ -149,8 +149,6 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> str:
     """Main text of a page: its blocks in page order, joined by line ends; empty if there is none."""
     lines = lines_of(page or "")
-    if any(inside and text for text, _, inside in lines):
-        return "\n".join(text for text, _, inside in lines if inside and text)
     weights = np.array([w for _, w, _ in lines], dtype=np.int64)
     if not weights.any():  # nothing but links: what an article or main element holds
         return "\n".join(text for text, _, inside in lines if inside and text)

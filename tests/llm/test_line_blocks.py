@@ -61,6 +61,14 @@ def test_removed_elements_do_not_part_the_text():
     assert main_text(f"<div>{LONG}</div>{links}<div>Between.</div>{links}<div>{CLOSING}</div>{links}<div>Copyright</div>") == f"{LONG.strip()}\nBetween.\n{CLOSING.strip()}"
 
 
+def test_article_is_evidence_only():
+    teasers = "".join(f"<article><h2><a href={k}>Teaser {k}</a></h2><p>Short.</p></article>" for k in range(4))
+    links = "".join(f"<li><a href={k}>Link {k}</a></li>" for k in range(6))
+    assert main_text(f"<div>{LONG}</div><div>{CLOSING}</div>{teasers}") == f"{LONG.strip()}\n{CLOSING.strip()}"
+    assert main_text(f"<div>Top</div><article><h1><a href=t>Title</a></h1><p>{LONG}</p><ul>{links}</ul><p>End.</p><ul>{links}</ul></article><div>{CLOSING}</div>") == f"Title\n{LONG.strip()}\nEnd."
+    assert main_text("<article><a href=u><p>All of it a link.</p></a></article>") == "All of it a link."
+
+
 def test_edges(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>a", 1), (3, "u", "<p>a", 1), (3, "u", "<p>a", 1), (4, "u", "<p>" + "word " * 100_000, 1), (5, "u", "<" * 5000, 1)]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
