@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm.mix_sources import mixed_texts, word_count
+from storepulse.llm.mix_sources import mixed_texts, numbered, row_key, word_count
 from storepulse.llm.ngram_join import near_documents
 from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import table
@@ -54,9 +54,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row per document and copy with the words that the mix takes. An extra
     column with the name of a mixing figure (target, taken, source_size, ranges) does not outlast this stage."""
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    sizes = cut_lineage(sized.select("doc_id", "source", "_words"))
-    out = mixed_texts(sized, sizes, size_col="_words")
+    sized = numbered(docs.withColumns({"_words": word_count(F.col("text")), "_key": row_key()}))
+    sizes = cut_lineage(sized.select("doc_id", "source", "_words", "_key", "_nth"))
+    out = mixed_texts(sized, sizes, size_col="_words", deal_cols=("_key", "_nth"))
     return out.select(*[c for c in docs.columns if c in out.columns])
 
 

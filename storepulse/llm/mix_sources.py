@@ -2,8 +2,10 @@
 
 1. *Targets.* Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share ``share`` times
    all words; a target stops at ``most`` times its source's size and the excess is shared anew.
-2. *Cells and shards.* A source's documents are dealt by a seeded hash into cells of about ``cell_words``
-   words, so a hot source becomes many cells. Each shard holds at most one cell of a source.
+2. *Cells and shards.* A source's rows are dealt by a seeded hash into cells of about ``cell_words`` words, so a
+   hot source becomes many cells. With the columns of ``numbered`` the hash covers id, source, text and the row's
+   number among equal rows, so neither null nor repeated ids meet in a cell. Each shard holds at most one cell
+   of a source.
 3. *Quotas.* Every shard hands its blocks to its cells by highest quotients ``target / (2 k + 1)``.
 4. *Selection.* A cell's documents stand in seeded order, cut into blocks of ``block_words`` words (the last
    may be shorter). A quota takes all blocks once as often as it can, then the first ones of a seeded
@@ -21,9 +23,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storepulse.session import cut_lineage
+
 WEIGHTS = (5, 2, 1)  # fixed values: weights of the sources in their order, repeating
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 1_000_000  # sources whose totals fit the driver; more is an error, not a cut
@@ -104,17 +109,38 @@ def _runs(times: np.ndarray, start: int, end: int, block: int) -> list[dict]:
     return out
 
 
+def row_key(id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> Column:
+    """Hash of a row's id, source and text."""
+    return F.xxhash64(F.col(id_col).isNull(), id_col, F.col(source_col).isNull(), source_col, F.col(text_col).isNull(), text_col)
+
+
+def numbered(rows: DataFrame, key_col: str = "_key", nth_col: str = "_nth") -> DataFrame:
+    """``rows``, written once, with the row's number among those of its key, from 0 on.
+
+    Numbers run within a key's rows of a written partition, after those of the partitions before, so a key that
+    many rows share meets in no task."""
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    thin = rows.select(key_col, "_row", F.shiftright("_row", 33).alias("_part"))
+    whole = W.partitionBy(key_col)
+    parts = (thin.groupBy(key_col, "_part").agg(F.count("*").alias("_n"))
+             .withColumns({"_all": F.sum("_n").over(whole), "_before": F.sum("_n").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")}))
+    nth = F.col("_before") + F.row_number().over(W.partitionBy(key_col, "_part").orderBy("_row")) - 1
+    later = thin.join(parts.where("_all > 1"), [key_col, "_part"]).select("_row", nth.alias(nth_col)).where(F.col(nth_col) > 0)
+    return rows.join(later, "_row", "left").withColumn(nth_col, F.coalesce(nth_col, F.lit(0))).drop("_row")
+
+
 RANGES_ARROW = pa.list_(pa.struct([("copy", pa.int32()), ("from_word", pa.int64()), ("to_word", pa.int64())]))
 RANGES = "array<struct<copy:int,from_word:long,to_word:long>>"
 
 
 def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float = 1.5, most: float = 2.0,
                 block_words: int = 64, cell_words: int = 500_000, id_col: str = "doc_id", source_col: str = "source",
-                size_col: str = "size", finish: tuple[Callable[[pa.Table], pa.Table], T.StructType] | None = None) -> DataFrame:
+                size_col: str = "size", deal_cols: tuple[str, ...] = (), finish: tuple[Callable[[pa.Table], pa.Table], T.StructType] | None = None) -> DataFrame:
     """``docs`` with ``source_size``, ``target``, ``taken`` and ``ranges`` (taken word ranges per copy).
 
     ``docs`` has ``id_col``, ``source_col`` and ``size_col``; ``sizes`` is the same rows with these three
-    columns only, already written, as it is read twice. Rows of size 0 take 0. A null source is a source of
+    columns and ``deal_cols`` only, already written, as it is read twice. ``deal_cols`` (key and number of
+    ``numbered``) deal rows that share an id into different cells and order them. Rows of size 0 take 0. A null source is a source of
     its own; null ids and repeated rows are rows like any other. Empty table: empty result. Columns of the
     names added here are replaced. ``finish`` turns a cell's rows into others in the same task; rows of size 0
     are then left out."""
@@ -134,7 +160,7 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float
 
     def dealt(df: DataFrame) -> DataFrame:
         df = df.drop(*[c for c in ("source_size", "target", "taken", "ranges") if c in df.columns])
-        key = F.xxhash64(F.lit(seed), F.col(id_col))
+        key = F.xxhash64(F.lit(seed), id_col, source_col, size_col, *deal_cols)
         return (df.join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col("_source")))
                 .withColumn("_cell", F.pmod(key, F.col("_cells"))).withColumn("_order", key))
 
@@ -150,7 +176,7 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float
     granted = totals.groupBy("_shard").applyInArrow(quotas, "_no long, _cell long, _quota long")
 
     def select(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("_order", "ascending"), (id_col, "ascending"), (size_col, "ascending")])
+        rows = rows.sort_by([(c, "ascending") for c in ("_order", *deal_cols, id_col, size_col)])
         no, cell = (int(k.as_py()) for k in key)
         ends = rows.column(size_col).to_numpy().cumsum()
         starts = np.concatenate([[0], ends[:-1]])
@@ -173,8 +199,8 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float
 def mixed_texts(docs: DataFrame, sizes: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars", size_col: str = "size", **options) -> DataFrame:
     """The mix itself: one row per document and copy whose text is the taken words. A wholly taken document stays
     verbatim, else its taken runs keep their own spacing and are joined by line ends. Documents that the mix leaves
-    out go. The columns are those of ``docs`` but ``size_col`` and those that ``mix_sources`` adds."""
-    keep = [c for c in docs.columns if c not in (size_col, "source_size", "target", "taken", "ranges")]
+    out go. The columns are those of ``docs`` but ``size_col``, ``deal_cols`` and those that ``mix_sources`` adds."""
+    keep = [c for c in docs.columns if c not in (size_col, *options.get("deal_cols", ()), "source_size", "target", "taken", "ranges")]
     schema = T.StructType([docs.schema[c] for c in keep])
     word = re.compile(WORD)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storepulse.llm import fm_quality
 from storepulse.llm.line_blocks import extract_text
-from storepulse.llm.mix_sources import mix_sources, word_count
+from storepulse.llm.mix_sources import mix_sources, numbered, row_key, word_count
 from storepulse.llm.ngram_join import near_documents
 from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import ORACLE, QUERIES, query, table
@@ -48,8 +48,8 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     docs = table(spark, sf_dir, "documents")
-    sizes = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    return mix_sources(sizes, sizes).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = cut_lineage(numbered(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key().alias("_key"))))
+    return mix_sources(sizes, sizes, deal_cols=("_key", "_nth")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op4_scaled_sketch")

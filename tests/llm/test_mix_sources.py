@@ -1,10 +1,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from storepulse.llm.mix_sources import choose_blocks, highest_quotients, mix_sources, mixed_texts, source_targets, word_count
+from storepulse.llm.mix_sources import choose_blocks, highest_quotients, mix_sources, mixed_texts, numbered, row_key, source_targets, word_count
 from storepulse.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -83,3 +85,24 @@ def test_edges(edge_docs, empty_docs):
     none = sized(empty_docs)
     sizes = none.select("doc_id", "source", "size")
     assert mix_sources(none, sizes).count() == 0 and mixed_texts(none, sizes).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows = [(None, "a", text(k)) for k in range(400)] + [(7, "a", text(k)) for k in range(400)] + [(None, "a", "same " * 20)] * 400 + [(k + 10, None, text(k)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    deal = {"deal_cols": ("_key", "_nth"), "cell_words": 400, "block_words": 4}
+
+    def made(parts):
+        ready = numbered(sized(docs.repartition(parts)).withColumn("_key", row_key()))
+        return ready, ready.select("doc_id", "source", "size", "_key", "_nth")
+
+    ready, sizes = made(5)
+    assert ready.count() == 1500 and ready.select("_key", "_nth").distinct().count() == 1500 and ready.where("text LIKE 'same%'").agg(F.max("_nth")).first()[0] == 399
+    count = (lambda rows: pa.table({"n": [rows.num_rows]}), T.StructType([T.StructField("n", T.LongType())]))
+    cells = [r.n for r in mix_sources(ready, sizes, finish=count, **deal).collect()]
+    assert sum(cells) == 1500 and max(cells) < 60
+    plain = sizes.drop("_key", "_nth")
+    assert max(r.n for r in mix_sources(plain, plain, finish=count, cell_words=400, block_words=4).collect()) >= 400  # what the columns are for
+    first, again = (sorted(map(str, mixed_texts(*made(n), **deal).collect())) for n in (5, 2))
+    assert first == again
