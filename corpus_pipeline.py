@@ -18,17 +18,15 @@ from storepulse.llm.secret_scan import redact_secrets
 from storepulse.llm.string_kernel import UNKNOWN, learn_languages, predict_language
 from storepulse.session import cut_lineage
 
-LEAST_SCORE = 0.25  # below it no learned language fits the text
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known. Rejected: null texts, texts without a letter, and texts that fit no learned
-    language. A null ``lang`` takes the predicted one. Without labelled rows only texts without a letter go."""
+    """Documents that have a language. Rejected: null texts and texts without a letter, nothing else; a text in a
+    language that was not learned stays. A null ``lang`` takes the predicted one."""
     model = learn_languages(docs)
     out = predict_language(docs, model, lang_out="_lang", score_out="_score")
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    out = out.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
+    out = out.where(F.col("_lang") != UNKNOWN)
     return out.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
 
 

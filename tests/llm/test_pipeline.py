@@ -56,3 +56,12 @@ def test_edges(spark, edge_docs, empty_docs):
     near = P.near_duplicates(spark, edge_docs, "")
     ids = sorted(str(r.doc_id) for r in near.collect())
     assert ids == sorted(map(str, [1, 2, 3, 4, 5, 7, 10, 11, 12, 13, None, None]))
+
+
+def test_every_text_with_a_letter_has_a_language(spark):
+    words = [[f"{chr(97 + 2 * k)}{chr(98 + 2 * k)}"[i % 2] * (2 + i % 3) + chr(97 + 2 * k) * (i % 4) for i in range(24)] for k in range(12)]
+    rows = [(i * 12 + k, " ".join(words[k][i % 12:]), f"l{k:02}") for i in range(20) for k in range(12)]
+    mixed = " ".join(w for group in zip(*words, strict=True) for w in group)
+    docs = spark.createDataFrame([*rows, (900, mixed, None), (901, "漢字", None), (902, "123", None), (903, None, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in P.language_id(spark, docs, "").collect()}
+    assert set(got) == {*range(240), 900, 901} and got[900] and got[901]
