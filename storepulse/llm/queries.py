@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse.llm import fm_quality
+from storepulse.llm.block_search import search_documents
 from storepulse.llm.fill_middle import fill_in_middle, restored_text
 from storepulse.llm.line_blocks import extract_text
+from storepulse.llm.line_crf import judge_lines, learn_lines
 from storepulse.llm.mix_sources import mix_sources, numbered, row_key, word_count
 from storepulse.llm.ngram_join import near_documents
 from storepulse.llm.piece_bpe import load_pieces, round_trip
@@ -127,3 +129,33 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(restored_text(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op11_block_search", sql=r"""WITH words AS (
+  SELECT doc_id, row_number() OVER () AS row_no,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS t
+  FROM documents),
+docs AS (SELECT doc_id, row_no, t, len(t) AS n FROM words WHERE len(t) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+tf AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(t) AS term FROM docs) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, row_no, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN docs USING (row_no), total GROUP BY item_id, doc_id, row_no),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20""")
+def op11_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return search_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_line_crf")
+def op13_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document by its lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = learn_lines(docs, table(spark, sf_dir, "labels"))
+    return judge_lines(docs, chain).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                                           "n_lines", "content_lines", "content_chars")
