@@ -33,6 +33,7 @@ LEAST_WORDS, REPEAT_PER_CENT = 50, 50  # base rules
 CONTENT_SHARE = 0.5  # of the word characters; less is not kept
 WINDOW = 16  # lines of a training window at most
 SAMPLE_WINDOWS = 1500  # per label
+SAMPLE_IDS = 2000  # labelled ids, per label
 CONTENT, BOILERPLATE = 0, 1
 ROUNDS, STEPS, RATE, PENALTY = 3, 80, 0.2, 5e-4
 SLICE_ROWS = 64
@@ -303,12 +304,14 @@ def _windows(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
 
 
 def learn_lines(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Chain:
-    """Fit the field on at most ``SAMPLE_WINDOWS`` windows of ``WINDOW`` lines and differing text per label, taken by hash from all
-    documents that a row of ``labels`` marks 1 (good) or 0 (bad). Rows without an id, text or label, and ids marked both
+    """Fit the field on at most ``SAMPLE_WINDOWS`` windows of ``WINDOW`` lines and differing text per label, taken by hash from the
+    whole documents of at most ``SAMPLE_IDS`` ids per label, taken by hash from all that a row of ``labels`` marks 1 (good) or 0 (bad). Rows without an id, text or label, and ids marked both
     ways, teach nothing; without windows of both labels everything counts as content."""
     marks = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id"))
              .agg(F.min(label_col).alias("_low"), F.max(label_col).alias("_high")).where("_low = _high").select("_id", (1 - F.col("_low")).alias("_bad")))
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(marks, "_id")
+    chosen = [marks.where(F.col("_bad") == bad).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_IDS) for bad in (0, 1)]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most twice SAMPLE_IDS: texts stay where they are read
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(ids, "_id")
     windows = cut_lineage(_windows(found, "_text", "_bad")).groupBy("bad", "digest").agg(F.first("features").alias("features"))
     rows = [r for bad in (0, 1) for r in windows.where(F.col("bad") == bad).orderBy("digest").limit(SAMPLE_WINDOWS).collect()]
     bad = np.array([r.bad == 1 for r in rows], dtype=bool)
