@@ -12,11 +12,12 @@ from storepulse.operators.rules import rule_score
 def score_orders(orders: DataFrame, ml_scores: DataFrame | None = None, key: str = "order_id") -> DataFrame:
     """Rule score, ML score (0 when no model output is given or it is missing), final score, status.
 
-    ``ml_scores`` is a (key, ml_score) frame, e.g. from ``model.ml_score``; it is joined on the key.
+    The ML score is a column of ``orders`` (``model.with_ml_score``), or comes from a (key, ml_score) frame
+    (``model.ml_score``) that is joined on the key.
     """
     scored = rule_score(orders)
     if ml_scores is None:
-        scored = scored.withColumn("ml_score", F.lit(0))
+        scored = scored.withColumn("ml_score", F.coalesce(F.col("ml_score").cast("int"), F.lit(0)) if "ml_score" in orders.columns else F.lit(0))
     else:
         scored = scored.join(ml_scores.select(key, "ml_score"), key, "left")
         scored = scored.withColumn("ml_score", F.coalesce(F.col("ml_score").cast("int"), F.lit(0)))

@@ -1,8 +1,8 @@
 """Fraud model: preparation, training, scoring and evaluation (§2.11 M1–M6, §2.6 A15, A18–A21).
 
 Preparation is exact and deterministic so that it can be checked against SQL: scaling uses the
-population standard deviation of all rows; undersampling and the stratified split rank rows by
-a hash of (id, seed) within each class with a distributed rank (no single-partition window).
+population standard deviation of all rows; undersampling and the stratified split take the first rows of each class in the order of a
+hash of (id, seed): counts by leading digits find the last hash taken, and a filter does the rest.
 The forest is MLlib's ``RandomForestClassifier`` inside a ``Pipeline``; it is applied with
 ``model.transform`` (never a per-row UDF). Metrics are aggregates; the ROC AUC is the exact
 mid-rank (Mann–Whitney) form computed with a distributed running total over the distinct scores.
@@ -10,16 +10,19 @@ mid-rank (Mann–Whitney) form computed with a distributed running total over th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storepulse.operators.windows import rank_within_key, running_total
+from storepulse.operators.windows import running_total
 
 FEATURE_COUNT = 28
 # Fixed values of the live feature vector: slot → value when the condition holds.
 LIVE_FEATURE_SLOTS = {1: -2.5, 2: -3.0, 3: -2.8, 4: -2.2}
 
 
+HASH_DIGITS = 32  # of an MD5 in hex
+
+
 def feature_columns(n: int = FEATURE_COUNT) -> list[str]:
     return ["Time"] + [f"V{i}" for i in range(1, n + 1)] + ["Amount"]
 
@@ -51,14 +54,45 @@ def _hash_order(key: str, seed: int):
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
 
 
+def smallest_hashes(df: DataFrame, h: Column, k: int) -> tuple[str, int, int]:
+    """The k-th smallest of the hex hashes ``h`` (k from 1 to the number of rows), how many rows hold a smaller one,
+    and how many hold it. The hash is found digit by digit: counts by the next three digits (4,096 at most) name the
+    bin that holds the k-th, so rows are counted but never ranked or shuffled."""
+    found, below, here = "", 0, None
+    while len(found) < HASH_DIGITS:
+        step = min(3, HASH_DIGITS - len(found))
+        rows = df.where(h.startswith(found)) if found else df
+        counts = sorted((r[0], r[1]) for r in rows.groupBy(F.substring(h, len(found) + 1, step)).count().collect())
+        for digits, n in counts:
+            if below + n >= k:
+                found, here = found + digits, n
+                break
+            below += n
+        if here == 1:
+            return df.where(h.startswith(found)).select(h).first()[0], below, 1
+    return found, below, here
+
+
+def smallest_rows(df: DataFrame, key: str, seed: int, k: int) -> Column:
+    """Condition that exactly the ``k`` first rows of ``df`` in hash order of (id, seed) meet (all, if fewer). Rows that
+    share the last id taken are told apart by all their columns; those alike in all of them go together."""
+    n = df.count() if k > 0 else 0
+    if k >= n or k <= 0:
+        return F.lit(k > 0)
+    h = _hash_order(key, seed)
+    last, below, here = smallest_hashes(df, h, k)
+    if below + here == k:
+        return h <= last
+    whole = F.md5(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])))
+    edge, _, _ = smallest_hashes(df.where(h == last), whole, k - below)
+    return (h < last) | ((h == last) & (whole <= edge))
+
+
 def undersample(df: DataFrame, label: str = "Class", key: str = "id", ratio: int = 10, seed: int = 42) -> DataFrame:
     """M2 + U1: every fraud row plus exactly ``ratio`` × (number of fraud rows) normal rows
     (all of them when there are fewer), chosen by hash order of (id, seed)."""
-    n_fraud = df.filter(F.col(label) == 1).count()
-    normal = df.filter(F.col(label) == 0).withColumn("_h", _hash_order(key, seed)).withColumn("_all", F.lit(0))
-    ranked = rank_within_key(normal, "_all", [F.col("_h"), F.col(key)], out="_rank")
-    picked = ranked.filter(F.col("_rank") <= ratio * n_fraud).drop("_h", "_all", "_rank")
-    return df.filter(F.col(label) == 1).unionByName(picked)
+    fraud, normal = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
+    return fraud.unionByName(normal.filter(smallest_rows(normal, key, seed, ratio * fraud.count())))
 
 
 def stratified_split(df: DataFrame, label: str = "Class", key: str = "id", test_fraction: float = 0.2,
@@ -66,14 +100,12 @@ def stratified_split(df: DataFrame, label: str = "Class", key: str = "id", test_
     """Adds ``is_test``: within each class the ceil(fraction × class size) first rows in
     hash order of (id, seed) form the test part."""
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
-    ranked = rank_within_key(df.withColumn("_h", _hash_order(key, seed)), label, [F.col("_h"), F.col(key)],
-                             out="_rank")
-    cut = None
+    is_test = F.lit(False)
     for cls, n in sizes.items():
+        own = F.col(label).eqNullSafe(F.lit(cls))
         n_test = int(-(-n * test_fraction // 1))  # ceil
-        cond = (F.col(label) == cls) & (F.col("_rank") <= n_test)
-        cut = cond if cut is None else (cut | cond)
-    return ranked.withColumn("is_test", F.coalesce(cut, F.lit(False))).drop("_h", "_rank")
+        is_test = is_test | (own & smallest_rows(df.where(own), key, seed, n_test))
+    return df.withColumn("is_test", F.coalesce(is_test, F.lit(False)))
 
 
 def class_weights(df: DataFrame, label: str = "Class", out: str = "weight") -> DataFrame:
@@ -109,7 +141,7 @@ def score_test(model, df: DataFrame) -> DataFrame:
         .withColumn("prediction", F.col("prediction").cast("int"))
 
 
-def live_features(orders: DataFrame, stats: dict, ts: str = "ts", keep: list[str] | None = None) -> DataFrame:
+def live_features(orders: DataFrame, stats: dict, ts: str = "ts", keep: list | None = None) -> DataFrame:
     """M5: the detector's 30-slot vector per order: scaled hour-of-day seconds, 28 zeros with
     slots 1–4 set for new customer / velocity > 3 / failed > 2 / amount > 1000, scaled amount."""
     t_mean, t_std = stats["Time"]
@@ -132,6 +164,14 @@ def ml_score(orders: DataFrame, model, stats: dict, key: str = "order_id", ts: s
     return scored.select(key, F.coalesce((F.col("p_fraud") * 100).cast("int"), F.lit(0)).alias("ml_score"))
 
 
+def with_ml_score(orders: DataFrame, model, stats: dict, ts: str = "ts") -> DataFrame:
+    """M6 in one pass: ``orders`` with ``ml_score``; the orders travel as one struct beside their features, so nothing
+    is joined back and repeated ids keep their own scores."""
+    kept = [F.col(c) for c in orders.columns if c != "ml_score"]
+    scored = score_test(model, live_features(orders, stats, ts, keep=[F.struct(*kept).alias("_order")]))
+    return scored.select("_order.*", F.coalesce((F.col("p_fraud") * 100).cast("int"), F.lit(0)).alias("ml_score"))
+
+
 def confusion_matrix(pred: DataFrame, label: str = "Class", prediction: str = "prediction") -> DataFrame:
     """Tn, fp, fn, tp."""
     y, p = F.col(label), F.col(prediction)

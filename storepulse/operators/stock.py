@@ -1,47 +1,17 @@
 """Stock monitoring (§2.1 S6–S7, §2.3 P6–P7, P20, §2.2 K7, §2.6 A11–A12, §2.7 W4, W7).
 
-The alert cooldown (W7) depends on its own earlier output: an alert is sent when more than the
-cooldown has passed since the last *sent* alert of its key; suppressed alerts do not move the
-clock. The sends of a key therefore form a chain ``s0 = first alert, s(i+1) = next(s(i))`` where
-``next(e)`` is the first alert of the key later than ``t(e) + cooldown``.
-
-Keys with a bounded number of alerts are folded in key-sorted partitions (``mapInPandas``:
-next-send pointers by ``searchsorted``, then a walk over the sends). Hot keys are computed exactly without gathering
-their history into one task:
-
-1. ``next(e)`` for every alert with windows over (key, time bucket of one cooldown): a query row
-   for e sits in bucket b(e)+1 and finds the first alert after its threshold there; if none, the
-   first alert of the first non-empty bucket ≥ b(e)+2 comes from a per-(key, bucket) aggregate.
-2. Pointer doubling: with ``J_0 = next`` and ``J_(j+1) = J_j ∘ J_j`` the set of the first 2^j
-   sends grows as ``S_(j+1) = S_j ∪ J_j(S_j)``. Each round is two equi-joins on the alert id
-   (uniformly spread, no key skew) and the lineage is cut with a reliable checkpoint. Sends are
-   more than one cooldown apart, so a key has at most one send per bucket and the number of
-   rounds is log2 of the largest number of non-empty buckets of a key.
-3. The last send before each suppressed alert (for the minutes-remaining text) is an as-of
-   lookup within (key, bucket), with each send also copied into the following bucket.
+The alert cooldown (W7) is in ``operators.cooldown``.
 """
 
 from __future__ import annotations
 
-import sys
-
-import math
-
-import numpy as np
-import pandas as pd
-
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storepulse.functions.scalars import LOW_STOCK_THRESHOLD, stock_status
-from storepulse.session import cut_lineage
-
-MICROS = 1_000_000
+from storepulse.operators.cooldown import cooldown
 
-# The per-key functions below run in Python workers; ship them by value so executors need not
-# have this package installed (same effect as --py-files for these functions).
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+__all__ = ["alert_candidates", "classify", "cooldown", "latest_snapshot", "stock_by_status", "stock_counts", "stock_status_distribution", "tracked_products"]
 
 
 def stock_counts(stock: DataFrame, status: str = "status") -> DataFrame:
@@ -63,6 +33,11 @@ def stock_by_status(stock: DataFrame, wanted: str, status: str = "status") -> Da
     return stock.filter(F.col(status) == wanted)
 
 
+def tracked_products(products: DataFrame, stock: str = "stock") -> DataFrame:
+    """Products whose stock is tracked; a null stock is no zero."""
+    return products.filter(F.col(stock).isNotNull())
+
+
 def classify(stock: DataFrame, level: str = "stock", threshold: int = LOW_STOCK_THRESHOLD) -> DataFrame:
     """P7 as a column on a frame."""
     return stock.withColumn("status", stock_status(F.col(level), threshold))
@@ -77,145 +52,6 @@ def alert_candidates(stock: DataFrame, level: str = "stock_level", key: str = "p
             .withColumn("alert_key", F.concat(F.col("level"), F.lit("_"), F.col(key).cast("string"))))
 
 
-# ---- W7: cooldown -----------------------------------------------------------------------------
-
-def _next_pointers(ev: DataFrame, width: int) -> DataFrame:
-    """(id, key, b, nxt) with nxt the first alert of the key later than t + width (strictly)."""
-    # Step A: the first alert in bucket b+1 after the threshold. Targets sort before queries on
-    # equal time so that only strictly later alerts qualify.
-    targets = ev.select("_k", "_b", F.col("_us").alias("_s"), F.lit(0).alias("_kind"),
-                        F.col("_id").alias("_tid"), F.lit(None).cast(ev.schema["_id"].dataType).alias("_qid"))
-    queries = ev.select("_k", (F.col("_b") + 1).alias("_b"), (F.col("_us") + width).alias("_s"),
-                        F.lit(1).alias("_kind"), F.lit(None).cast(ev.schema["_id"].dataType).alias("_tid"),
-                        F.col("_id").alias("_qid"))
-    w = (Window.partitionBy("_k", "_b").orderBy(F.col("_s").desc(), F.col("_kind").desc(), F.col("_tid").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    step_a = (targets.unionByName(queries)
-              .withColumn("_nxt", F.last("_tid", ignorenulls=True).over(w))
-              .filter(F.col("_kind") == 1)
-              .select(F.col("_qid").alias("_id"), F.col("_nxt").alias("_nxt_a")))
-    # Step B: first alert of the first non-empty bucket >= b+2 (per-(key, bucket) aggregate).
-    firsts = ev.groupBy("_k", "_b").agg(F.min(F.struct("_us", "_id")).alias("_f"))
-    tq = firsts.select("_k", F.col("_b").alias("_s"), F.lit(1).alias("_kind"), F.col("_f._id").alias("_tid"),
-                       F.lit(None).cast("long").alias("_qb"))
-    qq = firsts.select("_k", (F.col("_b") + 2).alias("_s"), F.lit(0).alias("_kind"),
-                       F.lit(None).cast(ev.schema["_id"].dataType).alias("_tid"), F.col("_b").cast("long").alias("_qb"))
-    wb = (Window.partitionBy("_k").orderBy(F.col("_s").desc(), F.col("_kind").desc())
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    step_b = (tq.unionByName(qq).withColumn("_nxt", F.last("_tid", ignorenulls=True).over(wb))
-              .filter(F.col("_kind") == 0).select("_k", F.col("_qb").alias("_b"), F.col("_nxt").alias("_nxt_b")))
-    return (ev.join(step_a, "_id", "left").join(step_b, ["_k", "_b"], "left")
-            .select("_id", "_k", "_b", "_us", F.coalesce("_nxt_a", "_nxt_b").alias("_nxt")))
-
-
-# Keys with at most this many alerts are folded in one task (bounded group); larger keys use
-# the pointer-doubling joins, which never gather a key.
-FOLD_MAX_ALERTS = 2_000_000
-
-
-def _fold_sorted(keys: np.ndarray, us: np.ndarray, width: int) -> np.ndarray:
-    """Cooldown over rows sorted by (key, time, id): per key, next-send pointers by one
-    ``searchsorted`` and a walk over the sends only. Returns the sent flags."""
-    sent = np.zeros(len(us), dtype=bool)
-    if len(us) == 0:
-        return sent
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    ends = np.r_[starts[1:], len(us)]
-    for a, b in zip(starts, ends):
-        t = us[a:b]
-        nxt = np.searchsorted(t, t + width, side="right")
-        i = 0
-        while i < b - a:
-            sent[a + i] = True
-            i = nxt[i]
-    return sent
-
-
-def _fold_partitions(width: int):
-    """``mapInPandas`` function over partitions sorted by (key, time, id); a key that continues
-    into the next Arrow batch is carried over, so each key is folded whole."""
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            keys = pdf["_k"].to_numpy()
-            last_start = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
-            done, carry = pdf.iloc[:last_start], pdf.iloc[last_start:]
-            if len(done):
-                flags = _fold_sorted(done["_k"].to_numpy(), done["_us"].to_numpy(np.int64), width)
-                yield pd.DataFrame({"_id": done["_id"].to_numpy(), "sent": flags})
-        if carry is not None and len(carry):
-            flags = _fold_sorted(carry["_k"].to_numpy(), carry["_us"].to_numpy(np.int64), width)
-            yield pd.DataFrame({"_id": carry["_id"].to_numpy(), "sent": flags})
-    return run
-
-
-def _sent_by_doubling(ev: DataFrame, width: int, checkpoint: bool) -> DataFrame:
-    """(_id, sent=True) for the sends of every key, by pointer doubling over next-send pointers."""
-    ptr = _next_pointers(ev, width)
-    ptr = cut_lineage(ptr) if checkpoint else ptr
-    # Rounds: sends are > one bucket apart, so a chain has at most (#non-empty buckets) nodes.
-    max_buckets = ptr.groupBy("_k").agg(F.countDistinct("_b").alias("n")).agg(F.max("n")).first()[0] or 0
-    rounds = max(1, math.ceil(math.log2(max_buckets + 1)))
-    jump = ptr.select("_id", F.col("_nxt").alias("_j"))
-    heads = ptr.groupBy("_k").agg(F.min(F.struct("_us", "_id")).alias("_h")).select(F.col("_h._id").alias("_id"))
-    sent = heads
-    for r in range(rounds):
-        stepped = (sent.join(jump, "_id", "inner").filter(F.col("_j").isNotNull())
-                   .select(F.col("_j").alias("_id")))
-        sent = sent.unionByName(stepped).distinct()
-        last_round = r == rounds - 1
-        if not last_round:
-            j2 = jump.alias("a").join(jump.alias("b"), F.col("a._j") == F.col("b._id"), "left")
-            jump = j2.select(F.col("a._id").alias("_id"), F.col("b._j").alias("_j"))
-        if checkpoint and not last_round:
-            sent, jump = cut_lineage(sent), cut_lineage(jump)
-    return sent.withColumn("sent", F.lit(True))
-
-
-def cooldown(alerts: DataFrame, key: str, ts: str, id_col: str, seconds: int = 3600,
-             checkpoint: bool = True, fold_max: int = FOLD_MAX_ALERTS) -> DataFrame:
-    """W7 + W7b: ``sent`` per alert and, for suppressed ones, ``minutes_remaining``
-    = trunc((cooldown − (now − last_sent)) / 60). ``id_col`` must be unique; order is (time, id).
-
-    Keys with at most ``fold_max`` alerts are folded in key-sorted partitions; hotter keys
-    are resolved exactly by pointer doubling (module notes), so no task holds an unbounded key."""
-    width = seconds * MICROS
-    base = alerts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    ev = base.select(F.col(id_col).alias("_id"), F.col(key).alias("_k"), "_us",
-                     F.floor(F.col("_us") / F.lit(width)).alias("_b"))
-    ev = cut_lineage(ev) if checkpoint else ev
-    sizes = ev.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    sized = ev.join(sizes, "_k", "inner")
-    small = (sized.filter(F.col("_n") <= fold_max).select(F.col("_k").cast("string").alias("_k"), "_id", "_us")
-             .repartition("_k").sortWithinPartitions("_k", "_us", "_id"))
-    id_type = ev.schema["_id"].dataType.simpleString()
-    sent_small = small.mapInPandas(_fold_partitions(width), f"_id {id_type}, sent boolean")
-    big = sized.filter(F.col("_n") > fold_max).select("_id", "_k", "_us", "_b")
-    has_big = sizes.filter(F.col("_n") > fold_max).limit(1).count() > 0
-    sent = sent_small.filter("sent").select("_id", "sent")
-    if has_big:
-        sent = sent.unionByName(_sent_by_doubling(big, width, checkpoint))
-    flagged = ev.join(sent, "_id", "left").select(
-        "_id", "_k", "_b", "_us", F.coalesce("sent", F.lit(False)).alias("sent"))
-    # Last send at or before each alert (as-of within the bucket and the previous one).
-    marks = F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")),
-                    F.struct((F.col("_b") + 1).alias("b"), F.lit(False).alias("own")))
-    ctx = flagged.withColumn("_m", F.explode(marks)).filter(F.col("_m.own") | F.col("sent")).select(
-        "_k", F.col("_m.b").alias("_bb"), "_us", "_id", "sent", F.col("_m.own").alias("_own"))
-    wl = (Window.partitionBy("_k", "_bb").orderBy("_us", "_id", F.col("_own").asc())
-          .rowsBetween(Window.unboundedPreceding, -1))
-    with_last = ctx.withColumn("_last", F.last(F.when(F.col("sent"), F.col("_us")), ignorenulls=True).over(wl)) \
-        .filter("_own")
-    remaining = F.when(~F.col("sent") & F.col("_last").isNotNull(),
-                       ((F.lit(width) - (F.col("_us") - F.col("_last"))) / F.lit(60 * MICROS)).cast("int"))
-    result = with_last.select(F.col("_id").alias(id_col), "sent", remaining.alias("minutes_remaining"))
-    return alerts.join(result, id_col, "inner")
-
-
 # ---- K7 helpers ---------------------------------------------------------------------------------
 
 def latest_snapshot(history: DataFrame, key: str = "product_id", order: str = "checked_at") -> DataFrame:

@@ -6,8 +6,9 @@ holds a third of the data becomes a third of the job in one task. The operators
 * ``trailing_count`` (W1) partitions by (key, time bucket). Each row is also copied, with only its
   key and time, into the following bucket, so a bucket sees every row that can fall in the
   trailing frame of its own rows. One shuffle, no join, and a hot key spreads over its buckets.
-* ``prior_count`` (W2) is a two-level prefix count: counts per (key, day) — a small aggregate,
-  partially combined map-side — give each day an offset; ``row_number`` runs within (key, day).
+* ``prior_count`` (W2), ``changed_rows`` (W9), ranks (A14), positions (P3) and running totals (A21) work on
+  sorted slices (``operators.slices``): bounded ranges of the whole order, with one small row per slice for
+  what crosses them. The plan above is computed once, and rows without a key or a time are ranged like others.
 * ``first_by_key`` / ``latest_by_key`` (W3/W4) are ``min_by``/``max_by`` aggregates, which combine
   partially before the shuffle, so a hot key ships one row per map task.
 * top-k per key uses ``row_number() <= k``; Spark inserts a partial ``WindowGroupLimit`` before
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storepulse.operators.slices import previous_value, ranked_rows, running_sum
+
 MICROS = 1_000_000
 
 
@@ -27,16 +30,6 @@ def _us(ts) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner equi-join on ``keys`` in which null equals null, so rows without a key or time stay."""
-    renamed = right.select(*[F.col(c).alias(f"_j_{c}") if c in keys else F.col(c) for c in right.columns])
-    same = [left[k].eqNullSafe(renamed[f"_j_{k}"]) for k in keys]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return left.join(renamed, on, "inner").drop(*[f"_j_{k}" for k in keys])
-
-
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int = 3600,
                    out: str = "orders_last_hour", context: DataFrame | None = None) -> DataFrame:
     """Rows of the same key with ``now − t < seconds``, this row included.
@@ -73,20 +66,10 @@ def velocity_alerts(df: DataFrame, col: str = "orders_last_hour", above: int = 3
     return df.filter(F.col(col) > above)
 
 
-def prior_count(df: DataFrame, key: str, ts: str, tiebreak: str, out: str = "prior_orders",
-                bucket_seconds: int = 86400) -> DataFrame:
+def prior_count(df: DataFrame, key: str, ts: str, tiebreak: str, out: str = "prior_orders") -> DataFrame:
     """Number of earlier rows of the key, ordered by (ts, tiebreak); rows without a time come first, and
     a null key is one key."""
-    width = bucket_seconds * MICROS
-    base = df.withColumn("_d", F.floor(_us(ts) / F.lit(width)))
-    per_day = base.groupBy(key, "_d").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.select(key, "_d", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(key, "_d").orderBy(F.col(ts), F.col(tiebreak))
-    ranked = base.withColumn("_rn", F.row_number().over(within))
-    return (_join_null_safe(ranked, offsets, [key, "_d"])
-            .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-            .drop("_d", "_rn", "_off"))
+    return ranked_rows(df, key, [F.col(ts), F.col(tiebreak)], out, start=0)
 
 
 def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -112,77 +95,27 @@ def top_k_per_key(df: DataFrame, key, order: list[Column], k: int, rank_col: str
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def changed_rows(df: DataFrame, value: str, ts: str, tiebreak: str, key: str,
-                 bucket_seconds: int = 86400) -> DataFrame:
+def changed_rows(df: DataFrame, value: str, ts: str, tiebreak: str, key: str) -> DataFrame:
     """Rows whose ``value`` is set and differs from the previous row of the key in (ts,
-    tiebreak) order; the first row of a key is kept.
-
-    Skew-safe like ``prior_count``: ``lag`` runs within (key, day); the first row of a day
-    compares with the last value of the key's previous non-empty day, taken from a small
-    per-(key, day) ``max_by`` aggregate."""
-    width = bucket_seconds * MICROS
-    base = df.withColumn("_d", F.floor(_us(ts) / F.lit(width)))
-    w = Window.partitionBy(key, "_d").orderBy(F.col(ts), F.col(tiebreak))
-    inner = (base.withColumn("_prev", F.lag(F.col(value)).over(w))
-             .withColumn("_first", F.row_number().over(w) == 1))
-    last = base.groupBy(key, "_d").agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tiebreak))).alias("_last"))
-    by_day = Window.partitionBy(key).orderBy("_d")
-    prev_day = last.select(key, "_d", F.lag("_last").over(by_day).alias("_pl"),
-                           (F.row_number().over(by_day) > 1).alias("_has_pl"))
-    j = _join_null_safe(inner, prev_day, [key, "_d"])
-    prev = F.when(F.col("_first"), F.col("_pl")).otherwise(F.col("_prev"))
-    has_prev = F.when(F.col("_first"), F.col("_has_pl")).otherwise(F.lit(True))
-    keep = F.col(value).isNotNull() & (~has_prev | ~F.col(value).eqNullSafe(prev))
-    return j.filter(keep).drop("_d", "_prev", "_first", "_pl", "_has_pl")
+    tiebreak) order; the first row of a key is kept."""
+    j = previous_value(df, key, [F.col(ts), F.col(tiebreak)], value, "_before")
+    return j.filter(F.col(value).isNotNull() & (~F.col("_before.some") | ~F.col(value).eqNullSafe(F.col("_before.v")))).drop("_before")
 
 
 def with_position(df: DataFrame, order: list[Column], out: str = "position") -> DataFrame:
     """Dense 0-based position in ``order`` without a single-partition window (a distributed
     rank over one constant key)."""
-    ranked = rank_within_key(df.withColumn("_all", F.lit(0)), "_all", order, out="_rank")
-    return ranked.withColumn(out, F.col("_rank") - 1).drop("_all", "_rank")
+    return ranked_rows(df.withColumn("_all", F.lit(0)), "_all", order, out, start=0).drop("_all")
 
 
 def rank_within_key(df: DataFrame, key: str, order: list[Column], out: str = "rank",
                     num_partitions: int | None = None) -> DataFrame:
-    """1-based position of each row within its key in ``order`` — exact and skew-safe.
-
-    ``repartitionByRange(key, order)`` splits even a hot key over several range partitions while
-    keeping the global order; the frame is checkpointed so partition ids stay fixed; per
-    (partition, key) counts give each slice of a key its offset (a small aggregate); the final
-    ``row_number`` runs per (partition, key), so no task holds more than one range slice.
-    """
-    from storepulse.session import cut_lineage
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, F.col(key), *order).withColumn("_pid", F.spark_partition_id())
-    ordered = cut_lineage(ordered)
-    slices = ordered.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(key, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_pid", key).orderBy(*order)
-    ranked = ordered.withColumn("_rn", F.row_number().over(w))
-    return (_join_null_safe(ranked, offsets, [key, "_pid"])
-            .withColumn(out, (F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_pid", "_rn", "_off"))
+    """1-based position of each row within its key in ``order`` — exact, however hot a key is."""
+    return ranked_rows(df, key, order, out, n=num_partitions)
 
 
 def running_total(df: DataFrame, order: list[Column], value: str, out: str = "running",
                   num_partitions: int | None = None, inclusive: bool = True) -> DataFrame:
     """Global running sum of ``value`` in ``order`` without a single-partition window.
-
-    Range partitioning keeps the global order across partitions; per-partition totals (one row
-    per partition) give each partition its offset; the running sum within a partition is a
-    window over (partition) only. ``inclusive=False`` excludes the current row."""
-    from storepulse.session import cut_lineage
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut_lineage(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
-    totals = ordered.groupBy("_pid").agg(F.sum(value).alias("_t"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    upto = Window.partitionBy("_pid").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    within = ordered.withColumn("_in", F.coalesce(F.sum(value).over(upto), F.lit(0)))
-    return (within.join(F.broadcast(offsets), "_pid", "inner")  # one row per partition
-            .withColumn(out, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off"))
+    ``inclusive=False`` excludes the current row."""
+    return running_sum(df, order, value, out, inclusive, num_partitions)

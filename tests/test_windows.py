@@ -2,9 +2,10 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from storepulse.operators.stock import cooldown
+from storepulse.operators.cooldown import cooldown
 from storepulse.operators.windows import (first_by_key, latest_by_key, prior_count, rank_within_key,
                                           running_total, trailing_count)
 
@@ -105,11 +106,50 @@ def test_cooldown_brute_force(spark):
     assert got == _fold(rows)
 
 
-def test_cooldown_doubling_path_equals_fold(spark):
-    rows = _events(400, ["hot"] * 10 + ["a", "b"], 8, span_s=30 * 3600)
-    df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
-    got = {r.id: (r.sent, r.minutes_remaining) for r in cooldown(df, "k", "ts", "id", fold_max=50).collect()}
-    assert got == _fold(rows)
+def test_cooldown_over_many_slices(spark):
+    """A hot key over many slices (two levels of composed maps), keys that end inside one, and a null key."""
+    for seed, span, n in ((8, 30 * 3600, 20), (9, 3 * 3600, 11), (10, 400 * 3600, 7)):
+        rows = _events(500, ["hot"] * 10 + ["a", "b", None], seed, span_s=span)
+        df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+        got = {r.id: (r.sent, r.minutes_remaining) for r in cooldown(df, "k", "ts", "id", n_slices=n).collect()}
+        assert got == _fold(rows)
+
+
+def test_cooldown_one_key_and_ties(spark):
+    rows = [(i, "k", T0 + timedelta(minutes=20 * (i // 4))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp").select("*", F.lit(1).alias("x"))
+    for n in (1, 5, 17):
+        out = cooldown(df, "k", "ts", "id", n_slices=n)
+        assert out.columns == ["id", "k", "ts", "x", "sent", "minutes_remaining"]
+        assert {r.id: (r.sent, r.minutes_remaining) for r in out.collect()} == _fold(rows)
+
+
+def test_cooldown_carried_sends_and_missing_times(spark):
+    rows = _events(300, ["hot"] * 8 + ["a", "b"], 12, span_s=20 * 3600)
+    rows.sort(key=lambda r: (r[2], r[0]))
+    want, early, late = _fold(rows), rows[:140], rows[140:]
+    schema = "id long, k string, ts timestamp"
+    first = cooldown(spark.createDataFrame(early, schema), "k", "ts", "id", n_slices=3)
+    carried = first.where("sent").groupBy("k").agg(F.max(F.unix_micros("ts")).alias("last_sent"))
+    second = cooldown(spark.createDataFrame(late + [(9999, "hot", None)], schema), "k", "ts", "id", carried=carried, n_slices=6)
+    got = {r.id: (r.sent, r.minutes_remaining) for r in first.unionByName(second).collect()}
+    assert got.pop(9999) == (False, None) and got == want
+    assert cooldown(spark.createDataFrame([], schema), "k", "ts", "id").count() == 0
+
+
+def test_step_maps_compose():
+    from storepulse.operators.cooldown import apply_map, compose, step_map, walk
+    rnd = random.Random(3)
+    for _ in range(200):
+        width = rnd.randrange(1, 30)
+        times = sorted(rnd.randrange(200) for _ in range(rnd.randrange(2, 40)))
+        cut = rnd.randrange(1, len(times))
+        parts = [times[:cut], times[cut:]]
+        maps = [step_map(np.array(p), width) for p in parts]
+        for last in [None, *range(times[0] - 40, times[0] + 1)]:
+            for p, m in zip(parts[:1], maps[:1], strict=True):
+                assert apply_map(*m, last) == walk(p, [False] * len(p), last, width)[2]
+            assert apply_map(*compose(*maps), last) == walk(times, [False] * len(times), last, width)[2]
 
 
 def test_changed_rows_multi_day(spark):
