@@ -1,73 +1,74 @@
 """Structured Streaming (§2.12 X1–X9).
 
 * X5 dedup: ``withWatermark`` + ``dropDuplicatesWithinWatermark(['order_id'])``.
-* X1–X3 enrichment: ``foreachBatch`` with versioned state tables (per-email order counts and
-  the last hour of (email, time) rows); each micro-batch runs the batch window operators with
-  the remembered rows as context, so stream and batch share one implementation and no Python
-  runs per key. State is bounded by the trailing hour plus one counter per email.
-* X4 scoring is stateless (the batch rule engine on the stream); X9 aggregates it per status.
-* X6 cooldown: ``applyInPandasWithState`` per alert key holding the last *sent* time.
-* Sinks run in ``foreachBatch`` and write to ``<sink>/batch=<id>`` with overwrite, so a batch
-  replayed after a failure replaces its own output (idempotent); checkpoints live in the shared
-  checkpoint folder.
-* X8: ``trigger`` is an argument (``processingTime`` in production, ``availableNow`` in tests).
+* X1–X3 enrichment: ``transformWithStateInPandas`` per email. Spark's state store holds the number of orders
+  (value state) and the times that the watermark can still reach (list state); an event-time timer expires them.
+  A batch costs what its own emails cost, and a restart goes on from the checkpoint.
+* X4 scoring is stateless (the batch rule engine on the stream). X9 counts the scored rows per status in a second
+  query over the scored sink, a stateful ``groupBy`` in complete or update mode.
+* X6 cooldown, X6 upsert and X7 run in ``foreachBatch`` on the batch operators, which split hot keys; their tables
+  are ``VersionedTable``s found in storage, so only the buckets of a batch's keys are read and rewritten.
+* Sinks write to ``<sink>/batch=<id>`` with overwrite, so a batch replayed after a failure replaces its own output.
+* X8: ``trigger`` is an argument: ``processingTime`` for a live feed, ``availableNow`` to catch up and stop.
 """
 
 from __future__ import annotations
 
+import contextlib
 import sys
-
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from storepulse.operators.cooldown import cooldown
 from storepulse.operators.fraud import score_orders
 from storepulse.operators.orders import normalize_orders
-from storepulse.operators.windows import prior_count, trailing_count
+from storepulse.operators.versioned import VersionedTable
 from storepulse.session import checkpoint_dir, cut_lineage
 from storepulse.sources.files import parse_order_log
 
 HOUR_US = 3600 * 1_000_000
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# The per-key functions below run in Python workers; ship them by value so executors need not
-# have this package installed (same effect as --py-files for these functions).
+# The stateful processor runs in Python workers; ship it by value so executors need not
+# have this package installed (same effect as --py-files for it).
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-COOLDOWN_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("product_id", T.LongType()),
-                             T.StructField("product_name", T.StringType()), T.StructField("level", T.StringType()),
-                             T.StructField("stock_level", T.IntegerType()), T.StructField("checked_at_us", T.LongType()),
-                             T.StructField("sent", T.BooleanType()), T.StructField("minutes_remaining", T.IntegerType())])
-COOLDOWN_STATE = T.StructType([T.StructField("last_sent", T.LongType())])
-
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_time_chunks(df: DataFrame, ts: Column | str, path: str, n_chunks: int = 4, fmt: str = "text") -> str:
-    """Land ``df`` as ``n_chunks`` files written one after another in event-time order, so a
-    file stream with ``maxFilesPerTrigger=1`` replays it in time order. Rows without a time go
-    into the first chunk."""
+def time_chunks(df: DataFrame, ts: Column | str, n_chunks: int = 4) -> list[DataFrame]:
+    """``df``, written once, in ``n_chunks`` spans of event time; rows without a time belong to the first."""
     t = F.col(ts) if isinstance(ts, str) else ts
-    with_t = cut_lineage(df.withColumn("_t", F.unix_micros(t.cast("timestamp"))))  # computed once
+    with_t = cut_lineage(df.withColumn("_t", F.unix_micros(t.cast("timestamp"))))
     lo, hi = with_t.agg(F.min("_t"), F.max("_t")).first()
     lo, hi = (lo or 0), (hi or 0)
     step = max(1, (hi - lo) // n_chunks + 1)
-    for i in range(n_chunks):
-        lower, upper = lo + i * step, lo + (i + 1) * step
-        part = with_t.filter((F.col("_t") >= lower) & (F.col("_t") < upper))
-        if i == 0:
-            part = with_t.filter(F.col("_t").isNull() | ((F.col("_t") >= lower) & (F.col("_t") < upper)))
-        part.drop("_t").coalesce(1).write.mode("append").format(fmt).save(path)
-    return path
+    part = F.coalesce(F.floor((F.col("_t") - lo) / step), F.lit(0))
+    return [with_t.filter(part == i).drop("_t") for i in range(n_chunks)]
+
+
+def land(df: DataFrame, path: str, fmt: str = "text") -> None:
+    """Append ``df`` to a landing folder; every task writes a file of its own."""
+    df.write.mode("append").format(fmt).save(path)
+
+
+def replay(chunks: list[DataFrame], path: str, run: Callable[[], object], fmt: str = "text") -> None:
+    """Land one chunk after another and let the stream catch up after each: every chunk is a restart from the checkpoint."""
+    for chunk in chunks:
+        land(chunk, path, fmt)
+        run()
 
 
 def idempotent_sink(path: str):
@@ -77,96 +78,117 @@ def idempotent_sink(path: str):
     return write
 
 
+def read_sink(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """What the batches (before one) have written."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which ``transformWithState`` asks for."""
+    old = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, old)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the stateful operators of a query dropped behind the watermark, as far as its progress is kept."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def run_stream(stream: DataFrame, spark: SparkSession, name: str, foreach, output_mode: str = "append",
-               trigger: dict | None = None, checkpoint: str | None = None) -> None:
-    """Run a streaming plan through ``foreachBatch`` until the trigger completes (``availableNow``
-    by default; ``{"processingTime": "3 seconds"}`` for a live feed). Pass the same ``checkpoint``
-    to resume a stopped query where it left off."""
+               trigger: dict | None = None, checkpoint: str | None = None) -> StreamingQuery:
+    """Run a streaming plan through ``foreachBatch`` until what has landed is processed, and stop. Any trigger will do:
+    ``availableNow`` (the default) ends by itself; a ``processingTime`` query is stopped once it is idle. Pass the
+    same ``checkpoint`` to resume where the query left off."""
     writer = (stream.writeStream.outputMode(output_mode)
               .option("checkpointLocation", checkpoint or scratch(spark, f"{name}-ckpt"))
               .foreachBatch(foreach)
               .trigger(**(trigger or {"availableNow": True})))
-    q = writer.start()
-    q.awaitTermination()
+    with rocksdb(spark):
+        q = writer.start()
+        if trigger and "processingTime" in trigger:
+            try:
+                q.processAllAvailable()
+            finally:
+                q.stop()
+        else:
+            q.awaitTermination()
     if q.exception():
         raise q.exception()
-
-
-def run_to_table(stream: DataFrame, spark: SparkSession, name: str, output_mode: str = "append",
-                 trigger: dict | None = None) -> DataFrame:
-    """Run a streaming plan into an idempotent parquet sink and return the sink as a batch
-    DataFrame."""
-    sink = scratch(spark, f"{name}-out")
-    run_stream(stream, spark, name, idempotent_sink(sink), output_mode, trigger)
-    return spark.read.option("basePath", sink).parquet(f"{sink}/batch=*").drop("batch")
+    return q
 
 
 # ---- X5 + P1 -----------------------------------------------------------------------------------
 
-def order_stream(spark: SparkSession, path: str, watermark: str = "2 hours", max_files: int = 1) -> DataFrame:
-    """S1 + X5 + P1 on a stream of order-log files: parse, event time, dedup by order id."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    raw = parse_order_log(lines)
+def order_stream(spark: SparkSession, path: str, watermark: str = "2 hours", max_files: int | None = None) -> DataFrame:
+    """S1 + X5 + P1 on a stream of order-log files: parse, event time, dedup by order id. ``max_files`` bounds a
+    micro-batch of a live feed."""
+    reader = spark.readStream if max_files is None else spark.readStream.option("maxFilesPerTrigger", max_files)
+    raw = parse_order_log(reader.text(path))
     norm = normalize_orders(raw).withColumn("ts", F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     return norm.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["order_id"])
 
 
 # ---- X1–X3 ---------------------------------------------------------------------------------------
 
-class TableState:
-    """Versioned state tables in the shared checkpoint folder: ``<root>/<name>/v=<batch_id>``.
-
-    A micro-batch reads version ``batch_id − 1`` and writes version ``batch_id`` with overwrite, so
-    a batch replayed after a failure recomputes exactly the same state (idempotent)."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-
-    def read(self, name: str, batch_id: int, schema: str) -> DataFrame:
-        if batch_id > 0:
-            try:
-                return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={batch_id - 1}")
-            except AnalysisException:  # no earlier version: this stream starts empty
-                pass
-        return self.spark.createDataFrame([], schema)
-
-    def write(self, name: str, batch_id: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={batch_id}")
-
-
-def enricher(spark: SparkSession, state_root: str, key: str = "customer_email", ts: str = "ts",
-             tiebreak: str = "order_id"):
-    """X1–X3 for ``foreachBatch``: velocity (trailing hour, W1) and earlier orders (J3) per email.
-
-    State: per-email order counts, and the (email, time) rows of the last hour. Each micro-batch
-    runs the batch operators on its rows with the remembered rows as context — JVM-side, no
-    per-key Python — and writes the next state version."""
-    state = TableState(spark, state_root)
-
-    def enrich(batch: DataFrame, batch_id: int, sink) -> None:
-        # The micro-batch is reused by the output and both state updates: cache it for this batch
-        # only (a lost executor recomputes it from the source), release it at the end.
-        rows = batch.withColumn(key, F.coalesce(F.col(key), F.lit("unknown"))).persist()
-        try:
-            counts = state.read("counts", batch_id, f"{key} string, n long")
-            recent = state.read("recent", batch_id, f"{key} string, {ts} timestamp")
-            with_v = trailing_count(rows, key, ts, 3600, out="orders_last_hour", context=recent)
-            within = prior_count(with_v, key, ts, tiebreak, out="_prior")
-            out = (within.join(counts, key, "left")
-                   .withColumn("prior_orders", F.coalesce(F.col("n"), F.lit(0)) + F.col("_prior"))
-                   .withColumn("is_new_customer", F.col("prior_orders") <= 1).drop("n", "_prior"))
-            sink(out, batch_id)
-            new_counts = (counts.unionByName(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
-                          .groupBy(key).agg(F.sum("n").alias("n")))
-            state.write("counts", batch_id, new_counts)
-            seen = recent.unionByName(rows.select(key, ts))
-            newest = seen.agg(F.max(ts)).first()[0]
-            keep = seen.filter(F.col(ts) > F.lit(newest) - F.expr("INTERVAL 1 HOUR")) if newest else seen
-            state.write("recent", batch_id, keep)
-        finally:
-            rows.unpersist()
-
-    return enrich
+class OrderHistory(StatefulProcessor):
+    """Velocity and earlier orders of one email. Its orders of one micro-batch are handled together, in event-time
+    order; equal times count each other, as in the batch operator. Late orders that the watermark admits see all
+    remembered times of their hour, and come after the orders that arrived before them in ``prior_orders``."""
+
+    def __init__(self, key: str, ts: str, tiebreak: str, width_us: int = HOUR_US):
+        self.key, self.ts, self.tiebreak, self.width_us = key, ts, tiebreak, width_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.orders = handle.getValueState("orders", "n long")
+        self.recent = handle.getListState("recent", "us long")
+
+    def _remember(self, times: np.ndarray, watermark_ms: int) -> None:
+        """Keep the times that an order not behind the watermark can still see, and a timer for the last of them."""
+        times = times[times > watermark_ms * 1000 - self.width_us]
+        if len(times):
+            self.recent.put([(t,) for t in times.tolist()])
+            self.handle.registerTimer(int(times[-1] + self.width_us) // 1000 + 1)
+        else:
+            self.recent.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", self.tiebreak], kind="stable", ignore_index=True)
+        seen = self.orders.get()
+        n = seen[0] if seen else 0
+        known = [r[0] for r in self.recent.get()] if seen else []
+        times = pdf["ts_us"].to_numpy(np.int64)
+        all_times = np.sort(np.concatenate([np.array(known, dtype=np.int64), times]))
+        hour = np.searchsorted(all_times, times, side="right") - np.searchsorted(all_times, times - self.width_us, side="right")
+        self.orders.update((n + len(pdf),))
+        self._remember(all_times, timerValues.getCurrentWatermarkInMs())
+        yield pdf.drop(columns="ts_us").assign(orders_last_hour=hour, prior_orders=n + np.arange(len(pdf)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        times = np.array([r[0] for r in self.recent.get()], dtype=np.int64)
+        times = times[times > timerValues.getCurrentWatermarkInMs() * 1000 - self.width_us]
+        if len(times):  # a newer order has a timer of its own
+            self.recent.put([(t,) for t in times.tolist()])
+        else:
+            self.recent.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def enriched_stream(orders: DataFrame, key: str = "customer_email", ts: str = "ts", tiebreak: str = "order_id") -> DataFrame:
+    """A watermarked stream of orders with ``orders_last_hour`` (W1), ``prior_orders`` and ``is_new_customer``."""
+    rows = orders.withColumns({key: F.coalesce(F.col(key), F.lit("unknown")), "ts_us": F.unix_micros(F.col(ts))})
+    out = T.StructType([*(f for f in rows.schema.fields if f.name != "ts_us"), T.StructField("orders_last_hour", T.IntegerType()), T.StructField("prior_orders", T.LongType())])
+    done = rows.groupBy(key).transformWithStateInPandas(OrderHistory(key, ts, tiebreak), out, "Append", "EventTime")
+    return done.withColumn("is_new_customer", F.col("prior_orders") <= 1)
 
 
 def fraud_stream(enriched: DataFrame) -> DataFrame:
@@ -174,52 +196,56 @@ def fraud_stream(enriched: DataFrame) -> DataFrame:
     return score_orders(enriched)
 
 
-# ---- X6: cooldown --------------------------------------------------------------------------------
-
-def _cooldown_handler(key, pdfs, state, width_us=HOUR_US):
-    last = state.get[0] if state.exists else None
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "event_id"], kind="mergesort")
-    if pdf.empty:
-        return
-    us = pdf["_us"].to_numpy(dtype=np.int64)
-    # Sends depend on their own predecessors: next-send pointers by searchsorted, then a walk
-    # over the sends only, starting after the carried last send.
-    nxt = np.searchsorted(us, us + width_us, side="right")
-    sent = np.zeros(len(us), dtype=bool)
-    i = 0 if last is None else int(np.searchsorted(us, last + width_us, side="right"))
-    while i < len(us):
-        sent[i] = True
-        i = nxt[i]
-    send_times = us[sent] if last is None else np.concatenate([[last], us[sent]])
-    # Minutes remaining for suppressed alerts: the latest send at or before each alert.
-    idx = np.searchsorted(send_times, us, side="right") - 1
-    prev = np.where(idx >= 0, send_times[np.maximum(idx, 0)], 0)
-    remaining = ((width_us - (us - prev)) / (60 * 1_000_000)).astype(np.int64)
-    minutes = pd.array(np.where(sent | (idx < 0), 0, remaining), dtype="Int32")
-    minutes[sent | (idx < 0)] = pd.NA
-    if sent.any():
-        last = int(us[sent][-1])
-    state.update((last,))
-    out = pdf[["event_id", "product_id", "product_name", "level", "stock_level"]].copy()
-    out["checked_at_us"] = us
-    out["sent"] = sent
-    out["minutes_remaining"] = minutes
-    yield out
-
-
-def cooldown_stream(alerts: DataFrame, key: str = "alert_key", ts: str = "checked_at") -> DataFrame:
-    """W7 on a stream: per alert key the last *sent* time is the state; suppressed alerts leave
-    it unchanged. The alerts of a key in one micro-batch are folded in event-time order."""
-    a = alerts.select(F.col(key).alias("_key"), F.col("event_id").cast("long").alias("event_id"),
-                      F.col("product_id").cast("long").alias("product_id"), "product_name", "level",
-                      F.col("stock_level").cast("int").alias("stock_level"),
-                      F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    return a.groupBy("_key").applyInPandasWithState(_cooldown_handler, COOLDOWN_OUT, COOLDOWN_STATE, "append",
-                                                     GroupStateTimeout.NoTimeout)
+# ---- X6, X7: tables in foreachBatch ------------------------------------------------------------------
+
+def cooldown_stream(spark: SparkSession, root: str, sink, key: str = "alert_key", ts: str = "checked_at", id_col: str = "event_id",
+                    seconds: int = 3600):
+    """W7 on a stream, for ``foreachBatch``: ``sink(cooled, batch_id)`` gets the alerts of a micro-batch with ``sent``
+    and ``minutes_remaining``. The last send per key is a versioned table; a batch reads the buckets of its own
+    keys, and the alerts of a hot key are split into slices as in the batch operator. Suppressed alerts change nothing."""
+    state = VersionedTable(spark, root, "state_key", "state_key string, last_sent long")
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        alerts = cut_lineage(batch.withColumn("state_key", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))))
+        keys = alerts.select("state_key").distinct()
+
+        def merge(known: DataFrame, touched: DataFrame) -> DataFrame:
+            cooled = cut_lineage(cooldown(touched, "state_key", ts, id_col, seconds, carried=known.join(keys, "state_key", "left_semi")))
+            sink(cooled.drop("state_key"), batch_id)
+            sends = cooled.where("sent").select("state_key", F.unix_micros(F.col(ts).cast("timestamp")).alias("last_sent"))
+            return known.unionByName(sends).groupBy("state_key").agg(F.max("last_sent").alias("last_sent"))
+
+        if not state.change(batch_id, alerts, merge):
+            sink(alerts.drop("state_key").withColumns({"sent": F.lit(False), "minutes_remaining": F.lit(None).cast("int")}), batch_id)
 
+    return process
+
+
+def upsert_stream(table: VersionedTable, merge: Callable[[DataFrame, DataFrame], DataFrame]):
+    """K7/K8 on a stream, for ``foreachBatch``: every micro-batch rewrites the buckets of its keys."""
+    def process(batch: DataFrame, batch_id: int) -> None:
+        table.change(batch_id, cut_lineage(batch), merge)
+    return process
+
+
+# ---- X9: live overview --------------------------------------------------------------------------------
 
 def overview_stream(scored: DataFrame) -> DataFrame:
-    """Orders and revenue per status over the stream (complete mode)."""
+    """Orders and revenue per status; on a stream a stateful aggregate for complete or update mode."""
     return scored.groupBy("status").agg(F.count(F.lit(1)).alias("n_orders"),
                                         F.sum("amount").cast("double").alias("revenue"))
 
+
+def run_overview(spark: SparkSession, sink: str, schema: T.StructType, table: str, checkpoint: str, output_mode: str = "complete",
+                 trigger: dict | None = None) -> DataFrame:
+    """Catch up with a scored sink and return the overview. In complete mode each micro-batch writes the whole
+    result as a new version; in update mode the changed statuses replace their rows in a versioned table."""
+    scored = spark.readStream.schema(schema).option("basePath", sink).parquet(f"{sink}/batch=*")
+    live = VersionedTable(spark, table, "status", "status string, n_orders long, revenue double", n_buckets=4)
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        fresh = cut_lineage(rows)
+        live.change(batch_id, fresh, lambda known, new: new if output_mode == "complete" else known.join(new, "status", "left_anti").unionByName(new))
+
+    run_stream(overview_stream(scored), spark, "overview", write, output_mode, trigger, checkpoint)
+    return live.read()

@@ -1,80 +1,128 @@
-"""Stream = batch on small inputs split into several files."""
+"""Stream = batch on small inputs landed in several chunks, each a restart; tables found in storage; late rows."""
 from datetime import datetime, timedelta
+import json
 import random
 
 from pyspark.sql import functions as F
 
-from storepulse.operators.stock import cooldown
+from storepulse.operators.cooldown import cooldown
+from storepulse.operators.orders import enrich_orders, normalize_orders
+from storepulse.operators.versioned import VersionedTable
+from storepulse.sources.files import parse_order_log
 from storepulse.streaming import streams as X
 
+T0 = datetime(2024, 1, 1)
+
 
 def test_cooldown_stream_equals_batch(spark):
     rnd = random.Random(7)
-    t0 = datetime(2024, 1, 1)
-    rows = [(i, rnd.choice([1, 2, 3]), f"P{i % 3}", rnd.choice([0, 3]), t0 + timedelta(seconds=rnd.randrange(20 * 3600)))
+    rows = [(i, rnd.choice([1, 2, 3]), f"P{i % 3}", rnd.choice([0, 3]), T0 + timedelta(seconds=rnd.randrange(20 * 3600)))
             for i in range(300)]
     df = spark.createDataFrame(rows, "event_id long, product_id long, product_name string, stock_level int, "
                                      "checked_at timestamp")
     alerts = df.withColumn("level", F.when(F.col("stock_level") == 0, "out").otherwise("low")) \
-        .withColumn("alert_key", F.concat("level", F.lit("_"), F.col("product_id").cast("string")))
+        .withColumn("alert_key", F.when(F.col("product_id") < 3, F.concat("level", F.lit("_"), F.col("product_id").cast("string"))))
     batch = {r.event_id: (r.sent, r.minutes_remaining)
              for r in cooldown(alerts, "alert_key", "checked_at", "event_id").collect()}
-    path = X.write_time_chunks(alerts, "checked_at", X.scratch(spark, "t-alerts"), 3, fmt="parquet")
-    stream = spark.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = X.run_to_table(X.cooldown_stream(stream), spark, "t-cool")
-    assert {r.event_id: (r.sent, r.minutes_remaining) for r in out.collect()} == batch
-
-
-def test_enricher_state_across_batches(spark):
-    t0 = datetime(2024, 1, 1)
-    rows = [("o1", "a", t0), ("o2", "a", t0 + timedelta(minutes=10)), ("o3", "b", t0 + timedelta(minutes=20)),
-            ("o4", "a", t0 + timedelta(minutes=65)), ("o5", "a", t0 + timedelta(minutes=80))]
-    enrich = X.enricher(spark, X.scratch(spark, "t-state"))
-    got = {}
-    for bid, part in enumerate([rows[:2], rows[2:4], rows[4:]]):
-        df = spark.createDataFrame(part, "order_id string, customer_email string, ts timestamp")
-        def sink(out, _bid):
-            for r in out.collect():
-                got[r.order_id] = (r.orders_last_hour, r.prior_orders, r.is_new_customer)
-        enrich(df, bid, sink)
-    assert got == {"o1": (1, 0, True), "o2": (2, 1, True), "o3": (1, 0, True), "o4": (2, 2, False),
-                   "o5": (2, 3, False)}
-
-
-def test_enrich_stream_restart_equals_batch(spark, tmp_path):
-    """Stop after two files, land two more, restart on the same checkpoint and state: the sink
-    holds every order once and equals the batch enrichment."""
-    import json
-    from storepulse.operators.orders import enrich_orders, normalize_orders
-    from storepulse.sources.files import parse_order_log
-    rnd = random.Random(11)
-    t0 = datetime(2024, 1, 1)
-    lines = []
-    for i in range(200):
-        t = t0 + timedelta(seconds=i * 97 + rnd.randrange(60))
-        lines.append(json.dumps({"order_id": str(i), "email": f"c{rnd.randrange(12)}@x", "total": 10.0 * i,
-                                 "items": [], "timestamp": t.strftime("%Y-%m-%dT%H:%M:%S")}))
-    src = X.scratch(spark, "t-restart-src")
-    ckpt, state, sink = (X.scratch(spark, n) for n in ("t-restart-ckpt", "t-restart-state", "t-restart-out"))
-    enrich = X.enricher(spark, state)
-
-    def write(batch, batch_id):
-        enrich(batch, batch_id, lambda out, bid: out.select("order_id", "orders_last_hour", "prior_orders")
-               .write.mode("overwrite").parquet(f"{sink}/batch={bid}"))
-
-    def land(chunk):
-        spark.createDataFrame([(v,) for v in chunk], "value string").coalesce(1).write.mode("append").text(src)
-
-    for chunk in (lines[:50], lines[50:100]):
-        land(chunk)
-    X.run_stream(X.order_stream(spark, src), spark, "t-restart", write, checkpoint=ckpt)
-    for chunk in (lines[100:150], lines[150:]):
-        land(chunk)
-    X.run_stream(X.order_stream(spark, src), spark, "t-restart", write, checkpoint=ckpt)
-
-    streamed = {r.order_id: (r.orders_last_hour, r.prior_orders)
-                for r in spark.read.parquet(f"{sink}/batch=*").collect()}
+    path, ckpt, state, sink = (X.scratch(spark, f"t-cool-{n}") for n in ("in", "ckpt", "state", "out"))
+
+    def run():  # a new handler each time: what it knows comes from storage
+        stream = spark.readStream.schema(alerts.schema).parquet(path)
+        X.run_stream(stream, spark, "t-cool", X.cooldown_stream(spark, state, X.idempotent_sink(sink)), checkpoint=ckpt)
+
+    X.replay(X.time_chunks(alerts, "checked_at", 3), path, run, "parquet")
+    assert {r.event_id: (r.sent, r.minutes_remaining) for r in X.read_sink(spark, sink).collect()} == batch
+
+
+def _order_lines(n, seed, people):
+    rnd = random.Random(seed)
+    return [json.dumps({"order_id": str(i), "email": people[rnd.randrange(len(people))], "total": 10.0 * i, "items": [{"name": f"p{i}"}],
+                        "timestamp": (T0 + timedelta(seconds=i * 97 + rnd.randrange(60))).strftime("%Y-%m-%dT%H:%M:%S")}) for i in range(n)]
+
+
+def _enriched(spark, src, ckpt, sink, **more):
+    write = lambda batch, bid: batch.write.mode("overwrite").parquet(f"{sink}/batch={bid}")
+    return X.run_stream(X.enriched_stream(X.order_stream(spark, src, max_files=more.pop("max_files", None))), spark, "t-orders", write, checkpoint=ckpt, **more)
+
+
+def _batch_enriched(spark, lines):
     raw = normalize_orders(parse_order_log(spark.createDataFrame([(v,) for v in lines], "value string")))
     batch = enrich_orders(raw.withColumn("ts", F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss")))
-    expected = {r.order_id: (r.orders_last_hour, r.prior_orders) for r in batch.collect()}
-    assert len(streamed) == 200 and streamed == expected
+    return {r.order_id: (r.customer_email, list(r.products), r.amount, r.ts, r.orders_last_hour, r.prior_orders, r.is_new_customer) for r in batch.collect()}
+
+
+def _streamed(spark, sink):
+    rows = X.read_sink(spark, sink).collect()
+    got = {r.order_id: (r.customer_email, list(r.products), r.amount, r.ts, r.orders_last_hour, r.prior_orders, r.is_new_customer) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_enriched_stream_over_restarts_equals_batch(spark):
+    """Every chunk is a restart from the checkpoint; one email has most orders, and some orders none."""
+    lines = _order_lines(240, 11, ["hot@x"] * 8 + [f"c{k}@x" for k in range(6)] + [None])
+    src, ckpt, sink = (X.scratch(spark, f"t-restart-{n}") for n in ("src", "ckpt", "out"))
+    chunks = [spark.createDataFrame([(v,) for v in lines[k:k + 80]], "value string").repartition(3) for k in (0, 80, 160)]
+    X.replay(chunks, src, lambda: _enriched(spark, src, ckpt, sink))
+    assert _streamed(spark, sink) == _batch_enriched(spark, lines)
+
+
+def test_processing_time_trigger_and_late_rows(spark):
+    """The same feed by ``processingTime`` with a bound on the files of a batch, stopped and resumed; an order that
+    arrives twice counts once, one behind the watermark is dropped and accounted for, a late one that the watermark
+    admits still sees the orders of its hour."""
+    src, ckpt, sink = (X.scratch(spark, f"t-live-{n}") for n in ("src", "ckpt", "out"))
+    order = lambda i, minutes: json.dumps({"order_id": str(i), "email": "a@x", "total": 1.0, "items": [], "timestamp": (T0 + timedelta(minutes=minutes)).strftime("%Y-%m-%dT%H:%M:%S")})
+    for part in ([order(1, 0), order(2, 30)], [order(3, 200), order(2, 30)]):
+        X.land(spark.createDataFrame([(v,) for v in part], "value string").coalesce(1), src)
+        _enriched(spark, src, ckpt, sink, trigger={"processingTime": "200 milliseconds"}, max_files=1)
+    X.land(spark.createDataFrame([(v,) for v in [order(4, 10), order(5, 150), order(6, 170), order(7, 201)]], "value string").coalesce(1), src)
+    q = _enriched(spark, src, ckpt, sink, trigger={"processingTime": "200 milliseconds"}, max_files=1)
+    got = {r.order_id: (r.orders_last_hour, r.prior_orders) for r in X.read_sink(spark, sink).collect()}
+    assert got == {"WOO-1": (1, 0), "WOO-2": (2, 1), "WOO-3": (1, 2), "WOO-5": (1, 3), "WOO-6": (2, 4), "WOO-7": (4, 5)}
+    assert X.late_rows(q) == 1
+
+
+def test_state_expires(spark):
+    """The remembered times of an email go once the watermark has passed them; its number of orders stays."""
+    src, ckpt, sink = (X.scratch(spark, f"t-expire-{n}") for n in ("src", "ckpt", "out"))
+    order = lambda i, who, hours: json.dumps({"order_id": str(i), "email": who, "total": 1.0, "items": [], "timestamp": (T0 + timedelta(hours=hours)).strftime("%Y-%m-%dT%H:%M:%S")})
+    for part in ([order(1, "a", 0)], [order(2, "b", 30)], [order(3, "b", 31)], [order(4, "a", 32)]):
+        X.land(spark.createDataFrame([(v,) for v in part], "value string").coalesce(1), src)
+        _enriched(spark, src, ckpt, sink)
+    got = {r.order_id: (r.orders_last_hour, r.prior_orders) for r in X.read_sink(spark, sink).collect()}
+    assert got == {"WOO-1": (1, 0), "WOO-2": (1, 0), "WOO-3": (1, 1), "WOO-4": (1, 1)}
+
+
+def test_overview_in_both_modes(spark):
+    sink = X.scratch(spark, "t-scored")
+    tables = {m: (X.scratch(spark, f"t-over-{m}"), X.scratch(spark, f"t-over-{m}-ckpt")) for m in ("complete", "update")}
+    for bid, rows in enumerate([[("1", "APPROVED", 2.0), ("2", "FRAUD_BLOCKED", 5.0)], [("3", "APPROVED", 4.0)]]):
+        df = spark.createDataFrame(rows, "order_id string, status string, amount double")
+        df.write.parquet(f"{sink}/batch={bid}")
+        for mode, (table, ckpt) in tables.items():
+            out = X.run_overview(spark, sink, df.schema, table, ckpt, mode)
+    for table, _ in tables.values():
+        rows = VersionedTable(spark, table, "status", "status string, n_orders long, revenue double", 4).read().collect()
+        assert sorted(map(tuple, rows)) == [("APPROVED", 2, 6.0), ("FRAUD_BLOCKED", 1, 5.0)]
+    assert out.count() == 2
+
+
+def test_versioned_table(spark):
+    root = X.scratch(spark, "t-table")
+    table = VersionedTable(spark, root, "id", "id long, v string", n_buckets=8)
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, v string")
+    upsert = lambda known, new: known.join(new, "id", "left_anti").unionByName(new)
+    assert table.read().count() == 0 and table.versions() == []
+    assert len(table.change(0, rows(*[(k, "old") for k in range(100)]), upsert)) == 8
+    touched = table.change(1, rows((7, "new")), upsert)  # a one-row batch rewrites one bucket
+    places = table.places()
+    assert len(touched) == 1 and [b for b, v in places.items() if v == 1] == touched and sorted(places) == list(range(8))
+    again = VersionedTable(spark, root, "id", "id long, v string", n_buckets=8)  # as after a restart
+    want = sorted([(k, "old") for k in range(100) if k != 7] + [(7, "new")])
+    assert sorted(map(tuple, again.read().collect())) == want
+    again.change(1, rows((8, "newer")), upsert)  # a replay starts from the version before its own
+    assert sorted(map(tuple, again.read().collect())) == sorted([(k, "old") for k in range(100) if k != 8] + [(8, "newer")])
+    assert again.change(2, rows(), upsert) == [] and again.read().count() == 100 and again.versions() == [0, 1, 2]
+    again.change(3, rows(*[(k, "x") for k in range(100)], (None, "null key")), lambda known, new: new.where("v <> 'x'"))
+    assert [tuple(r) for r in again.read().collect()] == [(None, "null key")]
