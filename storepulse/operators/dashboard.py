@@ -54,11 +54,12 @@ def score_histogram(scores: DataFrame, col: str = "final_score", by: str = "stat
             .withColumn("bin_hi", ((F.col("bin") + 1) * width + lo).cast("double")))
 
 
-def first_items(order_items: DataFrame, key: str, name: str, k: int) -> DataFrame:
-    """The ``k`` smallest item names per order, as a sorted array (exact for any display cut that
-    fits in k items)."""
-    top = top_k_per_key(order_items, key, [F.col(name).asc_nulls_first()], k, rank_col="_r")
-    return top.groupBy(key).agg(F.array_sort(F.collect_list(F.col(name))).alias("items"))
+def first_items(order_items: DataFrame, key: str, name: str, line: str, k: int) -> DataFrame:
+    """The first ``k`` item names per order in the order of their lines (names among equal ones), as an array
+    (exact for any display cut that fits in k items)."""
+    top = top_k_per_key(order_items, key, [F.col(line).asc_nulls_first(), F.col(name).asc_nulls_first()], k, rank_col="_r")
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(name).alias("_name"))))
+    return top.groupBy(key).agg(F.transform(in_order, lambda x: x["_name"]).alias("items"))
 
 
 def recent_orders_table(orders: DataFrame, item_names: DataFrame, key: str = "order_key") -> DataFrame:

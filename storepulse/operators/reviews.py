@@ -1,26 +1,30 @@
 """Reviews: sentiment scoring, labels, new-review detection, summaries (§2.11 M13–M14, §2.3
 P11–P16, §2.5 J1–J2, J5, J9, §2.6 A1–A3, A9–A10, A14, A16–A17, A22–A23, §2.7 W6, W8, §2.8 T6).
 
-Sentiment (M13) is a Spark job, not a per-row library call: the whole text of each review is
-tokenised with a built-in regex, the tokens are joined to a lexicon table, and the polarity is
-aggregated per review. Explode → join → partial aggregate run in one pipelined stage, so the
-token rows are never materialised; the lexicon is broadcast only after its size is checked.
+Sentiment (M13) is a fold over the token array of each review, in the row itself: no token row is made,
+joined or shuffled, and reviews that share an id keep their own scores. The lexicon is an input table;
+up to ``LEXICON_BOUND`` terms (counted first) it travels as one bucketed literal, above that the tokens
+of each numbered row meet it in a shuffle join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storepulse.functions.scalars import (clean_review_text, clean_search_prefix, export_rating, final_sentiment,
+from storepulse.functions.scalars import (clean_review_text, clean_search_prefix, export_rating, feed_rating, final_sentiment,
                                           first_score_label, second_score_label, short)
 from storepulse.operators.lookup import substring_lookup
 from storepulse.operators.windows import rank_within_key, top_k_per_key
+from storepulse.session import cut_lineage
 
-TOKEN_PATTERN = "[a-z]+"
+TOKEN_PATTERN = r"\p{L}+"  # words of any script; the same class in Java and RE2
 # Normalisation constant of the second (compound) score: s / sqrt(s^2 + alpha).
 COMPOUND_ALPHA = 15.0
-# Broadcast the lexicon only below this many entries; above it the join is a shuffle join.
+# Lexicon terms that travel with the plan; a larger lexicon stays a table.
+LEXICON_BOUND = 50_000
 
 
 # Fixed values for the optional context rules: a negation word flips and damps the next word's
@@ -31,49 +35,85 @@ NEGATION_SCALAR = -0.74
 BOOSTER_INCREMENT = 0.293
 
 
-def tokenize(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, token) for every lower-case word of the whole text."""
-    return df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN_PATTERN), 0))
-                     .alias("token"))
+def _tokens(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN_PATTERN), 0)
+
+
+def _context(token: Column) -> Column:
+    """What a word does to the hit right after it: 1 negates, 2 boosts, 0 nothing."""
+    return F.when(token.isin(NEGATIONS), F.lit(1)).when(token.isin(BOOSTERS), F.lit(2)).otherwise(F.lit(0))
+
+
+def _adjusted(polarity: Column, context: Column) -> Column:
+    return (F.when(context == 1, polarity * F.lit(NEGATION_SCALAR))
+            .when(context == 2, polarity + F.signum(polarity) * F.lit(BOOSTER_INCREMENT)).otherwise(polarity))
+
+
+def _bucketed(rows: list) -> tuple[Column, int]:
+    """The lexicon as a literal array of small maps, a term's map found by its hash: a lookup costs the same
+    in a lexicon of any size."""
+    n = 1 << max(0, len(rows) - 1).bit_length()
+    maps: list[dict[str, float]] = [{} for _ in range(n)]
+    for r in rows:
+        maps[r.h % n][r.term] = r.polarity
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,double>>"), n
+
+
+def _folded(reviews: DataFrame, text: str, lexicon: Column, n_buckets: int, context_rules: bool) -> DataFrame:
+    """``reviews`` with ``_f``: summed polarity ``s`` and number ``n`` of the lexicon hits, folded over the tokens
+    with the state (sum, hits, what the word before does)."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("c"))
+
+    def step(state: Column, token: Column) -> Column:
+        found = F.try_element_at(F.get(lexicon, F.pmod(F.xxhash64(token), F.lit(n_buckets)).cast("int")), token)
+
+        def after(polarity: Column) -> Column:
+            hit = _adjusted(polarity, state["c"]) if context_rules else polarity
+            return F.struct((state["s"] + F.coalesce(hit, F.lit(0.0))).alias("s"), (state["n"] + polarity.isNotNull().cast("int")).alias("n"),
+                            (_context(token) if context_rules else F.lit(0)).alias("c"))
+
+        return F.transform(F.array(found), after)[0]  # binds the polarity, so it is looked up once
+
+    return reviews.withColumn("_f", F.aggregate(F.coalesce(_tokens(text), F.array().cast("array<string>")), zero, step))
 
 
-def tokenize_with_previous(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, token, prev) for every word; the previous word comes from zipping the token array
-    with itself shifted by one, so one ``explode`` suffices (no window, no per-row array copy)."""
-    toks = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN_PATTERN), 0)
-    prevs = F.concat(F.array(F.lit(None).cast("string")), F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))))
-    pairs = F.arrays_zip(toks.alias("token"), prevs.alias("prev"))
-    return df.select(key, F.explode(pairs).alias("_p")).select(key, "_p.token", "_p.prev")
+def _joined(reviews: DataFrame, text: str, terms: DataFrame, context_rules: bool) -> DataFrame:
+    """``_folded`` for a lexicon above the bound: rows are numbered in a written table, so that their tokens can
+    meet the lexicon in a shuffle join and come back to their own row."""
+    numbered = cut_lineage(reviews.withColumn("_row", F.monotonically_increasing_id()))
+    words = _tokens(text)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    tokens = numbered.select("_row", F.explode(F.arrays_zip(words.alias("term"), before.alias("before"))).alias("_t")).select("_row", "_t.*")
+    polarity = _adjusted(F.col("polarity"), F.coalesce(_context(F.col("before")), F.lit(0))) if context_rules else F.col("polarity")
+    sums = tokens.join(terms.hint("merge"), "term").groupBy("_row").agg(F.sum(polarity).alias("s"), F.count(F.lit(1)).alias("n"))
+    out = numbered.join(sums, "_row", "left")
+    return out.withColumn("_f", F.struct(F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("n", F.lit(0)).alias("n"))).drop("_row", "s", "n")
 
 
 def sentiment_scores(reviews: DataFrame, lexicon: DataFrame, text: str = "review_text",
-                     key: str = "comment_id", context_rules: bool = False) -> DataFrame:
+                     context_rules: bool = False, lexicon_bound: int = LEXICON_BOUND) -> DataFrame:
     """First score = mean polarity of the lexicon hits; second score = s / sqrt(s² + 15) with
-    s the summed polarity; a review without hits scores 0 on both. Labels are taken before the
-    stored scores are rounded to 4 (half-even). With ``context_rules`` a hit right after a
-    negation word is multiplied by −0.74 and one right after a booster moves 0.293 away from 0."""
-    lex = lexicon.select(F.col("term").alias("token"), "polarity")
-    if context_rules:
-        hits = tokenize_with_previous(reviews, text, key).join(lex, "token", "inner")
-        pol = F.col("polarity")
-        adjusted = (F.when(F.col("prev").isin(NEGATIONS), pol * F.lit(NEGATION_SCALAR))
-                    .when(F.col("prev").isin(BOOSTERS), pol + F.signum(pol) * F.lit(BOOSTER_INCREMENT))
-                    .otherwise(pol))
-        hits = hits.withColumn("polarity", adjusted)
+    s the summed polarity; a review without hits, or without a text, scores 0 on both. Labels are taken
+    before the stored scores are rounded to 4 (half-even). With ``context_rules`` a hit right after a
+    negation word is multiplied by −0.74 and one right after a booster moves 0.293 away from 0.
+
+    ``lexicon`` has ``term`` and ``polarity``; terms are compared in lower case, one that stands in it more
+    than once counts with its mean polarity, and rows with a null are left out."""
+    terms = (lexicon.where("term IS NOT NULL AND polarity IS NOT NULL").groupBy(F.lower("term").alias("term"))
+             .agg(F.avg(F.col("polarity").cast("double")).alias("polarity")))
+    rows = terms.withColumn("h", F.xxhash64("term")).limit(lexicon_bound + 1).collect()  # bounded: the lexicon, or the news that it is larger
+    if len(rows) <= lexicon_bound:
+        scored = _folded(reviews, text, *_bucketed(rows), context_rules)
     else:
-        hits = tokenize(reviews, text, key).join(lex, "token", "inner")
-    agg = hits.groupBy(key).agg(F.sum("polarity").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    scored = reviews.join(agg, key, "left")
-    s = F.coalesce(F.col("_s"), F.lit(0.0))
-    first = F.when(F.col("_n") > 0, s / F.col("_n")).otherwise(F.lit(0.0))
-    second = s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA))
-    return (scored.withColumn("_first", first).withColumn("_second", second)
-            .withColumn("textblob_sentiment", first_score_label("_first"))
+        scored = _joined(reviews, text, terms, context_rules)
+    s, n = F.col("_f.s"), F.col("_f.n")
+    scored = scored.withColumns({"_first": F.when(n > 0, s / n).otherwise(F.lit(0.0)), "_second": s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA))})
+    return (scored.withColumn("textblob_sentiment", first_score_label("_first"))
             .withColumn("vader_sentiment", second_score_label("_second"))
             .withColumn("final_sentiment", final_sentiment("textblob_sentiment", "vader_sentiment"))
             .withColumn("textblob_score", F.bround("_first", 4))
             .withColumn("vader_score", F.bround("_second", 4))
-            .drop("_s", "_n", "_first", "_second"))
+            .drop("_f", "_first", "_second"))
 
 
 def new_reviews(feed: DataFrame, saved: DataFrame, key: str = "comment_id",
@@ -90,17 +130,15 @@ def process_reviews(feed: DataFrame, saved: DataFrame, lexicon: DataFrame) -> Da
 
 def store_reviews(comments: DataFrame, posts: DataFrame, n: int = 50) -> DataFrame:
     """J1 + J2 + P23 + T7: approved product reviews joined to their product post, newest ``n`` by
-    comment id, product name and text with the ``|||`` separator removed, rating default 5."""
+    comment id, product name and text with the ``|||`` separator removed, rating by P14."""
     c = comments.filter((F.col("comment_type") == "review") & (F.col("comment_approved") == "1"))
     p = posts.filter(F.col("post_type") == "product").select("ID", "name")
     j = c.join(p, c.comment_post_ID == p.ID, "inner")
     newest = j.orderBy(F.col("comment_ID").desc()).limit(n)
-    rating = F.when(F.col("rating").isNull() | (F.col("rating") == "") | (F.col("rating") == "0"), F.lit("5")) \
-        .otherwise(F.col("rating"))
     return newest.select(F.col("comment_ID").alias("comment_id"),
                          F.replace(F.col("name"), F.lit("|||"), F.lit("")).alias("product_name"),
                          F.replace(F.col("comment_content"), F.lit("|||"), F.lit("")).alias("review_text"),
-                         rating.alias("rating"))
+                         feed_rating("rating").alias("rating"))
 
 
 def sentiment_by_product(reviews: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ TABLE_SCHEMAS = {
         T.StructField("rating", T.DoubleType()), T.StructField("textblob_score", T.DoubleType()),
         T.StructField("textblob_sentiment", T.StringType()), T.StructField("vader_score", T.DoubleType()),
         T.StructField("vader_sentiment", T.StringType()), T.StructField("final_sentiment", T.StringType()),
-        T.StructField("analyzed_at", T.TimestampType()), T.StructField("wp_comment_id", T.IntegerType())]),
+        T.StructField("analyzed_at", T.TimestampType()), T.StructField("wp_comment_id", T.LongType())]),
     "products": T.StructType([
         T.StructField("product_name", T.StringType()), T.StructField("category", T.StringType()),
         T.StructField("price", T.DoubleType()), T.StructField("created_at", T.TimestampType())]),
@@ -125,7 +125,7 @@ def review_sink_rows(reviews: DataFrame) -> DataFrame:
             F.col("rating").cast("double").alias("rating"),
             "textblob_score", "textblob_sentiment", "vader_score", "vader_sentiment", "final_sentiment"]
     if "comment_id" in reviews.columns:
-        cols.append(F.col("comment_id").cast("int").alias("wp_comment_id"))
+        cols.append(F.col("comment_id").cast("long").alias("wp_comment_id"))
     return reviews.select(*cols)
 
 
@@ -214,12 +214,12 @@ def notification_outbox(scored: DataFrame, admin: str = "admin") -> DataFrame:
     msg = lambda kind, to, subject: F.struct(F.lit(kind).alias("template"), to.alias("recipient"),
                                             subject.alias("subject"))
     flagged = F.array(
-        msg("fraud_alert", F.lit(admin), F.concat(F.lit("FRAUD ALERT — "), oid, F.lit(" — Score: "),
+        msg("fraud_alert", F.lit(admin), F.concat(F.lit("🚨 FRAUD ALERT — "), oid, F.lit(" — Score: "),
                                                   F.col("final_score").cast("string"), F.lit("/100"))),
-        msg("under_review", email, F.concat(F.lit("Order Under Review — "), oid)))
+        msg("under_review", email, F.concat(F.lit("⏳ Order Under Review — "), oid)))
     approved = F.array(
-        msg("order_confirmation", email, F.concat(F.lit("Order Confirmed — "), oid)),
-        msg("admin_new_order", F.lit(admin), F.concat(F.lit("New Order Received — "), oid, F.lit(" — "),
+        msg("order_confirmation", email, F.concat(F.lit("✅ Order Confirmed — "), oid)),
+        msg("admin_new_order", F.lit(admin), F.concat(F.lit("🛍️ New Order Received — "), oid, F.lit(" — "),
                                                       currency(amount))))
     msgs = F.when(F.col("status").isin("FRAUD_BLOCKED", "REVIEW_NEEDED"), flagged).otherwise(approved)
     return (scored.select("order_id", "status", _products_text().alias("products_text"), F.explode(msgs).alias("m"))
@@ -230,8 +230,8 @@ def notification_outbox(scored: DataFrame, admin: str = "admin") -> DataFrame:
 def stock_outbox(alerts: DataFrame, admin: str = "admin", keep: list[str] | None = None) -> DataFrame:
     """Low-stock (name cut to 40, level) and out-of-stock notices to the admin."""
     name40 = short(F.col("product_name"), 40)
-    subject = F.when(F.col("level") == "low", F.concat(F.lit("Low Stock Alert — "), name40)).otherwise(
-        F.concat(F.lit("OUT OF STOCK — "), name40))
+    subject = F.when(F.col("level") == "low", F.concat(F.lit("⚠️ Low Stock Alert — "), name40)).otherwise(
+        F.concat(F.lit("🚫 OUT OF STOCK — "), name40))
     return alerts.select(*(keep or []), "product_id", "level", F.lit(admin).alias("recipient"), subject.alias("subject"),
                          F.col("stock").alias("stock_level"))
 
@@ -243,9 +243,9 @@ def cancellation_outbox(orders: DataFrame, reason: str = "Suspicious activity de
     msgs = F.array(
         F.struct(F.lit("customer_cancelled").alias("template"),
                  F.coalesce(F.col("customer_email"), F.lit("")).alias("recipient"),
-                 F.concat(F.lit("Order Cancelled — "), oid).alias("subject")),
+                 F.concat(F.lit("❌ Order Cancelled — "), oid).alias("subject")),
         F.struct(F.lit("admin_cancelled").alias("template"), F.lit(admin).alias("recipient"),
-                 F.concat(F.lit("Admin Cancelled Order — "), oid).alias("subject")))
+                 F.concat(F.lit("👨‍💼 Admin Cancelled Order — "), oid).alias("subject")))
     return (orders.select("order_id", F.explode(msgs).alias("m")).select("order_id", "m.*")
             .filter(F.col("recipient") != "").withColumn("reason", F.lit(reason)))
 

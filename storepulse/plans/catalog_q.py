@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,8 +163,7 @@ def recommendation_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _catalog_csv(spark: SparkSession, sf_dir: str) -> str:
     """Write the catalogue as a products CSV (quoted fields, a few bad or empty prices) into the
     shared checkpoint folder and return its path."""
-    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-    path = f"{checkpoint_dir(spark)}/catalog-csv-{tag}"
+    path = f"{checkpoint_dir(spark)}/catalog-csv-{uuid.uuid4().hex}"
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"])
     price = (F.when(F.col("p_partkey") % 97 == 0, F.lit("abc"))
              .when(F.col("p_partkey") % 89 == 0, F.lit(""))

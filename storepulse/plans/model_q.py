@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from storepulse.operators import model as ML
 from storepulse.operators.fraud import score_orders
-from storepulse.plans.oracle import ORDER_FEED_CTE
+from storepulse.plans.oracle import ORDER_FEED_CTE, RULE_SCORE_SQL, with_ctes
 from storepulse.plans.registry import query
+from storepulse.session import cut_lineage
 from storepulse.sources.feeds import order_feed, transactions
 
 UNDERSAMPLE_RATIO = 10  # normal rows kept per fraud row, as in the original training job
@@ -148,14 +149,23 @@ def fit_fraud_model(spark: SparkSession, sf_dir: str, ratio: int = 10):
 def fraud_model_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 + M4 + A18–A21: train the forest and evaluate it on the held-out part."""
     model, _, test = fit_fraud_model(spark, sf_dir)
-    pred = ML.score_test(model, test)
-    cm = ML.confusion_matrix(pred)
-    row = cm.first()
-    auc = ML.roc_auc(pred).first()[0]
-    n = row.tn + row.fp + row.fn + row.tp
-    return spark.createDataFrame(
-        [(int(row.tn), int(row.fp), int(row.fn), int(row.tp), (row.tn + row.tp) / n * 100 if n else None, auc)],
-        "tn long, fp long, fn long, tp long, accuracy_pct double, auc double")
+    pred = cut_lineage(ML.score_test(model, test).select("Class", "prediction", "p_fraud"))
+    cm, one = ML.confusion_matrix(pred), F.lit(1).alias("one")  # one row each
+    hit = (F.col("tn") + F.col("tp")) / F.nullif(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"), F.lit(0))
+    return cm.select("*", (hit * 100).alias("accuracy_pct"), one).join(ML.roc_auc(pred).select("auc", one), "one").drop("one")
+
+
+@query("fraud_model_checks", sql=f"""WITH {UNDER_SQL}
+SELECT count(*) AS n_test, count(*) FILTER (WHERE "Class" = 1) AS n_fraud, count(*) FILTER (WHERE "Class" = 0) AS n_normal,
+       true AS metrics_agree, true AS in_range FROM split WHERE is_test""")
+def fraud_model_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 + M4 + A18–A21: what must hold of ``fraud_model_eval`` whatever the trees are: every held-out row is judged
+    once, accuracy follows from the matrix, and accuracy and AUC lie in their ranges."""
+    e = fraud_model_eval(spark, sf_dir)
+    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    return e.select(n.alias("n_test"), (F.col("fn") + F.col("tp")).alias("n_fraud"), (F.col("tn") + F.col("fp")).alias("n_normal"),
+                    (F.abs(F.col("accuracy_pct") * n / 100 - (F.col("tn") + F.col("tp"))) < 1e-6).alias("metrics_agree"),
+                    (F.col("accuracy_pct").between(0, 100) & F.col("auc").between(0, 1)).alias("in_range"))
 
 
 @query("live_features", sql=f"""WITH {TX_SQL},
@@ -180,27 +190,42 @@ def live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml_fraud_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6 + P8 + P9: rules plus the forest's score on every order; orders per final status."""
     model, stats, _ = fit_fraud_model(spark, sf_dir)
-    orders = order_feed(spark, sf_dir)
-    scored = score_orders(orders, ML.ml_score(orders, model, stats))
+    scored = score_orders(ML.with_ml_score(order_feed(spark, sf_dir), model, stats))
     return scored.groupBy("status").agg(F.count(F.lit(1)).alias("n_orders"),
                                         F.avg("ml_score").alias("avg_ml_score"))
 
 
+@query("ml_fraud_checks", sql=f"""{with_ctes(ORDER_FEED_CTE)}, r AS (SELECT CAST({RULE_SCORE_SQL} AS INTEGER) AS rule_score FROM order_feed)
+SELECT count(*) AS n_orders, CAST(sum(rule_score) AS BIGINT) AS rule_total, count(*) FILTER (WHERE rule_score >= 55) AS blocked_by_rules,
+       CAST(0 AS BIGINT) AS n_unscored, CAST(0 AS BIGINT) AS n_unsound FROM r""")
+def ml_fraud_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 + P8 + P9: what must hold of the scored orders whatever the trees are: each order scored once within 0..100,
+    the final score and status by the published formula, no order blocked by rules let through."""
+    model, stats, _ = fit_fraud_model(spark, sf_dir)
+    s = score_orders(ML.with_ml_score(order_feed(spark, sf_dir), model, stats))
+    rule, ml, final = F.col("rule_score"), F.col("ml_score"), F.col("final_score")
+    formula = F.greatest(rule, (rule * 0.8 + ml * 0.2).cast("int"))
+    sound = (final == formula) & ((F.col("status") == "FRAUD_BLOCKED") == ((final >= 55) | (rule >= 55))) & ((F.col("status") == "APPROVED") == ((final < 31) & (rule < 55)))
+    return s.agg(F.count(F.lit(1)).alias("n_orders"), F.sum("rule_score").cast("long").alias("rule_total"), F.count_if(rule >= 55).alias("blocked_by_rules"),
+                 F.count_if(~F.coalesce(ml.between(0, 100), F.lit(False))).alias("n_unscored"), F.count_if(~sound).alias("n_unsound"))
+
+
 @query("transactions_csv_profile", sql=f"""WITH {TX_SQL}
 SELECT count(*) AS rows, CAST(sum("Class") AS BIGINT) AS fraud, count(*) FILTER (WHERE "Class" = 0) AS normal,
        avg("Class") * 100 AS fraud_rate_pct FROM tx""")
 def transactions_csv_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 + A15: the labelled transactions written as CSV to the shared folder, read back with
     the CSV source and profiled."""
-    import hashlib
+    import uuid
     from storepulse.session import checkpoint_dir
     from storepulse.sources.files import read_transactions
-    path = f"{checkpoint_dir(spark)}/transactions-csv-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+    path = f"{checkpoint_dir(spark)}/transactions-csv-{uuid.uuid4().hex}"
     _tx(spark, sf_dir).select(*ML.feature_columns(), "Class").write.mode("overwrite").option("header", True).csv(path)
     return ML.label_profile(read_transactions(spark, path))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", sql=f"""WITH {UNDER_SQL}
+SELECT count(*) AS n_test, count(*) AS n_equal FROM split WHERE is_test""")
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K12 + S11: save the fitted pipeline to the shared folder, load it, and check that the
     loaded model predicts the held-out rows exactly as the fitted one."""

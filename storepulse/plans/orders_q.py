@@ -259,7 +259,7 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recent_orders_table", sql=f"""{with_ctes(DASH_CTE)},
 items AS (
-  SELECT l_orderkey AS order_key, substr(string_agg(substr(p_name, 1, 25), ', ' ORDER BY p_name), 1, 40) AS items_text
+  SELECT l_orderkey AS order_key, substr(string_agg(substr(p_name, 1, 25), ', ' ORDER BY l_linenumber, p_name), 1, 40) AS items_text
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)
 SELECT 'WOO-' || d.order_id AS "order", d.customer_email AS email,
        '$' || format('{{:,.2f}}', d.amount) AS amount_text, d.payment_method AS payment,
@@ -269,7 +269,7 @@ def recent_orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dashboard's order table (items cut to 25 each, joined, cut to 40)."""
     scored = dashboard_scored(spark, sf_dir).withColumn("order_key", F.col("order_id"))
     names = D.first_items(order_items(spark, sf_dir).withColumn("order_key", F.col("order_key").cast("string")),
-                          "order_key", "name", 21)
+                          "order_key", "name", "line", 21)
     return D.recent_orders_table(scored, names, key="order_key")
 
 
@@ -305,33 +305,35 @@ def fraud_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("order_actions", sql=f"""{with_ctes(LOG_CTE)},
-latest AS (SELECT order_key AS latest_key FROM order_base ORDER BY ts DESC, order_key DESC LIMIT 1)
+store AS (SELECT order_key, ts FROM order_base WHERE order_key % 37 <> 0),
+latest AS (SELECT order_key AS latest_key FROM store ORDER BY ts DESC, order_key DESC LIMIT 1)
 SELECT d.order_id, coalesce(b.order_key, l.latest_key) AS target_order, b.order_key IS NULL AS fallback,
        'on-hold' AS new_status,
        CASE WHEN d.status = 'FRAUD_BLOCKED' THEN 'FRAUD DETECTED' ELSE 'REVIEW NEEDED' END
          || ' - Score: ' || CAST(d.final_score AS VARCHAR) || '/100. Pending admin review.' AS note
-FROM log_decided d LEFT JOIN order_base b ON CAST(replace(d.order_id, 'WOO-', '') AS BIGINT) = b.order_key
+FROM log_decided d LEFT JOIN store b ON CAST(replace(d.order_id, 'WOO-', '') AS BIGINT) = b.order_key
 CROSS JOIN latest l
 WHERE d.status <> 'APPROVED'""")
 def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K13 + J10: hold actions for flagged orders; unknown ids fall back to the latest store order."""
-    return K.order_actions(log_scored(spark, sf_dir), order_base(spark, sf_dir))
+    """K13 + J10: hold actions for flagged orders; ids that the store doesn't know (it lacks some orders of the log)
+    fall back to the latest store order."""
+    return K.order_actions(log_scored(spark, sf_dir), order_base(spark, sf_dir).filter(F.col("order_key") % 37 != 0))
 
 
 @query("notification_outbox", sql=f"""{with_ctes(LOG_CTE)}
 SELECT order_id, status, template, recipient, subject, substr(products_text, 1, 100) AS products_text FROM (
   SELECT order_id, status, products_text, 'fraud_alert' AS template, 'admin' AS recipient,
-         'FRAUD ALERT — ' || order_id || ' — Score: ' || CAST(final_score AS VARCHAR) || '/100' AS subject
+         '🚨 FRAUD ALERT — ' || order_id || ' — Score: ' || CAST(final_score AS VARCHAR) || '/100' AS subject
   FROM log_decided WHERE status IN ('FRAUD_BLOCKED', 'REVIEW_NEEDED')
   UNION ALL
-  SELECT order_id, status, products_text, 'under_review', customer_email, 'Order Under Review — ' || order_id
+  SELECT order_id, status, products_text, 'under_review', customer_email, '⏳ Order Under Review — ' || order_id
   FROM log_decided WHERE status IN ('FRAUD_BLOCKED', 'REVIEW_NEEDED')
   UNION ALL
-  SELECT order_id, status, products_text, 'order_confirmation', customer_email, 'Order Confirmed — ' || order_id
+  SELECT order_id, status, products_text, 'order_confirmation', customer_email, '✅ Order Confirmed — ' || order_id
   FROM log_decided WHERE status NOT IN ('FRAUD_BLOCKED', 'REVIEW_NEEDED')
   UNION ALL
   SELECT order_id, status, products_text, 'admin_new_order', 'admin',
-         'New Order Received — ' || order_id || ' — $' || format('{{:,.2f}}', amount)
+         '🛍️ New Order Received — ' || order_id || ' — $' || format('{{:,.2f}}', amount)
   FROM log_decided WHERE status NOT IN ('FRAUD_BLOCKED', 'REVIEW_NEEDED')
 ) WHERE recipient <> ''""")
 def notification_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,22 +344,30 @@ def notification_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cancellation_outbox", sql=f"""{with_ctes(LOG_CTE)}
 SELECT order_id, template, recipient, subject, 'Suspicious activity detected' AS reason FROM (
   SELECT order_id, 'customer_cancelled' AS template, customer_email AS recipient,
-         'Order Cancelled — ' || order_id AS subject FROM log_decided WHERE status = 'FRAUD_BLOCKED'
+         '❌ Order Cancelled — ' || order_id AS subject FROM log_decided WHERE status = 'FRAUD_BLOCKED'
   UNION ALL
-  SELECT order_id, 'admin_cancelled', 'admin', 'Admin Cancelled Order — ' || order_id
+  SELECT order_id, 'admin_cancelled', 'admin', '👨‍💼 Admin Cancelled Order — ' || order_id
   FROM log_decided WHERE status = 'FRAUD_BLOCKED') WHERE recipient <> ''""")
 def cancellation_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cancellation notices for blocked orders (customer if email set, and admin)."""
     return K.cancellation_outbox(log_scored(spark, sf_dir).filter(F.col("status") == "FRAUD_BLOCKED"))
 
 
-@query("alert_topic")
+ALERT_VALUE = ("order_id string, customer_email string, amount double, rule_score int, ml_score int, final_score int, "
+               "status string, reasons array<string>, timestamp string")
+
+
+@query("alert_topic", sql=f"""{with_ctes(LOG_CTE)}
+SELECT order_id AS key, order_id, customer_email, amount, rule_score, ml_score, final_score, status, reasons_text,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp" FROM log_decided""")
 def alert_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: the ``fraud-alerts`` topic values (JSON) for every scored order."""
+    """K1: the ``fraud-alerts`` topic rows (key and JSON value) for every scored order, read back as a consumer does."""
     s = log_scored(spark, sf_dir).select(
         "order_id", "customer_email", "amount", "rule_score", "ml_score", "final_score", "status", "reasons",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
-    return K.to_topic(s, key="order_id")
+    value = F.from_json("value", ALERT_VALUE)
+    return K.to_topic(s, key="order_id").select("key", value.alias("v")).select("key", "v.*").withColumn(
+        "reasons", F.array_join("reasons", "; ")).withColumnRenamed("reasons", "reasons_text")
 
 
 @query("event_type_changes", sql="""

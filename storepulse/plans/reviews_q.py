@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storepulse.functions.scalars import clean_search_prefix
 from storepulse.operators import reviews as R
 from storepulse.operators import sinks as K
+from storepulse.operators.versioned import VersionedTable
 from storepulse.plans.registry import query
+from storepulse.session import checkpoint_dir, cut_lineage
 from storepulse.sources.feeds import LEXICON, comments, lexicon, posts, review_feed_lines, saved_reviews
 from storepulse.sources.files import explode_review_payload, first_search_hit, parse_review_feed
 from storepulse.sources.tables import read_table
@@ -17,7 +21,7 @@ from storepulse.sources.tables import read_table
 
 LEX_VALUES = ", ".join(f"('{t}', {p!r}::DOUBLE)" for t, p in LEXICON)
 REVIEW_FEED_SQL = """review_lines AS (
-  SELECT CAST(doc_id AS VARCHAR) || '|||' || source || '|||'
+  SELECT CAST(CASE WHEN doc_id % 50 = 7 THEN doc_id + 3000000000 ELSE doc_id END AS VARCHAR) || '|||' || source || '|||'
          || replace(regexp_replace(text, '[\\r\\n]', ' ', 'g'), '|||', '') || '|||' || CAST(doc_id % 5 + 1 AS VARCHAR)
            AS value
   FROM documents),
@@ -26,7 +30,7 @@ review_parts AS (
   FROM review_lines WHERE value LIKE '%|||%'),
 review_feed AS (
   SELECT * FROM (
-    SELECT TRY_CAST(trim(p.a) AS INTEGER) AS comment_id, trim(p.b) AS product_name, trim(p.c) AS review_text,
+    SELECT TRY_CAST(trim(p.a) AS BIGINT) AS comment_id, trim(p.b) AS product_name, trim(p.c) AS review_text,
            CAST(trunc(TRY_CAST(trim(p.d) AS DOUBLE)) AS INTEGER) AS rating
     FROM review_parts)
   WHERE comment_id IS NOT NULL AND rating IS NOT NULL)"""
@@ -34,7 +38,7 @@ SAVED_SQL = "saved AS (SELECT * FROM review_feed WHERE comment_id % 3 = 0)"
 
 
 SENTIMENT_SQL = f"""lex(term, polarity) AS (VALUES {LEX_VALUES}),
-toks AS (SELECT comment_id, unnest(regexp_extract_all(lower(review_text), '[a-z]+')) AS token FROM {{src}}),
+toks AS (SELECT comment_id, unnest(regexp_extract_all(lower(review_text), '\\p{{L}}+')) AS token FROM {{src}}),
 hits AS (SELECT comment_id, sum(polarity) AS s, count(*) AS n FROM toks JOIN lex ON token = term GROUP BY comment_id),
 scored0 AS (
   SELECT r.*, CASE WHEN h.n > 0 THEN h.s / h.n ELSE 0.0::DOUBLE END AS first_s,
@@ -76,14 +80,14 @@ def _saved(spark, sf_dir):
 # ---- queries ----------------------------------------------------------------------------------
 
 @query("review_feed_parse", sql=f"""WITH {REVIEW_FEED_SQL}
-SELECT CAST(comment_id AS INTEGER) AS comment_id, product_name, review_text, rating FROM review_feed""")
+SELECT comment_id, product_name, review_text, rating FROM review_feed""")
 def review_feed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id|||name|||text|||rating`` lines → typed review rows."""
     return parsed_feed(spark, sf_dir)
 
 
 @query("new_reviews", sql=f"""WITH {REVIEW_FEED_SQL}, {SAVED_SQL}
-SELECT CAST(comment_id AS INTEGER) AS comment_id, product_name FROM review_feed
+SELECT comment_id, product_name FROM review_feed
 WHERE comment_id NOT IN (SELECT comment_id FROM saved)""")
 def new_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed reviews whose id is not saved yet (left anti-join)."""
@@ -99,7 +103,7 @@ def new_review_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("review_sentiment", sql=f"""WITH {REVIEW_FEED_SQL}, {sentiment_sql('review_feed')}
-SELECT CAST(comment_id AS INTEGER) AS comment_id, textblob_score, textblob_sentiment, vader_score, vader_sentiment,
+SELECT comment_id, textblob_score, textblob_sentiment, vader_score, vader_sentiment,
        final_sentiment FROM scored""")
 def review_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M13 + P11 + P12: both lexicon scores and the three labels per review (whole texts)."""
@@ -120,7 +124,7 @@ fresh AS (SELECT * FROM review_feed WHERE comment_id NOT IN (SELECT comment_id F
 {sentiment_sql('fresh')}
 SELECT substr(product_name, 1, 500) AS product_name, substr(review_text, 1, 5000) AS review_text,
        CAST(rating AS DOUBLE) AS rating, textblob_score, textblob_sentiment, vader_score, vader_sentiment,
-       final_sentiment, CAST(comment_id AS INTEGER) AS wp_comment_id
+       final_sentiment, comment_id AS wp_comment_id
 FROM scored""")
 def process_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M14 + K5: parse → new only → score → label → rows for ``product_reviews``."""
@@ -212,7 +216,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("reviews_grouped", sql=f"""WITH {REVIEW_FEED_SQL}
-SELECT product_name, CAST(comment_id AS INTEGER) AS comment_id, rating,
+SELECT product_name, comment_id, rating,
        row_number() OVER (PARTITION BY product_name ORDER BY rating DESC NULLS FIRST, comment_id) AS position
 FROM review_feed""")
 def reviews_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +226,7 @@ def reviews_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("export_rows", sql=f"""WITH {REVIEW_FEED_SQL}
-SELECT CAST(comment_id AS INTEGER) AS comment_id, product_name,
+SELECT comment_id, product_name,
        replace(replace(replace(replace(replace(replace(replace(replace(replace(substr(review_text, 1, 200),
          '''', ''), '"', ''), '\\', ''), chr(10), ' '), chr(13), ''), '`', ''), '$', ''), ';', ''), '&', 'and')
          AS clean_text,
@@ -236,31 +240,33 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("replace_reviews", sql=f"""WITH {REVIEW_FEED_SQL}, {SAVED_SQL},
-batch AS (SELECT * FROM review_feed WHERE comment_id % 3 <> 0 AND product_name IN ('src0', 'src1', 'src2', 'src3', 'src4'))
-SELECT CAST(comment_id AS INTEGER) AS comment_id, product_name FROM saved
+batch AS (SELECT * FROM review_feed WHERE comment_id % 3 <> 0 AND right(product_name, 1) IN ('1', '4', '7', '8'))
+SELECT comment_id, product_name FROM saved
 WHERE product_name NOT IN (SELECT product_name FROM batch)
-UNION ALL SELECT CAST(comment_id AS INTEGER), product_name FROM batch""")
+UNION ALL SELECT comment_id, product_name FROM batch""")
 def replace_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K8: replace every stored review of a product that appears in the new batch."""
-    feed = parsed_feed(spark, sf_dir).select("comment_id", "product_name")
-    current = feed.filter(F.col("comment_id") % 3 == 0)
-    batch = feed.filter((F.col("comment_id") % 3 != 0)
-                        & F.col("product_name").isin("src0", "src1", "src2", "src3", "src4"))
-    return K.replace_by_key(current, batch, "product_name")
+    """K8: replace every stored review of a product that appears in the new batch; only the buckets of its products are rewritten."""
+    feed = cut_lineage(parsed_feed(spark, sf_dir).select("comment_id", "product_name"))
+    table = VersionedTable(spark, f"{checkpoint_dir(spark).rstrip('/')}/product-reviews/{uuid.uuid4().hex}", "product_name", feed.schema)
+    replace = lambda known, new: K.replace_by_key(known, new, "product_name")
+    table.change(0, feed.filter(F.col("comment_id") % 3 == 0), replace)
+    table.change(1, feed.filter((F.col("comment_id") % 3 != 0) & F.right("product_name", F.lit(1)).isin("1", "4", "7", "8")), replace)
+    return table.read()
 
 
 STORE_SQL = """posts AS (
   SELECT p_partkey AS "ID", CASE WHEN p_size > 5 THEN 'product' ELSE 'page' END AS post_type,
          p_name || ' ' || p_brand AS name FROM part),
 comments AS (
-  SELECT doc_id AS "comment_ID", text AS comment_content, doc_id % 100 AS "comment_post_ID",
+  SELECT doc_id AS "comment_ID", text AS comment_content, doc_id % 997 + 1 AS "comment_post_ID",
          'review' AS comment_type, CASE WHEN doc_id % 4 <> 0 THEN '1' ELSE '0' END AS comment_approved,
-         CAST(doc_id % 5 + 1 AS VARCHAR) AS rating FROM documents)"""
+         CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN '' ELSE CAST(doc_id % 6 AS VARCHAR) END AS rating FROM documents)"""
 
 
 @query("store_reviews", sql=f"""WITH {STORE_SQL}
 SELECT "comment_ID" AS comment_id, replace(name, '|||', '') AS product_name,
-       replace(comment_content, '|||', '') AS review_text, rating
+       replace(comment_content, '|||', '') AS review_text,
+       CASE WHEN rating IS NULL OR rating IN ('', '0') THEN 5 ELSE CAST(rating AS INTEGER) END AS rating
 FROM comments c JOIN posts p ON c."comment_post_ID" = p."ID"
 WHERE p.post_type = 'product' AND c.comment_type = 'review' AND c.comment_approved = '1'
 ORDER BY "comment_ID" DESC LIMIT 50""")
@@ -270,11 +276,12 @@ def store_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog_reviews(spark, sf_dir):
-    """Reviews of catalogue products: review feed rows whose id is a part key, named like the part."""
+    """All reviews, each of a catalogue product, or of one that the catalogue doesn't list."""
     feed = parsed_feed(spark, sf_dir).select("comment_id", "review_text", "rating")
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand"])
-    return feed.join(part, feed.comment_id == part.p_partkey, "inner").select(
-        "comment_id", F.concat_ws(" ", "p_name", "p_brand").alias("product_name"), "review_text", "rating")
+    listed = F.when(F.col("p_partkey").isNotNull(), F.concat_ws(" ", "p_name", "p_brand"))
+    return feed.join(part, feed.comment_id % 2999 + 1 == part.p_partkey, "left").select(
+        "comment_id", F.coalesce(listed, F.concat(F.lit("Unlisted "), F.col("comment_id").cast("string"))).alias("product_name"), "review_text", "rating")
 
 
 def _store(spark, sf_dir):
@@ -283,8 +290,8 @@ def _store(spark, sf_dir):
 
 
 MATCH_SQL = f"""WITH {STORE_SQL}, {REVIEW_FEED_SQL},
-cat_reviews AS (SELECT r.comment_id, p_name || ' ' || p_brand AS product_name FROM review_feed r
-                JOIN part ON r.comment_id = p_partkey),
+cat_reviews AS (SELECT r.comment_id, coalesce(p_name || ' ' || p_brand, 'Unlisted ' || CAST(r.comment_id AS VARCHAR)) AS product_name
+                FROM review_feed r LEFT JOIN part ON r.comment_id % 2999 + 1 = p_partkey),
 names AS (SELECT DISTINCT product_name,
                  replace(replace(replace(replace(replace(substr(product_name, 1, 35), '''', ''), '"', ''), '\\', ''),
                    '&', 'and'), ';', '') AS search FROM cat_reviews),
@@ -350,7 +357,7 @@ def first_search_hit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("top_reviews_per_product", sql=f"""WITH {REVIEW_FEED_SQL}
-SELECT product_name, CAST(comment_id AS INTEGER) AS comment_id, review_rank FROM (
+SELECT product_name, comment_id, review_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY comment_id) AS review_rank FROM review_feed)
 WHERE review_rank <= 5""")
 def top_reviews_per_product(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,8 +377,8 @@ def search_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEG_VALUES = ", ".join(f"'{w}'" for w in R.NEGATIONS)
 BOOST_VALUES = ", ".join(f"'{w}'" for w in R.BOOSTERS)
 CONTEXT_SENTIMENT_SQL = SENTIMENT_SQL.replace(
-    "toks AS (SELECT comment_id, unnest(regexp_extract_all(lower(review_text), '[a-z]+')) AS token FROM {src}),",
-    """tl AS (SELECT comment_id, regexp_extract_all(lower(review_text), '[a-z]+') AS ws FROM {src}),
+    "toks AS (SELECT comment_id, unnest(regexp_extract_all(lower(review_text), '\\p{L}+')) AS token FROM {src}),",
+    """tl AS (SELECT comment_id, regexp_extract_all(lower(review_text), '\\p{L}+') AS ws FROM {src}),
 toks0 AS (SELECT comment_id, ws, unnest(generate_series(1, len(ws))) AS i FROM tl),
 toks AS (SELECT comment_id, ws[i] AS token, CASE WHEN i > 1 THEN ws[i - 1] END AS prev FROM toks0),""").replace(
     "hits AS (SELECT comment_id, sum(polarity) AS s, count(*) AS n FROM toks JOIN lex ON token = term GROUP BY comment_id),",
@@ -383,7 +390,7 @@ toks AS (SELECT comment_id, ws[i] AS token, CASE WHEN i > 1 THEN ws[i - 1] END A
 
 
 @query("review_sentiment_context", sql=f"""WITH {REVIEW_FEED_SQL}, {CONTEXT_SENTIMENT_SQL.replace('{src}', 'review_feed')}
-SELECT CAST(comment_id AS INTEGER) AS comment_id, textblob_score, textblob_sentiment, vader_score, vader_sentiment,
+SELECT comment_id, textblob_score, textblob_sentiment, vader_score, vader_sentiment,
        final_sentiment FROM scored""")
 def review_sentiment_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M13 with context rules: negation and booster words before a lexicon hit (whole texts)."""

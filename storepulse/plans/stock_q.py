@@ -18,10 +18,11 @@ TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 UPSERT_CUT = "2024-01-16 00:00:00"
 
 STOCK_NOW_SQL = """stock_now AS (
-  SELECT CAST(p_partkey AS INTEGER) AS product_id,
+  SELECT CASE WHEN p_partkey % 100 = 3 THEN p_partkey + 5000000000 ELSE p_partkey END AS product_id,
          CAST(p_size - floor(coalesce(l.n, 0) / 2) AS INTEGER) AS stock_raw,
          p_name || ' ' || p_brand AS name, p_retailprice AS price
   FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) l ON p_partkey = l.l_partkey
+  WHERE p_size % 10 <> 7
 )"""
 
 
@@ -37,7 +38,7 @@ def monitor_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S7 + P6 (not clamped) + P7 + P25: the dashboard's live view."""
     s = parse_stock_feed(stock_feed_lines(spark, sf_dir, with_price=False), with_price=False)
-    return S.classify(s).select(F.col("product_id_text").try_cast("int").alias("product_id"),
+    return S.classify(s).select(F.col("product_id_text").try_cast("long").alias("product_id"),
                                 short("name", 60).alias("product"), "stock", "status")
 
 
@@ -179,7 +180,7 @@ src AS (
   FROM history WHERE stock_level <= 5),
 {cooldown_sql('src', 'alert_key', 'event_id')}
 SELECT s.event_id, s.product_id, s.level, 'admin' AS recipient,
-       CASE WHEN s.level = 'low' THEN 'Low Stock Alert — ' ELSE 'OUT OF STOCK — ' END || substr(s.product_name, 1, 40)
+       CASE WHEN s.level = 'low' THEN '⚠️ Low Stock Alert — ' ELSE '🚫 OUT OF STOCK — ' END || substr(s.product_name, 1, 40)
          AS subject,
        s.stock_level
 FROM src s JOIN cooled c ON s.event_id = c.id WHERE c.sent""")

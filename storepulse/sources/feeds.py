@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storepulse.operators.stock import tracked_products
 from storepulse.operators.windows import prior_count, trailing_count
 from storepulse.sources.tables import read_table
 
@@ -23,6 +24,10 @@ LEXICON = [("with", 1.0), ("this", 1.5), ("for", 0.5), ("was", -1.0), ("from", -
            ("that", -1.0), ("are", 0.5)]
 
 
+# Added to some ids, which then need 64 bits.
+FAR_STOCK_ID, FAR_REVIEW_ID = 5_000_000_000, 3_000_000_000
+
+
 def _country(nation: Column) -> Column:
     out = None
     for i, code in enumerate(COUNTRY_BY_NATION_MOD8):
@@ -82,11 +87,11 @@ def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(order_key, name, quantity) per line: line items named by their part, quantity 1 each."""
-    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey"])
+    """(order_key, line, name, quantity) per line: line items named by their part, quantity 1 each."""
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"])
     parts = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
     return (lines.join(parts, lines.l_partkey == parts.p_partkey, "left")
-            .select(F.col("l_orderkey").alias("order_key"), F.col("p_name").alias("name"),
+            .select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), F.col("p_name").alias("name"),
                     F.lit(1).cast("int").alias("quantity")))
 
 
@@ -102,15 +107,18 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stock_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock feed snapshot: product id, stock text, name, price text (one row per part)."""
+    """Stock feed snapshot: product id, stock text, name, price text (one row per product with a tracked stock).
+
+    Some ids need 64 bits, and products whose stock is not tracked (a null) never reach the feed (P24)."""
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"])
     lines = (read_table(spark, sf_dir, "lineitem", ["l_partkey"])
              .groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_lines")))
     j = part.join(lines, part.p_partkey == lines.l_partkey, "left")
     stock = (F.col("p_size") - F.floor(F.coalesce(F.col("n_lines"), F.lit(0)) / 2)).cast("int")
-    return j.select(
-        F.col("p_partkey").alias("product_id"),
-        stock.cast("string").alias("stock_text"),
+    products = j.withColumn("stock", F.when(F.col("p_size") % 10 != 7, stock))
+    return tracked_products(products, "stock").select(
+        F.when(F.col("p_partkey") % 100 == 3, F.col("p_partkey") + FAR_STOCK_ID).otherwise(F.col("p_partkey")).alias("product_id"),
+        F.col("stock").cast("string").alias("stock_text"),
         F.concat_ws(" ", F.col("p_name"), F.col("p_brand")).alias("name"),
         F.col("p_retailprice").cast("string").alias("price_text"),
     )
@@ -137,11 +145,16 @@ def stock_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def review_id(c: str) -> Column:
+    """Comment id of a document; some need 64 bits."""
+    return F.when(F.col(c) % 50 == 7, F.col(c) + FAR_REVIEW_ID).otherwise(F.col(c))
+
+
 def review_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store reviews: all documents; id, product (source), text with newlines as spaces, rating."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     return docs.select(
-        F.col("doc_id").alias("comment_id"),
+        review_id("doc_id").alias("comment_id"),
         F.col("source").alias("product_name"),
         F.regexp_replace(F.col("text"), "[\r\n]", " ").alias("review_text"),
         ((F.col("doc_id") % 5) + 1).cast("int").alias("rating"),
@@ -192,10 +205,11 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("comment_ID"),
         F.col("text").alias("comment_content"),
-        (F.col("doc_id") % 100).alias("comment_post_ID"),
+        (F.col("doc_id") % 997 + 1).alias("comment_post_ID"),
         F.lit("review").alias("comment_type"),
         F.when(F.col("doc_id") % 4 != 0, F.lit("1")).otherwise(F.lit("0")).alias("comment_approved"),
-        ((F.col("doc_id") % 5) + 1).cast("string").alias("rating"),
+        F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 1, F.lit(""))
+        .otherwise((F.col("doc_id") % 6).cast("string")).alias("rating"),
     )
 
 

@@ -146,7 +146,7 @@ def parse_stock_feed(lines: DataFrame, with_price: bool = True, clamp_zero: bool
         price = F.when(price_text.isNull() | (price_text == ""), F.lit(0.0)).otherwise(price_text.try_cast("double"))
         out = lines.filter(has_bar).select(
             parts.alias("_p"), n.alias("_n"),
-            F.trim(parts[0]).try_cast("int").alias("product_id"),
+            F.trim(parts[0]).try_cast("long").alias("product_id"),
             parse_stock(parts[1], clamp_zero).alias("stock"),
             F.trim(name).alias("name"),
             price.alias("price"),
@@ -166,11 +166,11 @@ def parse_stock_feed(lines: DataFrame, with_price: bool = True, clamp_zero: bool
 # ---- S8: review feed -------------------------------------------------------------------------
 
 def parse_review_feed(lines: DataFrame) -> DataFrame:
-    """``comment_id|||name|||text|||rating``; exactly four fields, int id, ``int(float(rating))``."""
+    """``comment_id|||name|||text|||rating``; exactly four fields, a 64-bit id, ``int(float(rating))``."""
     parts = F.split(F.col("value"), "[|]{3}", 4)
     out = lines.filter(F.coalesce(F.col("value").contains("|||"), F.lit(False))).select(
         F.size(parts).alias("_n"),
-        F.trim(parts[0]).try_cast("int").alias("comment_id"),
+        F.trim(parts[0]).try_cast("long").alias("comment_id"),
         F.trim(parts[1]).alias("product_name"),
         F.trim(parts[2]).alias("review_text"),
         F.trim(parts[3]).try_cast("double").try_cast("int").alias("rating"))
