@@ -112,3 +112,21 @@ def test_substring_lookup(spark):
         if hits:
             exp[s] = min(hits)
     assert got == exp
+
+
+def test_substring_lookup_brute_force(spark):
+    """Long and short queries, repeated and null names, grams that occur in every name, repeated patterns."""
+    rnd = random.Random(21)
+    text = lambda n: "".join(rnd.choice("aAb c") for _ in range(n))
+    names = [(i, text(rnd.randrange(0, 30))) for i in range(300)] + [(400 + i, "Aaaaaaaaaa") for i in range(5)] + [(-1, None)]
+    queries = [text(rnd.randrange(0, 9)) for _ in range(150)] + [n[3:15] for _, n in names[:60] if n] + ["aaaaaaaaaa", "aaaaaaaaaaa", None]
+    got = substring_lookup(spark.createDataFrame([(s,) for s in queries], "query string"), "query", spark.createDataFrame(names, "pos long, name string"), "name", "pos").collect()
+    want = {}
+    for s in queries:
+        hits = [i for i, n in names if s is not None and n is not None and s.lower() in n.lower()]
+        if hits:
+            want[s] = min(hits)
+    assert {r.query: r.pos for r in got} == want and len(got) == len(want)
+    assert all(dict(names)[r.pos] == r.name for r in got)
+    nothing = spark.createDataFrame([], "pos long, name string")
+    assert substring_lookup(spark.createDataFrame([("",), ("abc",)], "query string"), "query", nothing, "name", "pos").count() == 0
