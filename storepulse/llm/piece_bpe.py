@@ -13,12 +13,13 @@ processed whole in the task that reads it; nothing is shuffled.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import sys
 import types
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from operator import add
 
@@ -30,8 +31,9 @@ from pyspark.sql import types as T
 from storepulse.llm.worker import give_back
 
 MARK = "▁"  # word start; stands for a space inside pieces
-WORDS_KEPT = 100_000  # in each of two generations per worker
-PAIRS_KEPT = 100_000  # per worker; a full table is emptied
+WORD_BYTES = 20 << 20  # of a word table's generation, about; a worker has two tables of two generations
+PAIRS_KEPT = 400_000  # per worker, of 140 bytes about; a full table is emptied
+TRANSITIONS_KEPT = 100_000  # of the automaton, through failure links
 SLICE_ROWS = 500  # rows whose ids and texts a task holds at once
 LONGEST_KEPT = 64
 
@@ -67,41 +69,93 @@ def load_pieces(path: str) -> Pieces:
 
 
 class Words(dict):
-    """Ids by word, made when missing. Two generations bound it: a full one becomes the old one."""
+    """Ids by word, made when missing, kept over the tasks of a worker. Two generations of bounded bytes: a full one
+    becomes the old one, and words of the old one that come again move to the new."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.bytes = make, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         if (got := self.old.get(word)) is None:
             got = self.make(word)
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= WORDS_KEPT:
+            if self.bytes >= WORD_BYTES:
                 self.old = dict(self)
                 self.clear()
+                self.bytes = 0
             self[word] = got
+            self.bytes += 200 + 2 * len(word) + len(got)  # two objects and their place in the table
         return got
 
 
+class LongestStarts:
+    """Aho-Corasick automaton of the pieces read backwards: after a text's end is read up to a character, its state
+    tells the longest piece that starts there. Transitions through failure links are remembered, up to a bound."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.next: list[dict[str, int]] = [{}]
+        self.longest = [-1]
+        for t, i in pieces.items():
+            node = 0
+            for c in reversed(t):
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.longest.append(-1)
+                node = self.next[node][c]
+            self.longest[node] = i
+        self.fail, self.room = [0] * len(self.next), TRANSITIONS_KEPT
+        level = list(self.next[0].values())
+        while level:
+            below = []
+            for node in level:
+                if self.longest[node] < 0:
+                    self.longest[node] = self.longest[self.fail[node]]
+                for c, child in self.next[node].items():
+                    self.fail[child] = self._after(self.fail[node], c)
+                    below.append(child)
+            level = below
+
+    def _after(self, state: int, c: str) -> int:
+        while (node := self.next[state].get(c)) is None and state:
+            state = self.fail[state]
+        return node or 0
+
+    def of(self, text: str) -> list[int]:
+        """Id of the longest piece that starts at each character, -1 for none."""
+        step, longest, state, out = self.next, self.longest, 0, []
+        for c in reversed(text):
+            if (node := step[state].get(c)) is None:
+                node = self._after(state, c)
+                if self.room:
+                    step[state][c] = node
+                    self.room -= 1
+            state = node
+            out.append(longest[state])
+        out.reverse()
+        return out
+
+
 class Encoder:
     """Text to ids."""
 
     def __init__(self, pieces: Pieces):
-        import ahocorasick
-
         self.rank = {t: -s for t, s, m in zip(pieces.texts, pieces.scores, pieces.mergeable, strict=True) if m}
         self.ids = {t: i for i, (t, m) in enumerate(zip(pieces.texts, pieces.mergeable, strict=True)) if m}
-        self.byte_ids = pieces.byte_ids
-        self.found = ahocorasick.Automaton()
-        for t in self.ids:
-            self.found.add_word(t, len(t))
-        self.found.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.byte_ids, self.known = pieces.byte_ids, pieces.texts
+        self.starts = LongestStarts(self.ids)
+        # by number: pieces have their id, characters without a piece get further numbers when met
+        self.texts, self.numbers = list(pieces.texts), dict(self.ids)
+        self.sizes = [len(t) for t in self.texts]
+        self.shorter = [-1] * len(self.texts)
+        for t, i in self.ids.items():
+            if len(t) > 1:
+                self.shorter[i] = next((self.ids[t[:k]] for k in range(len(t) - 1, 1, -1) if t[:k] in self.ids), self._number(t[0]))
+        self.fits: dict[int, bool] = {}
         self.joined = {t[k:k + 2] for t in self.ids for k in range(len(t) - 1)}
         self.by_word = Words(lambda w: self._word(MARK, w))
         self.inner = Words(lambda w: self._word("", w))
-        self.shorter = {t: next((t[:k] for k in range(len(t) - 1, 1, -1) if t[:k] in self.ids), t[:1]) for t in self.ids if len(t) > 1}
         self.newline = self._bytes_of(["\n"])
         self.newline_alone = not any("\n" in t and t != "\n" for t in self.ids)
 
@@ -125,57 +179,73 @@ class Encoder:
                     heapq.heappush(heap, (rank, a, len(parts[a]) + len(parts[b])))
         return [p for p in parts if p is not None]
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Do ``a`` and ``b`` stay as they are when their joint text is merged anew? ``a`` is empty at the start."""
-        if (known := self.fits.get((a, b))) is None:
-            if len(self.fits) >= PAIRS_KEPT:
-                self.fits.clear()
-            known = self.fits[a, b] = self.remerge(a + b) == ([a, b] if a else [b])
+    def _number(self, c: str) -> int:
+        """Number of a character that no piece starts with."""
+        if (i := self.numbers.get(c)) is None:
+            i = self.numbers[c] = len(self.texts)
+            self.texts.append(c)
+            self.sizes.append(1)
+            self.shorter.append(-1)
+        return i
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Do pieces ``a`` and ``b`` stay as they are when their joint text is merged anew? ``a`` is -1 at the start."""
+        x, y = self.texts[a] if a >= 0 else "", self.texts[b]
+        known = self.remerge(x + y) == ([x, y] if x else [y])
+        if len(self.fits) >= PAIRS_KEPT:
+            self.fits.clear()
+        self.fits[a << 21 | b] = known
         return known
 
-    def backtrack(self, text: str) -> list[str]:
-        """Tokens of one word, longest pieces first."""
+    def backtrack(self, text: str) -> list[int]:
+        """Numbers of the tokens of one word, longest pieces first."""
         n = len(text)
-        longest = [1] * n
-        for end, size in self.found.iter(text):
-            longest[end - size + 1] = size  # ends ascend, so the longest stays
-        failed = bytearray(n // 8 + 1)
-        fits, shorter = self.fits, self.shorter
-        out: list[str] = []
-        at, last, piece = 0, "", text[:longest[0]]
+        longest = self.starts.of(text)
+        if -1 in longest:
+            longest = [i if i >= 0 else self._number(c) for i, c in zip(longest, text, strict=True)]
+        failed, stepped = bytearray(n // 8 + 1), False
+        known, shorter, sizes = self.fits.get, self.shorter, self.sizes
+        out: list[int] = []
+        at, before, piece = 0, -1 << 21, longest[0]  # before: number of the token before, shifted
         while at < n:
-            while piece:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    if (ok := fits.get((last, piece))) is None:
-                        ok = self.compatible(last, piece)
-                    if ok:
-                        break
-                piece = shorter.get(piece, "")
-            if piece:
+            while piece >= 0:
+                if (ok := known(before | piece)) is None:
+                    ok = self.compatible(before >> 21, piece)
+                if ok and not (stepped and failed[(end := at + sizes[piece]) >> 3] >> (end & 7) & 1):
+                    break
+                piece = shorter[piece]
+            if piece >= 0:
                 out.append(piece)
-                at, last = end, piece
+                at += sizes[piece]
+                before = piece << 21
                 if at < n:
-                    piece = text[at:at + longest[at]]
+                    piece = longest[at]
             else:  # the encoding of text[:at] is unique, so nothing can start here again
+                stepped = True
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(last)
-                piece = shorter.get(out.pop(), "")
-                last = out[-1] if out else ""
+                piece = out.pop()
+                at -= sizes[piece]
+                piece = shorter[piece]
+                before = (out[-1] if out else -1) << 21
         return out
 
     def _bytes_of(self, tokens: list[str]) -> bytes:
+        return self._ids_of([self._number(t) if len(t) == 1 else self.ids[t] for t in tokens])
+
+    def _ids_of(self, numbers: list[int]) -> bytes:
+        """Ids of tokens by number; a character without a piece gives its bytes."""
+        if max(numbers, default=0) < len(self.known):
+            return array("i", numbers).tobytes()
         ids: list[int] = []
-        for t in tokens:
-            if (i := self.ids.get(t)) is not None:
-                ids.append(i)
-            else:
-                ids += [self.byte_ids[b] for b in t.encode()]
+        for i in numbers:
+            ids += [i] if i < len(self.known) else [self.byte_ids[b] for b in self.texts[i].encode()]
         return array("i", ids).tobytes()
 
     def _word(self, mark: str, word: str) -> bytes:
         """Ids of a word. No piece holds two characters that are neighbours in none, so the word is cut between such
         characters first: punctuation behind a word doesn't make another word of it."""
+        if len(word) <= LONGEST_KEPT and word.isalpha():
+            return self.segment(mark + word)
         pairs, joined = list(map(add, word, word[1:])), self.joined
         if not joined.issuperset(pairs):
             cuts = [k for k, pair in enumerate(pairs, 1) if pair not in joined]
@@ -185,7 +255,7 @@ class Encoder:
 
     def segment(self, text: str) -> bytes:
         """Ids of a word with its marks."""
-        return self._bytes_of(self.remerge(text) if MARK * 2 in text else self.backtrack(text))
+        return self._bytes_of(self.remerge(text)) if MARK * 2 in text else self._ids_of(self.backtrack(text))
 
     def _line(self, line: str, first: bool) -> list[bytes]:
         if "  " in line or line[-1:] == " " or (first and line[:1] == " ") or MARK in line:  # runs of marks belong to the word after them
@@ -242,17 +312,11 @@ def worker_encoder(pieces: Pieces) -> Encoder:
     key = hash((tuple(pieces.texts), tuple(pieces.scores)))
     if getattr(kept, "key", None) != key:
         kept.key, kept.encoder = key, Encoder(pieces)
+        gc.collect()
+        gc.freeze()  # the automaton's many small tables stay out of every later collection
     return kept.encoder
 
 
-def forget_words() -> None:
-    """Empty the worker's word tables at a task's end; another stage may need the memory."""
-    if (encoder := getattr(sys.modules.get("_piece_bpe_worker"), "encoder", None)) is not None:
-        for table in (encoder.by_word, encoder.inner):
-            table.clear()
-            table.old = {}
-
-
 def _with(df: DataFrame, made: dict[str, tuple[T.DataType, Callable]]) -> DataFrame:
     """``df`` with columns that ``value() -> (column of a batch) -> array`` make, in one pass and in order, so
     that one may read the one before; columns of these names are replaced."""
@@ -268,7 +332,6 @@ def _with(df: DataFrame, made: dict[str, tuple[T.DataType, Callable]]) -> DataFr
                     columns[name] = value(columns.__getitem__)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in (*kept, *made)], [*kept, *made])
         del values
-        forget_words()
         give_back()
 
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, k) for n, (k, _) in made.items())])

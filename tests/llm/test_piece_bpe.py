@@ -55,7 +55,7 @@ def test_long_runs_without_spaces(library, pieces):
 
 
 def test_bounded_tables(library, pieces, monkeypatch):
-    monkeypatch.setattr(piece_bpe, "WORDS_KEPT", 5)
+    monkeypatch.setattr(piece_bpe, "WORD_BYTES", 1000)
     monkeypatch.setattr(piece_bpe, "PAIRS_KEPT", 5)
     enc, rnd = Encoder(pieces), random.Random(9)
     for _ in range(300):
