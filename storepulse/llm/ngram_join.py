@@ -54,7 +54,8 @@ GAIN = 0.7  # a round that leaves more than this share of the pairs is the last
 ENTRIES = 1 << 18  # list entries that a task packs at once
 BUCKET_BYTES = 12 << 20  # packed entries of a shuffle partition
 SHORT_LIST = 16  # lists up to this length lose entries that no other member can link with
-EARLIER = 64  # leading shingles of a set by which a full scan leaves out pairs that it has met in a list before
+CROSS_BLOCK = 4096  # members of a list that a full scan compares at once; longer lists are dealt into pairs of blocks
+PAIR_SLICE = 1 << 15  # pairs whose counts are compared at once
 
 
 def least_common(n: int, m: int) -> int:
@@ -374,17 +375,85 @@ def _stars(lists: DataFrame, pivot: str) -> DataFrame:
     return _ordered(lists.select(F.col("key").alias("u"), F.col(pivot).alias("v")).unionByName(parts))
 
 
-def _cross_pairs(named: DataFrame) -> DataFrame:
-    """Pairs of a list in different components whose sizes allow a link, the smaller set by its index entry.
+def _folded(counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket counts folded to the least number of buckets, and which of them have a full bucket, so bound nothing."""
+    out, full = np.zeros((len(counts), BUCKETS[0]), dtype=np.int32), np.zeros(len(counts), dtype=bool)
+    for size in {len(c) for c in counts}:
+        at = np.array([k for k, c in enumerate(counts) if len(c) == size])
+        own = np.frombuffer(b"".join(counts[k] for k in at), np.uint8).reshape(len(at), -1, BUCKETS[0])
+        out[at], full[at] = own.sum(axis=1, dtype=np.int32), (own == 255).any(axis=(1, 2))
+    return out, full
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a list's members whose sizes, private shingles and bucket counts allow a link, from rows sorted by group.
+
+    All groups of a batch advance together: members one apart, two apart, and so on, as long as a group reaches."""
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = {c: rows.column(c).to_numpy() for c in ("shingle", "x", "y", "block", "key", "n", "root", "open")}
+        whole, indexed = (rows.column(c).to_numpy().astype(bool) for c in ("whole", "indexed"))
+        raw = rows.column("counts").to_pylist()
+        counts, full = _folded(raw)
+        new = np.concatenate([[True], (col["shingle"][1:] != col["shingle"][:-1]) | (col["x"][1:] != col["x"][:-1]) | (col["y"][1:] != col["y"][:-1])])
+        starts = np.flatnonzero(new)
+        ends = np.repeat(np.append(starts[1:], len(new)), np.diff(np.append(starts, len(new))))
+        n, key, root, open_ = col["n"], col["key"], col["root"], col["open"]
+        here, d = np.arange(len(new)), 0
+        while True:
+            d += 1
+            here = here[here + d < ends[here]]
+            if not len(here):
+                return
+            for at in range(0, len(here), PAIR_SLICE):
+                i = here[at:at + PAIR_SLICE]
+                j = i + d
+                ok = (root[i] != root[j]) & ((col["x"][i] == col["y"][i]) | (col["block"][i] != col["block"][j]))
+                ok &= T_DEN * np.minimum(n[i], n[j]) >= T_NUM * np.maximum(n[i], n[j])
+                ok &= np.where((n[i] < n[j]) | ((n[i] == n[j]) & (key[i] < key[j])), indexed[i], indexed[j])
+                need = T_NUM * (n[i] + n[j])
+                ok &= (~whole[j] | ((T_NUM + T_DEN) * open_[i] >= need)) & (~whole[i] | ((T_NUM + T_DEN) * open_[j] >= need))
+                i, j, need = i[ok], j[ok], need[ok]
+                if not len(i):
+                    continue
+                most = np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64)
+                ok = full[i] | full[j] | ((T_NUM + T_DEN) * most >= need)
+                i, j = i[ok], j[ok]
+                fine = np.fromiter((len(raw[p]) == len(raw[q]) == BUCKETS[0] or (T_NUM + T_DEN) * most_common(np.frombuffer(raw[p], np.uint8), np.frombuffer(raw[q], np.uint8)) >= T_NUM * (n[p] + n[q])
+                                    for p, q in zip(i, j, strict=True)), dtype=bool, count=len(i))
+                i, j = i[fine], j[fine]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(key[i], key[j])), pa.array(np.minimum(key[i], key[j]))], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        name = np.rec.fromarrays([b.column(c).to_numpy() for c in ("shingle", "x", "y")])
+        cut = int(np.flatnonzero(name != name[-1])[-1]) + 1 if (name != name[-1]).any() else 0  # where the last group begins
+        if held and (cut or name[0] != last):
+            yield from pairs(pa.Table.from_batches([*held, b.slice(0, cut)] if cut else held))
+            held = []
+        elif cut:
+            yield from pairs(pa.Table.from_batches([b.slice(0, cut)]))
+        held.append(b.slice(cut))
+        last = name[-1]
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+    give_back()
+
+
+def _cross_pairs(named: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs of a list in different components that can still link, the smaller set by its index entry.
 
-    A pair that also meets in a list of a lesser shingle is left to that list."""
-    indexed_first = F.array_sort(F.collect_list(F.when(F.col("indexed"), F.col("shingle"))))
-    leading = named.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("shingle")), 1, EARLIER).alias("all"), F.slice(indexed_first, 1, EARLIER).alias("own"))
-    sides = named.join(leading, "key")
-    a, b = (sides.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "indexed", "root", "open", "whole")],
-                         F.filter(c, lambda s: s < F.col("shingle")).alias(f"lesser_{x}")) for x, c in (("a", "all"), ("b", "own")))
-    fits = (F.col("root_a") != F.col("root_b")) & F.col("indexed_b") & (F.struct("n_b", "key_b") < F.struct("n_a", "key_a")) & (T_DEN * F.col("n_b") >= T_NUM * F.col("n_a"))
-    return _ordered(a.join(b, "shingle").where(fits & reachable("a", "b") & ~F.arrays_overlap("lesser_a", "lesser_b")).select(F.col("key_a").alias("u"), F.col("key_b").alias("v")))
+    The pairs of a list are made and judged in one task, which returns those that pass; a long list is dealt into
+    blocks, and every two of its blocks meet in a task of their own."""
+    length = named.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(CROSS_BLOCK)).cast("int").alias("blocks"))
+    own = named.join(counts.select("key", "counts"), "key").join(length, "shingle").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
+    dealt = own.withColumn("_g", F.explode(others)).select("shingle", "_g.x", "_g.y", "block", "key", "n", "root", "open", "whole", "indexed", "counts")
+    ranged = dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+    return ranged.mapInArrow(_compared, "u long, v long").distinct()
 
 
 def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.ndarray, times: np.ndarray, light: DataFrame) -> DataFrame:
@@ -414,12 +483,12 @@ def heavy_links(texts: DataFrame, scanned: DataFrame, boundary: int, often: np.n
             return links
         last = cross <= FULL_SCAN * total or cross > GAIN * before
         if last:
-            pairs = _cross_pairs(named)
+            pairs = _cross_pairs(named, counts)
         else:
             by = F.max(F.struct((F.col("open") / F.col("n")).alias("o"), F.xxhash64(F.lit(cross), "key").alias("h"), F.col("key").alias("k"), F.col("root").alias("r"))).over(whole)
             pairs = _stars(named.withColumn("_p", by).withColumn("pivot", F.col("_p.k")).where((F.col("part") > 0) | (F.col("_p.r") != F.col("root"))), "pivot")
         pairs = cut_lineage(pairs.join(tried, ["u", "v"], "left_anti"))
-        links = cut_lineage(links.unionByName(verified(texts, possible(pairs, counts))))
+        links = cut_lineage(links.unionByName(verified(texts, pairs if last else possible(pairs, counts))))
         if last:
             return links
         tried, before = cut_lineage(tried.unionByName(pairs)), cross

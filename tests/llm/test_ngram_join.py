@@ -6,6 +6,7 @@ import pytest
 from storepulse.llm import ngram_join as M
 from storepulse.llm.ngram_join import near_documents
 from storepulse.llm.queries import QUERIES
+from storepulse.session import cut_lineage
 from tests.conftest import SF_SMALL
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,10 +74,41 @@ def test_split_lists_no_frequent_table_and_no_light_sets(spark, documents, monke
     monkeypatch.setattr(M, "light_boundary", lambda h: 0)
     assert run(spark, documents) == plain(documents)
     monkeypatch.setattr(M, "light_boundary", lambda h: 9)
-    monkeypatch.setattr(M, "EARLIER", 0)
+    monkeypatch.setattr(M, "CROSS_BLOCK", 3)
+    monkeypatch.setattr(M, "PAIR_SLICE", 7)
     assert run(spark, documents) == plain(documents)
 
 
+def test_near_copies_under_the_threshold(spark):
+    """Groups of copies with three of 100 words changed: most pairs miss the threshold. The pairs that leave the tasks of
+    the full scan stay in proportion to the group, and no link is lost."""
+    made = {}
+    for size in (100, 200, 400):
+        rnd = random.Random(size)
+        base = [f"w{k}" for k in range(100)]
+        docs = []
+        for i in range(size):
+            words = list(base)
+            for k in rnd.sample(range(100), 3):
+                words[k] = f"x{rnd.randrange(10**9)}"
+            docs.append((i, " ".join(words)))
+        counted = []
+        cross = M._cross_pairs
+
+        def spy(named, counts, cross=cross, counted=counted):
+            out = cut_lineage(cross(named, counts))
+            counted.append(out.count())
+            return out
+
+        M._cross_pairs = spy
+        try:
+            assert run(spark, docs) == plain(docs)
+        finally:
+            M._cross_pairs = cross
+        made[size] = sum(counted)
+    assert made[400] <= 8 * 400 and made[400] <= 16 * max(made[100], 25), made
+
+
 def test_query_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op2_ngram_join"](spark, SF_SMALL).collect()} == plain(docs)
