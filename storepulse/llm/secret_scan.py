@@ -4,7 +4,8 @@ Three strong kinds are reported wherever they match (``assign``, ``access``, ``h
 kinds would be noise on their own: an ``identifier`` (``client_id = ...``), an ``opaque`` mixed
 token and an ``endpoint``. They are reported only when complementary parts co-occur: an interval
 join inside each scope (a block between blank lines) asks whether a part of the needed role lies
-within ``scope_chars`` code points.
+within ``scope_chars`` code points beside it. No part supports itself: what overlaps a candidate, such as a token
+inside its own assignment or URL, is no complement of it.
 
     identifier   needs a secret (assign, hex, opaque)
     opaque       needs an identifier (access, identifier)
@@ -63,17 +64,10 @@ def _mixed(token: str) -> bool:
 
 
 def _near(parts: list[tuple[int, int]], spans: list[tuple[str, int, int]], reach: int) -> list[bool]:
-    """For each span: does some part lie within ``reach`` code points? Sorted starts, running maximum of ends."""
-    parts = sorted(parts)
-    starts, far, top = [p[0] for p in parts], [], -1
-    for p in parts:
-        top = max(top, p[1])
-        far.append(top)
-    out = []
-    for _, s, e in spans:
-        left, right = bisect_right(starts, s) - 1, bisect_left(starts, s)
-        out.append((left >= 0 and far[left] >= s - reach) or (right < len(starts) and starts[right] <= e + reach))
-    return out
+    """For each span: does some part beside it, not overlapping it, lie within ``reach`` code points? A part that ends
+    or one that starts in reach is found in the sorted ends and starts."""
+    starts, ends = sorted(p[0] for p in parts), sorted(p[1] for p in parts)
+    return [bisect_left(ends, s - reach) < bisect_right(ends, s) or bisect_left(starts, e) < bisect_right(starts, e + reach) for _, s, e in spans]
 
 
 def linked_spans(text: str, base: list[tuple[str, int, int]], scope_chars: int) -> list[tuple[str, int, int]]:

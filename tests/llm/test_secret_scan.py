@@ -57,6 +57,15 @@ def test_weak_parts_need_complements():
     assert kinds(f"client_id = svc-account-1 {'word ' * 60}{opaque}", 400) == ["identifier", "opaque"]
 
 
+def test_no_part_supports_itself():
+    opaque, url = "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zA", "https://api.example.com/v1/aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zA"
+    assert kinds(f"client_id = {opaque}") == []
+    assert kinds(url) == []
+    assert kinds(f"client_id = svc-account-1 at {url}") == ["identifier", "opaque"]  # the token in the URL is no other part of it
+    assert kinds(f"client_id = svc-account-1 at {url} with AbC123{opaque}") == ["identifier", "endpoint", "opaque", "opaque"]
+    assert kinds(f"client_id = {opaque} password = hunter22") == ["identifier", "assign"]
+
+
 def test_linking_is_the_interval_join():
     """The sweep equals checking every pair of parts."""
     import random
@@ -67,7 +76,7 @@ def test_linking_is_the_interval_join():
     for _ in range(300):
         parts = [(s := rnd.randrange(500), s + rnd.randrange(1, 60)) for _ in range(rnd.randrange(8))]
         spans = [("x", s := rnd.randrange(500), s + rnd.randrange(1, 60)) for _ in range(5)]
-        plain = [any(max(s - e2, s2 - e) <= 40 for s2, e2 in parts) for _, s, e in spans]
+        plain = [any((e2 <= s or s2 >= e) and max(s - e2, s2 - e) <= 40 for s2, e2 in parts) for _, s, e in spans]
         assert _near(parts, spans, 40) == plain
 
 
