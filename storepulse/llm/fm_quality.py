@@ -17,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,8 +116,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     id, weighted to the classes' true shares. Labels other than 0 and 1 and null ids are left out."""
     own = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
     shares = dict(own.groupBy("_y").count().collect())
-    rank = F.row_number().over(W.partitionBy("_y").orderBy(F.xxhash64(F.lit(3), "_id"), "_id"))
-    chosen = own.withColumn("_n", rank).where(F.col("_n") <= SAMPLE_PER_CLASS).drop("_n")
+    first = [own.where(F.col("_y") == y).orderBy(F.xxhash64(F.lit(3), "_id"), "_id").limit(SAMPLE_PER_CLASS) for y in (0, 1)]
+    chosen = first[0].unionByName(first[1])
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +131,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 found.append((at.tobytes(), x[at].tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["id", "y", "at", "x"])
 
-    got = sorted(texts.mapInArrow(rows, "id long, y int, at binary, x binary").limit(4 * SAMPLE_PER_CLASS).collect())
+    least = F.min(F.struct("at", "x")).alias("f")  # rows that share an id count once, whichever text is the least
+    got = sorted(texts.mapInArrow(rows, "id long, y int, at binary, x binary").groupBy("id", "y").agg(least).select("id", "y", "f.at", "f.x").collect())
     x = np.zeros((len(got), WIDTH), dtype=np.float32)
     for i, r in enumerate(got):
         x[i][np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["x"], np.float32)
