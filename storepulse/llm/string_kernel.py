@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storepulse.llm.worker import give_back
+from storepulse.session import cut_lineage
 
 MAX_N = 3
 BUCKETS = 1 << 15
 BATCH = 32  # texts in a matrix product
 SAMPLE_ROWS = 2400  # bound of the labelled sample, shared equally by the languages
 SAMPLE_PER_LANG = 400
-SAMPLE_CHARS = 100_000  # longer texts are not learned from, so that the sample fits the driver
 LANDMARKS = 256
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -73,22 +73,35 @@ class LanguageModel:
     weights: np.ndarray  # BUCKETS x languages
 
 
+def packed_rows(texts: list[str | None], letters: np.ndarray) -> np.ndarray:
+    """Presence rows as bits: 4 KB a text of any length."""
+    return np.packbits(presence_rows(texts, letters)[0].astype(bool), axis=1)
+
+
 def fit(texts: list[str], langs: list[str]) -> LanguageModel:
-    """Fit on a bounded sample: landmarks in turn from each language, Nyström features, ridge weights."""
-    letters = letter_table()
+    """``fit_rows`` of some texts."""
+    return fit_rows(packed_rows(texts, letter_table()), langs)
+
+
+def fit_rows(packed: np.ndarray, langs: list[str]) -> LanguageModel:
+    """Fit on the presence rows of a bounded sample: landmarks in turn from each language, Nyström features, ridge weights."""
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0), dtype=np.float32))
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        rows = np.unpackbits(rows, axis=1).astype(np.float32)
+        return rows / np.sqrt(np.maximum(1, rows.sum(axis=1)))[:, None]
+
     turn = {name: [i for i, x in enumerate(langs) if x == name] for name in names}
     marks = [i for k in range(max(map(len, turn.values()))) for name in names for i in turn[name][k:k + 1]][:LANDMARKS]
-    z = unit_rows([texts[i] for i in marks], letters)
+    z = unit(packed[marks])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # Nyström map
     gram, right = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(names)))
-    for at in range(0, len(texts), BATCH):
-        rows = unit_rows(texts[at:at + BATCH], letters)
-        phi = (rows @ z.T) @ root
+    for at in range(0, len(packed), BATCH):
+        phi = (unit(packed[at:at + BATCH]) @ z.T) @ root
         y = np.where(np.array(langs[at:at + BATCH])[:, None] == np.array(names)[None, :], 1.0, -1.0)
         share = np.array([len(turn[x]) for x in langs[at:at + BATCH]])[:, None]  # every language weighs the same
         gram += phi.T @ (phi / share)
@@ -104,17 +117,30 @@ def held_out(id_col: str, folds: int = 4, fold: int = 2) -> Column:
 
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on labelled rows outside the held-out fold that have an id, a letter and a non-null language: at most
-    ``SAMPLE_PER_LANG`` a language and ``SAMPLE_ROWS`` in all, by a hash of the id."""
-    own = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull())
-    langs = own.select(lang_col).distinct().count()
+    ``SAMPLE_PER_LANG`` ids a language and ``SAMPLE_ROWS`` in all, by a hash of the id. The tasks read the chosen
+    texts whole, whatever their length, and return their presence rows; of texts that share an id and a language
+    the one with the least row counts."""
+    own = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    own = own.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    ids = cut_lineage(own.select("_id", "_lang").distinct())
+    langs = ids.select("_lang").distinct().count()
     each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, langs)))
-    key = F.xxhash64(F.lit(10), F.col(id_col))
-    order = W.partitionBy(lang_col).orderBy("_h", id_col)
-    chosen = own.select(F.col(id_col).alias("_id"), lang_col, key.alias("_h")).withColumnRenamed("_id", id_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each)
-    chosen = chosen.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).distinct()
-    rows = (own.join(F.broadcast(chosen), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
-            .where(F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= SAMPLE_CHARS)).select(id_col, text_col, lang_col).orderBy(id_col, lang_col, text_col).limit(2 * SAMPLE_ROWS).collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    order = W.partitionBy("_lang").orderBy(F.xxhash64(F.lit(10), "_id"), "_id")
+    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).drop("_n")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_table()
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
+                packed = packed_rows(b.column(2).to_pylist(), letters)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "lang", "row"])
+        give_back()
+
+    sample = own.join(F.broadcast(chosen), ["_id", "_lang"]).select("_id", "_lang", "_text").mapInArrow(rows, "id string, lang string, row binary")
+    got = sorted(sample.groupBy("id", "lang").agg(F.min("row").alias("row")).collect())  # at most SAMPLE_ROWS, or one a language
+    packed = np.frombuffer(b"".join(bytes(r["row"]) for r in got), dtype=np.uint8).reshape(-1, BUCKETS // 8)
+    return fit_rows(packed, [r["lang"] for r in got])
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
