@@ -31,17 +31,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id.
-
-    An id stays if one of its rows stands for its group; rows that repeat an id and a text count once. Rows without
-    an id stay."""
-    near = cut_lineage(near_documents(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id"))
-    by_id = near.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("kept"), F.count("*").alias("n"))
-    out = docs.join(by_id.where("kept = 0").select("doc_id"), "doc_id", "left_anti")
-    if by_id.where("n > 1").limit(1).count():
-        named = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-        out = named.unionByName(out.where("doc_id IS NULL"))
-    return out.select(*docs.columns)
+    """One document of each group of near duplicates: the one with the least id, rows without an id after all others.
+
+    Every row is decided by itself, under a number of its own: rows that repeat an id are documents like any others,
+    and a copy without an id goes like any other copy. Of rows alike in id the one with the least text hash stays."""
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    near = near_documents(rows, id_col="_row").select("_row", F.col("component_id").alias("_group"))
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.col("_row").alias("d"))
+    thin = cut_lineage(rows.select("_row", place.alias("_place")).join(near, "_row"))
+    first = thin.groupBy("_group").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    gone = thin.join(first, "_group").where("_row <> _first.d").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
