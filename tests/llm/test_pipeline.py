@@ -55,7 +55,15 @@ def test_edges(spark, edge_docs, empty_docs):
         assert docs.count() <= 2 * n
     near = P.near_duplicates(spark, edge_docs, "")
     ids = sorted(str(r.doc_id) for r in near.collect())
-    assert ids == sorted(map(str, [1, 2, 3, 4, 5, 7, 10, 11, 12, 13, None, None]))
+    assert ids == sorted(map(str, [1, 2, 3, 4, 5, 7, 10, 11, 12, 13, None]))  # the copy without an id goes, the row without a text stays
+
+
+def test_near_duplicates_decide_row_by_row(spark):
+    """Copies without an id, two texts under one id, and a null id with a text of its own."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(None, a), (7, b), (7, a), (3, a), (None, c), (None, b), (9, b + " more"), (7, b)]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert got.columns == ["doc_id", "text"] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(3, a), (7, b), (None, c)]))
 
 
 def test_every_text_with_a_letter_has_a_language(spark):
