@@ -44,18 +44,22 @@ TABLE_SCHEMAS = {
         T.StructField("similarity_score", T.DoubleType()), T.StructField("rank", T.IntegerType()),
         T.StructField("created_at", T.TimestampType())]),
     "stock_levels": T.StructType([
-        T.StructField("product_id", T.IntegerType()), T.StructField("product_name", T.StringType()),
+        T.StructField("product_id", T.LongType()), T.StructField("product_name", T.StringType()),
         T.StructField("stock_level", T.IntegerType()), T.StructField("status", T.StringType()),
         T.StructField("checked_at", T.TimestampType())]),
 }
 
 
-def ensure_tables(spark: SparkSession, location: str, fmt: str = "parquet") -> list[str]:
-    """K9: create each table if absent (``CREATE TABLE IF NOT EXISTS ... USING fmt LOCATION``)."""
+def ensure_tables(spark: SparkSession, location: str, fmt: str = "parquet", database: str | None = None) -> list[str]:
+    """K9: create each table if absent (``CREATE TABLE IF NOT EXISTS ... USING fmt LOCATION``), in ``database``,
+    which is created if absent, or else the current one. Returns the tables' names."""
     made = []
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name, schema in TABLE_SCHEMAS.items():
+        name = f"{database}.{name}" if database else name
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING {fmt} LOCATION '{location}/{name}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING {fmt} LOCATION '{location}/{name.split(".")[-1]}'")
         made.append(name)
     return made
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from storepulse.operators.rules import dashboard_rule_score, rule_flags
 from storepulse.operators.windows import trailing_count, velocity_alerts
 from storepulse.plans.oracle import (DASH_CTE, LOG_CTE, ORDER_FEED_CTE, SCORED_CTE, with_ctes)
 from storepulse.plans.registry import query
+from storepulse.session import checkpoint_dir
 from storepulse.sources.feeds import order_base, order_feed, order_items, order_log_lines
 from storepulse.sources.files import parse_order_log
 from storepulse.sources.tables import read_table
@@ -388,3 +391,20 @@ SELECT CAST(order_key AS VARCHAR) AS order_id, CAST(2 AS BIGINT) AS n FROM order
 def duplicate_order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order ids that occur more than once in the raw log (the uniqueness guard)."""
     return K.assert_unique(parse_order_log(order_log_lines(spark, sf_dir)), "order_id")
+
+
+@query("stored_orders", sql=f"""{with_ctes(LOG_CTE)}
+SELECT order_id, customer_email, customer_name, amount, quantity, payment_method, is_new_customer, card_country, shipping_country,
+       substr(products_text, 1, 500) AS products, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ordered_at, CAST(NULL AS VARCHAR) AS created
+FROM log_enriched""")
+def stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9 + K10 + K2 + S5: the tables are created where absent, the rows get the columns they lack, are inserted
+    into ``orders`` and read back from the catalogue."""
+    name = f"store_{uuid.uuid4().hex[:12]}"
+    for _ in range(2):  # the second call finds everything in place
+        K.ensure_tables(spark, f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}", database=name)
+    schema = K.TABLE_SCHEMAS["orders"]
+    rows = K.with_missing_columns(K.orders_sink_rows(enrich_orders(log_orders(spark, sf_dir))), schema)
+    rows.select(*schema.names).write.insertInto(f"{name}.orders")
+    stored = spark.table(f"{name}.orders")
+    return stored.select(*schema.names[:-2], F.date_format("order_timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("ordered_at"), F.col("created_at").cast("string").alias("created"))
