@@ -52,6 +52,7 @@ would you your yours yourself yourselves
 """.split()))
 RANK_DIGITS = 9
 TILE_ROWS = 1024  # signatures of a tile
+PEAK_TILES = 1 << 14  # tiles whose largest weights, a number per term, travel together
 PRODUCT_ROWS = 256  # rows of a product held at once
 SLACK = 3e-9  # rounding of the bounds, and ties of rounded similarities
 TILE = ("tile int, n int, sig array<string>, pos array<long>, vec binary, most array<double>, least binary, "
@@ -153,19 +154,22 @@ def _signature_sims(vectors: DataFrame, k: int, width: int) -> DataFrame:
     sorted_ = vectors.repartitionByRange(n, "lead", "sig").coalesce(n).sortWithinPartitions("lead", "sig")
     done = cut_lineage(sorted_.select("sig", "min_pos", "at", "w").mapInArrow(tiles, TILE))
     own = done.select(F.explode(F.arrays_zip("g", "h", "sim")).alias("x")).select("x.*")
-    peaks = {r.tile: np.array(r.most) for r in done.select("tile", "most").collect()}  # max_features numbers per tile
-    numbers = sorted(peaks)
-    most = np.array([peaks[t] for t in numbers])
 
-    def visits(batches):
-        for b in batches:
-            for t, rows, vec, least in zip(*(b.column(c).to_pylist() for c in ("tile", "n", "vec", "least")), strict=True):
-                vec, least = np.frombuffer(vec).reshape(rows, width), np.frombuffer(least)
-                reach = (vec @ most.T + SLACK >= least[:, None]).any(axis=0)
-                others = [o for o, r in zip(numbers, reach.tolist(), strict=True) if r and o != t]
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(others), pa.int32()), pa.array(others, pa.int32())], ["tile", "other"])
-
-    plan = done.select("tile", "n", "vec", "least").mapInArrow(visits, "tile int, other int")
+    def visits(numbers: list[int], most: np.ndarray):
+        def run(batches):
+            for b in batches:
+                for t, rows, vec, least in zip(*(b.column(c).to_pylist() for c in ("tile", "n", "vec", "least")), strict=True):
+                    vec, least = np.frombuffer(vec).reshape(rows, width), np.frombuffer(least)
+                    reach = (vec @ most.T + SLACK >= least[:, None]).any(axis=0)
+                    others = [o for o, r in zip(numbers, reach.tolist(), strict=True) if r and o != t]
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(others), pa.int32()), pa.array(others, pa.int32())], ["tile", "other"])
+        return run
+
+    plan = None
+    for first in range(0, n, PEAK_TILES):  # the largest weights of so many tiles at a time are known to every task
+        peaks = done.where(F.col("tile").between(first, first + PEAK_TILES - 1)).select("tile", "most").orderBy("tile").collect()
+        some = done.select("tile", "n", "vec", "least").mapInArrow(visits([r.tile for r in peaks], np.array([r.most for r in peaks]).reshape(-1, width)), "tile int, other int")
+        plan = some if n <= PEAK_TILES else cut_lineage(some) if plan is None else plan.unionByName(cut_lineage(some))
     part = done.select("tile", "n", "sig", "pos", "vec")
     pairs = (plan.join(part, "tile").join(part.select(*[F.col(c).alias("other" if c == "tile" else f"o_{c}") for c in part.columns]), "other")
              .repartition(max(1, min(n * n, 10_000)), "tile", "other"))

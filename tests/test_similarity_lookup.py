@@ -130,3 +130,12 @@ def test_substring_lookup_brute_force(spark):
     assert all(dict(names)[r.pos] == r.name for r in got)
     nothing = spark.createDataFrame([], "pos long, name string")
     assert substring_lookup(spark.createDataFrame([("",), ("abc",)], "query string"), "query", nothing, "name", "pos").count() == 0
+
+
+def test_tile_peaks_in_parts(spark, monkeypatch):
+    """The largest weights of the tiles reach the tasks in parts; the lists stay those of brute force."""
+    monkeypatch.setattr(M, "TILE_ROWS", 7)
+    monkeypatch.setattr(M, "PEAK_TILES", 3)
+    rows = _catalog(90, 5)
+    docs = spark.createDataFrame(rows, "position long, name string, category string").withColumn("content", M.product_content())
+    assert _top(docs, 4) == _brute(rows, 4)
