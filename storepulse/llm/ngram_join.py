@@ -56,6 +56,8 @@ BUCKET_BYTES = 12 << 20  # packed entries of a shuffle partition
 SHORT_LIST = 16  # lists up to this length lose entries that no other member can link with
 CROSS_BLOCK = 4096  # members of a list that a full scan compares at once; longer lists are dealt into pairs of blocks
 PAIR_SLICE = 1 << 15  # pairs whose counts are compared at once
+PAIRS_SEEN = 500_000  # pairs that a task remembers
+LIST_GROUPS = 4  # tasks that share the lists of one least member
 
 
 def least_common(n: int, m: int) -> int:
@@ -388,7 +390,10 @@ def _folded(counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a list's members whose sizes, private shingles and bucket counts allow a link, from rows sorted by group.
 
-    All groups of a batch advance together: members one apart, two apart, and so on, as long as a group reaches."""
+    All groups of a batch advance together: members one apart, two apart, and so on, as long as a group reaches. A pair
+    that a task has returned before is left out (the memory of pairs is bounded; a repeat does no harm)."""
+    seen: set[tuple[int, int]] = set()
+
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: rows.column(c).to_numpy() for c in ("shingle", "x", "y", "block", "key", "n", "root", "open")}
         whole, indexed = (rows.column(c).to_numpy().astype(bool) for c in ("whole", "indexed"))
@@ -421,8 +426,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fine = np.fromiter((len(raw[p]) == len(raw[q]) == BUCKETS[0] or (T_NUM + T_DEN) * most_common(np.frombuffer(raw[p], np.uint8), np.frombuffer(raw[q], np.uint8)) >= T_NUM * (n[p] + n[q])
                                     for p, q in zip(i, j, strict=True)), dtype=bool, count=len(i))
                 i, j = i[fine], j[fine]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(key[i], key[j])), pa.array(np.minimum(key[i], key[j]))], ["u", "v"])
+                found = [p for p in zip(np.maximum(key[i], key[j]).tolist(), np.minimum(key[i], key[j]).tolist(), strict=True) if p not in seen]
+                if found:
+                    if len(seen) > PAIRS_SEEN:
+                        seen.clear()
+                    seen.update(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
 
     held: list[pa.RecordBatch] = []
     last = None
@@ -447,12 +456,14 @@ def _cross_pairs(named: DataFrame, counts: DataFrame) -> DataFrame:
     """Pairs of a list in different components that can still link, the smaller set by its index entry.
 
     The pairs of a list are made and judged in one task, which returns those that pass; a long list is dealt into
-    blocks, and every two of its blocks meet in a task of their own."""
-    length = named.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(CROSS_BLOCK)).cast("int").alias("blocks"))
-    own = named.join(counts.select("key", "counts"), "key").join(length, "shingle").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    blocks, and every two of its blocks meet in a task of their own. Lists with the same least member, such as those
+    of a group of near copies, go to a few tasks, so that a pair leaves them a few times and not once a list."""
+    lists = named.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(CROSS_BLOCK)).cast("int").alias("blocks"), F.min("key").alias("least"))
+    own = named.join(counts.select("key", "counts"), "key").join(lists, "shingle").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
-    dealt = own.withColumn("_g", F.explode(others)).select("shingle", "_g.x", "_g.y", "block", "key", "n", "root", "open", "whole", "indexed", "counts")
-    ranged = dealt.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+    dealt = own.withColumn("_g", F.explode(others)).select("shingle", "_g.x", "_g.y", "block", "key", "n", "root", "open", "whole", "indexed", "counts", "least")
+    group = F.pmod("shingle", F.lit(LIST_GROUPS))
+    ranged = dealt.repartition("least", group, "x", "y").sortWithinPartitions("least", "shingle", "x", "y").drop("least")
     return ranged.mapInArrow(_compared, "u long, v long").distinct()
 
 
