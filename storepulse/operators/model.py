@@ -158,18 +158,23 @@ def live_features(orders: DataFrame, stats: dict, ts: str = "ts", keep: list | N
     return orders.select(*(keep or ["order_id"]), *slots)
 
 
+def _live_scores(orders: DataFrame, model, stats: dict, ts: str, keep: list) -> DataFrame:
+    """``keep`` and ``ml_score`` = trunc(100 · p(fraud)); a row the model cannot score, as it has no time, gets 0."""
+    slots = live_features(orders, stats, ts, keep=keep).withColumn("_usable", F.col("Time").isNotNull()).na.fill(0.0, ["Time"])
+    score = F.when(F.col("_usable"), (F.col("p_fraud") * 100).cast("int"))
+    return score_test(model, slots).withColumn("ml_score", F.coalesce(score, F.lit(0)))
+
+
 def ml_score(orders: DataFrame, model, stats: dict, key: str = "order_id", ts: str = "ts") -> DataFrame:
-    """M6: (key, ml_score) = trunc(100 · p(fraud)); a row the model cannot score gets 0."""
-    scored = score_test(model, live_features(orders, stats, ts, keep=[key]))
-    return scored.select(key, F.coalesce((F.col("p_fraud") * 100).cast("int"), F.lit(0)).alias("ml_score"))
+    """M6: (key, ml_score)."""
+    return _live_scores(orders, model, stats, ts, [key]).select(key, "ml_score")
 
 
 def with_ml_score(orders: DataFrame, model, stats: dict, ts: str = "ts") -> DataFrame:
     """M6 in one pass: ``orders`` with ``ml_score``; the orders travel as one struct beside their features, so nothing
     is joined back and repeated ids keep their own scores."""
-    kept = [F.col(c) for c in orders.columns if c != "ml_score"]
-    scored = score_test(model, live_features(orders, stats, ts, keep=[F.struct(*kept).alias("_order")]))
-    return scored.select("_order.*", F.coalesce((F.col("p_fraud") * 100).cast("int"), F.lit(0)).alias("ml_score"))
+    kept = F.struct(*[F.col(c) for c in orders.columns if c != "ml_score"])
+    return _live_scores(orders, model, stats, ts, [kept.alias("_order")]).select("_order.*", "ml_score")
 
 
 def confusion_matrix(pred: DataFrame, label: str = "Class", prediction: str = "prediction") -> DataFrame:
