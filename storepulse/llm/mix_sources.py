@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storepulse.llm.worker import give_back
 from storepulse.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)  # fixed values: weights of the sources in their order, repeating
@@ -187,7 +188,10 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float
         made = {"taken": pa.array(upto(ends) - upto(starts)),
                 "ranges": pa.array([_runs(times, int(x), int(y), block_words) for x, y in zip(starts, ends, strict=True)], RANGES_ARROW)}
         out = pa.table({c: made[c] if c in made else rows.column(c) for c in spec.names})
-        return finish[0](out) if finish else out
+        out = finish[0](out) if finish else out
+        del rows, ends, starts, times, before, padded, made
+        give_back()
+        return out
 
     taken = dealt(docs.where(F.col(size_col) > 0)).join(granted, ["_no", "_cell"]).groupBy("_no", "_cell").applyInArrow(select, finish[1] if finish else spec)
     if finish:

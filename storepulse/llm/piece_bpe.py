@@ -16,8 +16,6 @@ from __future__ import annotations
 import gc
 import heapq
 import re
-import sys
-import types
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -28,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from storepulse.llm.worker import give_back
+from storepulse.llm.worker import give_back, kept_tables
 
 MARK = "▁"  # word start; stands for a space inside pieces
 WORD_BYTES = 20 << 20  # of a word table's generation, about; a worker has two tables of two generations
+KEPT = "piece_bpe"
 PAIRS_KEPT = 400_000  # per worker, of 140 bytes about; a full table is emptied
 TRANSITIONS_KEPT = 100_000  # of the automaton, through failure links
 SLICE_ROWS = 500  # rows whose ids and texts a task holds at once
@@ -72,15 +71,15 @@ class Words(dict):
     """Ids by word, made when missing, kept over the tasks of a worker. Two generations of bounded bytes: a full one
     becomes the old one, and words of the old one that come again move to the new."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old, self.bytes = make, {}, 0
+        self.make, self.most, self.old, self.bytes = make, most, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         if (got := self.old.get(word)) is None:
             got = self.make(word)
         if len(word) <= LONGEST_KEPT:
-            if self.bytes >= WORD_BYTES:
+            if self.bytes >= self.most:
                 self.old = dict(self)
                 self.clear()
                 self.bytes = 0
@@ -140,7 +139,7 @@ class LongestStarts:
 class Encoder:
     """Text to ids."""
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, pieces: Pieces, word_bytes: int = WORD_BYTES):
         self.rank = {t: -s for t, s, m in zip(pieces.texts, pieces.scores, pieces.mergeable, strict=True) if m}
         self.ids = {t: i for i, (t, m) in enumerate(zip(pieces.texts, pieces.mergeable, strict=True)) if m}
         self.byte_ids, self.known = pieces.byte_ids, pieces.texts
@@ -154,8 +153,8 @@ class Encoder:
                 self.shorter[i] = next((self.ids[t[:k]] for k in range(len(t) - 1, 1, -1) if t[:k] in self.ids), self._number(t[0]))
         self.fits: dict[int, bool] = {}
         self.joined = {t[k:k + 2] for t in self.ids for k in range(len(t) - 1)}
-        self.by_word = Words(lambda w: self._word(MARK, w))
-        self.inner = Words(lambda w: self._word("", w))
+        self.by_word = Words(lambda w: self._word(MARK, w), word_bytes)
+        self.inner = Words(lambda w: self._word("", w), word_bytes)
         self.newline = self._bytes_of(["\n"])
         self.newline_alone = not any("\n" in t and t != "\n" for t in self.ids)
 
@@ -305,16 +304,14 @@ class Decoder:
         return text[1:] if text[:1] == " " else text
 
 
-def worker_encoder(pieces: Pieces) -> Encoder:
-    """The encoder of this Python worker. Functions arrive by value, so what should outlast a task is kept
-    in a module of its own; another vocabulary replaces it."""
-    kept = sys.modules.setdefault("_piece_bpe_worker", types.ModuleType("_piece_bpe_worker"))
-    key = hash((tuple(pieces.texts), tuple(pieces.scores)))
-    if getattr(kept, "key", None) != key:
-        kept.key, kept.encoder = key, Encoder(pieces)
+def worker_encoder(pieces: Pieces, word_bytes: int = WORD_BYTES) -> Encoder:
+    """The encoder of this Python worker, kept over the tasks of a stage; another vocabulary replaces it."""
+    tables, key = kept_tables(), hash((tuple(pieces.texts), tuple(pieces.scores), word_bytes))
+    if tables.get(KEPT, (None,))[0] != key:
+        tables[KEPT] = key, Encoder(pieces, word_bytes)
         gc.collect()
         gc.freeze()  # the automaton's many small tables stay out of every later collection
-    return kept.encoder
+    return tables[KEPT][1]
 
 
 def _with(df: DataFrame, made: dict[str, tuple[T.DataType, Callable]]) -> DataFrame:
@@ -332,15 +329,15 @@ def _with(df: DataFrame, made: dict[str, tuple[T.DataType, Callable]]) -> DataFr
                     columns[name] = value(columns.__getitem__)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in (*kept, *made)], [*kept, *made])
         del values
-        give_back()
+        give_back(keep=KEPT)
 
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, k) for n, (k, _) in made.items())])
     return df.mapInArrow(run, schema)
 
 
-def _encoded(pieces: Pieces, text_col: str):
+def _encoded(pieces: Pieces, text_col: str, word_bytes: int = WORD_BYTES):
     def value():
-        enc = worker_encoder(pieces)
+        enc = worker_encoder(pieces, word_bytes)
 
         def ids(column) -> pa.Array:
             got = [enc.encode(t) for t in column(text_col).to_pylist()]
@@ -375,6 +372,7 @@ def decode_pieces(df: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col:
     return _with(df, {text_col: _decoded(pieces, ids_col)})
 
 
-def round_trip(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """``encode_pieces`` and ``decode_pieces`` of its ids in one pass of the same worker."""
-    return _with(docs, {ids_col: _encoded(pieces, text_col), decoded_col: _decoded(pieces, ids_col)})
+def round_trip(docs: DataFrame, pieces: Pieces, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", word_bytes: int = WORD_BYTES) -> DataFrame:
+    """``encode_pieces`` and ``decode_pieces`` of its ids in one pass of the same worker, whose word tables hold about
+    four times ``word_bytes``."""
+    return _with(docs, {ids_col: _encoded(pieces, text_col, word_bytes), decoded_col: _decoded(pieces, ids_col)})

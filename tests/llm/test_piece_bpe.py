@@ -55,9 +55,8 @@ def test_long_runs_without_spaces(library, pieces):
 
 
 def test_bounded_tables(library, pieces, monkeypatch):
-    monkeypatch.setattr(piece_bpe, "WORD_BYTES", 1000)
     monkeypatch.setattr(piece_bpe, "PAIRS_KEPT", 5)
-    enc, rnd = Encoder(pieces), random.Random(9)
+    enc, rnd = Encoder(pieces, 1000), random.Random(9)
     for _ in range(300):
         s = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"]) for _ in range(9))
         assert enc.encode(s).tolist() == library.encode(s)
