@@ -19,6 +19,9 @@ from storepulse.llm.string_kernel import UNKNOWN, learn_languages, predict_langu
 from storepulse.session import cut_lineage
 
 
+WORD_BYTES = 6 << 20  # smaller word tables than the codec's own: earlier stages have filled the executors
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language. Rejected: null texts and texts without a letter, nothing else; a text in a
     language that was not learned stays. A null ``lang`` takes the predicted one."""
@@ -62,7 +65,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row's ids and of the text decoded from them."""
     import public_tokenizers
 
-    coded = round_trip(docs, load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    coded = round_trip(docs, load_pieces(public_tokenizers.path("piece_bpe_32k.model")), word_bytes=WORD_BYTES)
     return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
