@@ -72,3 +72,40 @@ def test_sentiment_context_rules(spark):
     reviews = spark.createDataFrame([(1, "not good"), (2, "very good"), (3, "good")], "comment_id int, review_text string")
     got = {r.comment_id: r.textblob_score for r in sentiment_scores(reviews, lex, context_rules=True).collect()}
     assert got == {1: -0.74, 2: 1.293, 3: 1.0}
+
+
+def test_sentiment_is_row_local(spark):
+    """No token row, join or exchange in the plan; rows that share an id, and rows without a text, keep their own scores."""
+    lex = spark.createDataFrame([("good", 1.0), ("bad", -1.0), ("GOOD", 3.0), (None, 1.0), ("x", None), ("größe", 0.5)], "term string, polarity double")
+    reviews = spark.createDataFrame([(1, "good"), (1, "bad bad"), (2, None), (None, "good Größe"), (None, "")], "comment_id int, review_text string")
+    scored = sentiment_scores(reviews, lex)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Join", "Generate"))
+    got = sorted(((r.comment_id or 0, r.review_text or "", r.textblob_score) for r in scored.collect()))
+    assert got == [(0, "", 0.0), (0, "good Größe", 1.25), (1, "bad bad", -1.0), (1, "good", 2.0), (2, "", 0.0)]
+
+
+def test_sentiment_beyond_the_lexicon_bound(spark):
+    """A lexicon above the bound stays a table; both ways give the same scores, with and without context rules."""
+    import random
+    rnd = random.Random(6)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)] + ["not", "very", "never", "most"]
+    lex = spark.createDataFrame([(w, rnd.choice([-1.5, -0.5, 0.5, 1.0])) for w in words[:40]], "term string, polarity double")
+    rows = [(i % 50, " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 25)))) for i in range(120)] + [(7, None)]
+    reviews = spark.createDataFrame(rows, "comment_id int, review_text string")
+    for rules in (False, True):
+        both = [sorted((str(r.comment_id), r.review_text or "", r.textblob_score, r.vader_score, r.final_sentiment) for r in sentiment_scores(reviews, lex, context_rules=rules, lexicon_bound=bound).collect()) for bound in (1000, 3)]
+        assert [x[:2] for x in both[0]] == [x[:2] for x in both[1]]
+        assert all(abs(a[2] - b[2]) < 2e-4 and abs(a[3] - b[3]) < 2e-4 and a[4] == b[4] for a, b in zip(*both, strict=True))
+    assert sentiment_scores(reviews.limit(0), lex).count() == 0 and {r.vader_score for r in sentiment_scores(reviews, lex.limit(0)).collect()} == {0.0}
+
+
+def test_untracked_stock_and_wide_ids(spark):
+    from storepulse.operators.stock import tracked_products
+    from storepulse.sources.files import parse_review_feed, parse_stock_feed
+    products = spark.createDataFrame([(1, 0), (2, None), (3, -4)], "id long, stock int")
+    assert sorted(r.id for r in tracked_products(products).collect()) == [1, 3]
+    lines = spark.createDataFrame([("5000000007|3|Name|2.5",), ("9223372036854775808|3|Name|2.5",), ("x|3|Name|2",)], "value string")
+    assert [(r.product_id, r.stock) for r in parse_stock_feed(lines).collect()] == [(5000000007, 3)]
+    feed = spark.createDataFrame([("3000000001|||P|||text|||4.9",), ("y|||P|||text|||4",)], "value string")
+    assert [(r.comment_id, r.rating) for r in parse_review_feed(feed).collect()] == [(3000000001, 4)]
