@@ -28,10 +28,10 @@ def slice_count(rows: int, wanted: int, slice_rows: int = SLICE_ROWS) -> int:
 def sorted_slices(df: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
     """``df`` as a written table with ``_slice``; slices follow each other in ``order``, whose last column should
     tell rows apart. Rows are not sorted inside a slice. ``n`` fixes the number of slices."""
-    table = cut_lineage(df)
+    table = cut_lineage(df.withColumn("_slice", F.lit(0)))  # a stored column, so joins on it stay joins
     n = n or slice_count(table.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if n == 1:
-        return table.withColumn("_slice", F.lit(0))
+        return table
     return cut_lineage(table.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id()))
 
 
