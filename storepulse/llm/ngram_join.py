@@ -52,11 +52,11 @@ BUCKETS = (128, 1024, 8192)  # hash buckets of the counts of sets up to eight ti
 FULL_SCAN = 32  # pairs a list entry that make a full scan as cheap as a round of stars
 GAIN = 0.7  # a round that leaves more than this share of the pairs is the last before the full scan
 ENTRIES = 1 << 18  # list entries that a task packs at once
-BUCKET_BYTES = 12 << 20  # packed entries of a shuffle partition
+BUCKET_BYTES = 6 << 20  # packed entries of a shuffle partition
 SHORT_LIST = 16  # lists up to this length lose entries that no other member can link with
 CROSS_BLOCK = 4096  # members of a list that a full scan compares at once; longer lists are dealt into pairs of blocks
 PAIR_SLICE = 1 << 15  # pairs whose counts are compared at once
-PAIRS_SEEN = 500_000  # pairs that a task remembers
+PAIRS_SEEN = 200_000  # pairs that a task remembers
 LIST_GROUPS = 4  # tasks that share the lists of one least member
 
 
