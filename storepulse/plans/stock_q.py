@@ -24,20 +24,22 @@ STOCK_NOW_SQL = """stock_now AS (
   FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) l ON p_partkey = l.l_partkey
   WHERE p_size % 10 <> 7
 )"""
+# The counts take every product that has a stock; a null stock never reaches the feed.
+STOCK_ALL_SQL = STOCK_NOW_SQL.replace("p_size % 10 <> 7", "p_size IS NOT NULL")
 
 
 def _status_sql(c: str) -> str:
     return f"CASE WHEN {c} = 0 THEN 'OUT_OF_STOCK' WHEN {c} <= 5 THEN 'LOW_STOCK' ELSE 'IN_STOCK' END"
 
 
-def monitor_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+def monitor_stock(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     """S6 + P6 (clamped) + P7: the monitor's view of the feed."""
-    return S.classify(parse_stock_feed(stock_feed_lines(spark, sf_dir, with_price=True), with_price=True))
+    return S.classify(parse_stock_feed(stock_feed_lines(spark, sf_dir, with_price=True, every=every), with_price=True))
 
 
-def live_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+def live_stock(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     """S7 + P6 (not clamped) + P7 + P25: the dashboard's live view."""
-    s = parse_stock_feed(stock_feed_lines(spark, sf_dir, with_price=False), with_price=False)
+    s = parse_stock_feed(stock_feed_lines(spark, sf_dir, with_price=False, every=every), with_price=False)
     return S.classify(s).select(F.col("product_id_text").try_cast("long").alias("product_id"),
                                 short("name", 60).alias("product"), "stock", "status")
 
@@ -58,15 +60,15 @@ def stock_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_stock(spark, sf_dir)
 
 
-@query("stock_counts", sql=f"""WITH {STOCK_NOW_SQL}
+@query("stock_counts", sql=f"""WITH {STOCK_ALL_SQL}
 SELECT count(*) AS total,
        count(*) FILTER (WHERE greatest(0, stock_raw) > 5) AS in_stock,
        count(*) FILTER (WHERE greatest(0, stock_raw) BETWEEN 1 AND 5) AS low_stock,
        count(*) FILTER (WHERE greatest(0, stock_raw) = 0) AS out_of_stock
 FROM stock_now""")
 def stock_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total / in / low / out on the monitor path."""
-    return S.stock_counts(monitor_stock(spark, sf_dir))
+    """Total / in / low / out on the monitor path, over every product with a stock."""
+    return S.stock_counts(monitor_stock(spark, sf_dir, every=True))
 
 
 @query("stock_status_distribution", sql=f"""WITH {STOCK_NOW_SQL}

@@ -106,16 +106,17 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stock_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stock_now(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     """Stock feed snapshot: product id, stock text, name, price text (one row per product with a tracked stock).
 
-    Some ids need 64 bits, and products whose stock is not tracked (a null) never reach the feed (P24)."""
+    Some ids need 64 bits, and products whose stock is not tracked (a null) never reach the feed (P24). ``every``
+    keeps the products that the feed otherwise marks as untracked, so only a missing stock leaves one out."""
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"])
     lines = (read_table(spark, sf_dir, "lineitem", ["l_partkey"])
              .groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_lines")))
     j = part.join(lines, part.p_partkey == lines.l_partkey, "left")
     stock = (F.col("p_size") - F.floor(F.coalesce(F.col("n_lines"), F.lit(0)) / 2)).cast("int")
-    products = j.withColumn("stock", F.when(F.col("p_size") % 10 != 7, stock))
+    products = j.withColumn("stock", stock if every else F.when(F.col("p_size") % 10 != 7, stock))
     return tracked_products(products, "stock").select(
         F.when(F.col("p_partkey") % 100 == 3, F.col("p_partkey") + FAR_STOCK_ID).otherwise(F.col("p_partkey")).alias("product_id"),
         F.col("stock").cast("string").alias("stock_text"),
@@ -124,9 +125,9 @@ def stock_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stock_feed_lines(spark: SparkSession, sf_dir: str, with_price: bool = True) -> DataFrame:
+def stock_feed_lines(spark: SparkSession, sf_dir: str, with_price: bool = True, every: bool = False) -> DataFrame:
     """The same snapshot rendered as ``id|stock|name|price`` (or ``id|stock|name``) text lines."""
-    s = stock_now(spark, sf_dir)
+    s = stock_now(spark, sf_dir, every)
     parts = [F.col("product_id").cast("string"), F.col("stock_text"), F.col("name")]
     if with_price:
         parts.append(F.col("price_text"))
