@@ -71,11 +71,11 @@ def stock_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.stock_counts(monitor_stock(spark, sf_dir, every=True))
 
 
-@query("stock_status_distribution", sql=f"""WITH {STOCK_NOW_SQL}
+@query("stock_status_distribution", sql=f"""WITH {STOCK_ALL_SQL}
 SELECT {_status_sql('stock_raw')} AS status, count(*) AS n FROM stock_now GROUP BY 1""")
 def stock_status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products per status on the dashboard path."""
-    return S.stock_status_distribution(live_stock(spark, sf_dir))
+    """Products per status on the dashboard path, over every product with a stock."""
+    return S.stock_status_distribution(live_stock(spark, sf_dir, every=True))
 
 
 @query("lowest_stock", sql=f"""WITH {STOCK_NOW_SQL}

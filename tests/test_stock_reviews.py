@@ -113,9 +113,10 @@ def test_untracked_stock_and_wide_ids(spark):
 
 def test_stock_counts_take_every_product(spark, tmp_path):
     """Sizes that end in 7 count as well; only a product without a size has no stock."""
-    from storepulse.plans.stock_q import live_stock, stock_counts, stock_feed_parse
+    from storepulse.plans.stock_q import live_stock, stock_counts, stock_feed_parse, stock_status_distribution
     parts = [(1, "a", "B", 7, 1.0), (2, "a", "B", 17, 1.0), (3, "a", "B", 8, 1.0), (4, "a", "B", 1, 1.0), (5, "a", "B", None, 1.0)]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(1,)] * 14 + [(3,)] * 6 + [(4,)] * 4, "l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert tuple(stock_counts(spark, str(tmp_path)).first()) == (4, 1, 1, 2)
+    assert {r.status: r.n for r in stock_status_distribution(spark, str(tmp_path)).collect()} == {"IN_STOCK": 1, "LOW_STOCK": 2, "OUT_OF_STOCK": 1}
     assert stock_feed_parse(spark, str(tmp_path)).count() == live_stock(spark, str(tmp_path)).count() == 2
