@@ -1,9 +1,9 @@
 """Structured Streaming (§2.12 X1–X9).
 
 * X5 dedup: ``withWatermark`` + ``dropDuplicatesWithinWatermark(['order_id'])``.
-* X1–X3 enrichment: ``transformWithStateInPandas`` per email. Spark's state store holds the number of orders
-  (value state) and the times that the watermark can still reach (list state); an event-time timer expires them.
-  A batch costs what its own emails cost, and a restart goes on from the checkpoint.
+* X1–X3 enrichment: ``transformWithStateInPandas`` per hash bucket of emails. Spark's state store holds each email's
+  number of orders and the times that the watermark can still reach; an event-time timer expires them. A batch
+  costs what the buckets of its emails cost, and a restart goes on from the checkpoint.
 * X4 scoring is stateless (the batch rule engine on the stream). X9 counts the scored rows per status in a second
   query over the scored sink, a stateful ``groupBy`` in complete or update mode.
 * X6 cooldown, X6 upsert and X7 run in ``foreachBatch`` on the batch operators, which split hot keys; their tables
@@ -136,58 +136,71 @@ def order_stream(spark: SparkSession, path: str, watermark: str = "2 hours", max
 
 # ---- X1–X3 ---------------------------------------------------------------------------------------
 
+def _up_to(who: np.ndarray, times: np.ndarray, at_who: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each (``at_who``, ``at``) the number of (``who``, ``times``) not after it, in that order of both."""
+    asks = np.repeat([0, 1], [len(who), len(at)])
+    order = np.lexsort((asks, np.concatenate([times, at]), np.concatenate([who, at_who])))
+    counts = np.empty(len(order), dtype=np.int64)
+    counts[order] = np.cumsum(asks[order] == 0)
+    return counts[len(who):]
+
+
 class OrderHistory(StatefulProcessor):
-    """Velocity and earlier orders of one email. Its orders of one micro-batch are handled together, in event-time
-    order; equal times count each other, as in the batch operator. Late orders that the watermark admits see all
-    remembered times of their hour, and come after the orders that arrived before them in ``prior_orders``."""
+    """Velocity and earlier orders per email, for a bucket of emails at a time. The orders of one email and micro-batch
+    are handled together, in event-time order; equal times count each other, as in the batch operator. Late orders that
+    the watermark admits see all remembered times of their hour, and come after the orders that arrived before them in
+    ``prior_orders``. The state of a bucket: its emails and their numbers of orders, and remembered times with the
+    place of their email."""
 
     def __init__(self, key: str, ts: str, tiebreak: str, width_us: int = HOUR_US):
         self.key, self.ts, self.tiebreak, self.width_us = key, ts, tiebreak, width_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.orders = handle.getValueState("orders", "n long")
-        self.recent = handle.getListState("recent", "us long")
-
-    def _remember(self, times: np.ndarray, watermark_ms: int) -> None:
-        """Keep the times that an order not behind the watermark can still see, and a timer for the last of them."""
-        times = times[times > watermark_ms * 1000 - self.width_us]
-        if len(times):
-            self.recent.put([(t,) for t in times.tolist()])
-            self.handle.registerTimer(int(times[-1] + self.width_us) // 1000 + 1)
-        else:
-            self.recent.clear()
+        self.history = handle.getValueState("history", "emails array<string>, n array<long>, who array<int>, us array<long>")
+
+    def _known(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        emails, n, who, us = self.history.get() or ([], [], [], [])
+        return list(emails), np.array(n, dtype=np.int64), np.array(who, dtype=np.int64), np.array(us, dtype=np.int64)
+
+    def _remember(self, emails: list[str], n: np.ndarray, who: np.ndarray, us: np.ndarray, watermark_ms: int) -> int | None:
+        """Keep the times that an order not behind the watermark can still see; returns the last of them."""
+        seen = us > watermark_ms * 1000 - self.width_us
+        self.history.update((emails, n.tolist(), who[seen].tolist(), us[seen].tolist()))
+        return int(us[seen].max()) if seen.any() else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", self.tiebreak], kind="stable", ignore_index=True)
-        seen = self.orders.get()
-        n = seen[0] if seen else 0
-        known = [r[0] for r in self.recent.get()] if seen else []
-        times = pdf["ts_us"].to_numpy(np.int64)
-        all_times = np.sort(np.concatenate([np.array(known, dtype=np.int64), times]))
-        hour = np.searchsorted(all_times, times, side="right") - np.searchsorted(all_times, times - self.width_us, side="right")
-        self.orders.update((n + len(pdf),))
-        self._remember(all_times, timerValues.getCurrentWatermarkInMs())
-        yield pdf.drop(columns="ts_us").assign(orders_last_hour=hour, prior_orders=n + np.arange(len(pdf)))
+        pdf = pd.concat(list(rows), ignore_index=True)
+        emails, n, old_who, old_us = self._known()
+        codes, uniques = pd.factorize(np.concatenate([np.array(emails, dtype=object), pdf[self.key].to_numpy(dtype=object)]))
+        pdf = pdf.assign(_who=codes[len(emails):]).sort_values(["_who", "ts_us", self.tiebreak], kind="stable", ignore_index=True)
+        who, times = pdf["_who"].to_numpy(np.int64), pdf["ts_us"].to_numpy(np.int64)
+        n = np.concatenate([n, np.zeros(len(uniques) - len(emails), dtype=np.int64)])
+        prior = n[who] + np.arange(len(who)) - np.searchsorted(who, who)
+        all_who, all_us = np.concatenate([old_who, who]), np.concatenate([old_us, times])
+        hour = _up_to(all_who, all_us, who, times) - _up_to(all_who, all_us, who, times - self.width_us)
+        last = self._remember(uniques.tolist(), n + np.bincount(who, minlength=len(n)), all_who, all_us, timerValues.getCurrentWatermarkInMs())
+        if last is not None:
+            self.handle.registerTimer((last + self.width_us) // 1000 + 1)
+        yield pdf.drop(columns=["ts_us", "email_bucket", "_who"]).assign(orders_last_hour=hour, prior_orders=prior)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        times = np.array([r[0] for r in self.recent.get()], dtype=np.int64)
-        times = times[times > timerValues.getCurrentWatermarkInMs() * 1000 - self.width_us]
-        if len(times):  # a newer order has a timer of its own
-            self.recent.put([(t,) for t in times.tolist()])
-        else:
-            self.recent.clear()
+        self._remember(*self._known(), timerValues.getCurrentWatermarkInMs())  # a newer order has a timer of its own
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def enriched_stream(orders: DataFrame, key: str = "customer_email", ts: str = "ts", tiebreak: str = "order_id") -> DataFrame:
-    """A watermarked stream of orders with ``orders_last_hour`` (W1), ``prior_orders`` and ``is_new_customer``."""
-    rows = orders.withColumns({key: F.coalesce(F.col(key), F.lit("unknown")), "ts_us": F.unix_micros(F.col(ts))})
-    out = T.StructType([*(f for f in rows.schema.fields if f.name != "ts_us"), T.StructField("orders_last_hour", T.IntegerType()), T.StructField("prior_orders", T.LongType())])
-    done = rows.groupBy(key).transformWithStateInPandas(OrderHistory(key, ts, tiebreak), out, "Append", "EventTime")
+def enriched_stream(orders: DataFrame, key: str = "customer_email", ts: str = "ts", tiebreak: str = "order_id",
+                    n_buckets: int = 1024) -> DataFrame:
+    """A watermarked stream of orders with ``orders_last_hour`` (W1), ``prior_orders`` and ``is_new_customer``.
+    Emails share hash buckets, so a call into Python and a read of the state serve many of them; ``n_buckets`` stays the
+    same as long as a checkpoint lives, and up to some thousand emails a bucket are a good number."""
+    email = F.coalesce(F.col(key), F.lit("unknown"))
+    rows = orders.withColumns({key: email, "ts_us": F.unix_micros(F.col(ts)), "email_bucket": F.pmod(F.xxhash64(email), F.lit(n_buckets)).cast("int")})
+    out = T.StructType([*(f for f in rows.schema.fields if f.name not in ("ts_us", "email_bucket")), T.StructField("orders_last_hour", T.IntegerType()), T.StructField("prior_orders", T.LongType())])
+    done = rows.groupBy("email_bucket").transformWithStateInPandas(OrderHistory(key, ts, tiebreak), out, "Append", "EventTime")
     return done.withColumn("is_new_customer", F.col("prior_orders") <= 1)
 
 

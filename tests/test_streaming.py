@@ -1,8 +1,11 @@
 """Stream = batch on small inputs landed in several chunks, each a restart; tables found in storage; late rows."""
+from collections import Counter
 from datetime import datetime, timedelta
 import json
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from storepulse.operators.cooldown import cooldown
@@ -94,6 +97,50 @@ def test_state_expires(spark):
     assert got == {"WOO-1": (1, 0), "WOO-2": (1, 0), "WOO-3": (1, 1), "WOO-4": (1, 1)}
 
 
+class _Bucket:
+    """State and timers of one bucket, in memory."""
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_order_history_of_a_bucket_of_emails():
+    """One call serves all emails of a bucket; late orders see their hour, and the timer forgets all that has passed."""
+    rnd, hour, bucket, history = random.Random(3), X.HOUR_US, _Bucket(), X.OrderHistory("email", "ts", "order_id")
+    history.init(bucket)
+    arrived, n, mark = [], 0, 0
+    for batch in range(4):
+        rows = []
+        for _ in range(60):
+            n += 1
+            rows.append((f"o{n:03d}", f"c{rnd.randrange(12)}", (batch * 3 + rnd.randrange(-1, 4)) * 1200 * 1_000_000 + 10 * hour))
+        rows = [r for r in rows if r[2] >= mark * 1000]
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+        pdf = pd.DataFrame([(*r, 0) for r in rows], columns=["order_id", "email", "ts_us", "email_bucket"])
+        out = pd.concat(history.handleInputRows((0,), iter([pdf.iloc[:20], pdf.iloc[20:]]), now))
+        assert bucket.calls == batch + 1 and list(out.columns) == ["order_id", "email", "orders_last_hour", "prior_orders"]
+        seen = arrived + rows
+        want = {o: (sum(e2 == e and t - hour < t2 <= t for _, e2, t2 in seen),
+                    sum(e2 == e for _, e2, _ in arrived) + sum(e2 == e and (t2, o2) < (t, o) for o2, e2, t2 in rows)) for o, e, t in rows}
+        assert {r.order_id: (r.orders_last_hour, r.prior_orders) for r in out.itertuples()} == want
+        arrived, mark = seen, max(t for _, _, t in seen) // 1000 - 1800_000
+    done = SimpleNamespace(getCurrentWatermarkInMs=lambda: max(bucket.timers))
+    assert list(history.handleExpiredTimer((0,), done, None)) == []
+    emails, counts, who, us = bucket.value
+    assert dict(zip(emails, counts, strict=True)) == Counter(e for _, e, _ in arrived) and list(who) == list(us) == []
+
+
 def test_overview_in_both_modes(spark):
     sink = X.scratch(spark, "t-scored")
     tables = {m: (X.scratch(spark, f"t-over-{m}"), X.scratch(spark, f"t-over-{m}-ckpt")) for m in ("complete", "update")}
