@@ -90,22 +90,26 @@ def with_defaults(orders: DataFrame, defaults: dict | None = None) -> DataFrame:
     return out
 
 
-def evaluate(rules: list[Rule]) -> tuple[Column, Column, Column]:
-    """(score, reasons, codes) Columns for a rule list."""
-    hits = F.filter(
+def hits(rules: list[Rule]) -> Column:
+    """The rules that fire, in their order: points, reason and code."""
+    return F.filter(
         F.array(*[F.when(r.predicate(), F.struct(F.lit(r.points).alias("points"), r.reason().alias("reason"),
                                                 F.lit(r.code).alias("code")))
                   for r in rules]),
         lambda x: x.isNotNull())
-    score = F.aggregate(hits, F.lit(0), lambda acc, x: acc + x["points"])
-    return score, F.transform(hits, lambda x: x["reason"]), F.transform(hits, lambda x: x["code"])
+
+
+def evaluate(orders: DataFrame, rules: list[Rule], score: str) -> DataFrame:
+    """``orders`` with the score, the reasons and the codes of a rule list, whose rules are tried once a row."""
+    fired = orders.withColumn("_hits", hits(rules))
+    return fired.withColumns({score: F.aggregate("_hits", F.lit(0), lambda acc, x: acc + x["points"]),
+                              "reasons": F.transform("_hits", lambda x: x["reason"]),
+                              "rule_codes": F.transform("_hits", lambda x: x["code"])}).drop("_hits")
 
 
 def rule_score(orders: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """``rule_score int`` and ``reasons array<string>`` (plus ``rule_codes``) per order."""
-    scored = with_defaults(orders)
-    score, reasons, codes = evaluate(DETECTOR_RULES if rules is None else rules)
-    return scored.withColumn("rule_score", score).withColumn("reasons", reasons).withColumn("rule_codes", codes)
+    return evaluate(with_defaults(orders), DETECTOR_RULES if rules is None else rules, "rule_score")
 
 
 def rule_flag(orders: DataFrame, code: str) -> DataFrame:
@@ -125,8 +129,7 @@ def dashboard_rule_score(orders: DataFrame) -> DataFrame:
     out = with_defaults(orders, {"amount": 0.0, "payment_method": "", "quantity": 0, "is_new_customer": True})
     if "country" not in out.columns:
         out = out.withColumn("country", F.lit("US"))
-    score, reasons, codes = evaluate(DASHBOARD_RULES)
-    return out.withColumn("score", score).withColumn("reasons", reasons).withColumn("rule_codes", codes)
+    return evaluate(out, DASHBOARD_RULES, "score")
 
 
 def rule_flags(orders: DataFrame, codes: list[str] | None = None) -> DataFrame:

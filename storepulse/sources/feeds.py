@@ -243,7 +243,7 @@ def order_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.struct(F.lit(3).alias("k"), F.lit("").alias("value"))))
                    ).otherwise(lines)
     out = (rec.select("order_key", F.explode(copies).alias("copy"), lines.alias("_l"))
-           .select("order_key", "copy", F.explode("_l").alias("_x")))
+           .select("order_key", "copy", F.explode_outer("_l").alias("_x")))  # never empty; a plain explode would make the lines once more to check that
     out = out.filter((F.col("copy") == 0) | (F.col("_x.k") == 0))
     return out.select(
         (F.col("order_key") * 4 + F.col("copy") + F.col("_x.k")).alias("pos"),

@@ -73,7 +73,7 @@ def parse_order_log(lines: DataFrame, keep: list[str] | None = None) -> DataFram
     """Blank lines and lines that are not a JSON object are dropped; nested items kept.
 
     One parse per line: the schema carries a corrupt-record column, which is set exactly when
-    the line does not parse. Numbers are read as text first, so a total or quantity given as JSON
+    the line does not parse, and the filter on it cannot go below the generator that holds the parsed line. Numbers are read as text first, so a total or quantity given as JSON
     text counts, and one that is no number is null without losing the order."""
     keep = keep or []
     as_text = {"total": T.StringType(), "items": T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "quantity")]))}
@@ -81,7 +81,7 @@ def parse_order_log(lines: DataFrame, keep: list[str] | None = None) -> DataFram
                           + [T.StructField("_corrupt", T.StringType())])
     trimmed = F.trim(F.col("value"))
     parsed = lines.filter(trimmed.startswith("{")).withColumn(
-        "_o", F.from_json(F.col("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+        "_o", F.explode_outer(F.array(F.from_json(F.col("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))))
     number = {"total": F.col("_o.total").try_cast("double"),
               "items": F.transform("_o.items", lambda x: F.struct(x["name"].alias("name"), x["quantity"].try_cast("double").try_cast("int").alias("quantity")))}
     return parsed.filter(F.col("_o._corrupt").isNull()).select(

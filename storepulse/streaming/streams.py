@@ -36,6 +36,7 @@ from storepulse.sources.files import parse_order_log
 
 HOUR_US = 3600 * 1_000_000
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROW_COUNTS = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # The stateful processor runs in Python workers; ship it by value so executors need not
@@ -86,13 +87,16 @@ def read_sink(spark: SparkSession, path: str, before: int | None = None) -> Data
 
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB, which ``transformWithState`` asks for."""
-    old = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    """Queries started inside keep their state in RocksDB, which ``transformWithState`` asks for. Its rows are not
+    counted, as the count takes a read before every write."""
+    old = {k: spark.conf.get(k, None) for k in (STATE_STORE, ROW_COUNTS)}
+    for k, v in ((STATE_STORE, ROCKSDB), (ROW_COUNTS, "false")):
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(STATE_STORE, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -192,16 +196,35 @@ class OrderHistory(StatefulProcessor):
         pass
 
 
+def packed(df: DataFrame, columns: list[str]) -> Column:
+    """Columns as one JSON text, times as microseconds: a Python worker handles one value of a row in place of many."""
+    return F.to_json(F.struct(*[(F.unix_micros(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c)).alias(c) for c in columns]))
+
+
+def unpacked(df: DataFrame, text: str, schema: T.StructType, keep: list[str]) -> DataFrame:
+    """``keep`` of ``df`` and the columns of ``schema`` out of ``packed`` text."""
+    times = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampType)]
+    inside = T.StructType([T.StructField(f.name, T.LongType() if f.name in times else f.dataType) for f in schema.fields])
+    rows = df.withColumn("_o", F.from_json(text, inside))
+    return rows.select(*keep, *[(F.timestamp_micros(F.col("_o")[f.name]) if f.name in times else F.col("_o")[f.name]).alias(f.name) for f in schema.fields])
+
+
 def enriched_stream(orders: DataFrame, key: str = "customer_email", ts: str = "ts", tiebreak: str = "order_id",
                     n_buckets: int = 1024) -> DataFrame:
     """A watermarked stream of orders with ``orders_last_hour`` (W1), ``prior_orders`` and ``is_new_customer``.
     Emails share hash buckets, so a call into Python and a read of the state serve many of them; ``n_buckets`` stays the
-    same as long as a checkpoint lives, and up to some thousand emails a bucket are a good number."""
+    same as long as a checkpoint lives, and up to some thousand emails a bucket are a good number. Python sees the email,
+    the id and the time; the other columns of an order go past it as one text."""
     email = F.coalesce(F.col(key), F.lit("unknown"))
-    rows = orders.withColumns({key: email, "ts_us": F.unix_micros(F.col(ts)), "email_bucket": F.pmod(F.xxhash64(email), F.lit(n_buckets)).cast("int")})
-    out = T.StructType([*(f for f in rows.schema.fields if f.name not in ("ts_us", "email_bucket")), T.StructField("orders_last_hour", T.IntegerType()), T.StructField("prior_orders", T.LongType())])
+    found = T.StructType([T.StructField("orders_last_hour", T.IntegerType()), T.StructField("prior_orders", T.LongType())])
+    orders = orders.withColumn(key, email)
+    rest = T.StructType([f for f in orders.schema.fields if f.name not in (key, tiebreak, ts)])
+    rows = orders.select(key, tiebreak, ts, packed(orders, rest.names).alias("order"), F.unix_micros(F.col(ts)).alias("ts_us"),
+                         F.pmod(F.xxhash64(F.col(key)), F.lit(n_buckets)).cast("int").alias("email_bucket"))
+    out = T.StructType([*(rows.schema[c] for c in (key, tiebreak, ts, "order")), *found.fields])
     done = rows.groupBy("email_bucket").transformWithStateInPandas(OrderHistory(key, ts, tiebreak), out, "Append", "EventTime")
-    return done.withColumn("is_new_customer", F.col("prior_orders") <= 1)
+    done = unpacked(done, "order", rest, [key, tiebreak, ts, *found.names])
+    return done.select(*orders.columns, *found.names, (F.col("prior_orders") <= 1).alias("is_new_customer"))
 
 
 def fraud_stream(enriched: DataFrame) -> DataFrame:

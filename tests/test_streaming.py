@@ -173,3 +173,38 @@ def test_versioned_table(spark):
     assert again.change(2, rows(), upsert) == [] and again.read().count() == 100 and again.versions() == [0, 1, 2]
     again.change(3, rows(*[(k, "x") for k in range(100)], (None, "null key")), lambda known, new: new.where("v <> 'x'"))
     assert [tuple(r) for r in again.read().collect()] == [(None, "null key")]
+
+
+def test_other_columns_of_an_order_pass_python_as_one_text(spark):
+    """The packed columns come back exactly: doubles, times to the microsecond, nulls, quotes, arrays with nulls."""
+    spec = "order_id string, customer_email string, ts timestamp, amount double, quantity int, failed_attempts int, products array<string>, seen timestamp"
+    when = datetime(2024, 1, 1, 1, 2, 3, 456789)
+    rows = [("1", "a@x", when, 0.1 + 0.2, None, 3, ['say "hi"', None, "ü\n"], when), ("2", None, None, 1e300, 4, None, [], None), ("3", "b@x", when, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, spec)
+    rest = df.drop("order_id", "customer_email", "ts").schema
+    out = X.unpacked(df.select("order_id", X.packed(df, rest.names).alias("order")), "order", rest, ["order_id"])
+    assert out.schema.fields[1:] == rest.fields
+    assert sorted(map(tuple, out.collect())) == sorted((r[0], *r[3:]) for r in map(tuple, df.collect()))
+
+
+def test_state_queries_do_not_count_rows_and_settings_come_back(spark):
+    before = {k: spark.conf.get(k, None) for k in (X.STATE_STORE, X.ROW_COUNTS)}
+    with X.rocksdb(spark):
+        assert (spark.conf.get(X.STATE_STORE), spark.conf.get(X.ROW_COUNTS)) == (X.ROCKSDB, "false")
+    assert {k: spark.conf.get(k, None) for k in before} == before
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_log_lines_are_parsed_once_and_rules_are_tried_once(spark):
+    lines = spark.createDataFrame([(v,) for v in [*_order_lines(3, 1, ["a@x"]), "{\"order_id\": ", "", "x"]], "value string")
+    raw = parse_order_log(lines)
+    assert _plan(raw).count("from_json(") == 1 and raw.count() == 3
+    orders = spark.createDataFrame([("1", 2000.0, True, "stripe", 5, 4)], "order_id string, amount double, is_new_customer boolean, payment_method string, quantity int, orders_last_hour int")
+    scored = X.fraud_stream(orders)
+    assert _plan(scored).count("Too many orders") == 1
+    row = scored.first()
+    assert row.rule_codes == ["R1", "R2", "R4", "R5", "R8", "R9", "R10", "R3", "R11"] and row.rule_score == 40 + 30 + 30 + 50 + 35 + 20 + 15 + 45 + 40
+    assert len(row.reasons) == 9 and "_hits" not in scored.columns
