@@ -119,7 +119,8 @@ def numbered(rows: DataFrame, key_col: str = "_key", nth_col: str = "_nth") -> D
     """``rows``, written once, with the row's number among those of its key, from 0 on.
 
     Numbers run within a key's rows of a written partition, after those of the partitions before, so a key that
-    many rows share meets in no task."""
+    many rows share meets in no task. The rows with a number above 0 are written before the join, so Spark knows how
+    few they are and leaves the texts where they lie."""
     rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
     thin = rows.select(key_col, "_row", F.shiftright("_row", 33).alias("_part"))
     whole = W.partitionBy(key_col)
@@ -127,6 +128,7 @@ def numbered(rows: DataFrame, key_col: str = "_key", nth_col: str = "_nth") -> D
              .withColumns({"_all": F.sum("_n").over(whole), "_before": F.sum("_n").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")}))
     nth = F.col("_before") + F.row_number().over(W.partitionBy(key_col, "_part").orderBy("_row")) - 1
     later = thin.join(parts.where("_all > 1"), [key_col, "_part"]).select("_row", nth.alias(nth_col)).where(F.col(nth_col) > 0)
+    later = cut_lineage(later)
     return rows.join(later, "_row", "left").withColumn(nth_col, F.coalesce(nth_col, F.lit(0))).drop("_row")
 
 

@@ -106,3 +106,17 @@ def test_rows_that_share_an_id(spark):
     assert max(r.n for r in mix_sources(plain, plain, finish=count, cell_words=400, block_words=4).collect()) >= 400  # what the columns are for
     first, again = (sorted(map(str, mixed_texts(*made(n), **deal).collect())) for n in (5, 2))
     assert first == again
+
+
+def test_numbering_rows_leaves_texts_where_they_lie(spark):
+    """The few rows that repeat others are known before the join, so the texts are not dealt out for it."""
+    docs = spark.createDataFrame([(i % 590, f"s{i % 3}", f"text {i % 590} " * 60) for i in range(600)], "doc_id long, source string, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        out = numbered(docs.withColumn("source", F.lit("s")).withColumn("_key", row_key()))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert sorted(r[0] for r in out.select("_nth").collect()) == [0] * 590 + [1] * 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
