@@ -109,6 +109,20 @@ def test_near_copies_under_the_threshold(spark):
     assert made[400] <= 8 * 400 and made[400] <= 16 * max(made[100], 25), made
 
 
+def test_list_lengths_move_no_counts(spark, capsys):
+    """The bucket counts, the widest column, are not part of the shuffle by shingle that tells a list's length."""
+    named = cut_lineage(spark.createDataFrame([(1, 0, 7, True, 5, 5, True, 7)], "shingle long, part long, key long, indexed boolean, n long, open long, whole boolean, root long"))
+    counts = cut_lineage(spark.createDataFrame([(7, bytearray(128))], "key long, counts binary"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        M._cross_pairs(named, counts).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    nodes = [x for x in capsys.readouterr().out.split("\n\n") if "Exchange\n" in x and "hashpartitioning(shingle" in x]
+    assert nodes and not any("counts#" in x for x in nodes)
+
+
 def test_query_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op2_ngram_join"](spark, SF_SMALL).collect()} == plain(docs)
