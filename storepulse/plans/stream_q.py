@@ -25,16 +25,20 @@ from storepulse.streaming import streams as X
 
 CHUNKS = 4
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+RULE_INPUT = ["order_id", "customer_email", "ts", "amount", "quantity", "payment_method", "card_country", "shipping_country", "failed_attempts"]
 
 
-def _run_enriched(spark: SparkSession, sf_dir: str, name: str, write, after: Callable[[], object] | None = None) -> None:
-    """Order-log file stream → dedup (X5) → enrichment from the state store (X1–X3) → ``write(batch, batch_id)``."""
+def _run_enriched(spark: SparkSession, sf_dir: str, name: str, write, after: Callable[[], object] | None = None,
+                  columns: list[str] | None = None) -> None:
+    """Order-log file stream → dedup (X5) → enrichment from the state store (X1–X3) → ``write(batch, batch_id)``.
+    ``columns`` of an order (default: all) go on after the dedup; Spark cannot prune them through the Python state."""
     lines = order_log_lines(spark, sf_dir).select("value")
     ts = F.try_to_timestamp(F.get_json_object("value", "$.timestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
     path, checkpoint = X.scratch(spark, f"{name}-log"), X.scratch(spark, f"{name}-ckpt")
 
     def run() -> None:
-        X.run_stream(X.enriched_stream(X.order_stream(spark, path)), spark, name, write, checkpoint=checkpoint)
+        orders = X.order_stream(spark, path)
+        X.run_stream(X.enriched_stream(orders.select(*(columns or orders.columns))), spark, name, write, checkpoint=checkpoint)
         if after:
             after()
 
@@ -91,7 +95,7 @@ def stream_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink, table, checkpoint = (X.scratch(spark, f"overview-{n}") for n in ("scored", "table", "ckpt"))
     shape = lambda d: X.fraud_stream(d).select("order_id", "status", "amount")
     _run_enriched(spark, sf_dir, "scored", _batch_sink(sink, shape),
-                  lambda: X.run_overview(spark, sink, spark.read.parquet(f"{sink}/batch=*").schema, table, checkpoint))
+                  lambda: X.run_overview(spark, sink, spark.read.parquet(f"{sink}/batch=*").schema, table, checkpoint), RULE_INPUT)
     return VersionedTable(spark, table, "status", "status string, n_orders long, revenue double", 4).read()
 
 

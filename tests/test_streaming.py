@@ -6,13 +6,17 @@ import random
 from types import SimpleNamespace
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from storepulse.operators.cooldown import cooldown
 from storepulse.operators.orders import enrich_orders, normalize_orders
+from storepulse.operators.rules import DETECTOR_DEFAULTS
 from storepulse.operators.versioned import VersionedTable
+from storepulse.plans.stream_q import RULE_INPUT, stream_overview
 from storepulse.sources.files import parse_order_log
 from storepulse.streaming import streams as X
+from tests.conftest import SF_SMALL
 
 T0 = datetime(2024, 1, 1)
 
@@ -208,3 +212,26 @@ def test_log_lines_are_parsed_once_and_rules_are_tried_once(spark):
     row = scored.first()
     assert row.rule_codes == ["R1", "R2", "R4", "R5", "R8", "R9", "R10", "R3", "R11"] and row.rule_score == 40 + 30 + 30 + 50 + 35 + 20 + 15 + 45 + 40
     assert len(row.reasons) == 9 and "_hits" not in scored.columns
+
+
+def test_overview_stream_carries_only_what_the_rules_read(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    found = []
+
+    def replay(chunks, path, run, fmt="text"):
+        X.land(spark.createDataFrame([("{}",)], "value string"), path)
+        run()
+
+    def run_stream(stream, *args, **kw):
+        found.append(set(stream.columns))
+        raise Stop
+
+    monkeypatch.setattr(X, "time_chunks", lambda *args: [])
+    monkeypatch.setattr(X, "replay", replay)
+    monkeypatch.setattr(X, "run_stream", run_stream)
+    with pytest.raises(Stop):
+        stream_overview(spark, SF_SMALL)
+    assert found == [{*RULE_INPUT, "orders_last_hour", "prior_orders", "is_new_customer"}]
+    assert set(DETECTOR_DEFAULTS) <= found[0]
