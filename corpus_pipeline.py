@@ -2,7 +2,8 @@
 
 Every stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all that its predecessor kept. The stages up
 to the last return the columns of ``documents``; between stages the rows are written as Parquet to the shared
-checkpoint folder and read again, so a lost executor costs one stage at most.
+checkpoint folder and read again, so a lost executor costs one stage at most. Every stage bounds the session's batches to
+Python workers, as its rows are whole texts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from storepulse.llm.piece_bpe import load_pieces, round_trip
 from storepulse.llm.registry import table
 from storepulse.llm.secret_scan import redact_secrets
 from storepulse.llm.string_kernel import UNKNOWN, learn_languages, predict_language
-from storepulse.session import cut_lineage
+from storepulse.session import bounded_batches, cut_lineage
 
 
 WORD_BYTES = 6 << 20  # smaller word tables than the codec's own: earlier stages have filled the executors
@@ -25,6 +26,7 @@ WORD_BYTES = 6 << 20  # smaller word tables than the codec's own: earlier stages
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language. Rejected: null texts and texts without a letter, nothing else; a text in a
     language that was not learned stays. A null ``lang`` takes the predicted one."""
+    bounded_batches(spark)
     model = learn_languages(docs)
     out = predict_language(docs, model, lang_out="_lang", score_out="_score")
     if not model.languages:
@@ -38,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Every row is decided by itself, under a number of its own: rows that repeat an id are documents like any others,
     and a copy without an id goes like any other copy. Of rows alike in id the one with the least text hash stays."""
+    bounded_batches(spark)
     rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
     near = near_documents(rows, id_col="_row").select("_row", F.col("component_id").alias("_group"))
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), F.col("_row").alias("d"))
@@ -49,12 +52,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every reported secret replaced by a placeholder."""
+    bounded_batches(spark)
     return redact_secrets(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row per document and copy with the words that the mix takes. An extra
     column with the name of a mixing figure (target, taken, source_size, ranges) does not outlast this stage."""
+    bounded_batches(spark)
     sized = numbered(docs.withColumns({"_words": word_count(F.col("text")), "_key": row_key()}))
     sizes = cut_lineage(sized.select("doc_id", "source", "_words", "_key", "_nth"))
     out = mixed_texts(sized, sizes, size_col="_words", deal_cols=("_key", "_nth"))
@@ -65,6 +70,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row's ids and of the text decoded from them."""
     import public_tokenizers
 
+    bounded_batches(spark)
     coded = round_trip(docs, load_pieces(public_tokenizers.path("piece_bpe_32k.model")), word_bytes=WORD_BYTES)
     return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -158,8 +158,11 @@ def mix_sources(docs: DataFrame, sizes: DataFrame, seed: int = 17, share: float
     targets = source_targets(sources, share, most)
     cells = [max(1, n // cell_words) for _, n in sources]
     shards = max(cells, default=1)
-    plan = spark.createDataFrame([(i, s, n, t, c, i % shards) for i, ((s, n), t, c) in enumerate(zip(sources, targets, cells, strict=True))],
-                                 "_no long, _source string, source_size long, target double, _cells long, _first long")
+    numbers = np.arange(len(sources))
+    plan = pa.table([pa.array(numbers, pa.int64()), pa.array([s for s, _ in sources], pa.string()), pa.array([n for _, n in sources], pa.int64()), pa.array(targets, pa.float64()),
+                     pa.array(cells, pa.int64()), pa.array(numbers % shards, pa.int64())], names=["_no", "_source", "source_size", "target", "_cells", "_first"])
+    # an Arrow table becomes a local relation; a list of rows would go through Python workers of another kind, which stay on
+    plan = spark.createDataFrame(plan, "_no long, _source string, source_size long, target double, _cells long, _first long")
 
     def dealt(df: DataFrame) -> DataFrame:
         df = df.drop(*[c for c in ("source_size", "target", "taken", "ranges") if c in df.columns])

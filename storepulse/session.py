@@ -25,6 +25,7 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+BATCH_BYTES = 4 << 20  # of an Arrow batch between a task and its Python worker, about
 
 
 def get_spark(master: str | None = None, app: str = "storepulse",
@@ -65,6 +66,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on tasks of this session hand rows to their Python workers in batches of about ``BATCH_BYTES``.
+
+    By Spark's default of 64 MB a task holds most of its partition's texts twice, as vectors in the JVM and as a batch in
+    Python. No row is cut: a longer text makes a batch of its own, and a group still arrives whole, in more batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
 

@@ -120,3 +120,11 @@ def test_numbering_rows_leaves_texts_where_they_lie(spark):
         assert sorted(r[0] for r in out.select("_nth").collect()) == [0] * 590 + [1] * 10
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_targets_reach_the_tasks_without_python_workers(spark):
+    """The table of sources is a local relation: rows from a list would start Python workers of another kind, which stay on."""
+    docs = spark.createDataFrame([(1, "a", 3), (2, None, 4), (3, "a", 0)], "doc_id long, source string, size long")
+    out = mix_sources(docs, docs, block_words=1)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") >= 2
+    assert {(r.doc_id, r.source_size, r.target) for r in out.collect()} == {(1, 3, 6.0), (2, 4, 4.5), (3, 3, 6.0)}

@@ -1,6 +1,8 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -73,3 +75,18 @@ def test_every_text_with_a_letter_has_a_language(spark):
     docs = spark.createDataFrame([*rows, (900, mixed, None), (901, "漢字", None), (902, "123", None), (903, None, None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang for r in P.language_id(spark, docs, "").collect()}
     assert set(got) == {*range(240), 900, 901} and got[900] and got[901]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in P.STAGES])
+def test_stages_bound_the_batches_of_whole_texts(spark, empty_docs, stage):
+    """A task of 12 MB of texts hands them to Python in batches of some 4 MB, and hands over all of them."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "64m")
+    try:
+        stage(spark, empty_docs, "")
+        texts = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("abcd"), 1000).alias("text"))
+        got = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"]) for b in batches), "n long, size long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 5 << 20
+    finally:
+        spark.conf.set(limit, old)
